@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, let
+from .common import blank_words, checkpointed, let
 
 #: Rules: a name, the value as a rate, and the cutoffs tried; a document fails a rule if its value is over the cutoff.
 CUTOFFS = {
@@ -22,23 +22,26 @@ MAX_FALSE_REJECTION, CONFIDENCE = 0.02, 0.95
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that are found twice or more in the text.
 
-    Starts of repeated windows come from one sort of (window, place); each start then covers 3 words less its overlap
-    with the next one.  Windows are compared by a 64-bit hash, within one text.
+    Texts without an equal pair of windows are settled by a set.  For others, starts of repeated windows come from one
+    sort of (window, place); each start then covers 3 words less its overlap with the next one.  Windows are compared
+    by a 64-bit hash, within one text.
     """
 
     def of(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+        return let(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))), among)
 
-        def starts(s: Column) -> Column:
-            same = lambda i, j: F.get(s, i)["h"].eqNullSafe(F.get(s, j)["h"])
-            return F.array_sort(F.filter(F.transform(s, lambda x, i: F.when(same(i, i - 1) | same(i, i + 1), x["i"])), lambda x: x.isNotNull()))
+    def among(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), starts), covered))
 
-        covered = lambda p: F.aggregate(
-            p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"]
-        )
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(let(F.array_sort(grams), starts), covered))
+    def starts(s: Column) -> Column:
+        same = lambda i, j: F.get(s, i)["h"].eqNullSafe(F.get(s, j)["h"])
+        return F.sort_array(F.filter(F.transform(s, lambda x, i: F.when(same(i, i - 1) | same(i, i + 1), x["i"])), lambda x: x.isNotNull()))
 
-    return let(words, of).cast("long")
+    def covered(p: Column) -> Column:
+        step = lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["last"])).alias("n"), x.alias("last"))
+        return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), step, lambda a: a["n"])
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, of)).cast("long")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -50,12 +53,12 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         "stratum",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
         F.regexp_count("t", F.lit("\n")).alias("breaks"),
-        (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("capitals"),
+        F.regexp_count("t", F.lit("[A-Z]")).alias("capitals"),
     )
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return rows.select(
@@ -100,9 +103,9 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTI
         F.count(F.when(good, 1)).alias("n"),
         F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.count(F.when(good & (F.col(r) > c), 1)).alias("lost"), F.count(F.when(~good & (F.col(r) > c), 1)).alias("caught")) for r, c in tried]).alias("tried"),
     )
-    strata = counted.agg(F.count("*").alias("strata"))
-    tests = counted.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", F.explode("tried").alias("x")).select("stratum", "n", "strata", "x.*")
-    level = F.lit((1 - confidence) / len(tried)) / F.col("strata")
+    strata = held.agg(F.count_distinct("stratum")).first()[0]
+    tests = counted.select("stratum", "n", F.explode("tried").alias("x")).select("stratum", "n", "x.*")
+    level = (1 - confidence) / len(tried) / max(1, strata)
     allowed = tests.where((F.col("caught") > F.col("lost")) & (F.col("n") > 0)).where(tail(F.col("lost"), F.col("n"), limit / len(CUTOFFS)) <= level)
     return allowed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", -F.col("lost"), "cutoff")).alias("cutoff"))
 
@@ -113,7 +116,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A document is kept if it passes the base rules and every rule that has a cutoff in its stratum (its lang, null is a
     stratum of its own).  Null texts are empty and fail.  Repeated rows are judged alike; no labels: no cutoffs.
     """
-    rows = measured(docs)
+    rows = checkpointed(measured(docs))  # a few numbers a document, used twice
     chosen = cutoffs(rows, labels).groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cutoff"))
     chosen = chosen.select("stratum", *[F.col(r).alias(f"max_{r}") for r in CUTOFFS])
     fails = F.lit(False)

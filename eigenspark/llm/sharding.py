@@ -88,14 +88,15 @@ def shard_rows(docs: DataFrame, shards: int = 16, slots: int = SLOTS, hot_share:
     """Rows with their shard and place in it, the map, and the bytes of each virtual slot.
 
     Records are hashed by their text into virtual slots, so equal texts share a shard; a group of equal texts of over
-    hot_share of all bytes (at most 1 / hot_share such groups) is hashed by doc_id too, and so spread.  The map deals
+    hot_share of all bytes or rows (at most 2 / hot_share such groups) is hashed by doc_id too, and so spread.  The map deals
     out slots by their bytes, so sizes of shards are near equal (law `bytes`).  slot is the place in the shard, from 0.
     Null texts count 1 byte; null ids and repeated rows are rows like others; an empty table gives an empty result.
     """
     rows = checkpointed(sized(docs))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    hot = rows.groupBy("text_hash").agg(F.sum("size").alias("b")).where(F.col("b") > max(1, total * hot_share)).select("text_hash", F.lit(True).alias("hot"))
-    rows = rows.join(F.broadcast(hot), "text_hash", "left")  # at most 1 / hot_share rows
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    groups = rows.groupBy("text_hash").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    hot = groups.where((F.col("b") > max(1, total * hot_share)) | (F.col("n") > max(1, count * hot_share))).select("text_hash", F.lit(True).alias("hot"))
+    rows = rows.join(F.broadcast(hot), "text_hash", "left")  # at most 2 / hot_share rows
     rows = rows.withColumn("vslot", F.when(F.col("hot"), F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(slots))).otherwise(F.pmod("text_hash", F.lit(slots))).cast("int"))
     weights, counts = [0] * slots, [0] * slots
     for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # at most `slots` rows
