@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to Python, unless the session says something else.
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it isn't installed (local mode, tests)."""
+    """Lets Python workers import this package where it isn't installed (local mode, tests), and bounds their batches."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == "67108864b":  # the default
+        spark.conf.set(size, BATCH_BYTES)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [env.get("PYTHONPATH")])])
@@ -33,6 +42,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared checkpoint folder: smaller than checkpoint() for many rows."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def widened(df: DataFrame, more: str) -> T.StructType:
+    """The schema of df followed by the columns of a DDL string."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

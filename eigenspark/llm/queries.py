@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
-from .common import table
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import language, toxicity
+from .bpe import digests
+from .common import remainder, table
+from .licenses import scanned
 from .quality import judged
 from .sharding import shard_rows
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_license_scans(spark, sf_dir):
+    return scanned(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark, sf_dir):
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identified(docs.select("doc_id", "text"), language.learned(docs))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"))[0]
 
@@ -15,5 +40,5 @@ def op10_quality_rules(spark, sf_dir):
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scans, op5_byte_bpe, op6_language_id, op7_sharding, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
