@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, nearest, neardup, packing, substrings, toxicity
 from .bpe import digests
 from .common import remainder, table
 from .licenses import scanned
@@ -18,10 +18,18 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_exact_topk(spark, sf_dir):
+    return nearest.largest_products(table(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scans(spark, sf_dir):
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -36,9 +44,44 @@ def op7_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"))[0]
 
 
+def op8_minhash_near_dedup(spark, sf_dir):
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scans, op5_byte_bpe, op6_language_id, op7_sharding, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_license_scans, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_sharding, op8_minhash_near_dedup, op9_substring_dedup, op10_quality_rules)}
+ORACLE_SQL = {
+    "op2_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op9_substring_dedup": """
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        n AS (SELECT doc_id, w, len(w) AS n FROM d),
+        s AS (SELECT doc_id, unnest(generate_series(1, n - 12)) AS i, w FROM n WHERE n >= 13),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM s),
+        m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING count(*) > 1),
+        f AS (SELECT g.doc_id, unnest(generate_series(i, i + 12)) AS i FROM g JOIN m USING (g) WHERE doc_id > least),
+        c AS (SELECT DISTINCT doc_id, i FROM f),
+        gone AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+        k AS (
+            SELECT doc_id, n, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+            FROM n LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+    """,
+}

@@ -85,17 +85,18 @@ def features(text: str | None, lexicon: Lexicon, reach: int = 4) -> list[float]:
 _INSULTS = frozenset(INSULTS)
 
 
-def measured(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of docs without text, with a features array."""
-    names = [c for c in docs.columns if c not in ("text", "features")]
+def measured(docs: DataFrame, lexicon: Lexicon, keep_text: bool = False) -> DataFrame:
+    """The rows of docs with a features array; text goes unless it is kept."""
+    names = [c for c in docs.columns if c not in ("text", "features")] + ["text"]
+    out = names if keep_text else names[:-1]
 
     def run(batches):
         for b in batches:
-            rows = [features(t, lexicon) for t in b.column(len(names)).to_pylist()]
-            yield pa.record_batch([*b.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [*names, "features"])
+            rows = [features(t, lexicon) for t in b.column(len(names) - 1).to_pylist()]
+            yield pa.record_batch([*b.columns[: len(out)], pa.array(rows, pa.list_(pa.float64()))], [*out, "features"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], "text")
-    return rows.mapInArrow(run, widened(rows.drop("text"), "features array<double>"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(run, widened(rows.select(*[F.col(f"`{c}`") for c in out]), "features array<double>"))
 
 
 def sampled(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -136,7 +137,7 @@ class ToxicityModel:
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds score to rows with features: the calibrated share, moved by up to 1 % by the margin so that ties split."""
         if self.trees is None:
-            return rows.drop("features").withColumn("score", F.lit(self.rate))
+            return rows.drop("features", "score").withColumn("score", F.lit(self.rate))
         out = rows.withColumn("_x", array_to_vector("features"))
         out = self.trees.transform(out).withColumn("_margin", vector_to_array("_raw")[1])
         squashed = 1 / (1 + F.exp(-2 * F.col("_margin")))
