@@ -15,14 +15,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, Words, run_hashes, slices, stored
+from .common import NOT_BLANK, Words, run_hashes, slices, stored, widened
 
 WINDOW, PREFIX = 13, 5
-#: Bytes of a window's hash inside its subtree.  Equal prefixes agree in 64 bits besides.
+#: Bytes of a window's hash inside its subtree, besides 40 bits of the prefix's hash.
 WIN_BYTES = 6
+_SHORT = np.uint64(24)
 #: A prefix with this part of all suffixes is lengthened; so there are at most 1 / HOT such prefixes.
 HOT = 1 / 256
 #: About so many documents tell which prefixes are hot; this changes how the work is dealt out, never the result.
@@ -77,7 +79,7 @@ def suffixes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Dat
                 np.cumsum(count * WIN_BYTES, out=ends[1:])
                 data = np.ascontiguousarray(wins.view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES])
                 packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(ids[first:last][doc]), pa.array(sums[first:last][doc] * _PLACE + start), packed], ["anchor", "doc_id", "place", "wins"])
+                yield pa.record_batch([pa.array((anchor >> _SHORT).view(np.int64)), pa.array(ids[first:last][doc]), pa.array(sums[first:last][doc] * _PLACE + start), packed], ["anchor", "doc_id", "place", "wins"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return rows.mapInArrow(run, _SUFFIXES)
@@ -183,15 +185,37 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     return found
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """docs with `packed`, the compressed UTF-8 text, in place of text, and its crc32: texts travel compressed to the join."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = [None if t is None else t.encode() for t in b.column(len(names)).to_pylist()]
+            packed = pa.array([None if t is None else squeeze(t) for t in texts], pa.binary())
+            sums = pa.array([None if t is None else zlib.crc32(t) for t in texts], pa.int64())
+            yield pa.record_batch([*b.columns[:-1], packed, sums], [*names, "packed", "_sum"])
+
+    rows = docs.select(*names, "text")
+    return rows.mapInArrow(run, widened(rows.drop("text"), "packed binary, _sum long"))
+
+
+def unsqueezed(packed: pa.Array) -> list[str | None]:
+    out = zstandard.ZstdDecompressor().decompress
+    return [None if p is None else out(p).decode() for p in packed.to_pylist()]
+
+
 def covered(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """The rows of docs with `runs`: first windows and lengths of the repeats to remove; null where there are none.
+    """The rows of docs (doc_id, text and other columns), text `packed`, with `runs`: first windows and lengths of the
+    repeats to remove; null where there are none.
 
     Repeated ids: rows are told apart by the crc32 of the text; of rows with the same id none removes words of another.
     Rows without an id keep all words and remove none.
     """
     found = repeats(docs, window, prefix).groupBy("doc_id", F.expr(f"cast(place div {_PLACE} as long)").alias("_sum")).agg(F.collect_list(F.struct(F.expr(f"cast(place % {_PLACE} as int)").alias("start"), "n")).alias("runs"))
-    keyed = docs.withColumn("_sum", F.crc32(F.col("text").cast("binary"))).withColumn("_id", F.col("doc_id").cast("long"))
-    return keyed.join(found.withColumnsRenamed({"doc_id": "_id"}), ["_id", "_sum"], "left").drop("_id", "_sum")
+    keyed = squeezed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    return keyed.join(found, ["doc_id", "_sum"], "left").drop("_sum")
 
 
 def spans(runs, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -241,14 +265,14 @@ def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
 
     def run(batches):
         for b in batches:
-            rows = [kept_words(t, r, window) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            rows = [kept_words(t, r, window) for t, r in zip(unsqueezed(b.column(1)), b.column(2).to_pylist(), strict=True)]
             yield pa.record_batch(
                 [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
     rows = covered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, prefix)
-    return rows.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "packed", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -256,10 +280,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
 
     def run(batches):
         for b in batches:
-            texts, runs = b.column(1).to_pylist(), b.column(2).to_pylist()
+            texts, runs = unsqueezed(b.column(1)), b.column(2).to_pylist()
             yield pa.record_batch([b.column(0), pa.array([cut(t, r, window) for t, r in zip(texts, runs, strict=True)], pa.string())], ["row", "text"])
 
     other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
-    rows = covered(docs.select(other, "doc_id", "text"), window, prefix).select("row", "text", "runs")
-    out = rows.mapInArrow(run, rows.select("row", "text").schema)
+    rows = covered(docs.select(other, "doc_id", "text"), window, prefix).select("row", "packed", "runs")
+    out = rows.mapInArrow(run, widened(rows.select("row"), "text string"))
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
