@@ -27,6 +27,8 @@ WIN_BYTES = 6
 _SHORT = np.uint64(24)
 #: A prefix with this part of all suffixes is lengthened; so there are at most 1 / HOT such prefixes.
 HOT = 1 / 256
+#: Prefixes with fewer suffixes aren't lengthened.
+LEAST = 200
 #: About so many documents tell which prefixes are hot; this changes how the work is dealt out, never the result.
 LOOK = 20_000
 
@@ -168,7 +170,7 @@ def hot_prefixes(docs: DataFrame, window: int, prefix: int) -> list[int]:
     counted = suffixes(some, window, prefix).groupBy("anchor").count()
     total = counted.agg(F.sum("count").alias("total"))
     rows = counted.orderBy(F.desc("count")).limit(int(1 / HOT)).collect()
-    least = max(200, HOT * (total.first()[0] or 0)) if rows and rows[0]["count"] >= 200 else 0
+    least = max(LEAST, HOT * (total.first()[0] or 0)) if rows and rows[0]["count"] >= LEAST else 0
     return [r.anchor for r in rows if least and r["count"] >= least]
 
 
