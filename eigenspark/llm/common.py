@@ -16,7 +16,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 #: Bytes of a batch that goes to Python, unless the session says something else.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -149,15 +149,18 @@ def run_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     return mix(out)
 
 
+#: Characters whose words are hashed at once: a few dozen bytes of memory for each.
+SLICE = 500_000
+
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def slices(texts, limit: int = 4_000_000):
-    """(first, last) of runs of rows whose texts hold about so many characters together."""
+def slices(texts, limit: int = SLICE, rows: int = 4096):
+    """(first, last) of runs of at most so many rows whose texts hold about so many characters together."""
     first = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if i > first and (size + len(t) > limit or i - first >= rows):
             yield first, i
             first, size = i, 0
         size += len(t) + 1

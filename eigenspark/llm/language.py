@@ -28,7 +28,7 @@ _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)],
 def vectors(texts: list[str]) -> np.ndarray:
     """Square roots of the shares of hashed n-grams of whole texts, lower-cased, all but letters as blanks."""
     out = np.zeros((len(texts), DIMS), np.float32)
-    for first, last in slices(texts, 400_000):
+    for first, last in slices(texts, 400_000, 256):
         own = [f"  {t}  ".lower().encode() for t in texts[first:last]]
         data = _FOLD[np.frombuffer(b"".join(own), np.uint8)].astype(np.uint32)
         row = np.repeat(np.arange(len(own), dtype=np.int64) * DIMS, [len(t) for t in own])
@@ -76,7 +76,7 @@ class OutputCode:
         """Language, score and whether another language is about as close; UNKNOWN, 0 and true without a letter."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
         have = [i for i, t in enumerate(texts) if self.classes and t and _LETTER.search(t)]
-        for first, last in slices([texts[i] for i in have], 2_000_000):
+        for first, last in slices([texts[i] for i in have], 400_000, 256):
             rows = have[first:last]
             loss = self.losses(vectors([texts[i] for i in rows]))
             share = np.exp(loss.min(1, keepdims=True) - loss)

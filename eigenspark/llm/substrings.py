@@ -72,7 +72,7 @@ def suffixes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Dat
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = [t.encode() for t in b.column(1).to_pylist()]
             sums = np.fromiter((zlib.crc32(t) for t in texts), np.int64, len(texts))
-            for first, last in slices(texts, 2_000_000):
+            for first, last in slices(texts):
                 got = _anchors(texts[first:last], window, prefix)
                 if got is None:
                     continue
