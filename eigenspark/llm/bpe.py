@@ -101,7 +101,7 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Pieces(dict):
     """Decimal ids, joined by commas, of pieces met lately; at most two generations of so many pieces are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
         super().__init__()
         self.ranks, self.most, self.old = ranks, most, {}
 
