@@ -32,6 +32,7 @@ NOTICES = (
 )
 #: One error for so many characters of a notice, and at most so many errors.
 CHARS_AN_ERROR, MOST_ERRORS = 14, 6
+JOINED = 8
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -63,7 +64,8 @@ class Notices:
         self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n)}){{e<={errors(n)}}}") for n, _ in notices]
 
     def windows(self, text: str):
-        """(notice, first, last) of the stretches where a seed allows the notice; overlapping ones are joined."""
+        """(notice, first, last) of the stretches where a seed allows the notice; overlapping ones are joined up to JOINED
+        notices' lengths, so that matching stays linear; each seed's own stretch lies in one of them."""
         found: dict[int, list[list[int]]] = {}
         for last, uses in self.seeds.iter(text) if len(self.seeds) else ():
             for k, end in uses:
@@ -71,7 +73,7 @@ class Notices:
                 e = errors(notice)
                 a, b = max(0, last + 1 - end - e), min(len(text), last + 1 - end + len(notice) + e)
                 own = found.setdefault(k, [])
-                if own and a <= own[-1][1]:
+                if own and a <= own[-1][1] and b - own[-1][0] <= JOINED * len(notice):
                     own[-1][1] = max(own[-1][1], b)
                     own[-1][0] = min(own[-1][0], a)
                 else:
