@@ -9,8 +9,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +94,23 @@ def fit_svm(df: DataFrame, classes: int, reg: float = 1e-3, epochs: int = 12, fe
     for c, m in zip(have, model.models, strict=True):
         weights[c], bias[c] = m.coefficients.toArray(), m.intercept
     return LinearModel(weights, bias, basis, {"reg_strength": reg, "epochs": epochs})
+
+
+@dataclass(frozen=True)
+class Perceptron:
+    """A network of fully connected layers."""
+
+    model: MultilayerPerceptronClassificationModel
+
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """Adds predicted and confidence, the largest of the class probabilities."""
+        out = self.model.transform(df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>"))))
+        return out.withColumn("predicted", F.col("_label").cast("int")).withColumn("confidence", F.array_max(vector_to_array("_probability"))).drop("_x", "_raw", "_probability", "_label")
+
+
+def fit_perceptron(df: DataFrame, classes: int, hidden: tuple[int, ...] = (32,), epochs: int = 50, seed: int = 42, features: str = "features", label: str = "label") -> Perceptron:
+    """Stands in for a convolutional network, without claiming its accuracy: Spark has no such network."""
+    rows = df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("_x"))
+    size = len(df.select(features).first()[0])
+    network = MultilayerPerceptronClassifier(layers=[size, *hidden, classes], maxIter=epochs, seed=seed, featuresCol="_x", labelCol="label", predictionCol="_label").setRawPredictionCol("_raw").setProbabilityCol("_probability")
+    return Perceptron(network.fit(rows))

@@ -310,6 +310,12 @@ def svm_predict(spark, d):
     return classifiers.fit_svm(train, CLASSES, epochs=5).transform(test).select("row_id", "label", "predicted")
 
 
+def perceptron_predict(spark, d):
+    train, test = _holdout(spark, d)
+    out = classifiers.fit_perceptron(train, CLASSES, (16,), 10).transform(test)
+    return out.select("row_id", "label", "predicted", "confidence", F.when(F.col("label") == F.col("predicted"), "OK").otherwise("MISS").alias("match"))
+
+
 def _settings(names: list[str]) -> dict:
     return selection.grid(names, DIMS, components=(8, 16, 32), ks=(1, 3, 5))
 
@@ -343,6 +349,6 @@ QUERIES = {
         zscore_vector, minmax_vector, symmetric_scale, flat_resize, unflatten_rows, bar_crop, mean_vector, column_variance_total, sq_norms, global_mean_std, standardised_vector,
         gram_matrix, covariance_matrix, ls_cross_term, variance_curve, class_centroids, nearest_mean_predict, nearest_mean_confusion, nearest_mean_accuracy, match_report, label_agreement,
         knn_neighbors, knn_predict, knn_vote_share, knn_k_sweep, hyperparam_grid, best_setting, fold_score_summary, best_family, kmeans_fixed_iters, cluster_purity,
-        one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, svm_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
+        one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, svm_predict, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
     )
 }

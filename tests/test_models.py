@@ -87,6 +87,12 @@ def test_svm_and_kmeans_find_blobs(blobs):
         clustering.kmeans(df, 121)
 
 
+def test_perceptron_finds_blobs(blobs):
+    out = classifiers.fit_perceptron(blobs[2], 4, (8,), 60).transform(blobs[2])
+    assert metrics.accuracy(out).first().accuracy > 0.95 and out.where("confidence < 0.25 or confidence > 1").count() == 0
+    assert out.columns == ["row_id", "features", "label", "predicted", "confidence"]
+
+
 def test_kmeans_refills_an_empty_cluster(spark):
     df = frame(spark, [[0, 0]] * 5 + [[9, 9]], [0] * 6)
     found = clustering.kmeans(df, 2, steps=5)
