@@ -27,6 +27,8 @@ WIN_BYTES = 6
 _SHORT = np.uint64(24)
 #: A prefix with this part of all suffixes is lengthened; so there are at most 1 / HOT such prefixes.
 HOT = 1 / 256
+#: Repeated windows of hot prefixes are broadcast up to so many (24 bytes each); beyond that Spark joins and splits them.
+SMALL = 500_000
 #: Prefixes with fewer suffixes aren't lengthened.
 LEAST = 200
 #: About so many documents tell which prefixes are hot; this changes how the work is dealt out, never the result.
@@ -182,8 +184,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     found = cold.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_sift, _RUNS)
     if hot:
         wins = stored(rows.where(F.col("anchor").isin(hot)).mapInArrow(_spread, "anchor long, win long, doc_id long, place long"))
-        least = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").drop("most")
-        found = found.unionByName(wins.join(least, ["anchor", "win"]).where("doc_id > least").select("doc_id", "place", F.lit(1).cast("int").alias("n")))
+        least = stored(wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").drop("most"))
+        few = least.count() <= SMALL  # then no window with many documents is shuffled to one task
+        found = found.unionByName(wins.join(F.broadcast(least) if few else least, ["anchor", "win"]).where("doc_id > least").select("doc_id", "place", F.lit(1).cast("int").alias("n")))
     return found
 
 
