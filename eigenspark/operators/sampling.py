@@ -20,6 +20,8 @@ def key(row_id: str, seed: int | Column) -> Column:
 def ranked(df: DataFrame, by: list[str], order: Column, row_id: str, digits: int = 2) -> DataFrame:
     """Adds n_class and class_rank (from 1) within the columns `by`, in the order of a hexadecimal key and then row_id.
 
+    Rows with a null among `by` take no part.
+
     digits: first digits of the key that name a bucket; a bucket holds one part in 16 ** digits of a class.
     """
     keyed = df.withColumn("_key", order).withColumn("_bucket", F.substring("_key", 1, digits))
