@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -21,10 +20,13 @@ UNKNOWN = "und"
 #: A document is ambiguous if the second language's share of the decoded weight is within so much of the first's.
 MARGIN = 0.02
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def vectors(texts: list[str]) -> np.ndarray:
     """Square roots of the shares of hashed n-grams of whole texts, lower-cased, all but letters as blanks."""
     out = np.zeros((len(texts), DIMS), np.float32)
@@ -75,7 +77,7 @@ class OutputCode:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, score and whether another language is about as close; UNKNOWN, 0 and true without a letter."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
-        have = [i for i, t in enumerate(texts) if self.classes and t and _LETTER.search(t)]
+        have = [i for i, t in enumerate(texts) if self.classes and t and has_letter(t)]
         for first, last in slices([texts[i] for i in have], 400_000, 256):
             rows = have[first:last]
             loss = self.losses(vectors([texts[i] for i in rows]))
@@ -128,7 +130,7 @@ def learned(docs: DataFrame, per_language: int = A_LANGUAGE, most: int = SAMPLE)
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
-            keep = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+            keep = [i for i, t in enumerate(texts) if has_letter(t)]
             x = vectors([texts[i] for i in keep]).astype(np.float16)
             langs = b.column(1).take(pa.array(keep, pa.int64()))
             yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary()), langs], ["x", "lang"])
