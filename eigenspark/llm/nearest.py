@@ -72,9 +72,14 @@ def search(query: np.ndarray, own: int, q_far: np.ndarray, bound_add: float, ids
     """Ids and scores of the k best candidates of one cell, and how many were evaluated.
 
     The greatest difference of distances to a pivot is a lower bound of the distance, so an upper bound of the score.
-    Candidates are evaluated in the order of their bounds until the next bound is below the k-th score.
+    Candidates are evaluated in the order of their bounds until the next bound is below the k-th score.  far: a row for
+    each pivot; x and query: whole numbers in a type that holds their products exactly.
     """
-    low = np.maximum(0.0, np.abs(far - q_far).max(1) - 1e-6 * (1 + np.abs(q_far).max()))
+    low, gap = np.zeros(len(ids), far.dtype), np.empty(len(ids), far.dtype)
+    for own_far, to_pivot in zip(far, q_far.astype(far.dtype), strict=True):
+        np.abs(np.subtract(own_far, to_pivot, out=gap), out=gap)
+        np.maximum(low, gap, out=low)
+    low = np.maximum(0.0, low.astype(float) - 2e-6 * (1 + q_far.max() + far.max(initial=0)))
     high = np.floor((bound_add - low**2) / 2 + 1e-6 * (1 + abs(bound_add)))
     high[ids == own] = -np.inf
     order = np.argsort(-high, kind="stable")
@@ -82,7 +87,7 @@ def search(query: np.ndarray, own: int, q_far: np.ndarray, bound_add: float, ids
     while done < len(order) and high[order[done]] > -np.inf and (len(best) < k or high[order[done]] >= best[-1]):
         some = order[done : done + step]
         some = some[high[some] > -np.inf]
-        score = np.rint(x[some] @ query).astype(np.int64) if np.abs(query).max(initial=0) * np.abs(x[some]).max(initial=0) < 2.0**45 else x[some].astype(np.int64) @ query.astype(np.int64)
+        score = (x[some] @ query).astype(np.int64)
         best_ids, best = np.concatenate([best_ids, ids[some]]), np.concatenate([best, score])
         top = np.lexsort((best_ids, -best))[:k]
         best_ids, best = best_ids[top], best[top]
@@ -107,6 +112,8 @@ def largest_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = width // 4
+    # no sum of products is over the largest square, so these hold it exactly
+    exact = np.float32 if radius < 2**24 else np.float64 if radius < 2**53 else np.int64
     sample = raw.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()  # a bounded sample
     points = spread_out(lifted(matrix([r.v for r in sample], dims), radius), pivots)
 
@@ -126,10 +133,10 @@ def largest_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int
     def run(key, own: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(own) and len(want):
-            ids, x = own.vec_id.to_numpy(), matrix(own.v, dims)
-            to = np.frombuffer(b"".join(own.far)).reshape(len(own), -1)
+            ids, x = own.vec_id.to_numpy(), matrix(own.v, dims).astype(exact)
+            to = np.ascontiguousarray(np.frombuffer(b"".join(own.far)).reshape(len(own), -1).T.astype(np.float32))
             for q, v, square, q_far in zip(want.vec_id, want.v, want.square, want.q_far, strict=True):
-                best, score, _ = search(matrix([v], dims)[0], q, np.frombuffer(q_far), square + radius, ids, x, to, k)
+                best, score, _ = search(matrix([v], dims)[0].astype(exact), q, np.frombuffer(q_far), square + radius, ids, x, to, k)
                 found += [(q, i, s, v) for i, s in zip(best.tolist(), score.tolist(), strict=True)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "q"])
 
