@@ -37,6 +37,7 @@ LOOK = 20_000
 _PLACE = 1 << 31  # a place is crc32 of the text * 2**31 + the window's first word
 
 _SUFFIXES = "anchor long, doc_id long, place long, wins binary"
+_WINDOWS = "anchor long, win long, doc_id long, place long"
 _RUNS = "doc_id long, place long, n int"
 
 
@@ -66,8 +67,12 @@ def _anchors(texts: list[bytes], window: int, prefix: int):
     return low[start[first]], doc[start[first]], start[first] - w.first[doc[start[first]]], count, wins[start]
 
 
-def suffixes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """A row for each stretch of windows with the same minimiser; rows without an id have none."""
+def suffixes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, spread: list[int] | None = None) -> DataFrame:
+    """A row for each stretch of windows with the same minimiser; rows without an id have none.
+
+    spread: prefixes to lengthen; then only these have rows, one for each window.
+    """
+    hot = None if spread is None else np.array(spread, np.int64)
 
     def run(batches):
         for b in batches:
@@ -83,10 +88,11 @@ def suffixes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Dat
                 np.cumsum(count * WIN_BYTES, out=ends[1:])
                 data = np.ascontiguousarray(wins.view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES])
                 packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                yield pa.record_batch([pa.array((anchor >> _SHORT).view(np.int64)), pa.array(ids[first:last][doc]), pa.array(sums[first:last][doc] * _PLACE + start), packed], ["anchor", "doc_id", "place", "wins"])
+                found = pa.record_batch([pa.array((anchor >> _SHORT).view(np.int64)), pa.array(ids[first:last][doc]), pa.array(sums[first:last][doc] * _PLACE + start), packed], ["anchor", "doc_id", "place", "wins"])
+                yield found if hot is None else _spread(found.filter(pa.array(np.isin(found.column(0).to_numpy(), hot))))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, _SUFFIXES)
+    return rows.mapInArrow(run, _SUFFIXES if spread is None else _WINDOWS)
 
 
 def _windows(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +159,13 @@ def _sift(batches):
         last, seen, seen_doc = anchor[-1], w[head], d[head]
 
 
-def _spread(batches):
+def _spread(b: pa.RecordBatch) -> pa.RecordBatch:
     """A row for each window of the suffixes."""
-    for b in batches:
-        count, win = _windows(b.column(3))
-        row = np.repeat(np.arange(b.num_rows), count)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        anchor, ids, places = (b.column(k).to_numpy() for k in range(3))
-        yield pa.record_batch([pa.array(anchor[row]), pa.array(win.view(np.int64)), pa.array(ids[row]), pa.array(places[row] + within)], ["anchor", "win", "doc_id", "place"])
+    count, win = _windows(b.column(3))
+    row = np.repeat(np.arange(b.num_rows), count)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    anchor, ids, places = (b.column(k).to_numpy() for k in range(3))
+    return pa.record_batch([pa.array(anchor[row]), pa.array(win.view(np.int64)), pa.array(ids[row]), pa.array(places[row] + within)], ["anchor", "win", "doc_id", "place"])
 
 
 def hot_prefixes(docs: DataFrame, window: int, prefix: int) -> list[int]:
@@ -183,7 +188,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     cold = rows.where(~F.col("anchor").isin(hot)) if hot else rows
     found = cold.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_sift, _RUNS)
     if hot:
-        wins = stored(rows.where(F.col("anchor").isin(hot)).mapInArrow(_spread, "anchor long, win long, doc_id long, place long"))
+        wins = stored(suffixes(docs, window, prefix, hot))
         least = stored(wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").drop("most"))
         few = least.count() <= SMALL  # then no window with many documents is shuffled to one task
         found = found.unionByName(wins.join(F.broadcast(least) if few else least, ["anchor", "win"]).where("doc_id > least").select("doc_id", "place", F.lit(1).cast("int").alias("n")))
