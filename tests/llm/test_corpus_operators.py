@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eigenspark.llm import nearest, neardup, packing, quality, queries, sharding, substrings
@@ -95,6 +96,27 @@ def test_near_classes_in_parts(spark, make_docs, copies, expected, monkeypatch):
     assert got == expected
 
 
+def test_near_classes_of_large_buckets_are_whole(spark, make_docs, random_words, monkeypatch):
+    """Many texts of one template, 0.7 to 0.79 alike, in twins of 0.82: only a comparison of all finds each twin."""
+    rng = np.random.default_rng(14)
+    base = random_words(rng, 600).split()
+    texts = []
+    for _ in range(40):
+        places = 6 * rng.permutation(99)[:22] + 3
+        for n in (10, 22):
+            w = list(base)
+            for k in places[:n]:
+                w[k] = f"e{rng.integers(1 << 30)}" if n == 10 or k not in places[:10] else texts[-1].split()[k]
+            texts.append(" ".join(w))
+    whole = neardup.sketched
+    monkeypatch.setattr(neardup, "sketched", lambda docs: whole(docs).withColumn("bands", F.array(F.lit(7).cast("long"))))  # all meet in one bucket
+    monkeypatch.setattr(neardup, "PART", 20)
+    got = {r.doc_id: r.class_id for r in neardup.classes(make_docs(texts)).collect()}
+    grams = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    alike = {(i, j) for i in range(80) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    assert alike == {(i, i - 1) for i in range(1, 80, 2)} and got == {i: i - i % 2 for i in range(80)}
+
+
 def test_near_repeated_and_null_ids(spark, make_docs):
     t = "one two three four five six seven"
     docs = make_docs([(1, t, "en"), (1, t, "en"), (2, t, "en"), (None, t, "en"), (None, t, "en"), (3, "other words are here now", "en")])
