@@ -96,7 +96,8 @@ def test_near_classes_in_parts(spark, make_docs, copies, expected, monkeypatch):
     assert got == expected
 
 
-def test_near_classes_of_large_buckets_are_whole(spark, make_docs, random_words, monkeypatch):
+@pytest.mark.parametrize("limit", [{"PART": 20}, {"PART_BYTES": 90_000}])
+def test_near_classes_of_large_buckets_are_whole(spark, make_docs, random_words, monkeypatch, limit):
     """Many texts of one template, 0.7 to 0.79 alike, in twins of 0.82: only a comparison of all finds each twin."""
     rng = np.random.default_rng(14)
     base = random_words(rng, 600).split()
@@ -110,7 +111,8 @@ def test_near_classes_of_large_buckets_are_whole(spark, make_docs, random_words,
             texts.append(" ".join(w))
     whole = neardup.sketched
     monkeypatch.setattr(neardup, "sketched", lambda docs: whole(docs).withColumn("bands", F.array(F.lit(7).cast("long"))))  # all meet in one bucket
-    monkeypatch.setattr(neardup, "PART", 20)
+    for name, value in limit.items():
+        monkeypatch.setattr(neardup, name, value)
     got = {r.doc_id: r.class_id for r in neardup.classes(make_docs(texts)).collect()}
     grams = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
     alike = {(i, j) for i in range(80) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
