@@ -119,6 +119,12 @@ def test_near_classes_of_large_buckets_are_whole(spark, make_docs, random_words,
     assert alike == {(i, i - 1) for i in range(1, 80, 2)} and got == {i: i - i % 2 for i in range(80)}
 
 
+def test_components_of_long_chains(spark, make_docs):
+    ids = np.random.default_rng(15).permutation(1000).tolist()
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(2000, 2001)], "a long, b long")
+    assert {r.id: r.root for r in neardup.components(links).collect()} == {**dict.fromkeys(ids, 0), 2000: 2000, 2001: 2000}
+
+
 def test_near_repeated_and_null_ids(spark, make_docs):
     t = "one two three four five six seven"
     docs = make_docs([(1, t, "en"), (1, t, "en"), (2, t, "en"), (None, t, "en"), (None, t, "en"), (3, "other words are here now", "en")])
