@@ -141,10 +141,11 @@ def learned(docs: DataFrame, per_language: int = A_LANGUAGE, most: int = SAMPLE)
     return fitted(x, [r.lang for r in got])
 
 
-def identified(docs: DataFrame, model: OutputCode) -> DataFrame:
+def identified(docs: DataFrame, model: OutputCode, lettered: bool = False) -> DataFrame:
     """The input's rows with lang_pred, score and ambiguous; of clashing names, the input's columns go.
 
     Null texts and texts without a letter: UNKNOWN, 0, true.  With nothing learned every row is UNKNOWN.
+    lettered: only the rows whose text has a letter, whatever was learned.
     """
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
@@ -152,6 +153,8 @@ def identified(docs: DataFrame, model: OutputCode) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            if lettered:
+                b = b.take(pa.array([i for i, t in enumerate(b.column(at).to_pylist()) if t and has_letter(t)], pa.int64()))
             lang, score, unsure = zip(*model.predict(b.column(at).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
 

@@ -345,6 +345,13 @@ def test_same_rows_as_sql(spark, compare, name):
     compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+def test_language_stage_without_labels(spark, make_docs):
+    docs = make_docs([(i, t, None) for i, t in enumerate([*ODD, "the house of the green water"])])
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    want = [i for i, t in enumerate([*ODD, "x"]) if t and any(map(str.isalpha, t))]
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == want
+
+
 def test_pipeline(spark, make_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     count = docs.count()
