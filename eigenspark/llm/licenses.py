@@ -80,6 +80,16 @@ class Notices:
                     own.append([a, b])
         return [(k, a, b) for k, own in found.items() for a, b in own]
 
+    def within(self, k: int, text: str, first: int, last: int):
+        """The best match of a notice in a stretch, then those before and after it in the same way."""
+        todo = [(first, last)]
+        while todo:
+            a, b = todo.pop()
+            m = self.patterns[k].search(text, a, b)
+            if m and m.end() > m.start():
+                yield m
+                todo += [(a, m.start()), (m.end(), b)]
+
     def matches(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, first, last, errors, similarity) of each notice found; the library's matching verifies the errors.
 
@@ -88,7 +98,7 @@ class Notices:
         out = []
         for k, a, b in self.windows(text):
             notice, label = self.notices[k]
-            for m in self.patterns[k].finditer(text, a, b):
+            for m in self.within(k, text, a, b):
                 edits = sum(m.fuzzy_counts)
                 out.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
         kept: list = []

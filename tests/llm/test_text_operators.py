@@ -83,6 +83,13 @@ def test_license_base_matches_brute_force(spark, make_docs):
     assert licenses.scanned(make_docs([])).count() == 0
 
 
+def test_license_inexact_notices_around_an_exact_one():
+    near, exact = "licensed under the apache licence version 2 0", "licensed under the apache license version 2 0"
+    for notices in ([near, exact], [near, near, exact, near], [exact, near]):
+        spans = licenses.scan_text(" ".join(notices))[7]
+        assert [(x["label"], x["first_word"], x["errors"], x["found"]) for x in spans] == [("apache-2", 8 * i, int(n == near), n) for i, n in enumerate(notices)]
+
+
 def test_license_fuzzy_notices():
     find = lambda t: licenses.scan_text(t)
     exact = find("Intro here. Licensed under the GNU General Public License, version 3. End")
