@@ -106,7 +106,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTI
     strata = held.agg(F.count_distinct("stratum")).first()[0]
     tests = counted.select("stratum", "n", F.explode("tried").alias("x")).select("stratum", "n", "x.*")
     level = (1 - confidence) / len(tried) / max(1, strata)
-    allowed = tests.where((F.col("caught") > F.col("lost")) & (F.col("n") > 0)).where(tail(F.col("lost"), F.col("n"), limit / len(CUTOFFS)) <= level)
+    allowed = tests.where((F.col("caught") > 0) & (F.col("n") > 0)).where(tail(F.col("lost"), F.col("n"), limit / len(CUTOFFS)) <= level)
     return allowed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", -F.col("lost"), "cutoff")).alias("cutoff"))
 
 

@@ -295,6 +295,13 @@ def test_quality_cutoffs_keep_their_promise(spark, make_docs, random_words):
     assert few.where("not kept and not base_failed").count() == 0  # too few labels to prove anything
 
 
+def test_quality_cutoffs_may_lose_more_than_they_catch(spark):
+    value = lambda i: 0.6 if i < 10 or 20_000 <= i < 20_005 else 0.0
+    rows = spark.createDataFrame([(i, "en", False, value(i), 0.0, 0.0, 0.0, 0.0) for i in range(20_010)], "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality.CUTOFFS))
+    labels = spark.range(20_010).selectExpr("id doc_id", "int(id < 20000) quality")
+    assert list(map(tuple, quality.cutoffs(rows, labels).collect())) == [("en", "symbol_rate", 0.5)]
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 
