@@ -11,6 +11,12 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 SMALL = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session")
+def small():
+    """The folder of the smallest tables."""
+    return SMALL
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

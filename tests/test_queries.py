@@ -1,5 +1,4 @@
 import pytest
-from conftest import SMALL
 
 import __spark_entry__ as entry
 from eigenspark.plans import oracles, queries
@@ -11,8 +10,8 @@ def test_same_rows_as_sql(spark, compare, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracles.SQL) - {"svm_predict"}))
-def test_runs(spark, name):
-    assert queries.QUERIES[name](spark, SMALL).count() > 0
+def test_runs(spark, small, name):
+    assert queries.QUERIES[name](spark, small).count() > 0
 
 
 def test_entry(spark):
