@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blank_words, checkpointed, let
@@ -17,6 +19,8 @@ CUTOFFS = {
 }
 #: In each stratum at most this part of the good documents may be rejected, with this confidence over all tests.
 MAX_FALSE_REJECTION, CONFIDENCE = 0.02, 0.95
+#: One in so many labelled documents tells the order of the tests; the others are tested with.
+LEARNING = 4
 
 
 def repeated_words(words: Column) -> Column:
@@ -72,54 +76,109 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x >= 1, by Stirling's series of x + 8."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    shift = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return series - shift
+
+
 def tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial (n, p), summed term by term in logarithms."""
-    step = F.log(F.lit(p / (1 - p)))
-    first = n * F.log(F.lit(1 - p))
+    """P(X <= k) for X binomial (n, p), and 1 where k is n * p or more.
+
+    Below n * p the terms fall from k downwards, faster than those of a normal curve; they are added up over 12 deviations,
+    beyond which less than exp(-72) of them is left.
+    """
+    x, m = k.cast("double"), n.cast("double")
+    top = F.exp(log_gamma(m + 1) - log_gamma(x + 1) - log_gamma(m - x + 1) + x * math.log(p) + (m - x) * math.log1p(-p))
+    reach = F.least(k, F.ceil(12 * F.sqrt(m * (p * (1 - p)))) + 60).cast("long")
 
-    def more(a: Column, i: Column) -> Column:
-        term = a["term"] + F.log((n - i + 1) / i) + step
-        top = F.greatest(a["sum"], term)
-        return F.struct(term.alias("term"), (top + F.log1p(F.exp(F.least(a["sum"], term) - top))).alias("sum"))
+    def down(a: Column, j: Column) -> Column:
+        term = a["term"] * (x - j + 1) / (m - x + j) * ((1 - p) / p)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-    start = F.struct(first.alias("term"), first.alias("sum"))
-    return F.when(k < 1, F.exp(first)).otherwise(F.exp(F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.greatest(k, F.lit(1)), n)), start, more, lambda a: a["sum"])))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    terms = F.when(reach < 1, F.array().cast("array<long>")).otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(reach, F.lit(1).cast("long"))))
+    return F.when(x >= m * p, F.lit(1.0)).otherwise(top * F.aggregate(terms, start, down, lambda a: a["sum"]))
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTION, confidence: float = CONFIDENCE) -> DataFrame:
-    """For each stratum and rule, the cutoff that rejects most bad documents among those with a proven risk.
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Measured documents that pass the base rules, with good: whether one of their labels has a quality of 1."""
+    label = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") == 1).alias("good"))
+    return rows.where(~F.col("base_failed")).join(label, "doc_id")
+
+
+def ordered_steps(learning: DataFrame) -> DataFrame:
+    """stratum, and steps: its pairs of a rule and a cutoff, in the order in which they are added.
 
-    Labelled documents that pass the base rules are the holdout.  A cutoff is allowed if the exact binomial test shows,
-    at (1 - confidence) divided by the number of all strata, rules and cutoffs, that under limit / rules of the good
-    documents of the stratum fail it; so all rules together reject under limit of them.  Of equal cutoffs the one that
-    rejects fewest good documents and then the highest wins; a cutoff that rejects no bad document isn't used.
-    A document with several labels counts as good if one of them is 1.
+    A pair takes part if it rejects a larger share of the bad than of the good documents; the largest ratio of these
+    shares comes first, then the higher cutoff; pairs that then reject no bad document that an earlier one leaves go.
+    At most a row for each stratum, and a step for each pair.
     """
-    label = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    held = rows.where(~F.col("base_failed")).join(label, "doc_id")
     tried = [(r, c) for r, cs in CUTOFFS.items() for c in cs]
-    good = F.col("quality") == 1
-    counted = held.groupBy("stratum").agg(
-        F.count(F.when(good, 1)).alias("n"),
-        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.count(F.when(good & (F.col(r) > c), 1)).alias("lost"), F.count(F.when(~good & (F.col(r) > c), 1)).alias("caught")) for r, c in tried]).alias("tried"),
+    counted = learning.groupBy("stratum").agg(
+        F.count(F.when(F.col("good"), 1)).alias("good"),
+        F.count(F.when(~F.col("good"), 1)).alias("bad"),
+        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.count(F.when(F.col("good") & (F.col(r) > c), 1)).alias("lost"), F.count(F.when(~F.col("good") & (F.col(r) > c), 1)).alias("caught")) for r, c in tried]).alias("tried"),
     )
+    pairs = counted.select("stratum", "good", "bad", F.explode("tried").alias("x")).select("stratum", "good", "bad", "x.*")
+    useful = pairs.where("caught * good > lost * bad or (good = 0 and caught > 0)")
+    ratio = (F.col("caught") + 1) / (F.col("bad") + 2) * (F.col("good") + 2) / (F.col("lost") + 1)
+    order = Window.partitionBy("stratum").orderBy(ratio.desc(), F.desc("cutoff"), "rule")
+    step = F.struct(F.row_number().over(order).alias("place"), "rule", "cutoff")
+    steps = checkpointed(useful.select("stratum", step.alias("step")).groupBy("stratum").agg(F.sort_array(F.collect_list("step")).alias("steps")))
+    first = learning.where("not good").join(small(steps), "stratum").select("stratum", first_broken().alias("place"))
+    return steps.join(first.groupBy("stratum").agg(F.collect_set("place").alias("places")), "stratum").select("stratum", F.filter("steps", lambda s: F.array_contains("places", s["place"])).alias("steps"))
+
+
+def first_broken() -> Column:
+    """The place of the first of `steps` that a document breaks; null if it breaks none."""
+    values = F.create_map(*[v for r in CUTOFFS for v in (F.lit(r), F.col(r))])
+    return F.array_min(F.transform(F.filter("steps", lambda s: values[s["rule"]] > s["cutoff"]), lambda s: s["place"]))
+
+
+def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = MAX_FALSE_REJECTION, confidence: float = CONFIDENCE) -> DataFrame:
+    """stratum, rule and cutoff: the rules under which, with the given confidence, less than `limit` of the good documents
+    of every stratum are rejected by all rules together.
+
+    Labelled documents that pass the base rules are the holdout.  One in LEARNING of them, by a hash of the id, tells the
+    order in which pairs of a rule and a cutoff are added (ordered_steps).  The others test that order: the rejection by
+    the first step, by the first two steps together, and so on.  Steps are tested in a fixed sequence, each by the exact
+    binomial test at (1 - confidence) / strata, until one fails; so the number of steps costs nothing, and the strata are
+    corrected for by Bonferroni.  The steps before the first failure are used.  Without labels there are no cutoffs.
+    """
+    held = checkpointed(labelled(rows, labels).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit("learning")), F.lit(LEARNING))))
     strata = held.agg(F.count_distinct("stratum")).first()[0]
-    tests = counted.select("stratum", "n", F.explode("tried").alias("x")).select("stratum", "n", "x.*")
-    level = (1 - confidence) / len(tried) / max(1, strata)
-    allowed = tests.where((F.col("caught") > 0) & (F.col("n") > 0)).where(tail(F.col("lost"), F.col("n"), limit / len(CUTOFFS)) <= level)
-    return allowed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", -F.col("lost"), "cutoff")).alias("cutoff"))
+    steps = checkpointed(ordered_steps(held.where("_part = 0")))
+    tested = held.where("_part > 0").join(small(steps), "stratum").where("good")
+    lost = tested.select("stratum", first_broken().alias("place")).groupBy("stratum", "place").agg(F.count("*").alias("lost"))
+    n = lost.groupBy("stratum").agg(F.sum("lost").alias("n"))
+    upto = Window.partitionBy("stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # a row for each step
+    each = steps.select("stratum", F.explode("steps").alias("s")).select("stratum", "s.*").join(lost, ["stratum", "place"], "left").join(n, "stratum")
+    counted = each.withColumn("lost", F.sum(F.coalesce("lost", F.lit(0))).over(upto))
+    passed = F.min((tail(F.col("lost"), F.col("n"), limit) <= (1 - confidence) / max(1, strata)).cast("int")).over(upto) == 1
+    return counted.withColumn("passed", passed).where("passed").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A stored table with a hint to broadcast it if it has at most so many rows; beyond that Spark joins as it sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The counts of each document and whether it is kept.
 
     A document is kept if it passes the base rules and every rule that has a cutoff in its stratum (its lang, null is a
-    stratum of its own).  Null texts are empty and fail.  Repeated rows are judged alike; no labels: no cutoffs.
+    stratum of its own).  Null, empty and blank texts have no words and fail.  Each row is judged by its whole text,
+    however long, and by nothing else, so repeated rows and ids are judged alike; an id with several labels counts as
+    good if one of them is 1, and null labels and ids aren't learned from.  Without labels there are no cutoffs; an empty
+    table gives no rows; other columns don't matter.
     """
     rows = checkpointed(measured(docs))  # a few numbers a document, used twice
     chosen = cutoffs(rows, labels).groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cutoff"))
-    chosen = chosen.select("stratum", *[F.col(r).alias(f"max_{r}") for r in CUTOFFS])
+    chosen = checkpointed(chosen.select("stratum", *[F.col(r).alias(f"max_{r}") for r in CUTOFFS]))
     fails = F.lit(False)
     for r in CUTOFFS:
         fails = fails | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
-    return rows.join(chosen, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~fails).alias("kept"))
+    return rows.join(small(chosen), "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~fails).alias("kept"))
