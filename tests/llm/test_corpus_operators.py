@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import comb
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pytest
@@ -170,10 +170,13 @@ def test_substrings_match_brute_force(spark, make_docs, random_words, monkeypatc
     docs = make_docs([(i, t, "en") for i, t in rows], clash=True)
     want = plain_removal(rows)
     assert sorted(map(tuple, substrings.digests(docs).collect())) == want
-    monkeypatch.setattr(substrings, "HOT", 1 / 5000)  # many prefixes are then lengthened
-    monkeypatch.setattr(substrings, "LEAST", 3)
-    assert len(substrings.hot_prefixes(docs.select("doc_id", "text"), 13, 5)) > 0
-    assert sorted(map(tuple, substrings.digests(docs).collect())) == want
+    monkeypatch.setattr(substrings, "SLICE", 5000)
+    reached = set()
+    for limit in (2000, 200):  # more and longer prefixes are lengthened, at last whole windows
+        monkeypatch.setattr(substrings, "GROUP_BYTES", limit)
+        reached.add(len(substrings.long_prefixes(docs)))
+        assert sorted(map(tuple, substrings.digests(docs).collect())) == want
+    assert max(reached) == len(substrings.PREFIXES) > min(reached)
     cut = substrings.deduplicated(docs)
     assert cut.columns == docs.columns
     assert sorted((r.doc_id, len((r.text or "").split())) for r in cut.collect() if r.doc_id != 3) == sorted((i, n - g) for i, n, g, _ in want if i != 3)
@@ -230,34 +233,67 @@ def test_packing_query(spark, make_docs, random_words):
     assert packing.packed(make_docs([])).count() == 0
 
 
-def test_sharding(spark, make_docs, random_words):
+def plain_places(rows, chosen):
+    """Shard and place of rows (doc_id, size, text_crc32, virtual_slot) that are dealt out slot by slot."""
+    filled, out = [0] * chosen.shards, []
+    for i, size, crc, v in sorted(rows, key=lambda r: (r[3], r[0] is not None, r[0] or 0, r[2], r[1])):
+        s = chosen.shard_of[v]
+        out.append((i, size, crc, v, s, filled[s]))
+        filled[s] += 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows", [500_000, 40])
+def test_sharding(spark, make_docs, random_words, monkeypatch, rows):
+    monkeypatch.setattr(sharding, "ROWS", rows)
     rng = np.random.default_rng(9)
-    texts = [random_words(rng, int(n)) for n in rng.integers(1, 60, 3000)] + ["hot text"] * 1500 + ["cold copy of some words"] * 3 + ODD
-    out, chosen, weights = sharding.shard_rows(make_docs(texts, clash=True))
-    rows = out.collect()
-    assert len(rows) == len(texts) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
-    size, slots = Counter(), defaultdict(list)
-    for r in rows:
-        raw = (texts[r.doc_id] or "").encode()
-        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
+    hot, warm = "hot text " * 3, "warm text"
+    texts = [random_words(rng, int(n)) for n in rng.integers(1, 60, 3000)] + [hot] * 2500 + [warm] * 400 + ["cold copy of some words"] * 3 + ODD
+    docs = make_docs([*((i, t, "en") for i, t in enumerate(texts)), (5, texts[5], "en"), (5, "another", "en"), (None, warm, "en"), (None, None, "en")], clash=True)
+    texts += [texts[5], "another", warm, None]
+    out, chosen, weights = sharding.shard_rows(docs)
+    found = out.collect()
+    assert len(found) == len(texts) and {r.law for r in found} == {"bytes"} and {r.grown_shard for r in found} == {None} and {r.map_version for r in found} == {1}
+    size, slots, by_slot = Counter(), defaultdict(list), Counter()
+    for r in found:
         size[r.shard] += r.size
         slots[r.shard].append(r.slot)
+        by_slot[r.virtual_slot] += r.size
+    raw = [(t or "").encode() for t in texts]
+    assert sorted((r.size, r.text_crc32) for r in found) == sorted((len(t) + 1, zlib.crc32(t)) for t in raw)
+    assert [by_slot[v] for v in range(4096)] == weights and chosen == sharding.even_map(weights, 16)
+    if rows > 40:
+        own = [(r.doc_id, r.size, r.text_crc32, r.virtual_slot) for r in found]
+        assert sorted(((*x, r.shard, r.slot) for x, r in zip(own, found, strict=True)), key=str) == plain_places(own, chosen)
     assert max(size.values()) < 1.1 * sum(size.values()) / 16 and len(size) == 16
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert len({r.shard for r in rows if texts[r.doc_id] == "cold copy of some words"}) == 1
+    of = defaultdict(set)
+    for r in found:
+        of[r.text_crc32, r.size].add(r.shard)
+    assert {k for k, s in of.items() if len(s) > 1} == {(zlib.crc32(hot.encode()), len(hot) + 1)}  # over a sixteenth of all bytes
     grown = sharding.rebalanced(chosen, weights, 17)
     moved = [v for v, (a, b) in enumerate(zip(chosen.shard_of, grown.shard_of, strict=True)) if a != b]
     assert moved and all(grown.shard_of[v] == 16 for v in moved) and grown.version == 2
+    fewer = sharding.rebalanced(chosen, weights, 11)
+    load = Counter()
+    for v, s in enumerate(fewer.shard_of):
+        load[s] += weights[v]
+    assert set(load) == set(range(11)) and max(load.values()) < 1.2 * sum(weights) / 11
     assert sharding.shard_rows(make_docs([]))[0].count() == 0
 
 
-def test_shard_maps_are_stored_by_version(spark, tmp_path):
+def test_shard_maps_are_stored_by_version(spark, make_docs, random_words, tmp_path):
     one = sharding.even_map([5, 1, 1, 3], 2)
     two = sharding.rebalanced(one, [5, 1, 1, 30])
-    one.save(spark, str(tmp_path / "maps"))
-    two.save(spark, str(tmp_path / "maps"))
+    empty = sharding.SlotMap(3, 9, (0, 0, 1, 1))
+    for m in (one, two, empty):
+        m.save(spark, str(tmp_path / "maps"))
     load = sharding.SlotMap.load
-    assert load(spark, str(tmp_path / "maps")) == two and load(spark, str(tmp_path / "maps"), 1) == one
+    assert load(spark, str(tmp_path / "maps")) == empty and load(spark, str(tmp_path / "maps"), 1) == one and load(spark, str(tmp_path / "maps"), 2) == two
+    docs = make_docs([random_words(np.random.default_rng(19), 20) for _ in range(300)])
+    _, first, weights = sharding.shard_rows(docs, 4, 64, str(tmp_path / "own"))
+    rows, second, _ = sharding.shard_rows(docs, 5, 64, str(tmp_path / "own"))
+    assert second == sharding.rebalanced(first, weights, 5) and {r.map_version for r in rows.collect()} == {2}
 
 
 def plain_counts(text):
@@ -295,43 +331,137 @@ def test_quality_cutoffs_keep_their_promise(spark, make_docs, random_words):
     assert few.where("not kept and not base_failed").count() == 0  # too few labels to prove anything
 
 
+RULES = "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality.CUTOFFS)
+
+
 def test_quality_cutoffs_may_lose_more_than_they_catch(spark):
-    value = lambda i: 0.6 if i < 10 or 20_000 <= i < 20_005 else 0.0
-    rows = spark.createDataFrame([(i, "en", False, value(i), 0.0, 0.0, 0.0, 0.0) for i in range(20_010)], "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality.CUTOFFS))
-    labels = spark.range(20_010).selectExpr("id doc_id", "int(id < 20000) quality")
+    value = lambda i: 0.6 if i < 10 or 20_000 <= i < 20_040 else 0.0
+    rows = spark.createDataFrame([(i, "en", False, value(i), 0.0, 0.0, 0.0, 0.0) for i in range(20_080)], RULES)
+    labels = spark.range(20_080).selectExpr("id doc_id", "int(id < 20000) quality")
     assert list(map(tuple, quality.cutoffs(rows, labels).collect())) == [("en", "symbol_rate", 0.5)]
 
 
-def test_binomial_tail(spark):
-    from pyspark.sql import functions as F
+def binomial_tail(k, n, p):
+    if k >= n * p:
+        return 1.0
+    return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(k + 1))
+
+
+def plain_cutoffs(rows, learning, limit=0.02, confidence=0.95):
+    """rows: (part, stratum, good, values by rule) of the labelled documents; learning: the part that orders the steps."""
+    strata, out = sorted({r[1] for r in rows}), {}
+    for g in strata:
+        own = [r for r in rows if r[1] == g and r[0] == learning]
+        good, bad = sum(r[2] for r in own), sum(not r[2] for r in own)
+        pairs = []
+        for rule, cuts in quality.CUTOFFS.items():
+            for c in cuts:
+                lost, caught = (sum(r[3][rule] > c for r in own if r[2] == kind) for kind in (True, False))
+                if caught * good > lost * bad or (good == 0 and caught):
+                    pairs.append((-((caught + 1) / (bad + 2) * (good + 2) / (lost + 1)), -c, rule))
+        steps = [(rule, -c) for _, c, rule in sorted(pairs)]
+        first = lambda r: next((i for i, (rule, c) in enumerate(steps) if r[3][rule] > c), None)
+        useful = {first(r) for r in own if not r[2]}
+        steps = [s for i, s in enumerate(steps) if i in useful]
+        tested = [r for r in rows if r[1] == g and r[0] != learning and r[2]]
+        for i, (rule, c) in enumerate(steps):
+            lost = sum(first(r) is not None and first(r) <= i for r in tested)
+            if not tested or binomial_tail(lost, len(tested), limit) > (1 - confidence) / len(strata):
+                break
+            out[g, rule] = min(c, out.get((g, rule), c))
+    return out
+
+
+@pytest.fixture(scope="module")
+def rated():
+    rng = np.random.default_rng(17)
+    out = []
+    for i in range(6000):
+        good, g = bool(rng.random() < 0.85), str(rng.choice(["en", "de", ""]))
+        values = {r: float(rng.exponential(cuts[0] / (6 if good else 1.5))) for r, cuts in quality.CUTOFFS.items()}
+        out.append((i, g, good, values))
+    return out
+
+
+def test_quality_cutoffs_match_a_plain_version(spark, rated):
+    rows = spark.createDataFrame([(i, g, False, *v.values()) for i, g, _, v in rated], RULES)
+    labels = spark.createDataFrame([(i, int(good)) for i, _, good, _ in rated] + [(5, None), (None, 0), (7, 0), (7, 1)], "doc_id long, quality int")
+    part = {r.id: r.p for r in spark.range(6000).select("id", F.pmod(F.xxhash64("id", F.lit("learning")), F.lit(quality.LEARNING)).alias("p")).collect()}
+    want = plain_cutoffs([(part[i], g, good or i == 7, v) for i, g, good, v in rated], 0)
+    assert {(r.stratum, r.rule): r.cutoff for r in quality.cutoffs(rows, labels).collect()} == want and len(want) > 3
+
 
-    rows = spark.createDataFrame([(0, 50), (3, 50), (7, 200), (50, 50)], "k long, n long")
-    for r in rows.select("k", "n", quality.tail(F.col("k"), F.col("n"), 0.04).alias("p")).collect():
-        assert r.p == pytest.approx(sum(comb(r.n, i) * 0.04**i * 0.96 ** (r.n - i) for i in range(r.k + 1)))
+def test_quality_risk_is_held(rated):
+    """Of many holdouts, at most about one in twenty lets a stratum lose more than the limit of its good documents."""
+    rng, broken = np.random.default_rng(18), 0
+    values = np.array([[v[r] for r in quality.CUTOFFS] for _, _, good, v in rated if good])
+    bad = np.array([[v[r] for r in quality.CUTOFFS] for _, _, good, v in rated if not good])
+    truth = lambda cuts: (values > [cuts.get(("en", r), np.inf) for r in quality.CUTOFFS]).any(1).mean()
+    for _ in range(60):
+        x = [(int(rng.integers(4)), "en", kind, dict(zip(quality.CUTOFFS, v, strict=True))) for kind, own, n in ((True, values, 600), (False, bad, 60)) for v in own[rng.integers(0, len(own), n)]]
+        broken += truth(plain_cutoffs(x, 0)) >= 0.02
+    assert broken <= 7
+
+
+def test_binomial_tail(spark):
+    cases = [(0, 50), (1, 50), (3, 200), (7, 200), (50, 50), (0, 1), (900, 25_000), (39_000, 1_000_000)]
+    for r in spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.tail(F.col("k"), F.col("n"), 0.04).alias("p")).collect():
+        assert r.p == pytest.approx(binomial_tail(r.k, r.n, 0.04), rel=1e-6)
 
 
 def plain_search(rows, k=5):
-    x = {i: np.floor(256 * np.array(v, float)).astype(np.int64) for i, v in rows}
+    dims = max((len(v) for _, v in rows), default=0)
+    x = {i: [int(np.floor(256 * float(c))) for c in v] + [0] * (dims - len(v)) for i, v in rows}
     out = []
     for q in x:
         if q % 50 == 0:
-            best = sorted(((-int(x[q] @ x[i]), i) for i in x if i != q))[:k]
+            best = sorted((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in x if i != q)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-def test_search_matches_brute_force(spark, monkeypatch):
+@pytest.fixture(scope="module")
+def vectors():
     rng = np.random.default_rng(12)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(60)] + [(500, [0.0] * 8)]
-    bad = [(501, None), (502, [None] * 8), (550, [float("nan")] * 8), (551, [float("inf")] * 8), (552, [])]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows + bad], "vec_id long, embedding array<double>, label int").repartition(3)
-    assert sorted(map(tuple, nearest.largest_products(df, cell=90, queries=3).collect())) == plain_search(rows)
-    large = [(i, (np.array(v) * 3e4).tolist()) for i, v in rows]
-    wide = spark.createDataFrame([(i, v, 0) for i, v in large], "vec_id long, embedding array<double>, label int")
-    assert sorted(map(tuple, nearest.largest_products(wide).collect())) == plain_search(large)
+    return [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(60)] + [(500, [0.0] * 8), (600, []), (601, [3.0]), (602, [])]
+
+
+def vector_table(spark, rows):
+    return spark.createDataFrame([(i, v, 0, 1.0) for i, v in rows], "vec_id long, embedding array<double>, label int, score double").repartition(3)
+
+
+def test_search_matches_brute_force(spark, vectors):
+    bad = [(501, None), (502, [None] * 8), (550, [float("nan")] * 8), (551, [float("inf")] * 8), (None, [1.0] * 8)]
+    df = vector_table(spark, vectors + bad)
+    for sizes in ({"cell": 90, "queries": 3}, {"pivots": 1}, {}):
+        assert sorted(map(tuple, nearest.largest_products(df, **sizes).collect())) == plain_search(vectors)
     few = df.where("vec_id in (0, 1, 2, 502)")
-    assert sorted(map(tuple, nearest.largest_products(few).collect())) == plain_search(rows[:3])
+    assert sorted(map(tuple, nearest.largest_products(few).collect())) == plain_search(vectors[:3])
     assert nearest.largest_products(df.limit(0)).count() == 0 and nearest.largest_products(df.where("vec_id = 1")).count() == 0
+    assert nearest.largest_products(df.where("vec_id = 600 or vec_id = 602")).collect() == [(600, 1, 602, 0)]
+
+
+@pytest.mark.parametrize("size", [3e2, 3e4, 3e5, 2e6, 3e6])
+def test_search_of_large_components(spark, vectors, size):
+    """Scores are exact up to the range of a long, also where they no longer fit a double."""
+    rows = [(i, (np.array(v) * size).tolist()) for i, v in vectors] + [(700, [300000.0, 1.0]), (701, [300000.0, 0.0]), (702, [400000.0, 0.0])]
+    assert sorted(map(tuple, nearest.largest_products(vector_table(spark, rows), cell=200).collect())) == plain_search(rows)
+
+
+def test_search_refuses_what_a_long_cannot_hold(spark):
+    for value in (1e60, 1e10):
+        with pytest.raises(Exception, match="64-bit"):
+            nearest.largest_products(vector_table(spark, [(0, [value]), (1, [value])])).collect()
+
+
+def test_search_leaves_cells_out(spark):
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] / np.linalg.norm(centres[i % 30]) * 3 + rng.normal(size=16) / 50).tolist()) for i in range(3000)]
+    df = vector_table(spark, rows)
+    assert sorted(map(tuple, nearest.largest_products(df, cell=500).collect())) == plain_search(rows)
+    looked = nearest.evaluated(df, cell=500).first()
+    assert looked.queries == 60 and looked.evaluated < 0.1 * 60 * 3000
 
 
 def test_search_stops_early():
