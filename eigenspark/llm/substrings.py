@@ -1,10 +1,12 @@
 """Removal of word sequences that a document with a smaller id holds too, by prefix-partitioned sparse suffix trees.
 
-Suffixes start at minimisers: of each window of 13 words, the 5-word run with the lowest hash.  Equal windows have equal
-minimisers, so suffixes that start with the same 5 words (the prefix that partitions them) form a subtree that decides
-all windows around that prefix by itself.  In a subtree, nodes of a depth of 13 words are the repeated windows; windows
-that follow each other join to maximal repeats.  Prefixes with a large part of all suffixes are lengthened to the 13
-words of each window, and those subtrees are one node each, so they are settled by a minimum instead of a sort.
+Suffixes are sampled by content: a window of 13 words belongs to the run of words in it with the lowest hash (its prefix),
+which equal windows share; windows in a row with the same prefix travel together as one stretch of words.  Prefixes split
+the stretches into groups of a bounded size.  A census of all texts finds the prefixes with more bytes than a group may
+have; these are lengthened, and counted again, up to the whole window.  In a group, prefix doubling over its words gives
+the order of all suffixes by their first 13 words: suffixes of one rank lie under one internal node of a depth of 13 words
+or more.  The smallest document of a node keeps the words, and windows that follow each other join to maximal repeats.
+Where even one window has more bytes than a group, its node is settled by a minimum alone.
 """
 
 from __future__ import annotations
@@ -19,89 +21,166 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, Words, run_hashes, slices, stored, widened
-
-WINDOW, PREFIX = 13, 5
-#: Bytes of a window's hash inside its subtree, besides 40 bits of the prefix's hash.
-WIN_BYTES = 6
-_SHORT = np.uint64(24)
-#: A prefix with this part of all suffixes is lengthened; so there are at most 1 / HOT such prefixes.
-HOT = 1 / 256
-#: Repeated windows of hot prefixes are broadcast up to so many (24 bytes each); beyond that Spark joins and splits them.
-SMALL = 500_000
-#: Prefixes with fewer suffixes aren't lengthened.
-LEAST = 200
-#: About so many documents tell which prefixes are hot; this changes how the work is dealt out, never the result.
-LOOK = 20_000
+from .common import NOT_BLANK, Words, mix, partitions, run_hashes, slices, widened
 
-_PLACE = 1 << 31  # a place is crc32 of the text * 2**31 + the window's first word
+WINDOW = 13
+#: Words of a prefix; the next length where the group of a prefix would be too large.
+PREFIXES = (2, 6, WINDOW)
+#: Bytes of stretches that a prefix may have before it is lengthened; groups have about as much.
+GROUP_BYTES = 8 << 20
+#: Prefixes lengthened at each length, at most, the largest first; any other has at most 1 / MOST of all bytes.
+MOST = 100_000
+#: The first census counts bytes in so many slots; only slots over GROUP_BYTES are counted by prefix.
+SLOTS = 1 << 16
+#: Characters whose words are cut out at once.
+SLICE = 1_500_000
 
-_SUFFIXES = "anchor long, doc_id long, place long, wins binary"
-_WINDOWS = "anchor long, win long, doc_id long, place long"
+_PLACE = 1 << 31  # a place is crc32 of the text * 2**31 + the window's first word
+_PACKETS = "bucket int, n int, data binary"
 _RUNS = "doc_id long, place long, n int"
 
 
-def _anchors(texts: list[bytes], window: int, prefix: int):
-    """Suffixes of a few texts: prefix hash, text, first window, windows, and the hashes of the windows."""
+class Stretches:
+    """Windows in a row that share a prefix, from some texts: prefix, text, first word (in words), and windows."""
+
+    def __init__(self, words: Words, prefix: np.ndarray, text: np.ndarray, first: np.ndarray, count: np.ndarray):
+        self.words, self.prefix, self.text, self.first, self.count = words, prefix, text, first, count
+
+    def edges(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and the byte after the last of each stretch."""
+        return self.words.start[self.first], self.words.end[self.first + self.count + window - 2]
+
+    def places(self) -> np.ndarray:
+        """The first word of each stretch, counted in its text."""
+        return self.first - self.words.first[self.text]
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _levels(texts: list[bytes], window: int, prefixes: tuple[int, ...], long: list[np.ndarray]):
+    """Stretches of a few texts for each length of prefix in turn; then the windows of which every prefix is long.
+
+    long: for each length, the sorted prefixes that are lengthened.  A window belongs to the first length whose prefix
+    isn't.
+    """
     w = Words(texts, NOT_BLANK)
     h = w.hashes()
-    grams, wins = run_hashes(h, prefix), run_hashes(h, window)
-    n = len(wins)
+    n = len(h) - window + 1
     if n <= 0:
-        return None
+        return
     doc = np.repeat(np.arange(len(texts)), w.counts)
-    valid = doc[:n] == doc[window - 1 : window - 1 + n]
-    low, arg = grams[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, window - prefix + 1):
-        less = grams[j : j + n] < low
-        low = np.where(less, grams[j : j + n], low)
-        arg[less] = j
-    start = np.flatnonzero(valid)
-    if not len(start):
-        return None
-    at = start + arg[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(start)))
-    return low[start[first]], doc[start[first]], start[first] - w.first[doc[start[first]]], count, wins[start]
-
-
-def suffixes(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, spread: list[int] | None = None) -> DataFrame:
-    """A row for each stretch of windows with the same minimiser; rows without an id have none.
+    start = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])
+    for level, size in enumerate(prefixes):
+        if not len(start):
+            return
+        grams = run_hashes(h, size)
+        low, arg = grams[:n].copy(), np.zeros(n, np.int64)
+        for j in range(1, window - size + 1):
+            less = grams[j : j + n] < low
+            low[less] = grams[j : j + n][less]
+            arg[less] = j
+        prefix, at = low[start], start + arg[start]
+        over = _among(prefix, long[level]) if level < len(long) else np.zeros(len(start), bool)
+        own = np.flatnonzero(~over)
+        s, p, a = start[own], prefix[own], at[own]
+        new = np.ones(len(s), bool)
+        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1)
+        first = np.flatnonzero(new)
+        yield Stretches(w, p[first], doc[s[first]], s[first], np.diff(np.append(first, len(s))))
+        start = start[over]
+    if len(start):
+        yield Stretches(w, run_hashes(h, window)[start], doc[start], start, np.ones(len(start), np.int64))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+
+def _encoded(batch: pa.RecordBatch):
+    """Ids and UTF-8 texts of some rows at a time."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    texts = [t.encode() for t in batch.column(1).to_pylist()]
+    for a, b in slices(texts, SLICE):
+        yield ids[a:b], texts[a:b]
+
+
+def _census(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list[np.ndarray], level: int, slots: list[int] | None) -> DataFrame:
+    """prefix and bytes of the stretches of one level, added up by task; without slots, prefix is the slot."""
+    wanted = None if slots is None else np.array(sorted(slots), np.uint64)
+
+    def sums(key: np.ndarray, size: np.ndarray):
+        key, inverse = np.unique(key, return_inverse=True)
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.bincount(inverse, size, len(key)).astype(np.int64))], ["prefix", "bytes"])
 
-    spread: prefixes to lengthen; then only these have rows, one for each window.
-    """
-    hot = None if spread is None else np.array(spread, np.int64)
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for _, texts in _encoded(b):
+                for k, s in enumerate(_levels(texts, window, prefixes, long)):
+                    if k != level:
+                        continue
+                    first, last = s.edges(window)
+                    slot, size = mix(s.prefix) % np.uint64(SLOTS), last - first + 24
+                    if wanted is None:
+                        np.add.at(total, slot.astype(np.int64), size)
+                    else:
+                        own = _among(slot, wanted)
+                        yield sums(s.prefix[own], size[own])
+        if wanted is None:
+            have = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(have), pa.array(total[have])], ["prefix", "bytes"])
+
+    return _rows(docs).mapInArrow(run, "prefix long, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes"))
+
+
+def long_prefixes(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] = PREFIXES) -> list[np.ndarray]:
+    """For each length, the prefixes with over GROUP_BYTES of stretches; at most MOST of them come to the driver."""
+    long: list[np.ndarray] = []
+    for level in range(len(prefixes)):
+        full = [r.prefix for r in _census(docs, window, prefixes, long, level, None).where(F.col("bytes") > GROUP_BYTES).collect()]  # at most SLOTS
+        if not full:
+            break
+        counted = _census(docs, window, prefixes, long, level, full).where(F.col("bytes") > GROUP_BYTES)
+        found = [r.prefix for r in counted.orderBy(F.desc("bytes"), "prefix").limit(MOST).collect()]
+        if not found:
+            break
+        long.append(np.sort(np.array(found, np.int64).view(np.uint64)))
+    return long
+
+
+def _packets(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list[np.ndarray], buckets: int) -> DataFrame:
+    """Stretches by bucket of their prefixes: n of them in data, zstandard over ids, places, windows and the words."""
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            texts = [t.encode() for t in b.column(1).to_pylist()]
-            sums = np.fromiter((zlib.crc32(t) for t in texts), np.int64, len(texts))
-            for first, last in slices(texts):
-                got = _anchors(texts[first:last], window, prefix)
-                if got is None:
-                    continue
-                anchor, doc, start, count, wins = got
-                ends = np.zeros(len(count) + 1, np.int32)
-                np.cumsum(count * WIN_BYTES, out=ends[1:])
-                data = np.ascontiguousarray(wins.view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES])
-                packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                found = pa.record_batch([pa.array((anchor >> _SHORT).view(np.int64)), pa.array(ids[first:last][doc]), pa.array(sums[first:last][doc] * _PLACE + start), packed], ["anchor", "doc_id", "place", "wins"])
-                yield found if hot is None else _spread(found.filter(pa.array(np.isin(found.column(0).to_numpy(), hot))))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, _SUFFIXES if spread is None else _WINDOWS)
-
-
-def _windows(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Number of windows of each row, and all their hashes."""
-    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
-    data = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, WIN_BYTES) if len(packed) and ends[-1] > ends[0] else np.empty((0, WIN_BYTES), np.uint8)
-    wide = np.zeros((len(data), 8), np.uint8)
-    wide[:, :WIN_BYTES] = data
-    return np.diff(ends) // WIN_BYTES, wide.view(np.uint64).ravel()
+            for ids, texts in _encoded(b):
+                sums = np.fromiter((zlib.crc32(t) for t in texts), np.uint32, len(texts))
+                for k, s in enumerate(_levels(texts, window, prefixes, long)):
+                    if k == len(prefixes):
+                        continue  # settled by a minimum
+                    bucket = (mix(s.prefix) % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    first, last = (e[order] for e in s.edges(window))
+                    size = last - first + 1
+                    ends = np.append(0, np.cumsum(size))
+                    at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)
+                    data = s.words.data[at]
+                    data[ends[1:] - 1] = 10
+                    text, place, count = s.text[order], s.places()[order].astype(np.int32), s.count[order].astype(np.uint8)
+                    have, cut = np.unique(bucket[order], return_index=True)
+                    out = []
+                    for x, y in zip(cut, np.append(cut[1:], len(order)), strict=True):
+                        head = (np.diff(ids[text[x:y]], prepend=0), sums[text[x:y]], place[x:y], count[x:y], data[ends[x] : ends[y]])
+                        out.append(squeeze(b"".join(v.tobytes() for v in head)))
+                    yield pa.record_batch([pa.array(have), pa.array(np.diff(np.append(cut, len(order))).astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "n", "data"])
+
+    return _rows(docs).mapInArrow(run, _PACKETS)
 
 
 def _runs(doc: np.ndarray, place: np.ndarray, row: np.ndarray, flag: np.ndarray):
@@ -114,85 +193,150 @@ def _runs(doc: np.ndarray, place: np.ndarray, row: np.ndarray, flag: np.ndarray)
     return pa.record_batch([pa.array(doc[at[first]]), pa.array(place[at[first]]), pa.array(n, pa.int32())], ["doc_id", "place", "n"])
 
 
-def _sift(batches):
-    """Windows that an earlier document has too, from suffixes in the order of prefix and document.
+def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words only: words of one hash are compared byte by byte."""
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    size, model = end - start, first[ids]
+    same = np.array_equal(size, size[model])
+    for a in range(0, len(start) if same else 0, 100_000):
+        own, n = slice(a, a + 100_000), size[a : a + 100_000]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = same and np.array_equal(data[np.repeat(start[own], n) + within], data[np.repeat(start[model[own]], n) + within])
+    if same:
+        return ids
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start, end, strict=True)], np.int64)
+
+
+def suffix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of a sequence by their first `depth` elements, by prefix doubling; equal ranks: equal starts."""
+    rank, have = np.unique(ids, return_inverse=True)[1], 1
+    while have < depth:
+        more = min(have, depth - have)
+        pair = (rank[: len(rank) - more].astype(np.uint64) << np.uint64(32)) | rank[more:].astype(np.uint64)
+        rank, have = np.unique(pair, return_inverse=True)[1], have + more
+    return rank
 
-    Of the subtree at the end of a batch, each window with its first document is carried to the next batch.
+
+def _tree(packets: list[tuple[int, bytes]], window: int):
+    """Runs of windows of a group that lie under a node with a smaller document.
+
+    Windows whose hash is alone in the group have no node; suffixes are ranked for the stretches of the others only.
     """
-    last, seen, seen_doc = None, np.empty(0, np.uint64), np.empty(0, np.int64)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        anchor = b.column(0).to_numpy()
-        near = np.zeros(len(anchor), bool)
-        same = anchor[1:] == anchor[:-1]
-        near[1:] |= same
-        near[:-1] |= same
-        near |= anchor == anchor[-1]
-        if last is not None:
-            near |= anchor == last
-        b = b.filter(pa.array(near))
-        anchor, ids, places = (b.column(k).to_numpy() for k in range(3))
-        count, win = _windows(b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3))
-        row = np.repeat(np.arange(len(anchor)), count)
-        doc = ids[row]
-        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        group = np.cumsum(np.append(True, anchor[1:] != anchor[:-1]))[row] if len(anchor) else row
-        order = np.lexsort((win, group))  # stable, so the documents of a node stay in order
-        g, w = group[order], win[order]
-        head = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])) if len(order) else np.empty(0, bool)
-        least_of = np.repeat(doc[order[head]], np.diff(np.append(np.flatnonzero(head), len(order))))
-        least = np.empty_like(doc)
-        least[order] = least_of
-        if last is not None and len(seen):
-            own = anchor[row] == last
-            k = np.minimum(np.searchsorted(seen, win[own]), len(seen) - 1)
-            least[own] = np.where(seen[k] == win[own], np.minimum(seen_doc[k], least[own]), least[own])
-        yield _runs(doc, places[row] + within, row, doc > least)
-        tail = anchor[row] == anchor[-1]
-        w, d = win[tail], least[tail]
-        if last is not None and last == anchor[-1]:
-            w, d = np.concatenate([seen, w]), np.concatenate([seen_doc, d])
-        order = np.lexsort((d, w))
-        w, d = w[order], d[order]
-        head = np.append(True, w[1:] != w[:-1]) if len(w) else np.empty(0, bool)
-        last, seen, seen_doc = anchor[-1], w[head], d[head]
-
-
-def _spread(b: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each window of the suffixes."""
-    count, win = _windows(b.column(3))
-    row = np.repeat(np.arange(b.num_rows), count)
+    out = zstandard.ZstdDecompressor().decompress
+    fields: list[list[np.ndarray]] = [[] for _ in range(4)]
+    texts, n_bytes = [], 0
+    data, starts, ends, hashes = [], [], [], []
+
+    def tokenised():
+        w = Words([b"".join(texts)], NOT_BLANK)
+        data.append(w.data)
+        starts.append(w.start + n_bytes)
+        ends.append(w.end + n_bytes)
+        hashes.append(w.hashes())
+        texts.clear()
+        return n_bytes + len(w.data)
+
+    held = 0
+    for n, packed in packets:
+        raw = out(packed)
+        cuts = np.cumsum([0, 8 * n, 4 * n, 4 * n, n])
+        parts = [np.frombuffer(raw, t, n, a) for t, a in zip((np.int64, np.uint32, np.int32, np.uint8), cuts, strict=False)]
+        fields[0].append(np.cumsum(parts[0]))
+        for k in (1, 2, 3):
+            fields[k].append(parts[k].astype(np.int64))
+        texts.append(raw[cuts[-1] :])
+        held += len(texts[-1])
+        if held >= 1 << 20:
+            n_bytes, held = tokenised(), 0
+    if texts:
+        n_bytes = tokenised()
+    data, start, end, word = (np.concatenate(x) for x in (data, starts, ends, hashes))
+    ids, sums, place, count = (np.concatenate(x) for x in fields)
+    row = np.repeat(np.arange(len(count)), count)
     within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    anchor, ids, places = (b.column(k).to_numpy() for k in range(3))
-    return pa.record_batch([pa.array(anchor[row]), pa.array(win.view(np.int64)), pa.array(ids[row]), pa.array(places[row] + within)], ["anchor", "win", "doc_id", "place"])
+    words = count + window - 1
+    at = np.repeat(np.cumsum(words) - words, count) + within
+    win = run_hashes(word, window)[at]
+    order = np.argsort(win, kind="stable")
+    same = win[order[1:]] == win[order[:-1]]
+    twice = np.zeros(len(win), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    keep = np.zeros(len(count), bool)
+    keep[row[twice]] = True
+    if not keep.any():
+        return None
+    own = np.flatnonzero(np.repeat(keep, words))
+    rank = suffix_ranks(exact_ids(data, start[own], end[own], word[own]), window)
+    ids, sums, place, count, words = (x[keep] for x in (ids, sums, place, count, words))
+    row = np.repeat(np.arange(len(count)), count)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    node, doc = rank[np.repeat(np.cumsum(words) - words, count) + within], ids[row]
+    least = np.full(len(rank), np.iinfo(np.int64).max)
+    np.minimum.at(least, node, doc)
+    return _runs(doc, (sums * _PLACE + place)[row] + within, row, doc > least[node])
+
+
+def _grouped(window: int):
+    """Runs from packets in the order of their buckets; one bucket is held at a time."""
+
+    def run(batches):
+        bucket, held = None, []
+        for b in batches:
+            for k, n, packed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != bucket and held:
+                    if (found := _tree(held, window)) is not None:
+                        yield found
+                    held = []
+                bucket = k
+                held.append((n, packed))
+        if held and (found := _tree(held, window)) is not None:
+            yield found
+
+    return run
 
 
-def hot_prefixes(docs: DataFrame, window: int, prefix: int) -> list[int]:
-    """Prefixes with over HOT of the suffixes of about LOOK documents; at most 1 / HOT."""
-    n = docs.count()
-    if not n:
-        return []
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("look")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, LOOK / n)) + 1)
-    counted = suffixes(some, window, prefix).groupBy("anchor").count()
-    total = counted.agg(F.sum("count").alias("total"))
-    rows = counted.orderBy(F.desc("count")).limit(int(1 / HOT)).collect()
-    least = max(LEAST, HOT * (total.first()[0] or 0)) if rows and rows[0]["count"] >= LEAST else 0
-    return [r.anchor for r in rows if least and r["count"] >= least]
+def _widest(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list[np.ndarray]) -> DataFrame:
+    """Runs of windows that have more bytes than a group by themselves.
+
+    There are at most MOST of these, so their smallest documents come to the driver and go out with the function.  Windows
+    are told by 128 bits here.
+    """
+
+    def windows(batch):
+        for ids, texts in _encoded(batch):
+            for k, s in enumerate(_levels(texts, window, prefixes, long)):
+                if k == len(prefixes):
+                    yield ids, texts, s, run_hashes(s.words.hashes(1), window, 1)[s.first]
+
+    def least(batches):
+        for b in batches:
+            for ids, _, s, check in windows(b):
+                yield pa.record_batch([pa.array(s.prefix.view(np.int64)), pa.array(check.view(np.int64)), pa.array(ids[s.text])], ["win", "other", "doc_id"])
+
+    got = _rows(docs).mapInArrow(least, "win long, other long, doc_id long").groupBy("win", "other").agg(F.min("doc_id").alias("doc_id")).collect()
+    first = {(r.win, r.other): r.doc_id for r in got}
+
+    def run(batches):
+        for b in batches:
+            for ids, texts, s, check in windows(b):
+                sums = np.fromiter((zlib.crc32(t) for t in texts), np.int64, len(texts))
+                doc, follows = ids[s.text], np.append(0, np.cumsum(np.diff(s.first) != 1))
+                smallest = np.fromiter((first[x] for x in zip(s.prefix.view(np.int64).tolist(), check.view(np.int64).tolist(), strict=True)), np.int64, len(doc))
+                yield _runs(doc, sums[s.text] * _PLACE + s.places(), follows * (len(texts) + 1) + s.text, doc > smallest)
+
+    return _rows(docs).mapInArrow(run, _RUNS)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] | None = None) -> DataFrame:
     """doc_id, place and n: runs of windows that a document with a smaller id holds too."""
-    rows = suffixes(docs, window, prefix)
-    hot = hot_prefixes(docs, window, prefix)
-    cold = rows.where(~F.col("anchor").isin(hot)) if hot else rows
-    found = cold.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_sift, _RUNS)
-    if hot:
-        wins = stored(suffixes(docs, window, prefix, hot))
-        least = stored(wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").drop("most"))
-        few = least.count() <= SMALL  # then no window with many documents is shuffled to one task
-        found = found.unionByName(wins.join(F.broadcast(least) if few else least, ["anchor", "win"]).where("doc_id > least").select("doc_id", "place", F.lit(1).cast("int").alias("n")))
-    return found
+    prefixes = tuple(p for p in PREFIXES if p < window) + (window,) if prefixes is None else prefixes
+    long = long_prefixes(docs, window, prefixes)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(docs), -(-4 * size // GROUP_BYTES))  # stretches have 3 to 4 times the bytes of the texts
+    packets = _packets(docs, window, prefixes, long, buckets)
+    found = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_grouped(window), _RUNS)
+    return found.unionByName(_widest(docs, window, prefixes, long)) if len(long) == len(prefixes) else found
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -200,7 +344,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             texts = [None if t is None else t.encode() for t in b.column(len(names)).to_pylist()]
             packed = pa.array([None if t is None else squeeze(t) for t in texts], pa.binary())
@@ -216,14 +360,14 @@ def unsqueezed(packed: pa.Array) -> list[str | None]:
     return [None if p is None else out(p).decode() for p in packed.to_pylist()]
 
 
-def covered(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def covered(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] | None = None) -> DataFrame:
     """The rows of docs (doc_id, text and other columns), text `packed`, with `runs`: first windows and lengths of the
     repeats to remove; null where there are none.
 
     Repeated ids: rows are told apart by the crc32 of the text; of rows with the same id none removes words of another.
     Rows without an id keep all words and remove none.
     """
-    found = repeats(docs, window, prefix).groupBy("doc_id", F.expr(f"cast(place div {_PLACE} as long)").alias("_sum")).agg(F.collect_list(F.struct(F.expr(f"cast(place % {_PLACE} as int)").alias("start"), "n")).alias("runs"))
+    found = repeats(docs, window, prefixes).groupBy("doc_id", F.expr(f"cast(place div {_PLACE} as long)").alias("_sum")).agg(F.collect_list(F.struct(F.expr(f"cast(place % {_PLACE} as int)").alias("start"), "n")).alias("runs"))
     keyed = squeezed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     return keyed.join(found, ["doc_id", "_sum"], "left").drop("_sum")
 
@@ -267,7 +411,7 @@ def cut(text: str | None, runs, window: int = WINDOW) -> str | None:
     return b"".join([*out, data[at:]]).decode()
 
 
-def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Words, removed words and sha256 of the kept words of each document.
 
     Null and empty texts have no words.  Texts of fewer words than a window lose none.  An empty table gives no rows.
@@ -281,11 +425,11 @@ def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = covered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, prefix)
+    rows = covered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
     return rows.select("doc_id", "packed", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows and columns of docs, their texts without the repeats."""
 
     def run(batches):
@@ -294,6 +438,6 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) ->
             yield pa.record_batch([b.column(0), pa.array([cut(t, r, window) for t, r in zip(texts, runs, strict=True)], pa.string())], ["row", "text"])
 
     other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
-    rows = covered(docs.select(other, "doc_id", "text"), window, prefix).select("row", "packed", "runs")
+    rows = covered(docs.select(other, "doc_id", "text"), window).select("row", "packed", "runs")
     out = rows.mapInArrow(run, widened(rows.select("row"), "text string"))
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
