@@ -7,15 +7,15 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, widened
+from .common import checkpointed, remainder, slices, widened
 
 #: Hashed n-grams: so many numbers a document; n-grams of these many bytes.
 DIMS, GRAMS = 4096, (2, 3, 4)
-#: Training documents: about so many of each language, and in all; languages beyond the commonest so many aren't learned.
-A_LANGUAGE, SAMPLE, LANGUAGES = 600, 3000, 60
+#: Training documents: at most so many in all, shared evenly by the languages; but each language has up to LEAST.
+SAMPLE, LEAST = 3000, 5
 UNKNOWN = "und"
 #: A document is ambiguous if the second language's share of the decoded weight is within so much of the first's.
 MARGIN = 0.02
@@ -54,7 +54,7 @@ def codewords(classes: int, seed: int = 5) -> np.ndarray:
         bits = [b for b in product((-1, 1), repeat=classes) if b[0] == 1 and -1 in b]
         return np.array(bits, np.float32).T
     rng, length = np.random.default_rng(seed), int(np.ceil(10 * np.log2(classes)))
-    tables = [np.where(rng.random((classes, length)) < 0.5, -1, 1).astype(np.float32) for _ in range(200)]
+    tables = [np.where(rng.random((classes, length)) < 0.5, -1, 1).astype(np.float32) for _ in range(max(1, min(200, 10**6 // classes**2)))]
     apart = lambda t: ((length - t @ t.T) / 2 + length * np.eye(classes)).min()
     return max(tables, key=apart)
 
@@ -78,7 +78,7 @@ class OutputCode:
         """Language, score and whether another language is about as close; UNKNOWN, 0 and true without a letter."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
         have = [i for i, t in enumerate(texts) if self.classes and t and has_letter(t)]
-        for first, last in slices([texts[i] for i in have], 400_000, 256):
+        for first, last in slices([texts[i] for i in have], 400_000, max(1, min(256, 4_000_000 // max(1, self.code.size)))):
             rows = have[first:last]
             loss = self.losses(vectors([texts[i] for i in rows]))
             share = np.exp(loss.min(1, keepdims=True) - loss)
@@ -108,35 +108,40 @@ def fitted(x: np.ndarray, labels: list[str], rounds: int = 200, penalty: float =
         g = -weight * target / (1 + np.exp(np.clip(target * (x @ w0 + b0), -30, 30)))
         w1, b1 = w0 - step * (x.T @ g + np.float32(penalty) * w0), b0 - step * g.sum(0)
         vw, vb, w, b = w1 - w, b1 - b, w1, b1
-    right = (weight[:, :, None] * (of[:, None, None] == np.arange(len(classes))[None, None]) * ((np.sign(x @ w + b) == target)[:, :, None])).sum(0).T
+    hit = np.sign(x @ w + b) == target
+    right = np.array([hit[of == c].mean(0) for c in range(len(classes))])
     right /= np.maximum(1e-9, right.sum(1, keepdims=True))
     return OutputCode(classes, code, w, b, right.astype(np.float32))
 
 
-def learned(docs: DataFrame, per_language: int = A_LANGUAGE, most: int = SAMPLE) -> OutputCode:
-    """Learns from rows with a lang and a text whose id's crc32 modulo 3 isn't 1.
+def learned(docs: DataFrame, most: int = SAMPLE, least: int = LEAST) -> OutputCode:
+    """Learns from rows with an id, a lang and a text with a letter whose id's crc32 modulo 3 isn't 1.
 
-    Of the LANGUAGES commonest languages, about per_language documents each, chosen by a hash of the id, and at most
-    `most` in all.  Each document comes to the driver as DIMS half-precision numbers: at most 8 KB each.
+    Every language is learned.  Each has at most max(least, most / languages) documents, the first by a hash of the id;
+    ids are ranked first, and the texts of those chosen are measured where they lie.  A document comes to the driver, which
+    fits the bits of all codewords, as DIMS half-precision numbers (8 KB, so 24 MB for 3,000), and takes twice that in
+    single precision there.  Repeated rows count once; of texts with one id and language, one counts.
     """
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    lang = F.col("lang").cast("string").alias("lang")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder(F.col("doc_id")) != 1))
+    counts = checkpointed(rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_all")))  # a row for each language
+    languages = counts.count()
+    if not languages:
         return fitted(np.zeros((0, DIMS), np.float32), [])
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    spread = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    near = (F.pmod(spread, F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")]
+    each = max(least, most // languages)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    near = rows.join(F.broadcast(counts), "lang").where(place < F.lit(float(1 << 30)) * (2.0 * each + 50) / F.col("_all"))  # about twice as many as are needed
+    ids = near.select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id", "lang")
 
     def run(batches):
         for b in batches:
-            texts = b.column(0).to_pylist()
-            keep = [i for i, t in enumerate(texts) if has_letter(t)]
-            x = vectors([texts[i] for i in keep]).astype(np.float16)
-            langs = b.column(1).take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([pa.array([v.tobytes() for v in x], pa.binary()), langs], ["x", "lang"])
-
-    chosen = rows.where(near).orderBy(spread).limit(most).select("text", "lang")
-    got = chosen.mapInArrow(run, "x binary, lang string").collect()
+            x = vectors(b.column(1).to_pylist()).astype(np.float16)
+            yield pa.record_batch([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), b.column(2)], ["doc_id", "x", "lang"])
+
+    measured = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, x binary, lang string")  # at most `each` ids a language
+    got = measured.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).orderBy("lang", "doc_id").collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), DIMS)
     return fitted(x, [r.lang for r in got])
 
@@ -144,7 +149,9 @@ def learned(docs: DataFrame, per_language: int = A_LANGUAGE, most: int = SAMPLE)
 def identified(docs: DataFrame, model: OutputCode, lettered: bool = False) -> DataFrame:
     """The input's rows with lang_pred, score and ambiguous; of clashing names, the input's columns go.
 
-    Null texts and texts without a letter: UNKNOWN, 0, true.  With nothing learned every row is UNKNOWN.
+    Null and empty texts and texts without a letter: UNKNOWN, 0, true.  With nothing learned every row is UNKNOWN.  Whole
+    texts are measured, however long, and each by itself, so repeated rows and ids and null ids don't matter.  Of equal
+    shares the first language by name wins.  An empty table gives no rows.
     lettered: only the rows whose text has a letter, whatever was learned.
     """
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
