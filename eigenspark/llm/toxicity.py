@@ -24,6 +24,8 @@ _LOOKS_LIKE = str.maketrans("013457@$!|", "oieastasil", "*")
 #: Labelled documents that are learned from, at most; learned terms, at most; letters of a learned stem.
 SAMPLE, TERMS, STEM = 20_000, 600, 5
 THRESHOLD = 0.7
+#: Rows that the trees' own probability counts for in the calibration.
+PRIOR = 20.0
 
 FEATURES = ("words", "lexicon_rate", "lexicon_hits", "lexicon_weight", "lexicon_most", "insult_rate", "second_person_rate", "near_second_person", "capitals", "punctuation", "exclamations", "obfuscated", "obfuscated_hits", "stretched")
 
@@ -149,28 +151,46 @@ class ToxicityModel:
 def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rounds: int = 20, depth: int = 4) -> ToxicityModel:
     """Learns from at most `most` labelled documents (their texts and labels, nothing else).
 
-    Every fourth one is kept for the calibration.  Held-out rows (remainder 1) take no part.
+    Every fourth one, by a hash of the id, is kept for the calibration; neither the lexicon nor the trees see it.
+    Held-out rows (remainder 1) and null ids and labels take no part; of texts with one id, one counts; texts are taken
+    whole.  Where the trees' part holds one label only, the score is the share of toxic ones; without calibration rows it
+    is the trees' own.
     """
     ids = sampled(labels, most)
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"))  # at most `most` ids
-    lexicon = learned_lexicon(rows)
-    ready = checkpointed(measured(rows, lexicon).select("doc_id", "label", array_to_vector("features").alias("features")))
-    fit, rest = ready.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) > 0), ready.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # at most `most` ids
+    rows = stored(rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).withColumn("_held", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0))
+    lexicon = learned_lexicon(rows.where("not _held"))
+    ready = checkpointed(measured(rows, lexicon).select("doc_id", "label", "_held", array_to_vector("features").alias("_x")))
+    fit, rest = ready.where("not _held"), ready.where("_held")
     n, toxic = fit.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < toxic < n:
         return ToxicityModel(lexicon, None, None, float(toxic / n) if n else 0.0)
-    trees = GBTClassifier(featuresCol="_x", labelCol="label", predictionCol="_label", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=11).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(fit.withColumnRenamed("features", "_x"))
-    held = trees.transform(rest.withColumnRenamed("features", "_x")).select(vector_to_array("_raw")[1].alias("_margin"), "label")
-    few = held.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    curve = IsotonicRegression(featuresCol="_margin", labelCol="label", predictionCol="_share").fit(held) if 20 <= few[0] and 3 <= few[1] < few[0] else None
-    return ToxicityModel(lexicon, trees, curve, float(toxic / n))
+    trees = GBTClassifier(featuresCol="_x", labelCol="label", predictionCol="_label", maxIter=rounds, maxDepth=depth, stepSize=0.3, minInstancesPerNode=5, seed=11).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(fit)
+    margin = trees.transform(rest).select(vector_to_array("_raw")[1].alias("_margin"), "label")
+    return ToxicityModel(lexicon, trees, calibrated(margin), float(toxic / n))
+
+
+def calibrated(margins: DataFrame, prior: float = PRIOR) -> IsotonicRegressionModel | None:
+    """The isotonic curve of the share of toxic rows over the margin; None without rows.
+
+    Rows of one margin are added up first, so many equal ones are no load.  The trees' own probability counts as `prior`
+    further rows, spread over all: with few rows the curve stays near it, and with many it hardly matters.
+    """
+    n = margins.count()
+    if not n:
+        return None
+    own = 1 / (1 + F.exp(-2 * F.col("_margin")))
+    added = margins.groupBy("_margin").agg(F.avg("label").alias("share"), F.count("*").cast("double").alias("weight"))
+    target = (F.col("share") + prior / n * own) / (1 + prior / n)
+    return IsotonicRegression(featuresCol="_margin", labelCol="label", weightCol="weight", predictionCol="_share").fit(added.select("_margin", target.alias("label"), "weight"))
 
 
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    Null and empty texts have features of 0 and a score like others.  Rows don't influence each other; repeated ids are
-    rows of their own; only doc_id and text are read.
+    Null and empty texts have features of 0 and a score like others.  Whole texts are measured, however long.  Rows don't
+    influence each other, so ties don't arise; repeated and null ids are rows of their own (a null id is held out); only
+    doc_id and text are read.  An empty table gives no rows.
     """
     rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.lexicon)
     out = model.score(rows)
