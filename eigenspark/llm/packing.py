@@ -75,21 +75,26 @@ def packed(docs: DataFrame, sizes: tuple[int, ...] = SIZES, length: Column | Non
     """doc_id, piece, first, n_tokens, bin, bin_size and offset: where each piece of each document goes.
 
     length: tokens of a document, its words unless given.  Longer documents than the largest size are cut into pieces of
-    that size and a rest, so all tokens are packed.  Rows are dealt out evenly to groups of about `group` pieces, each
-    packed by itself; the ids of bins are unique.  Null and empty texts have one piece of no tokens, and a null bin.
-    Repeated rows are packed as often as they occur.
+    that size and a rest, so all tokens are packed.  Pieces are dealt out by a hash of the id, the piece and its tokens to
+    groups of about `group` pieces, each packed by itself, so places don't depend on the layout of files; the ids of bins
+    are unique.  Null and empty texts have one piece of no tokens, and a null bin.  Equal rows are packed as often as they
+    occur, told apart by a number, so a repeated or null id is spread like others.  Ties of length go by id, piece and that
+    number.  An empty table gives no rows; other columns don't matter.
     """
     sizes = tuple(sorted(sizes))
     top = sizes[-1]
     n = F.greatest(F.lit(0), F.coalesce(length if length is not None else word_count(F.col("text")), F.lit(0))).cast("long")
     whole = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")))
+    same = whole.groupBy("doc_id", "n").agg(F.count("*").alias("times"))  # equal rows are told apart by a number
+    each = same.select("doc_id", "n", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top))))
-    pieces = whole.select("doc_id", "n", piece.alias("piece")).select("doc_id", "piece", (F.col("piece") * top).alias("first"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("n_tokens"))
-    groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.where("n_tokens > 0").withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    pieces = each.select("doc_id", "n", "copy", piece.alias("piece")).select("doc_id", "copy", "piece", (F.col("piece") * top).alias("first"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("n_tokens"))
+    count = whole.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / top)))).first()[0] or 0
+    groups = max(1, -(-count // group))
+    dealt = pieces.where("n_tokens > 0").withColumn("_group", F.pmod(F.xxhash64("doc_id", "copy", "piece", "n_tokens"), F.lit(groups)))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["n_tokens", "doc_id", "piece", "copy"], ascending=[False, True, True, True], kind="stable")
         bins, size, _ = packed_group(rows.n_tokens.tolist(), sizes)
         before, filled = [], [0] * len(size)
         for k, t in zip(bins, rows.n_tokens, strict=True):
