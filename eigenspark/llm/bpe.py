@@ -8,16 +8,20 @@ from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Leaves of the bitmap have so many bits; the root has a bit for each leaf.
 LEAF = 256
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+def ranks_of(lines) -> dict[bytes, int]:
     """Tokens and their ranks from lines of a base64 token and its rank."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
+        return ranks_of(lines)
 
 
 class RankQueue:
@@ -147,17 +151,31 @@ _coders: dict[tuple[str, str], Coder] = {}
 
 
 def coder(path: str, pattern: str) -> Coder:
-    """The coder of this Python process; the vocabulary is read once from a path that every executor has."""
+    """The coder of this process; the vocabulary is read once."""
     if (path, pattern) not in _coders:
         _coders[path, pattern] = Coder(read_ranks(path), pattern)
     return _coders[path, pattern]
 
 
+def sent(spark: SparkSession, path: str, pattern: str):
+    """A function that gives a task its coder: the file is read by the driver alone and broadcast, a megabyte or so."""
+    with open(path, "rb") as lines:
+        data = spark.sparkContext.broadcast(lines.read())
+
+    def own() -> Coder:
+        if (path, pattern) not in _coders:
+            _coders[path, pattern] = Coder(ranks_of(data.value.splitlines()), pattern)
+        return _coders[path, pattern]
+
+    return own
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids array<int> of every whole text; null texts have none; rows are independent of each other."""
+    own = sent(docs.sparkSession, path, pattern)
 
     def run(batches):
-        c = coder(path, pattern)
+        c = own()
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([c.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -166,9 +184,10 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and data binary, the bytes of ids; null ids have none."""
+    own = sent(rows.sparkSession, path, pattern)
 
     def run(batches):
-        c = coder(path, pattern)
+        c = own()
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([c.decode(x or ()) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
@@ -180,11 +199,12 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Null and empty texts have no ids, and the digests of nothing.  Each row is coded by itself, so repeated rows and ids
     and other columns don't matter.  Memory: one batch and the remembered pieces; pieces over 64 characters aren't
-    remembered.
+    remembered.  Ties of rank go to the leftmost pair.  An empty table gives no rows.
     """
+    own = sent(docs.sparkSession, path, pattern)
 
     def run(batches):
-        c = coder(path, pattern)
+        c = own()
         for b in batches:
             counts, ids_sha, data_sha = [], [], []
             for text in b.column(1).to_pylist():
