@@ -28,7 +28,6 @@ NOTICES = (
     ("creative commons attribution 4 0 international", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("all rights reserved", "all-rights-reserved"),
 )
 #: One error for so many characters of a notice, and at most so many errors.
 CHARS_AN_ERROR, MOST_ERRORS = 14, 6
@@ -90,17 +89,13 @@ class Notices:
                 yield m
                 todo += [(a, m.start()), (m.end(), b)]
 
+    def verified(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(notice, first, last, errors) of each place of each notice; the library's matching verifies the errors."""
+        return [(k, m.start(), m.end(), sum(m.fuzzy_counts)) for k, a, b in self.windows(text) for m in self.within(k, text, a, b)]
+
     def matches(self, text: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, first, last, errors, similarity) of each notice found; the library's matching verifies the errors.
-
-        Of overlapping notices only the closest stays.
-        """
-        out = []
-        for k, a, b in self.windows(text):
-            notice, label = self.notices[k]
-            for m in self.within(k, text, a, b):
-                edits = sum(m.fuzzy_counts)
-                out.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+        """(label, first, last, errors, similarity) of each notice found; of overlapping ones only the closest stays."""
+        out = [(self.notices[k][1], a, b, e, 1 - e / len(self.notices[k][0])) for k, a, b, e in self.verified(text)]
         kept: list = []
         for x in sorted(out, key=lambda x: (x[1], x[2], x[0])):
             if kept and x[1] < kept[-1][2]:
@@ -162,8 +157,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     """Base phrases and fuzzy notices of every whole text.
 
     spans: label, first word, number of words, errors and the words found, for each notice with up to one error in
-    CHARS_AN_ERROR characters.  score: 1 with a base phrase, else the likeness of the closest notice, else 0.  Null and
-    empty texts have no words, null first_word and last_word, and no labels.  Rows don't influence each other.
+    CHARS_AN_ERROR characters; of overlapping ones the closest, then the longer, then the later label by name.  score: 1
+    with a base phrase, else the likeness of the closest notice, else 0.  Null and empty texts have no words, null first_word
+    and last_word, and no labels.  Texts are searched whole, however long.  Rows don't influence each other, so repeated
+    rows and ids and null ids don't matter, nor do other columns.  An empty table gives no rows.
     """
 
     def run(batches):
