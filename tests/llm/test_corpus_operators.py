@@ -233,6 +233,57 @@ def test_packing_query(spark, make_docs, random_words):
     assert packing.packed(make_docs([])).count() == 0
 
 
+def plain_packing(lengths, sizes):
+    """Best fit by looking at every open bin, for each limit of the sizes opened freely; the cheapest."""
+    best = None
+    for most in sizes:
+        room, used, of = [], [], []
+        for i, n in enumerate(lengths):
+            fits = [(r, -k) for k, r in enumerate(room) if r >= n]
+            if fits:
+                k = max((k for k, r in enumerate(room) if r == min(fits)[0]), key=lambda k: packing_turn[k])
+            else:
+                each = []
+                for s in [s for s in sizes if n <= s <= most] or [next(s for s in sizes if n <= s)]:
+                    rest = sum(x for j, x in enumerate(lengths) if j > i and x <= s - n)
+                    each.append((packing.cost(s) / min(s, n + rest), s))
+                k = len(room)
+                room.append(min(each)[1])
+                used.append(0)
+                packing_turn.append(0)
+            room[k] -= n
+            used[k] += n
+            packing_turn[k] = i + 1  # of bins with equal room, the one touched last
+            of.append(k)
+        final = [next(s for s in sizes if u <= s) for u in used]
+        total = sum(map(packing.cost, final))
+        if best is None or total < best[2]:
+            best = of, final, total
+        packing_turn.clear()
+    return best
+
+
+packing_turn: list[int] = []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
+def test_packing_matches_a_plain_version(lengths):
+    lengths = sorted(lengths, reverse=True)
+    assert packing.packed_group(lengths, (16, 32, 64)) == plain_packing(lengths, (16, 32, 64))
+
+
+def test_packing_does_not_depend_on_the_layout(spark, make_docs, random_words):
+    rng = np.random.default_rng(25)
+    rows = [(i, random_words(rng, int(n)), "en") for i, n in enumerate(rng.integers(0, 300, 400))]
+    rows += [(7, "same words here", "en")] * 200 + [(None, "a b c", "en")] * 50
+    docs = make_docs(rows)
+    one, two = (sorted(map(str, packing.packed(docs.repartition(n), group=50).collect())) for n in (2, 5))
+    assert one == two and len(one) == len(rows)
+    groups = Counter(r.bin >> 24 for r in packing.packed(docs, group=50).collect() if r.bin is not None)
+    assert max(groups.values()) < 3 * 50
+
+
 def plain_places(rows, chosen):
     """Shard and place of rows (doc_id, size, text_crc32, virtual_slot) that are dealt out slot by slot."""
     filled, out = [0] * chosen.shards, []
@@ -317,6 +368,8 @@ def test_quality_counts_match_brute_force(spark, make_docs, random_words):
         assert got == plain_counts(texts[r.doc_id])
         assert r.base_failed == (got[0] < 50 or 100 * got[4] > 50 * got[0]) and r.kept == (not r.base_failed)
     assert quality.judged(make_docs([]), labels).count() == 0
+    twice = quality.judged(make_docs([(1, texts[0], "en"), (1, texts[0], "en"), (None, texts[0], None), (2, "a b " * 9000, None)]), spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert sorted(str(r.doc_id) for r in twice) == ["1", "1", "2", "None"] and {r.n_repeat_words for r in twice if r.doc_id == 2} == {18_000}
 
 
 def test_quality_cutoffs_keep_their_promise(spark, make_docs, random_words):

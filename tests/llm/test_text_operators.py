@@ -63,6 +63,8 @@ def test_bpe_query_and_odd_texts(spark, make_docs, theirs):
         assert got[i].n_tokens == len(want) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.digests(make_docs([]), PATH, tokenizers.PATTERN).count() == 0
+    twice = bpe.digests(make_docs([(1, "a b", "en"), (1, "a b", "en"), (None, "a b", "en"), (1, None, "en")]), PATH, tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in twice) == [(False, 0), (False, 2), (False, 2), (True, 2)]
 
 
 def base_scan(text):
@@ -99,6 +101,83 @@ def test_license_fuzzy_notices():
     assert find("nothing to see under the mitten licence of the state")[5] == ""
 
 
+def least_errors(notice, text):
+    """The least number of edits that make a part of the text the notice: (errors, and where such parts end)."""
+    row = list(range(len(notice) + 1))
+    best, ends = row[-1], [0]
+    for j, c in enumerate(text, 1):
+        new = [0]
+        for i, n in enumerate(notice, 1):
+            new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (n != c)))
+        row = new
+        if row[-1] < best:
+            best, ends = row[-1], []
+        if row[-1] == best:
+            ends.append(j)
+    return best, ends
+
+
+def distance(a, b):
+    row = list(range(len(a) + 1))
+    for j, c in enumerate(b, 1):
+        new = [j]
+        for i, n in enumerate(a, 1):
+            new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (n != c)))
+        row = new
+    return row[-1]
+
+
+def garbled(rng, notice, edits):
+    x = list(notice)
+    for _ in range(edits):
+        i = rng.randrange(len(x))
+        x[i : i + 1] = rng.choice([[], ["z"], [x[i], "q"], ["q", x[i]]])
+    return "".join(x)
+
+
+def test_license_notices_match_edit_distances():
+    """Found notices, their errors and spans against the table of edit distances of every notice and text."""
+    rng, own = random.Random(20), licenses._notices()
+    filler = "some plain words of no license at all under version public use".split()
+    seen = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = rng.choice(licenses.NOTICES)[0]
+            parts += [" ".join(rng.choices(filler, k=rng.randrange(0, 5))), garbled(rng, notice, rng.randrange(licenses.errors(notice) + 3))]
+        text = " " + " ".join(" ".join(parts).split()) + " "
+        found = own.verified(text)
+        for k, (notice, _) in enumerate(own.notices):
+            least, _ = least_errors(notice, text)
+            mine = [x for x in found if x[0] == k]
+            assert bool(mine) == (least <= licenses.errors(notice))
+            assert not mine or min(x[3] for x in mine) == least
+            for _, a, b, e in mine:
+                assert distance(notice, text[a:b]) == e <= licenses.errors(notice)
+            seen += len(mine)
+        labels = {own.notices[k][1] for k, *_ in found}
+        kept = own.matches(text)
+        assert {x[0] for x in kept} <= labels and bool(kept) == bool(labels)
+        assert all(x[2] <= y[1] for x, y in zip(kept, kept[1:], strict=False))
+        assert all(any(x[1] < b and a < x[2] and x[4] >= 1 - e / len(own.notices[k][0]) - 1e-12 for x in kept) for k, a, b, e in found if sum(a < y[2] and y[1] < b for y in found) == 1)
+    assert seen > 150
+
+
+def test_license_score_and_repeated_rows(spark, make_docs):
+    text = "x licensed under the apache licence version 2 0 y"
+    rows = licenses.scanned(make_docs([(1, text, "en"), (1, text, "en"), (None, text, "en"), (2, text + " under the MIT license", "en"), (3, None, None)], clash=True)).collect()
+    notice = "licensed under the apache license version 2 0"
+    for r in rows:
+        if r.doc_id == 3:
+            assert (r.labels, r.score, r.spans) == ("", 0.0, [])
+        elif r.doc_id == 2:
+            assert (r.labels, r.base_labels, r.score) == ("apache-2,mit", "mit", 1.0)
+        else:
+            assert (r.labels, r.base_labels) == ("apache-2", "") and r.score == pytest.approx(1 - 1 / len(notice))
+            assert [tuple(x) for x in r.spans] == [("apache-2", 1, 8, 1, "licensed under the apache licence version 2 0")]
+    assert len(rows) == 5 and not licenses.scan_text("all rights reserved")[5]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.data())
 def test_pigeonhole_misses_no_notice(data):
@@ -133,6 +212,36 @@ def test_language_on_held_out_and_odd_rows(spark, make_docs):
     assert language.identified(make_docs([]), one).count() == 0
 
 
+def test_all_languages_are_learned(spark, make_docs):
+    """More languages than a code has rows of random tables to spare, a hot one, and texts of one id."""
+    rng, rows = np.random.default_rng(21), []
+    for g in range(90):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)]
+        rows += [(1000 * g + i, " ".join(rng.choice(own, 40)), f"l{g}") for i in range(300 if g == 7 else 12)]
+    rows += [(8, f"only words of number {i}", "one") for i in range(3)] * 50  # crc32("8") % 3 is not 1
+    model = language.learned(make_docs(rows), most=900)
+    assert zlib.crc32(b"8") % 3 != 1 and model.classes == sorted({g for _, _, g in rows})
+    held = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    said = model.predict([t for t, _ in held])
+    assert np.mean([x[0] == g for x, (_, g) in zip(said, held, strict=True)]) > 0.9
+    small = language.learned(make_docs(rows), most=900, least=1)
+    assert len(small.classes) == 91
+
+
+def test_decoding_matches_a_plain_version():
+    """The nearest codeword by the weighted exponential loss of each bit, and shares of the losses."""
+    rng = np.random.default_rng(22)
+    code = language.codewords(5)
+    model = language.OutputCode(list("abcde"), code, rng.normal(size=(language.DIMS, code.shape[1])).astype(np.float32), rng.normal(size=code.shape[1]).astype(np.float32), rng.random(code.shape).astype(np.float32))
+    texts = [speech(rng, "en", 9), "été", "x"]
+    for x, (name, score, unsure) in zip(language.vectors(texts), model.predict(texts), strict=True):
+        margins = [min(4.0, max(-4.0, float(sum(float(a) * float(b) for a, b in zip(x, w, strict=True)) + c))) for w, c in zip(model.weights.T, model.bias, strict=True)]
+        losses = [sum(float(k) * np.exp(-m * float(c)) for m, c, k in zip(margins, row, own, strict=True)) for row, own in zip(code, model.skill, strict=True)]
+        shares = np.exp(min(losses) - np.array(losses)) / np.exp(min(losses) - np.array(losses)).sum()
+        assert name == "abcde"[int(np.argmin(losses))] and score == pytest.approx(shares.max(), abs=1e-4)
+        assert unsure == (np.sort(shares)[-1] - np.sort(shares)[-2] < language.MARGIN)
+
+
 def test_codewords_differ_and_correct_errors():
     for n in (2, 3, 4, 6, 7, 20):
         code = language.codewords(n)
@@ -166,6 +275,46 @@ def test_toxicity_on_held_out_and_odd_rows(spark, make_docs, random_words):
     assert toxicity.scored(make_docs([]), model).count() == 0
 
 
+def test_toxicity_learns_apart_from_its_calibration(spark, make_docs, random_words):
+    """A word that marks toxic texts of the calibration part alone is not learned; copies of an id count once."""
+    rng = np.random.default_rng(23)
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = {r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).collect()}
+    rows = [(i, random_words(rng, 30, 300) + (f" {'heldword' if i in held else 'fitword'}" if i % 3 == 0 else ""), "en") for i in ids]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in ids] + [(ids[0], 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.learned(make_docs(rows + rows[:50]), labels, rounds=3)
+    assert "fitword" in model.lexicon.weights and "heldword" not in model.lexicon.weights and model.calibration is not None
+
+
+def pooled(rows):
+    """Isotonic means of (margin, target, weight) by pooling neighbours that fall, a block at a time."""
+    blocks = []
+    for m, y, w in sorted(rows):
+        blocks.append([y * w, w, [m]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+            y, w, own = blocks.pop()
+            blocks[-1][0] += y
+            blocks[-1][1] += w
+            blocks[-1][2] += own
+    return {m: y / w for y, w, own in blocks for m in own}
+
+
+def test_calibration_matches_a_plain_version(spark):
+    rng = np.random.default_rng(24)
+    rows = [(float(np.round(rng.normal(), 1)), float(rng.random() < 0.3)) for _ in range(80)] + [(0.5, 1.0)] * 300
+    n, added = len(rows), {}
+    for m, y in rows:
+        added.setdefault(m, []).append(y)
+    own = lambda m: 1 / (1 + np.exp(-2 * m))
+    want = pooled([(m, (np.mean(y) + toxicity.PRIOR / n * own(m)) / (1 + toxicity.PRIOR / n), len(y)) for m, y in added.items()])
+    table = spark.createDataFrame(rows, "_margin double, label double")
+    curve = toxicity.calibrated(table)
+    for r in curve.transform(spark.createDataFrame([(m,) for m in want], "_margin double")).collect():
+        assert r._share == pytest.approx(want[r._margin])
+    few = toxicity.calibrated(table.limit(1))
+    assert 0 < few.transform(table.limit(1)).first()._share < 1 and toxicity.calibrated(table.limit(0)) is None
+
+
 def test_toxicity_features():
     lexicon = toxicity.Lexicon({"zorg": 3.0, "blukk-": 2.0})
     f = dict(zip(toxicity.FEATURES, toxicity.features("You zorg! Blukkaaa 1d1ot st*ff ABC", lexicon), strict=True))
