@@ -27,8 +27,8 @@ def dataset_summary(df: DataFrame, label: str = "label", features: str = "featur
 
 
 def accuracy(df: DataFrame, truth: str = "label", predicted: str = "predicted") -> DataFrame:
-    """One row: n and accuracy, null without rows."""
-    return df.agg(F.count("*").alias("n"), F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("accuracy"))
+    """One row: n and accuracy, not a number without rows."""
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col(truth) == F.col(predicted)).cast("double")), F.lit(float("nan"))).alias("accuracy"))
 
 
 def confusion(df: DataFrame, classes: int, truth: str = "label", predicted: str = "predicted") -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import split_counts
 
+#: Distinct values that are broadcast, at most.
+SMALL = 100_000
+
 
 def key(row_id: str, seed: int | Column) -> Column:
     seed = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
@@ -20,7 +23,7 @@ def key(row_id: str, seed: int | Column) -> Column:
 def ranked(df: DataFrame, by: list[str], order: Column, row_id: str, digits: int = 2) -> DataFrame:
     """Adds n_class and class_rank (from 1) within the columns `by`, in the order of a hexadecimal key and then row_id.
 
-    Rows with a null among `by` take no part.
+    Rows with a null among `by` are a class of their own.
 
     digits: first digits of the key that name a bucket; a bucket holds one part in 16 ** digits of a class.
     """
@@ -31,7 +34,9 @@ def ranked(df: DataFrame, by: list[str], order: Column, row_id: str, digits: int
     upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = counts.select(*by, "_bucket", (F.sum("_in_bucket").over(upto) - F.col("_in_bucket")).alias("_before"), F.sum("_in_bucket").over(Window.partitionBy(*by)).alias("n_class"))
     within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", row_id))
-    return keyed.join(sums, [*by, "_bucket"]).withColumn("class_rank", F.col("_before") + within).drop("_key", "_bucket", "_before", "_all")
+    sums = sums.select(F.struct(*by, "_bucket").alias("_cell"), "_before", "n_class")  # equal structs have equal nulls
+    ranks = keyed.withColumn("_within", within).withColumn("_cell", F.struct(*by, "_bucket"))
+    return ranks.join(sums, "_cell").withColumn("class_rank", F.col("_before") + F.col("_within")).drop("_key", "_bucket", "_before", "_all", "_within", "_cell")
 
 
 def by_class(df: DataFrame, label: str, row_id: str, seed: int) -> DataFrame:
@@ -137,9 +142,9 @@ def complement(df: DataFrame, part: DataFrame, row_id: str = "row_id") -> DataFr
 
 def encoded(df: DataFrame, raw: str, to: str = "label") -> DataFrame:
     """Adds a dense label from 0 in the order of the raw value's type: numbers by size, text by code points."""
-    # only distinct values are ranked
+    # only distinct values are ranked; up to SMALL of them are broadcast, so a value that most rows have is no single task
     dim = df.select(raw).distinct().withColumn(to, (F.dense_rank().over(Window.orderBy(raw)) - 1).cast("int"))
-    return df.join(dim, raw)
+    return df.join(F.broadcast(dim) if dim.limit(SMALL + 1).count() <= SMALL else dim, raw)
 
 
 def decoded(df: DataFrame, names: DataFrame, label: str = "label") -> DataFrame:

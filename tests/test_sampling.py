@@ -97,3 +97,9 @@ def test_nested(spark):
 def test_encode_orders_numbers_by_size(spark):
     df = spark.createDataFrame([(10,), (9,), (100,), (9,)], "raw int")
     assert {r.raw: r.label for r in sampling.encoded(df, "raw").collect()} == {9: 0, 10: 1, 100: 2}
+
+
+def test_null_labels_are_a_class(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "row_id long, label string")
+    assert sampling.stratified_holdout(rows, 0.2).where("label is null").groupBy("is_holdout").count().orderBy("count").collect()[0]["count"] == 2
+    assert sampling.stratified_folds(rows, 5).count() == 30 and sampling.nested_folds(rows, 2, 2).count() == 30
