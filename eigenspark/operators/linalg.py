@@ -126,11 +126,42 @@ class Sums:
         return Sums(self.n + other.n, self.total + other.total, self.products + other.products, self.per_class + other.per_class, self.counts + other.counts)
 
 
+#: Bytes of a piece of sums that travels as one value.
+PIECE = 1 << 20
+
+
+def summed(df: DataFrame, run, columns: list[str]) -> dict[int, np.ndarray]:
+    """Sums by key of the matrices that tasks add up: run takes an iterator of pandas tables and gives {key: matrix}.
+
+    Matrices travel and are added in pieces of whole rows; what comes to the driver is one matrix for each key.
+    """
+
+    def parts(batches):
+        for k, m in run(batches).items():
+            m = np.ascontiguousarray(m, float)
+            step = max(1, PIECE // (8 * max(1, m.shape[1])))
+            for a in range(0, len(m), step):
+                yield pd.DataFrame({"k": [k], "at": [a], "width": [m.shape[1]], "data": [m[a : a + step].tobytes()]})
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["data"].iloc[0]).copy()
+        for d in pdf["data"].iloc[1:]:
+            total += np.frombuffer(d)
+        return pd.DataFrame({"k": [key[0]], "at": [key[1]], "width": [pdf["width"].iloc[0]], "data": [total.tobytes()]})
+
+    schema = "k int, at int, width int, data binary"
+    rows = df.select(*columns).mapInPandas(parts, schema).groupBy("k", "at").applyInPandas(add, schema).collect()
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r.k, r["at"])):
+        out.setdefault(r.k, []).append(np.frombuffer(r.data).reshape(-1, r.width))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
 def grouped_sums(df: DataFrame, groups: int, classes: int, group: str | None = None, features: str = "features", label: str = "label") -> list[Sums]:
     """Sums of each group (an int column, from 0) in one pass.  What comes to the driver: groups * (p * p + classes * p) numbers."""
 
     def run(batches):
-        own: dict[int, list] = {}
+        own: dict[int, np.ndarray] = {}
         for pdf in batches:
             x, y = block(pdf[features]), pdf[label].to_numpy(int)
             which = pdf[group].to_numpy(int) if group else np.zeros(len(y), int)
@@ -138,29 +169,20 @@ def grouped_sums(df: DataFrame, groups: int, classes: int, group: str | None = N
                 z, c = x[which == k], y[which == k]
                 hot = np.zeros((classes, len(c)))
                 hot[c, np.arange(len(c))] = 1
-                new = [len(z), z.T @ z, hot @ z, hot.sum(1)]
-                old = own.get(int(k))
-                own[int(k)] = new if old is None else [a + b for a, b in zip(old, new, strict=True)]
-        for k, (n, products, per_class, counts) in own.items():
-            p = len(products)
-            rows = np.vstack([products, per_class])
-            for r, values in enumerate(rows):
-                yield pd.DataFrame({"g": [k], "r": [r], "n": [n if r == 0 else 0], "count": [int(counts[r - p]) if r >= p else 0], "values": [values]})
+                p = z.shape[1]
+                new = np.zeros((p + classes, p + 1))  # products, then class sums; counts in the last column
+                new[:p, :p], new[p:, :p], new[p:, p] = z.T @ z, hot @ z, hot.sum(1)
+                own[int(k)] = new if int(k) not in own else own[int(k)] + new
+        return own
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [key[0]], "r": [key[1]], "n": [pdf["n"].sum()], "count": [pdf["count"].sum()], "values": [np.sum(pdf["values"].tolist(), axis=0)]})
-
-    schema = "g int, r int, n long, count long, values array<double>"
-    parts = df.select(features, label, *([group] if group else [])).mapInPandas(run, schema)
-    rows = parts.groupBy("g", "r").applyInPandas(add, schema).collect()
+    found = summed(df, run, [features, label, *([group] if group else [])])
     out = []
     for g in range(groups):
-        mine = sorted((r for r in rows if r.g == g), key=lambda r: r.r)
-        if not mine:
+        if g not in found:
             raise ValueError(f"no training rows in group {g}")
-        table = np.array([r["values"] for r in mine])
-        p = table.shape[1]
-        out.append(Sums(mine[0]["n"], table[p:].sum(0), table[:p], table[p:], np.array([r["count"] for r in mine[p:]])))
+        p = found[g].shape[1] - 1
+        per_class, counts = found[g][p:, :p], found[g][p:, p]
+        out.append(Sums(int(counts.sum()), per_class.sum(0), found[g][:p, :p], per_class, counts.astype(np.int64)))
     return out
 
 
@@ -197,10 +219,71 @@ def projected_sums(sums: Sums, basis: Components) -> Sums:
     return Sums(sums.n, total, v @ centred @ v.T, (sums.per_class - sums.counts[:, None] * m) @ v.T, sums.counts)
 
 
-def fit_components(df: DataFrame, k: int, features: str = "features") -> Components:
-    """Principal components of the rows of df, from one pass."""
+_fitted: list[tuple[DataFrame, int, str, Components]] = []
+
+
+def fit_components(df: DataFrame, k: int, features: str = "features", keep: bool = True) -> Components:
+    """Principal components of the rows of df: from the sums of one pass, or with over WIDE features from a narrower space.
+
+    keep: the last few results are kept in the session, and found again for a DataFrame of the same plan.
+    """
+    for old, size, column, basis in _fitted if keep else []:
+        if size == k and column == features and old.sparkSession is df.sparkSession and old.sameSemantics(df):
+            return basis
     one = df.select(features, F.lit(0).alias("_label"))
-    return components_of(grouped_sums(one, 1, 1, features=features, label="_label")[0], k)
+    space = narrow_space(df, k, features)
+    if space is None:
+        basis = components_of(grouped_sums(one, 1, 1, features=features, label="_label")[0], k)
+    else:
+        inner = components_of(grouped_sums(project(one, space, features, features), 1, 1, features=features, label="_label")[0], k)
+        basis = Components(space.mean + inner.mean @ space.components, inner.components @ space.components, inner.explained_variance)
+    if keep:
+        _fitted.append((df, k, features, basis))
+        del _fitted[:-8]
+    return basis
+
+
+#: Features up to which the products of all pairs are added up; beyond that rows are first projected to a narrower space.
+WIDE = 1024
+#: Directions of that space beyond twice the components wanted, and passes that sharpen it.
+MORE, PASSES = 10, 3
+
+
+def narrow_space(df: DataFrame, k: int, features: str = "features", seed: int = 42) -> Components | None:
+    """An orthonormal basis of 2 * k + MORE directions that hold the leading components of the rows, by a randomised range
+    finder: each pass adds up features times directions numbers a task, never the products of all pairs of features.
+
+    None where the features are at most WIDE, or no more than the directions.
+    """
+    p = len((df.select(features).first() or [[]])[0])
+    q = 2 * k + MORE
+    if p <= max(WIDE, q):
+        return None
+
+    def totals(batches):
+        total = np.zeros((1, p + 1))
+        for pdf in batches:
+            x = block(pdf[features])
+            total[0, :p] += x.reshape(-1, p).sum(0)
+            total[0, p] += len(x)
+        return {0: total}
+
+    whole = summed(df, totals, [features])[0][0]
+    n, mean = whole[p], whole[:p] / whole[p]
+    directions = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, min(q, int(n)))))[0]
+    for _ in range(PASSES):
+        sent = df.sparkSession.sparkContext.broadcast(directions)  # features * directions numbers
+
+        def turned(batches):
+            out = np.zeros(sent.value.shape)
+            for pdf in batches:
+                x = block(pdf[features]).reshape(-1, p) - mean
+                out += x.T @ (x @ sent.value)
+            return {0: out}
+
+        directions = np.linalg.qr(summed(df, turned, [features])[0])[0]
+        sent.unpersist()
+    return Components(mean, np.ascontiguousarray(directions.T), np.zeros(directions.shape[1]))
 
 
 def project(df: DataFrame, basis: Components, features: str = "features", to: str = "projected") -> DataFrame:

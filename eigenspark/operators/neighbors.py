@@ -35,32 +35,40 @@ def nearest_in_cell(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, step:
     return np.concatenate(rows), np.concatenate(found), np.concatenate(far)
 
 
-def neighbors(queries: DataFrame, train: DataFrame, k: int, row_id: str = "row_id", label: str = "label", features: str = "features", sizes: tuple[int, int] | None = None) -> DataFrame:
+def neighbors(queries: DataFrame, train: DataFrame, k: int, row_id: str = "row_id", label: str = "label", features: str = "features", sizes: tuple[int, int] | None = None, group: str | None = None) -> DataFrame:
     """query_id, neighbor_id, neighbor_label, distance (squared) and rank of the k nearest rows; k is held to [1, rows].
 
-    sizes: rows of queries and of train if they are known; else both are counted.
+    sizes: rows of queries and of train if they are known; else both are counted.  group: an int column of both; then
+    neighbours are looked for among the rows of the query's group, and the result has the column too.
     """
     n_queries, n_train = sizes or (queries.count(), train.count())
+    if group is None:
+        queries, train = queries.withColumn("_g", F.lit(0)), train.withColumn("_g", F.lit(0))
+        groups = 1
+    else:
+        queries, train = queries.withColumn("_g", F.col(group)), train.withColumn("_g", F.col(group))
+        groups = max(1, train.select("_g").distinct().count())
     k = max(1, min(k, n_train))
-    down, across = max(1, -(-n_queries // QUERY_CELL)), max(1, -(-n_train // TRAIN_CELL))
-    left = queries.select(F.col(row_id).alias("query_id"), F.col(features).alias("q"), F.pmod(F.xxhash64(row_id), F.lit(down)).alias("d"))
-    left = left.select("query_id", "q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda g: g * down + F.col("d"))).alias("cell"))
-    right = train.select(F.col(row_id).alias("neighbor_id"), F.col(label).cast("int").alias("neighbor_label"), F.col(features).alias("x"), F.pmod(F.xxhash64(row_id), F.lit(across)).alias("g"))
-    right = right.select("neighbor_id", "neighbor_label", "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda d: F.col("g") * down + d)).alias("cell"))
+    down, across = max(1, -(-n_queries // (groups * QUERY_CELL))), max(1, -(-n_train // (groups * TRAIN_CELL)))
+    left = queries.select("_g", F.col(row_id).alias("query_id"), F.col(features).alias("q"), F.pmod(F.xxhash64(row_id), F.lit(down)).alias("d"))
+    left = left.select("_g", "query_id", "q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda g: g * down + F.col("d"))).alias("cell"))
+    right = train.select("_g", F.col(row_id).alias("neighbor_id"), F.col(label).cast("int").alias("neighbor_label"), F.col(features).alias("x"), F.pmod(F.xxhash64(row_id), F.lit(across)).alias("g"))
+    right = right.select("_g", "neighbor_id", "neighbor_label", "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda d: F.col("g") * down + d)).alias("cell"))
 
     def run(key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(own):
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "neighbor_label": [], "distance": []})
+            return pd.DataFrame({"_g": [], "query_id": [], "neighbor_id": [], "neighbor_label": [], "distance": []})
         place = np.arange(len(own))
         order = np.argsort(own.neighbor_id.to_numpy(), kind="stable")
         own = own.iloc[order]
         rows, found, far = nearest_in_cell(place, block(own.x), block(asked.q), k)
-        return pd.DataFrame({"query_id": asked.query_id.to_numpy()[rows], "neighbor_id": own.neighbor_id.to_numpy()[found], "neighbor_label": own.neighbor_label.to_numpy()[found], "distance": far})
+        return pd.DataFrame({"_g": key[0], "query_id": asked.query_id.to_numpy()[rows], "neighbor_id": own.neighbor_id.to_numpy()[found], "neighbor_label": own.neighbor_label.to_numpy()[found], "distance": far})
 
-    schema = "query_id long, neighbor_id long, neighbor_label int, distance double"
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(run, schema)
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    schema = "_g int, query_id long, neighbor_id long, neighbor_label int, distance double"
+    found = left.groupBy("_g", "cell").cogroup(right.groupBy("_g", "cell")).applyInPandas(run, schema)
+    order = Window.partitionBy("_g", "query_id").orderBy("distance", "neighbor_id")
+    out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.drop("_g") if group is None else out.withColumnRenamed("_g", group)
 
 
 def vote_shares(near: DataFrame, k: int | None = None) -> DataFrame:
@@ -76,8 +84,9 @@ def vote(near: DataFrame, k: int | None = None) -> DataFrame:
     return shares.groupBy("query_id").agg(F.min_by("label", F.struct(-F.col("votes"), "label")).alias("predicted"))
 
 
-def sweep(near: DataFrame, ks: list[int]) -> DataFrame:
-    """k, query_id and predicted for several k from one table of neighbours."""
+def sweep(near: DataFrame, ks: list[int], group: str | None = None) -> DataFrame:
+    """k, query_id and predicted (and group) for several k from one table of neighbours."""
+    by = ["k", "query_id", *([group] if group else [])]
     each = near.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in sorted(set(ks))]))).where("rank <= k")
-    votes = each.groupBy("k", "query_id", F.col("neighbor_label").alias("label")).agg(F.count("*").alias("votes"))
-    return votes.groupBy("k", "query_id").agg(F.min_by("label", F.struct(-F.col("votes"), "label")).alias("predicted"))
+    votes = each.groupBy(*by, F.col("neighbor_label").alias("label")).agg(F.count("*").alias("votes"))
+    return votes.groupBy(*by).agg(F.min_by("label", F.struct(-F.col("votes"), "label")).alias("predicted"))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, neighbors, sampling
-from .classifiers import LinearModel, fit_svm, least_squares_of, nearest_mean_of
-from .linalg import Sums, block, components_of, grouped_sums, project, projected_sums
+from .classifiers import LinearModel, fit_svms, least_squares_of, nearest_mean_of
+from .linalg import Sums, block, components_of, grouped_sums, narrow_space, project, projected_sums
 
 #: Default grids.
 COMPONENTS = (50, 100, 200, 363)
@@ -141,47 +141,47 @@ def scored(df: DataFrame, models: dict[int, list[tuple[str, int, LinearModel]]],
     return parts.groupBy("g", "model", "place").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
 
 
-def neighbor_scores(validation: DataFrame, train: DataFrame, settings: list[dict], row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
-    """model, place, n, right for each k, from one search with the largest k."""
+def neighbor_scores(validation: DataFrame, train: DataFrame, settings: list[dict], row_id: str = "row_id", label: str = "label", features: str = "features", group: str = "_g") -> DataFrame:
+    """g, model, place, n, right for each group and k, from one search with the largest k."""
     ks = {s["k"]: i for i, s in enumerate(settings)}
-    near = neighbors.neighbors(validation, train, max(ks), row_id, label, features)
-    votes = neighbors.sweep(near, list(ks)).join(validation.select(F.col(row_id).alias("query_id"), F.col(label).alias("truth")), "query_id")
+    near = neighbors.neighbors(validation, train, max(ks), row_id, label, features, group=group)
+    votes = neighbors.sweep(near, list(ks), group).join(validation.select(F.col(row_id).alias("query_id"), group, F.col(label).alias("truth")), ["query_id", group])
     place = F.create_map(*[F.lit(v) for k, i in ks.items() for v in (k, i)])
-    out = votes.groupBy("k").agg(F.count("*").alias("n"), F.sum((F.col("predicted") == F.col("truth")).cast("long")).alias("right"))
-    return out.select(F.lit("knn").alias("model"), place[F.col("k")].alias("place"), "n", "right")
+    out = votes.groupBy(group, "k").agg(F.count("*").alias("n"), F.sum((F.col("predicted") == F.col("truth")).cast("long")).alias("right"))
+    return out.select(F.col(group).cast("int").alias("g"), F.lit("knn").alias("model"), place[F.col("k")].alias("place"), "n", "right")
 
 
-def svm_scores(validation: DataFrame, train: DataFrame, settings: list[dict], sums: Sums, classes: int, label: str = "label", features: str = "features") -> DataFrame:
-    """model, place, n, right for each setting; settings that differ by the learning rate alone share a fit."""
-    basis = components_of(sums, max(s["n_components"] for s in settings))
-    z = project(train, basis, features, "_z").persist()
-    models, fits = [], {}
-    try:
-        for i, s in enumerate(settings):
-            at = (s["n_components"], s["reg_strength"], s["epochs"])
-            if at not in fits:
-                fits[at] = fit_svm(z.withColumn("_z", F.slice("_z", 1, s["n_components"])), classes, s["reg_strength"], s["epochs"], "_z", label, basis)
-            models.append(("svm", i, fits[at]))
-    finally:
-        z.unpersist()
-    return scored(validation.withColumn("_g", F.lit(0)), {0: models}, "_g", features, label).drop("g")
+def svm_models(df: DataFrame, trains: str, sums: dict[int, Sums], settings: list[dict], classes: int, label: str = "label", features: str = "features") -> dict[int, list[tuple[str, int, LinearModel]]]:
+    """(family, place in the grid, model) of all support vector machines of each training set; sums: those of the sets."""
+    bases = {g: components_of(s, max(x["n_components"] for x in settings)) for g, s in sums.items()}
+    found = fit_svms(df, settings, classes, bases, trains, features, label)
+    return {g: [("svm", i, found[g, i]) for i in range(len(settings))] for g in sums}
+
+
+def narrowed(df: DataFrame, settings: dict[str, list[dict]], features: str) -> DataFrame:
+    """df with the column _x: the features, or with very many of them their places in a space of the leading directions of
+    all rows, which the families on components then work in."""
+    most = max((s["n_components"] for own in settings.values() for s in own if "n_components" in s), default=0)
+    space = narrow_space(df, most, features) if most else None
+    return df.withColumn("_x", F.col(features)) if space is None else project(df, space, features, "_x")
 
 
 def tuned_on_holdout(df: DataFrame, settings: dict[str, list[dict]], classes: int, ratio: float = 0.2, seed: int = 42, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
     """model, setting, place, train_accuracy and validation_accuracy of every setting on one stratified holdout."""
-    rows = sampling.stratified_holdout(df, ratio, label, row_id, seed).withColumn("_g", F.col("is_holdout").cast("int")).persist()
     spark = df.sparkSession
+    dealt = sampling.stratified_holdout(df, ratio, label, row_id, seed).withColumn("_g", F.col("is_holdout").cast("int"))
+    rows = narrowed(dealt, settings, features).persist()
     try:
-        train, validation = rows.where("_g = 0").drop("_g"), rows.where("_g = 1").drop("_g")
-        sums = grouped_sums(rows, 2, classes, "_g", features, label)[0]
+        sums = grouped_sums(rows, 2, classes, "_g", "_x", label)[0]
         settings = {m: restricted(s, min(sums.n, len(sums.total))) if FAMILIES[m].on_components else s for m, s in settings.items()}
-        linear = models_from_sums(sums, settings)
-        parts = [scored(rows, {0: linear, 1: linear}, "_g", features, label)]
-        if "knn" in settings:
-            parts += [neighbor_scores(part, train, settings["knn"], row_id, label, features).select(F.lit(g).alias("g"), "*") for g, part in enumerate((train, validation))]
+        models = models_from_sums(sums, settings)
         if "svm" in settings:
-            parts += [svm_scores(part, train, settings["svm"], sums, classes, label, features).select(F.lit(g).alias("g"), "*") for g, part in enumerate((train, validation))]
-        counts = reduce(DataFrame.unionByName, parts)
+            trains = rows.withColumn("_trains", F.when(F.col("_g") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+            models += svm_models(trains, "_trains", {0: sums}, settings["svm"], classes, label, "_x")[0]
+        counts = scored(rows, {0: models, 1: models}, "_g", "_x", label)
+        if "knn" in settings:
+            train = rows.where("_g = 0").withColumn("_g", F.explode(F.array(F.lit(0), F.lit(1))))
+            counts = counts.unionByName(neighbor_scores(rows, train, settings["knn"], row_id, label, features))
         by = counts.groupBy("model", "place").agg(*[F.max(F.when(F.col("g") == g, F.col("right") / F.col("n"))).alias(c) for g, c in enumerate(("train_accuracy", "validation_accuracy"))])
         got = [tuple(r) for r in by.join(grid_frame(spark, settings), ["model", "place"]).select("model", "place", "setting", "train_accuracy", "validation_accuracy").collect()]
     finally:
@@ -192,54 +192,55 @@ def tuned_on_holdout(df: DataFrame, settings: dict[str, list[dict]], classes: in
 def nested_cv(df: DataFrame, settings: dict[str, list[dict]], classes: int, outer: int = 5, inner: int = 3, seed: int = 42, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
     """model, outer_fold, setting, inner_score and score: the setting chosen by inner folds, and how it does outside.
 
-    Ties go to the first setting of the grid.  What comes to the driver: sums of outer * inner folds, and a score of each
-    setting and fold.
+    Ties go to the first setting of the grid.  All folds are fitted and scored together: a group for each outer and inner
+    fold, and one for each outer fold.  What comes to the driver: sums of outer * inner folds, weights of the support
+    vector machines, and a score of each setting and fold.
     """
     sampling.check_nested(df, outer, inner, label)
-    spark = df.sparkSession
-    base = sampling.stratified_folds(df, outer, label, row_id, seed).withColumnRenamed("fold", "_outer").persist()
-    nested = sampling.nested_folds(df, outer, inner, label, row_id, seed).withColumn("_cell", F.col("outer_fold") * inner + F.col("inner_fold")).persist()
+    spark, cells = df.sparkSession, outer * inner
+    flat = narrowed(df, settings, features).persist()
+    base = sampling.stratified_folds(flat, outer, label, row_id, seed).withColumnRenamed("fold", "_outer").persist()
+    cell = F.col("outer_fold") * inner + F.col("inner_fold")
+    nested = sampling.nested_folds(flat, outer, inner, label, row_id, seed).withColumn("_g", cell.cast("int")).persist()
     scores: dict[tuple[str, int], dict[int, list[float]]] = {}
     chosen: dict[tuple[str, int], tuple[int, float]] = {}
     out = []
     try:
-        cells = grouped_sums(nested, outer * inner, classes, "_cell", features, label)
-        whole = [reduce(lambda a, b: a + b, cells[o * inner : (o + 1) * inner]) for o in range(outer)]
-        least = min(min(w.n - c.n for c in cells[o * inner : (o + 1) * inner]) for o, w in enumerate(whole))
-        settings = {m: restricted(s, min(least, len(cells[0].total))) if FAMILIES[m].on_components else s for m, s in settings.items()}
-        linear = {o * inner + i: models_from_sums(whole[o] - cells[o * inner + i], settings) for o in range(outer) for i in range(inner)}
-        found = scored(nested, linear, "_cell", features, label).collect()
-        for o in range(outer):
-            for i in range(inner):
-                cell = o * inner + i
-                own = nested.where(F.col("outer_fold") == o)
-                train, test = own.where(F.col("inner_fold") != i), own.where(F.col("inner_fold") == i)
-                if "knn" in settings:
-                    found += neighbor_scores(test, train, settings["knn"], row_id, label, features).select(F.lit(cell).alias("g"), "*").collect()
-                if "svm" in settings:
-                    found += svm_scores(test, train, settings["svm"], whole[o] - cells[cell], classes, label, features).select(F.lit(cell).alias("g"), "*").collect()
-        for r in found:
+        parts = grouped_sums(nested, cells, classes, "_g", "_x", label)
+        whole = [reduce(lambda a, b: a + b, parts[o * inner : (o + 1) * inner]) for o in range(outer)]
+        train = {c: whole[c // inner] - parts[c] for c in range(cells)} | {cells + o: w for o, w in enumerate(whole)}
+        least = min(s.n for s in train.values())
+        settings = {m: restricted(s, min(least, len(parts[0].total))) if FAMILIES[m].on_components else s for m, s in settings.items()}
+        models = {g: models_from_sums(s, settings) for g, s in train.items()}
+        others = F.filter(F.sequence(F.lit(0), F.lit(inner - 1)), lambda j: j != F.col("inner_fold"))
+        others = F.transform(others, lambda j: (F.col("outer_fold") * inner + j).cast("int"))
+        if "svm" in settings:
+            trains = nested.withColumn("_trains", F.concat(others, F.array((F.col("outer_fold") + cells).cast("int"))))
+            for g, own in svm_models(trains, "_trains", train, settings["svm"], classes, label, "_x").items():
+                models[g] += own
+        found = scored(nested, models, "_g", "_x", label)
+        if "knn" in settings:
+            near = nested.select(row_id, label, features, F.explode(others).alias("_g"))
+            found = found.unionByName(neighbor_scores(nested, near, settings["knn"], row_id, label, features))
+        for r in found.collect():
             scores.setdefault((r.model, r.g // inner), {}).setdefault(r.place, []).append(r.right / r.n)
         for at, by_place in scores.items():
             means = {p: float(np.mean(v)) for p, v in by_place.items()}
             place = max(means, key=lambda p: (means[p], -p))
             chosen[at] = place, means[place]
-        final = {o: [x for x in models_from_sums(whole[o], settings) if chosen[x[0], o][0] == x[1]] for o in range(outer)}
-        tests = scored(base, final, "_outer", features, label).collect()
-        for o in range(outer):
-            train, test = base.where(F.col("_outer") != o), base.where(F.col("_outer") == o)
-            if "knn" in settings:
-                pick = settings["knn"][chosen["knn", o][0]]
-                tests += neighbor_scores(test, train, [pick], row_id, label, features).select(F.lit(o).alias("g"), "*").collect()
-            if "svm" in settings:
-                pick = settings["svm"][chosen["svm", o][0]]
-                tests += svm_scores(test, train, [pick], whole[o], classes, label, features).select(F.lit(o).alias("g"), "*").collect()
-        for r in tests:
+        last = {o: [x for x in models[cells + o] if chosen[x[0], o][0] == x[1]] for o in range(outer)}
+        tests = scored(base, last, "_outer", "_x", label)
+        if "knn" in settings:
+            near = base.select(row_id, label, features, F.explode(F.filter(F.sequence(F.lit(0), F.lit(outer - 1)), lambda o: o != F.col("_outer"))).alias("_g"))
+            every = neighbor_scores(base.withColumn("_g", F.col("_outer")), near, settings["knn"], row_id, label, features)
+            tests = tests.unionByName(every)
+        for r in tests.collect():
             place, score = chosen[r.model, r.g]
-            out.append((r.model, r.g, shown(settings[r.model][place]), score, r.right / r.n))
+            if r.place == place:
+                out.append((r.model, r.g, shown(settings[r.model][place]), score, r.right / r.n))
     finally:
-        base.unpersist()
-        nested.unpersist()
+        for x in (base, nested, flat):
+            x.unpersist()
     return spark.createDataFrame(sorted(out), "model string, outer_fold int, setting string, inner_score double, score double")
 
 

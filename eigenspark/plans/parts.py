@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,21 +58,23 @@ def nested_selection(rows: DataFrame, classes: int, models=None, outer: int = 5,
 def inner_means(rows: DataFrame, settings: dict, classes: int, folds: int, seed: int) -> dict[int, float]:
     """Mean accuracy over stratified folds of each setting, by its place, of the one family in settings."""
     ((family, own),) = settings.items()
-    dealt = sampling.stratified_folds(rows, folds, seed=seed).persist()
-    scores: dict[int, list[float]] = {}
+    dealt = selection.narrowed(sampling.stratified_folds(rows, folds, seed=seed), settings, "features").withColumn("_g", F.col("fold")).persist()
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
     try:
-        cells = linalg.grouped_sums(dealt, folds, classes, "fold")
-        whole = sum(cells[1:], cells[0])
-        for f in range(folds):
-            train, test = dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)
-            if family == "knn":
-                found = selection.neighbor_scores(test, train, own)
-            elif family == "svm":
-                found = selection.svm_scores(test, train, own, whole - cells[f], classes)
+        if family == "knn":
+            found = selection.neighbor_scores(dealt, dealt.withColumn("_g", F.explode(others)), own)
+        else:
+            cells = linalg.grouped_sums(dealt, folds, classes, "fold", "_x")
+            whole = sum(cells[1:], cells[0])
+            train = {f: whole - cells[f] for f in range(folds)}
+            if family == "svm":
+                models = selection.svm_models(dealt.withColumn("_trains", others), "_trains", train, own, classes, features="_x")
             else:
-                found = selection.scored(test, {f: selection.models_from_sums(whole - cells[f], settings)}, "fold")
-            for r in found.collect():
-                scores.setdefault(r.place, []).append(r.right / r.n)
+                models = {f: selection.models_from_sums(s, settings) for f, s in train.items()}
+            found = selection.scored(dealt, models, "_g", "_x")
+        scores: dict[int, list[float]] = {}
+        for r in found.collect():
+            scores.setdefault(r.place, []).append(r.right / r.n)
     finally:
         dealt.unpersist()
     return {p: sum(v) / len(v) for p, v in scores.items()}
@@ -82,11 +84,19 @@ def fitted(rows: DataFrame, family: str, setting: dict, classes: int):
     """A model of a family on all rows; None for neighbours."""
     if family == "knn":
         return None
-    sums = linalg.grouped_sums(rows, 1, classes)[0]
+    space = linalg.narrow_space(rows, setting["n_components"])
+    rows = rows.withColumn("_x", F.col("features")) if space is None else linalg.project(rows, space, "features", "_x")
+    sums = linalg.grouped_sums(rows, 1, classes, features="_x")[0]
     if family == "svm":
-        basis = linalg.components_of(sums, setting["n_components"])
-        return classifiers.fit_svm(linalg.project(rows, basis, "features", "_z"), classes, setting["reg_strength"], setting["epochs"], "_z", basis=basis)
-    return selection.models_from_sums(sums, {family: [setting]})[0][2]
+        model = selection.svm_models(rows.withColumn("_trains", F.array(F.lit(0))), "_trains", {0: sums}, [setting], classes, features="_x")[0][0][2]
+    else:
+        model = selection.models_from_sums(sums, {family: [setting]})[0][2]
+    return model if space is None else replace(model, basis=within(space, model.basis))
+
+
+def within(space: linalg.Components, inner: linalg.Components) -> linalg.Components:
+    """Components that were found in a narrower space, in the space of the features."""
+    return linalg.Components(space.mean + inner.mean @ space.components, inner.components @ space.components, inner.explained_variance)
 
 
 def predict(rows: DataFrame, train: DataFrame, family: str, setting: dict, model) -> DataFrame:

@@ -87,6 +87,74 @@ def test_svm_and_kmeans_find_blobs(blobs):
         clustering.kmeans(df, 121)
 
 
+def plain_svm(x, y, classes, reg, epochs, rate, order):
+    """One class against the rest by steps of 256 rows with momentum, a row of weights at a time."""
+    w, v = np.zeros((classes, x.shape[1] + 1)), np.zeros((classes, x.shape[1] + 1))
+    for epoch in range(epochs):
+        i = order(epoch)
+        for a in range(0, len(x), 256):
+            some = i[a : a + 256]
+            for c in range(classes):
+                g = np.zeros(x.shape[1] + 1)
+                for r in some:
+                    s = 1.0 if y[r] == c else -1.0
+                    if s * (x[r] @ w[c, :-1] + w[c, -1]) < 1:
+                        g -= s * np.append(x[r], 1.0) / len(some)
+                g[:-1] += reg * w[c, :-1]
+                v[c] = 0.9 * v[c] - rate / (1 + 0.1 * epoch) * g
+                w[c] += v[c]
+    return w
+
+
+def test_svm_is_the_plain_descent_in_one_task(spark, blobs):
+    x, y, _ = blobs
+    x, y = np.tile(x, (3, 1))[:300], np.tile(y, 3)[:300]
+    df = frame(spark, x, y).coalesce(1)
+    model = classifiers.fit_svm(df, 4, reg=1e-2, epochs=3, rate=0.1)
+    want = plain_svm(x, y, 4, 1e-2, 3, 0.1, lambda epoch: np.random.default_rng([42, epoch]).permutation(300))
+    assert np.allclose(np.column_stack([model.weights, model.bias]), want)
+
+
+def test_svms_of_several_sets_and_settings(blobs):
+    _, _, df = blobs
+    rows = df.withColumn("_trains", F.when(F.col("row_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+    settings = [{"n_components": c, "reg_strength": 1e-3, "epochs": e, "learning_rate": 0.1} for c in (2, 6) for e in (2, 9)]
+    bases = {g: linalg.fit_components(df, 6) for g in (0, 1)}
+    found = classifiers.fit_svms(rows, settings, 4, bases, "_trains")
+    assert set(found) == {(g, i) for g in (0, 1) for i in range(4)} and found[0, 2].weights.shape == (4, 6)
+    alone = classifiers.fit_svms(rows.where("row_id % 2 = 0"), settings[3:], 4, {0: bases[0]}, "_trains")
+    assert metrics.accuracy(alone[0, 0].transform(df)).first().accuracy > 0.95 and metrics.accuracy(found[0, 3].transform(df)).first().accuracy > 0.95
+
+
+def test_wide_features_go_through_a_narrower_space(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    y = np.repeat(np.arange(3), 20)
+    x = rng.normal(size=(60, 30)) @ rng.normal(size=(30, 300)) * 0.1 + 3 * np.eye(300)[y * 50]
+    df = frame(spark, x, y).repartition(3).persist()
+    exact = linalg.fit_components(df, 6, keep=False)
+    monkeypatch.setattr(linalg, "WIDE", 100)
+    near = linalg.fit_components(df, 6, keep=False)
+    assert np.allclose(near.explained_variance, exact.explained_variance, rtol=1e-3)
+    assert np.allclose(np.abs((near.components * exact.components).sum(1)), 1, atol=1e-2) and np.allclose(near.mean, exact.mean)
+
+
+def test_all_families_at_image_size(spark):
+    """4,096 features: nothing of their square comes to the driver."""
+    rng = np.random.default_rng(9)
+    y = np.repeat(np.arange(3), 16)
+    x = rng.normal(size=(48, 4096)) + 3 * np.eye(3)[y].repeat(20, 1) @ rng.normal(size=(60, 4096)) / 8
+    df = frame(spark, x, y).repartition(3).persist()
+    settings = selection.grid(None, 48, components=(2, 8), ks=(1, 3), regs=(1e-3,), epochs=(3,), rates=(0.1,))
+    out = selection.nested_cv(df, settings, 3, outer=2, inner=2).collect()
+    assert {r.model for r in out} == set(selection.FAMILIES) and len(out) == 8 and all(r.score > 0.6 for r in out)
+    assert linalg.narrow_space(df, 8).components.shape == (26, 4096)
+
+
+def test_components_are_kept(blobs):
+    df = blobs[2]
+    assert linalg.fit_components(df, 3) is linalg.fit_components(df, 3) and linalg.fit_components(df, 3, keep=False) is not linalg.fit_components(df, 3)
+
+
 def test_perceptron_finds_blobs(blobs):
     out = classifiers.fit_perceptron(blobs[2], 4, (8,), 60).transform(blobs[2])
     assert metrics.accuracy(out).first().accuracy > 0.95 and out.where("confidence < 0.25 or confidence > 1").count() == 0
@@ -102,7 +170,7 @@ def test_kmeans_refills_an_empty_cluster(spark):
 def test_metrics(spark):
     df = spark.createDataFrame([(0, 0), (1, 0), (1, 1), (2, 2)], "label int, predicted int")
     assert metrics.accuracy(df).first().accuracy == 0.75
-    assert metrics.accuracy(df.limit(0)).first().accuracy is None
+    assert np.isnan(metrics.accuracy(df.limit(0)).first().accuracy)
     assert metrics.confusion(df, 3).count() == 9 and metrics.confusion(df, 3).agg(F.sum("n")).first()[0] == 4
     scores = spark.createDataFrame([("a", 0.5, 0.4), ("b", 0.5, 0.6), ("b", 0.7, 0.6)], "model string, score double, inner_score double")
     rows = {r.model: r for r in metrics.fold_summary(scores).collect()}
@@ -125,10 +193,19 @@ def test_grids():
 
 def test_nested_choice_of_all_families(blobs):
     _, _, df = blobs
-    settings = selection.grid(["linear_least_squares", "nearest_class_mean", "knn"], 8, components=(2, 4), ks=(1, 3))
+    settings = selection.grid(None, 8, components=(2, 4), ks=(1, 3), regs=(1e-3,), epochs=(5,), rates=(0.1,))
     out = selection.nested_cv(df, settings, 4, outer=2, inner=2)
     rows = out.collect()
-    assert len(rows) == 6 and all(r.score > 0.8 for r in rows if r.setting != "n_components=2")
+    assert len(rows) == 8 and all(r.score > 0.8 for r in rows if "n_components=2" not in r.setting)
     assert {r.model: r.n_folds for r in selection.nested_summary(out).collect()} == dict.fromkeys(settings, 2)
-    tuned = selection.tuned_on_holdout(df, {**settings, "svm": [{"n_components": 4, "reg_strength": 1e-3, "epochs": 5, "learning_rate": 0.1}]}, 4)
-    assert tuned.count() == 7 and selection.holdout_curve(tuned).where("gap < 0").count() == 0
+    tuned = selection.tuned_on_holdout(df, settings, 4)
+    assert tuned.count() == 8 and selection.holdout_curve(tuned).where("gap < 0").count() == 0
+
+
+def test_grouped_neighbours(blobs):
+    x, _, df = blobs
+    parts = df.withColumn("part", (F.col("row_id") % 3).cast("int"))
+    near = neighbors.neighbors(parts, parts, 2, group="part").collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(2) + 1e9 * (np.arange(120)[:, None] % 3 != np.arange(120)[None] % 3)
+    got = {(r.query_id, r["rank"]): (r.part, r.neighbor_id) for r in near}
+    assert got == {(i, k + 1): (i % 3, int(np.lexsort((np.arange(120), d[i]))[k])) for i in range(120) for k in (0, 1)}
