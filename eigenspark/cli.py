@@ -11,6 +11,7 @@ from .plans import parts
 from .sources import images
 
 
+#: Names of options are fixed values.
 def options() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="eigenspark")
     p.add_argument("part", choices=("a", "b", "d", "submit", "variance"))
@@ -29,14 +30,30 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--svm-reg-grid", type=float, nargs="*", default=list(selection.SVM_REG))
     p.add_argument("--svm-epochs-grid", type=int, nargs="*", default=list(selection.SVM_EPOCHS))
     p.add_argument("--svm-learning-rate-grid", type=float, nargs="*", default=list(selection.SVM_RATES))
+    p.add_argument("--family", default="knn", help="model of submit: " + ", ".join(selection.FAMILIES))
+    p.add_argument("--setting", nargs="*", default=["k=1"], metavar="NAME=VALUE", help="setting of the model of submit")
+    p.add_argument("--cache", default="image_cache", help="folder of stored datasets")
+    p.add_argument("--no-cache", action="store_true")
+    p.add_argument("--quiet", action="store_true", help="print nothing but the result")
+    p.add_argument("--rows", type=int, default=100, help="rows of the result that are shown")
     p.add_argument("--output", help="folder for a CSV result")
     return p
 
 
+def setting_of(pairs: list[str]) -> dict:
+    """A setting from texts like n_components=50."""
+    return {k: float(v) if set(v) & set(".e") else int(v) for k, v in (p.split("=", 1) for p in pairs)}
+
+
 def main(argv: list[str] | None = None) -> None:
     a = options().parse_args(argv)
     spark = SparkSession.builder.appName("eigenspark").getOrCreate()
-    rows = images.read_images(spark, a.dataset, images.image_size(a.image_height, a.image_width), a.max_images, a.max_images_per_person, a.seed).persist()
+    if a.quiet:
+        spark.sparkContext.setLogLevel("ERROR")
+    cache = None if a.no_cache else a.cache
+    rows = images.read_images(spark, a.dataset, images.image_size(a.image_height, a.image_width), a.max_images, a.max_images_per_person, a.seed, cache=cache).persist()
+    if not a.quiet:
+        print(f"{rows.count()} images")
     classes = rows.select("label").distinct().count() if a.part == "a" else int(rows.selectExpr("max(label)").first()[0]) + 1
     grids = {"components": a.component_grid, "ks": a.knn_neighbors, "regs": a.svm_reg_grid, "epochs": a.svm_epochs_grid, "rates": a.svm_learning_rate_grid}
     if a.part == "a":
@@ -46,13 +63,13 @@ def main(argv: list[str] | None = None) -> None:
     elif a.part == "d":
         out = parts.nested_selection(rows, classes, a.models, a.outer_folds, a.inner_folds, a.seed, **grids).summary
     elif a.part == "submit":
-        out = parts.submitted(rows, classes)
+        out = parts.submitted(rows, classes, selection.family_names([a.family])[0], setting_of(a.setting))
     else:
         out = parts.variance_report(rows)
     if a.output:
         out.write.mode("overwrite").option("header", True).csv(a.output)
     else:
-        out.show(100, False)
+        out.show(a.rows, False)
 
 
 if __name__ == "__main__":

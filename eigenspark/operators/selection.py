@@ -24,6 +24,8 @@ from .linalg import Sums, block, components_of, grouped_sums, narrow_space, proj
 COMPONENTS = (50, 100, 200, 363)
 SVM_REG, SVM_EPOCHS, SVM_RATES = (1e-4, 1e-3, 1e-2), (20, 50), (0.1, 0.2)
 NEIGHBORS = (1, 3, 5)
+#: Grids of the curves of bias and variance.
+CURVE_COMPONENTS, CURVE_NEIGHBORS = (2, 5, 10, 20, 50, 100, 200), (1, 3, 5, 10, 20, 50)
 
 
 @dataclass(frozen=True)

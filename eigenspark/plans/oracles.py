@@ -120,4 +120,14 @@ SQL = {
     "ovr_targets": "SELECT vec_id AS row_id, CAST(c AS INTEGER) AS pos, CASE WHEN c = label THEN CAST(1 AS DOUBLE) ELSE -1 END AS value FROM embeddings, (SELECT unnest(generate_series(0, 9)) AS c)",
     "bias_append": f"WITH {_E} SELECT row_id, CAST(count(*) + 1 AS INTEGER) AS size, CAST(1 AS DOUBLE) AS last, {_r('sum(v) + 1')} AS total FROM e GROUP BY row_id",
     "softmax_scores": f"WITH {_E}, p AS (SELECT * FROM e WHERE pos < 10), m AS (SELECT row_id, max(v) AS m, arg_min(pos, -v) AS predicted FROM p GROUP BY row_id) SELECT row_id, predicted, {_r('1 / sum(exp(v - m))')} AS confidence FROM p JOIN m USING (row_id) GROUP BY row_id, predicted",
+    "ls_normal_equations": "SELECT CAST(label AS INTEGER) AS label, CAST(pos AS INTEGER) AS pos, CAST(0 AS DOUBLE) AS residual FROM (SELECT unnest(generate_series(0, 9)) AS label), (SELECT unnest(generate_series(-1, 63)) AS pos)",
+    "pca_decorrelated": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT unnest(generate_series(0, 7)) AS i), (SELECT unnest(generate_series(0, 7)) AS j)",
+    "pca_total_variance": f"WITH {_E}, s AS (SELECT pos, var_samp(v) AS v FROM e GROUP BY pos) SELECT {_r('sum(v)')} AS total_variance FROM s",
+    "submission": """
+        WITH p AS (
+            SELECT q.vec_id, q.label, arg_min(t.label, CAST(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS DECIMAL(18, 9)) * 1000000 + t.vec_id / 1000000.0) AS said
+            FROM embeddings q, embeddings t GROUP BY q.vec_id, q.label
+        )
+        SELECT 'p' || label || '_i' || vec_id || '.pgm' AS Image_Path, 'person_' || label AS True_Label, 'person_' || said AS Predicted_Label FROM p
+    """,
 }

@@ -305,9 +305,36 @@ def ls_predict(spark, d):
     return classifiers.fit_least_squares(train, CLASSES).transform(test).select("row_id", "label", "predicted")
 
 
+def ls_normal_equations(spark, d):
+    """Sums of the residuals of least squares, times each component and alone (pos -1), by class: all are zero."""
+    train, _ = _holdout(spark, d)
+    out = classifiers.fit_least_squares(train, CLASSES).transform(train, keep_scores=True)
+    residual = F.zip_with(A.one_hot(F.col("label"), CLASSES), "scores", lambda t, s: t.cast("double") - s)
+    rows = out.select("features", F.posexplode(residual).alias("label", "r"))
+    rows = rows.select("label", F.posexplode(F.concat(F.array(F.lit(1.0)), F.col("features").cast("array<double>"))).alias("pos", "x"), "r")
+    return rows.groupBy("label", (F.col("pos") - 1).alias("pos")).agg(_r(F.sum(F.col("x") * F.col("r")), 5).alias("residual"))
+
+
+def pca_decorrelated(spark, d):
+    """Sums of the products of every two components of the projected training rows, by the variance: zero or one."""
+    train, _ = _holdout(spark, d)
+    basis = linalg.fit_components(train, 8)
+    g = linalg.gram(linalg.project(train, basis).select("projected"), "projected")
+    n = train.count()
+    values = F.array(*[F.lit(float(v)) for v in basis.explained_variance])
+    scale = F.sqrt(F.get(values, F.col("i")) * F.get(values, F.col("j"))) * (n - 1)
+    return g.select("i", "j", _r(F.col("value") / scale, 5).alias("value"))
+
+
+def pca_total_variance(spark, d):
+    """All components explain the sum of the components' own variances."""
+    basis = linalg.fit_components(vectors(spark, d), DIMS)
+    return spark.createDataFrame([(float(basis.explained_variance.sum()),)], "v double").select(_r("v").alias("total_variance"))
+
+
 def svm_predict(spark, d):
     train, test = _holdout(spark, d)
-    return classifiers.fit_svm(train, CLASSES, epochs=5).transform(test).select("row_id", "label", "predicted")
+    return classifiers.fit_svm(train, CLASSES).transform(test).select("row_id", "label", "predicted")
 
 
 def perceptron_predict(spark, d):
@@ -316,21 +343,22 @@ def perceptron_predict(spark, d):
     return out.select("row_id", "label", "predicted", "confidence", F.when(F.col("label") == F.col("predicted"), "OK").otherwise("MISS").alias("match"))
 
 
-def _settings(names: list[str]) -> dict:
-    return selection.grid(names, DIMS, components=(8, 16, 32), ks=(1, 3, 5))
+def _settings() -> dict:
+    """All four families; of the default grids, one number of epochs and one rate of the support vector machines."""
+    return selection.grid(None, DIMS, components=(8, 16, 32), ks=(1, 3, 5), regs=selection.SVM_REG[1:], epochs=selection.SVM_EPOCHS[:1], rates=selection.SVM_RATES[:1])
 
 
 def holdout_tuning(spark, d):
-    return selection.tuned_on_holdout(vectors(spark, d), _settings(["linear_least_squares", "nearest_class_mean", "knn"]), CLASSES, RATIO, SEED)
+    return selection.tuned_on_holdout(vectors(spark, d), _settings(), CLASSES, RATIO, SEED)
 
 
 def bias_variance_curve(spark, d):
-    tuned = selection.tuned_on_holdout(vectors(spark, d), selection.grid(["linear_least_squares"], DIMS, components=(2, 5, 10, 20, 50)), CLASSES, RATIO, SEED)
-    return selection.holdout_curve(tuned)
+    grids = selection.grid(["linear_least_squares", "knn"], DIMS, components=selection.CURVE_COMPONENTS, ks=selection.CURVE_NEIGHBORS)
+    return selection.holdout_curve(selection.tuned_on_holdout(vectors(spark, d), grids, CLASSES, RATIO, SEED))
 
 
 def nested_cv_report(spark, d):
-    return selection.nested_cv(vectors(spark, d), _settings(["linear_least_squares", "nearest_class_mean"]), CLASSES, OUTER, INNER, SEED)
+    return selection.nested_cv(vectors(spark, d), _settings(), CLASSES, OUTER, INNER, SEED)
 
 
 def submission(spark, d):
@@ -349,6 +377,6 @@ QUERIES = {
         zscore_vector, minmax_vector, symmetric_scale, flat_resize, unflatten_rows, bar_crop, mean_vector, column_variance_total, sq_norms, global_mean_std, standardised_vector,
         gram_matrix, covariance_matrix, ls_cross_term, variance_curve, class_centroids, nearest_mean_predict, nearest_mean_confusion, nearest_mean_accuracy, match_report, label_agreement,
         knn_neighbors, knn_predict, knn_vote_share, knn_k_sweep, hyperparam_grid, best_setting, fold_score_summary, best_family, kmeans_fixed_iters, cluster_purity,
-        one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, svm_predict, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
+        one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
     )
 }

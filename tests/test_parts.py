@@ -46,3 +46,25 @@ def test_variance(rows):
 def test_options():
     a = cli.options().parse_args(["d", "x.zip", "--models", "knn", "--knn-neighbors", "1", "3"])
     assert a.models == ["knn"] and a.knn_neighbors == [1, 3] and a.outer_folds == 5
+
+
+def test_submission_of_other_families(rows):
+    for family, setting in (("linear_least_squares", "n_components=4"), ("svm", "n_components=4 reg_strength=1e-3 epochs=20 learning_rate=0.1")):
+        out = parts.submitted(rows, 3, family, cli.setting_of(setting.split()))
+        assert out.count() == 48 and out.where("True_Label = Predicted_Label").count() > 40
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        for p in (1, 2):
+            for i in range(3):
+                z.writestr(f"p{p}_i{i}.pgm", b"P5\n2 2\n255\n" + bytes([9 * p, i, 200 - 90 * p, 5]))
+    common = [str(tmp_path / "s.zip"), "--cache", str(tmp_path / "cache"), "--quiet"]
+    cli.main(["a", *common])
+    assert "n_samples" in capsys.readouterr().out and len(list((tmp_path / "cache").iterdir())) == 1
+    cli.main(["submit", *common, "--no-cache", "--family", "nearest_class_mean", "--setting", "n_components=1", "--output", str(tmp_path / "out")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["Image_Path", "True_Label", "Predicted_Label"]
+    cli.main(["b", *common, "--models", "nearest_class_mean", "knn", "--component-grid", "1", "--validation-ratio", "0.4"])
+    assert "validation_accuracy" in capsys.readouterr().out

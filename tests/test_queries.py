@@ -9,7 +9,7 @@ def test_same_rows_as_sql(spark, compare, name):
     compare(spark, queries.QUERIES[name], oracles.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracles.SQL) - {"svm_predict"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracles.SQL)))
 def test_runs(spark, small, name):
     assert queries.QUERIES[name](spark, small).count() > 0
 
