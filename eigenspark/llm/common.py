@@ -80,6 +80,37 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, least: int = 100) -> DataFrame | None:
+    """Keys that more than 1 / (4 * partitions) of the rows have (and more than `least`), with their count `_n`.
+
+    There are fewer than 4 * partitions such keys, so they can be collected and broadcast; None if there are none.
+    """
+    total = rows.count() if total is None else total
+    if total <= least:
+        return None
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, total / (4 * partitions(rows))))
+    return local(found)
+
+
+def local(found: DataFrame) -> DataFrame | None:
+    """A table of a proven size as one that is sent along with the plan; None if it is empty."""
+    got = found.collect()
+    return found.sparkSession.createDataFrame(got, found.schema) if got else None
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row for each key; rows of hot keys (hot_keys) meet theirs by broadcast.
+
+    So no task gets all rows of a hot key.
+    """
+    if hot is None:
+        return rows.join(table, keys, how)
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    few = table.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+    at_once = marked.where("_hot").drop("_hot").join(F.broadcast(few), keys, how)
+    return at_once.unionByName(marked.where("_hot is null").drop("_hot").join(table, keys, how))
+
+
 def widened(df: DataFrame, more: str) -> T.StructType:
     """The schema of df followed by the columns of a DDL string."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
