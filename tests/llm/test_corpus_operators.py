@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eigenspark.llm import nearest, neardup, packing, quality, queries, sharding, substrings
+from eigenspark.llm import checks, nearest, neardup, packing, quality, queries, sharding, substrings
 
 ODD = [None, "", " \n ", "a b c", "a b c", "A, b c!", "!!!", "???", "漢 字 é", "x" * 20_000]
 
@@ -530,9 +530,9 @@ def test_search_stops_early():
     assert list(ids) == [i for i in want if i != 7][:5] and looked < 2000
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL | checks.SQL))
 def test_same_rows_as_sql(spark, compare, name):
-    compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
+    compare(spark, (queries.QUERIES | checks.QUERIES)[name], (queries.ORACLE_SQL | checks.SQL)[name])
 
 
 def test_language_stage_without_labels(spark, make_docs):
@@ -542,6 +542,40 @@ def test_language_stage_without_labels(spark, make_docs):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == want
 
 
+def test_pipeline_matches_plain_stages(spark, make_docs, random_words, tmp_path):
+    """The contents after each stage against plain versions, from planted documents."""
+    rng = np.random.default_rng(26)
+    passage = random_words(rng, 60)
+    texts = [random_words(rng, int(n), 100_000) for n in rng.integers(20, 120, 150)]
+    texts += [f"{random_words(rng, 20)} {passage} {random_words(rng, 9)}" for _ in range(12)] + [edited(rng, texts[k], 1) for k in range(20)] + texts[30:40] + ["12 34 !", "", None, "x " * 5000]
+    toxic = {int(i) for i in 50 + rng.permutation(100)[:60]}  # of texts without copies
+    rows = [(i, f"you zorgig idiot {t} you blukka idiot" if i in toxic else t, "en") for i, t in enumerate(texts)]
+    docs = make_docs([*rows, (None, "some words that nobody else has got", "en")], clash=True)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i, _, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen, out = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, str(tmp_path)).persist()
+        seen[name] = out.collect()
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+    ids = lambda name: sorted(r.doc_id for r in seen[name] if r.doc_id is not None)
+    lettered = [i for i, t, _ in rows if t and any(map(str.isalpha, t))]
+    clean = [i for i in lettered if i not in toxic]
+    assert ids("language_id") == lettered and ids("toxicity") == clean
+    of = plain_classes([rows[i][1] for i in clean])
+    first = sorted({clean[c] for c in of.values()})
+    assert ids("minhash_near_dedup") == first and len(first) < len(clean)
+    cut = plain_removal([(i, rows[i][1]) for i in first])
+    assert sorted((r.doc_id, len(r.text.split())) for r in seen["substring_dedup"] if r.doc_id is not None) == [(i, n - g) for i, n, g, _ in cut] and sum(g for _, _, g, _ in cut) > 200
+    assert all(r.n_chars == len(r.text) for r in seen["substring_dedup"])
+    packed = Counter()
+    for r in seen["best_fit_packing"]:
+        packed[r.doc_id] += r.n_tokens
+    assert packed == {**{i: n - g for i, n, g, _ in cut}, None: 7}
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, seen["best_fit_packing"]))
+
+
 def test_pipeline(spark, make_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     count = docs.count()
