@@ -81,14 +81,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, least: int = 100) -> DataFrame | None:
-    """Keys that more than 1 / (4 * partitions) of the rows have (and more than `least`), with their count `_n`.
+    """Keys that more than 1 / (16 * partitions) of the rows have (and more than `least`), with their count `_n`.
 
-    There are fewer than 4 * partitions such keys, so they can be collected and broadcast; None if there are none.
+    There are fewer than 16 * partitions such keys, so they can be collected and broadcast; None if there are none.
     """
     total = rows.count() if total is None else total
     if total <= least:
         return None
-    found = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, total / (4 * partitions(rows))))
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, total / (16 * partitions(rows))))
     return local(found)
 
 
