@@ -1,8 +1,9 @@
 """Exact search of the largest inner products, with bounds from distances to pivots.
 
 Vectors are lifted to a sphere of one dimension more, where the largest inner products are the smallest distances.  There
-the greatest difference of two vectors' distances to a pivot is a lower bound of their own distance.  Candidates live at
-their nearest pivot; the ranges of distances there tell which pivots a query has to visit at all.
+the greatest difference of two vectors' distances to a pivot is a lower bound of their own distance.  The distances to all
+pivots together also place a vector in the pivots' span, up to a rest of known length; the greater of both bounds counts.
+Candidates live at their nearest pivot; the ranges of distances there tell which pivots a query has to visit at all.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PIVOTS, SAMPLE = 32, 2000
+PIVOTS, SAMPLE = 64, 2000
 #: Candidates and queries of a cell, about.
 CELL, QUERIES = 16_384, 4_096
 #: Candidates evaluated between two looks at the bounds, at first.
@@ -104,18 +105,41 @@ def most_product(low: np.ndarray, far: float, both: float) -> np.ndarray:
     return np.floor((both - low**2) / 2 + 1e-6 * (1 + abs(both)))
 
 
-def search(query: np.ndarray, own: int, q_far: np.ndarray, both: float, ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+#: Directions of the pivots' span with a smaller share of the largest one's square aren't told from rounding, and left out.
+THIN = 1e-3
+
+
+class Span:
+    """Places of vectors in the span of the pivots, from their distances to these."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.squares = (pivots**2).sum(1)
+        values, vectors = np.linalg.eigh(pivots @ pivots.T)
+        keep = values > THIN * max(values.max(initial=0.0), 1e-300)
+        self.turn = vectors[:, keep] / np.sqrt(values[keep])
+
+    def place(self, far: np.ndarray, squares, room: float) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates of vectors with these squares, and the most that the rest can measure; room: for rounding."""
+        z = ((np.asarray(squares, float)[..., None] + self.squares - far.astype(float) ** 2) / 2) @ self.turn
+        return z, np.sqrt(np.maximum(0.0, squares - (z**2).sum(1)) + room)
+
+
+def search(query: np.ndarray, own: int, q_far: np.ndarray, both: float, ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int, floor: float = -np.inf, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and scores of the k best candidates of one cell, and how many were evaluated.
 
     Candidates are evaluated in the order of their bounds, some at a time, until the next bound is below the k-th score or
     `floor`, a k-th score that is known from elsewhere.  far: a row for each pivot; x and query: whole numbers in a type
-    that holds their products exactly.
+    that holds their products exactly; most: other bounds of the products.
     """
+    if most is not None and floor > -np.inf:
+        near = np.flatnonzero(most >= floor)
+        ids, x, far, most = ids[near], x[near], far[:, near], most[near]
     low, gap = np.zeros(len(ids), far.dtype), np.empty(len(ids), far.dtype)
     for own_far, to_pivot in zip(far, q_far.astype(far.dtype), strict=True):
         np.abs(np.subtract(own_far, to_pivot, out=gap), out=gap)
         np.maximum(low, gap, out=low)
     high = most_product(low, q_far.max(initial=0) + far.max(initial=0), both)
+    high = high if most is None else np.minimum(high, most)
     left = np.flatnonzero((ids != own) & (high >= floor))
     looked, step = 0, STEP
     best_ids, best = np.empty(0, np.int64), np.empty(0, x.dtype if x.dtype == object else np.int64)
@@ -150,6 +174,7 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell
     exact = np.float32 if radius < 2**23 else np.float64 if radius < 2**52 else np.int64 if radius < 2**62 else object
     sample = raw.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()  # a bounded sample
     points = spread_out(lifted(matrix([r.v for r in sample], dims), radius), pivots)
+    span, room = Span(points), 2e-5 * (1 + radius)
 
     def placed(batches):
         for b in batches:
@@ -167,9 +192,10 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell
 
     # at most a row for each pair of pivots
     spans = table.select("far", "home").mapInArrow(ranges, "home int, pivot int, lo float, hi float, n long").groupBy("home", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).collect()
-    lo, hi, parts = np.full((len(points), len(points)), np.inf), np.full((len(points), len(points)), -np.inf), np.zeros(len(points), np.int64)
+    lo, hi, held = np.full((len(points), len(points)), np.inf), np.full((len(points), len(points)), -np.inf), np.zeros(len(points), np.int64)
     for r in spans:
-        lo[r.home, r.pivot], hi[r.home, r.pivot], parts[r.home] = r.lo, r.hi, -(-r.n // cell)
+        lo[r.home, r.pivot], hi[r.home, r.pivot], held[r.home] = r.lo, r.hi, r.n
+    parts = -(-held // cell)
     base = np.cumsum(parts) - parts  # cells are numbered by home and part
     down = max(1, -(-n_queries // queries))
     cells = F.create_map(*[F.lit(int(v)) for h in np.flatnonzero(parts) for v in (h, base[h])])
@@ -178,7 +204,8 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell
     candidates = table.select("vec_id", "v", "far", own.alias("g")).select("vec_id", "v", "far", F.explode(F.sequence("g", F.col("g") + down - 1)).alias("cell"))
 
     def visits(later: bool):
-        """Cells that a query has to visit: those of the pivot with the best bound first, then all whose bound reaches its floor."""
+        """Cells that a query has to visit: first those of the pivots with the best bounds that hold over k candidates together,
+        later all others whose bound reaches its floor."""
 
         def run(batches):
             for b in batches:
@@ -188,8 +215,10 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell
                     far = distances(np.column_stack([q, [0.0]]), points)[0]
                     low = np.maximum(lo - far, far - hi).max(1, initial=0.0)
                     high = np.where(parts > 0, most_product(np.where(parts > 0, low, 0.0), far.max() + float(hi.max()), square + radius), -np.inf)
-                    first = int(np.lexsort((far, -high))[0])
-                    homes = [first] if not later else [h for h in np.flatnonzero((parts > 0) & (high >= (-np.inf if floor is None else floor))) if h != first]
+                    order = np.lexsort((far, -high))
+                    first = order[: int(np.searchsorted(np.cumsum(held[order]), k, "right")) + 1]
+                    first = first[parts[first] > 0].tolist()
+                    homes = first if not later else [h for h in np.flatnonzero((parts > 0) & (high >= (-np.inf if floor is None else floor))) if h not in first]
                     rows += [(i, c, far.tobytes()) for h in homes for c in range(base[h], base[h] + parts[h])]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 t = b.take(at)
@@ -201,12 +230,21 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell
         found = []
         if len(own) and len(want):
             ids, x = own.vec_id.to_numpy(), matrix(own.v, dims, exact)
-            far = np.ascontiguousarray(np.frombuffer(b"".join(own.far), np.float32).reshape(len(own), -1).T)
-            for q, v, square, q_far, floor in zip(want.vec_id, want.v, want.square, want.q_far, want.floor, strict=True):
-                best, score, looked = search(matrix([v], dims, exact)[0], q, np.frombuffer(q_far), square + radius, ids, x, far, k, -np.inf if pd.isna(floor) else floor)
-                found += [(q, v, i, s, 0 if r else looked) for r, (i, s) in enumerate(zip(best.tolist(), score.tolist(), strict=True))] or [(q, v, None, None, looked)]
-        out = pd.DataFrame(found, columns=["query_id", "q", "vec_id", "score", "looked"])
-        return out.astype({"vec_id": "Int64", "score": "Int64"})
+            far = np.frombuffer(b"".join(own.far), np.float32).reshape(len(own), -1)
+            z, rest = span.place(far, np.full(len(own), radius), room)
+            z, far = z.astype(np.float32), np.ascontiguousarray(far.T)
+            for a in range(0, len(want), 64):
+                some = want.iloc[a : a + 64]
+                to = np.frombuffer(b"".join(some.q_far)).reshape(len(some), -1)
+                zq, rest_q = span.place(to, some.square.to_numpy(), room)
+                bounds = z @ zq.T.astype(np.float32)
+                for i, (q, v, square, floor) in enumerate(zip(some.vec_id, some.v, some.square, some.floor, strict=True)):
+                    most = np.floor(bounds[:, i] + rest * rest_q[i] + room)
+                    best, score, looked = search(matrix([v], dims, exact)[0], q, to[i], square + radius, ids, x, far, k, -np.inf if pd.isna(floor) else floor, most)
+                    found += [(q, v, j, s, 0 if r else looked) for r, (j, s) in enumerate(zip(best.tolist(), score.tolist(), strict=True))] or [(q, v, None, None, looked)]
+        columns = list(zip(*found, strict=True)) or [[]] * 5
+        kinds = ("int64", "object", "Int64", "Int64", "int64")  # scores stay whole numbers beside nulls
+        return pd.DataFrame({n: pd.array(list(c), t) if t == "Int64" else pd.Series(c, dtype=t) for n, c, t in zip(("query_id", "q", "vec_id", "score", "looked"), columns, kinds, strict=True)})
 
     def searched(asked: DataFrame, later: bool) -> DataFrame:
         sent = asked.mapInArrow(visits(later), "vec_id long, v binary, square double, floor double, h long, q_far binary, c long").withColumn("cell", F.col("c") * down + F.col("h"))
@@ -229,7 +267,7 @@ def largest_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int
 
     Queries: vectors whose id is divisible by `every`.  Ties go to the smaller id.  The pivots come from a sample of at
     most SAMPLE vectors, which changes how much is evaluated, never the result.  A query first visits the cells of about
-    `cell` candidates at the pivot with the best bound; the k-th score there tells which other pivots' cells it visits.
+    `cell` candidates at the pivots with the best bounds; the k-th score there tells which other pivots' cells it visits.
     Rows with the query's id aren't its candidates; a repeated id is a candidate as often as it occurs, and each different
     vector of it a query.  Vectors of fewer components, down to none, count as filled up with zeros.  Null vectors, those
     with a null or non-finite component and null ids take no part; an empty table gives no rows; other columns don't

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, exists, shared_path
+from .common import checkpointed, exists, partitions, shared_path
 
 SLOTS = 4096
-#: Rows of a virtual slot that one task numbers, about.
-ROWS = 500_000
+#: Rows of a virtual slot that one task numbers, about: at least so many, and 1 / (16 * partitions) of all rows.
+ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str
     than shards.  The map deals out slots by their bytes, so sizes of shards are near equal (law `bytes`).  It is
     stored under `store` (a new folder in the shared checkpoint folder unless given) and read from there; where versions
     are stored already, the last one is edited for the bytes at hand and stored as the next.  slot is the place in the shard,
-    from 0, by virtual slot and doc_id; slots of many rows are numbered in parts, dealt by id, of about ROWS rows.  Null and
+    from 0, by virtual slot and doc_id; slots of many rows are numbered in parts, dealt by id.  Null and
     empty texts count 1 byte, texts of any length their UTF-8 bytes; null ids and repeated rows are rows like others; an
     empty table gives an empty result; other columns don't matter.
     """
@@ -123,7 +123,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str
         old = SlotMap.load(spark, store)
     (even_map(weights, shards) if old is None else rebalanced(old, weights, shards)).save(spark, store)
     chosen = SlotMap.load(spark, store)
-    split = {v: -(-n // ROWS) for v, n in enumerate(counts) if n > ROWS}  # parts of slots with many rows
+    most = max(ROWS, sum(counts) // (16 * partitions(docs)))
+    split = {v: -(-n // most) for v, n in enumerate(counts) if n > most}  # parts of slots with many rows
     part = F.lit(0)
     if split:
         parts = F.coalesce(F.create_map(*[F.lit(x) for v, n in split.items() for x in (v, n)])[F.col("vslot")], F.lit(1))
@@ -132,7 +133,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str
     rows = checkpointed(rows) if split else rows
     pieces = {(v, 0): n for v, n in enumerate(counts) if v not in split}
     if split:
-        pieces |= {(r.vslot, r.part): r.n for r in rows.where(F.col("vslot").isin(list(split))).groupBy("vslot", "part").agg(F.count("*").alias("n")).collect()}  # one for ROWS rows
+        pieces |= {(r.vslot, r.part): r.n for r in rows.where(F.col("vslot").isin(list(split))).groupBy("vslot", "part").agg(F.count("*").alias("n")).collect()}  # at most 17 * partitions more than slots
     before, filled = [], [0] * chosen.shards
     for (v, p), n in sorted(pieces.items()):
         s = chosen.shard_of[v]
