@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,18 @@ def setting_counts(chosen: DataFrame, by: str = "model", setting: str = "setting
     return chosen.groupBy(by, setting).agg(F.count("*").alias("n"))
 
 
-def best_epoch(history: DataFrame) -> DataFrame:
-    """Of rows (epoch, accuracy, loss): highest accuracy, then lowest loss, then first."""
+def best_epoch(history: DataFrame, patience: int | None = None) -> DataFrame:
+    """Of rows (epoch, accuracy, loss): highest accuracy, then lowest loss, then first.
+
+    patience: training stops after so many epochs in a row without a better one; later epochs don't count.
+    """
+    if patience is not None:
+        before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each epoch
+        upto = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+        score = F.struct("accuracy", -F.col("loss"))
+        better = F.coalesce(score > F.max(score).over(before), F.lit(True))
+        waited = history.withColumn("_better", better).withColumn("_n", F.row_number().over(Window.orderBy("epoch")))
+        waited = waited.withColumn("_waited", F.col("_n") - F.max(F.when(F.col("_better"), F.col("_n"))).over(upto))
+        stopped = F.max((F.col("_waited") >= patience).cast("int")).over(before)
+        history = waited.withColumn("_stopped", F.coalesce(stopped, F.lit(0))).where("_stopped = 0").drop("_better", "_n", "_waited", "_stopped")
     return history.orderBy(F.desc("accuracy"), "loss", "epoch").limit(1)

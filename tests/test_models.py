@@ -177,6 +177,11 @@ def test_metrics(spark):
     assert rows["a"].std_score == 0 and rows["b"].std_score == pytest.approx(np.std([0.5, 0.7], ddof=1))
     history = spark.createDataFrame([(1, 0.9, 0.3), (2, 0.9, 0.2), (3, 0.8, 0.1)], "epoch int, accuracy double, loss double")
     assert metrics.best_epoch(history).first().epoch == 2
+    long = spark.createDataFrame([(1, 0.5, 0.9), (2, 0.7, 0.5), (3, 0.7, 0.6), (4, 0.6, 0.4), (5, 0.9, 0.1)], "epoch int, accuracy double, loss double")
+    assert [metrics.best_epoch(long, p).first().epoch for p in (None, 3, 2, 1)] == [5, 5, 2, 2]
+    batches = spark.createDataFrame([(0.5, 3, 4), (0.1, 6, 6)], "loss double, right int, n int")
+    got = metrics.weighted_scores(batches).first()
+    assert got.loss == pytest.approx((0.5 * 4 + 0.1 * 6) / 10) and got.accuracy == pytest.approx(0.9)
 
 
 def test_grids():
