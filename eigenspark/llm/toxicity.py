@@ -35,6 +35,24 @@ _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _PUNCTUATION = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
 
 
+_SIGN = np.isin(np.arange(256), list(b"0123456789@$*!|"))
+_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+
+
+def may_be_obfuscated(data: np.ndarray) -> bool:
+    """Whether some sign stands before a letter and some after one: without these, _OBFUSCATED matches nowhere."""
+    sign = _SIGN[data]
+    if not sign.any():
+        return False
+    letter = _LETTER[data]
+    return bool((sign[:-1] & letter[1:]).any() and (letter[:-1] & sign[1:]).any())
+
+
+def may_be_stretched(data: np.ndarray) -> bool:
+    """Whether some bytes come three times at the distance of a character: without these, _STRETCHED matches nowhere."""
+    return any(bool(((data[: -2 * k] == data[k:-k]) & (data[k:-k] == data[2 * k :]) & (_LETTER[data[: -2 * k]])).any()) for k in ((1, 2, 3, 4) if (data >= 128).any() else (1,)) if len(data) > 2 * k)
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Weights of words and of stems; a stem is the first STEM letters of a longer word, marked by a final hyphen."""
@@ -42,7 +60,8 @@ class Lexicon:
     weights: dict[str, float]
 
     def weight(self, word: str) -> float:
-        return max(self.weights.get(word, 0.0), self.weights.get(word[:STEM] + "-", 0.0) if len(word) > STEM else 0.0)
+        own = self.weights.get
+        return own(word, 0.0) if len(word) <= STEM else max(own(word, 0.0), own(word[:STEM] + "-", 0.0))
 
 
 def features(text: str | None, lexicon: Lexicon, reach: int = 4) -> list[float]:
@@ -50,11 +69,13 @@ def features(text: str | None, lexicon: Lexicon, reach: int = 4) -> list[float]:
     text = text or ""
     words = _WORD.findall(text.lower())
     n = max(1, len(words))
-    own = {w: x for w in set(words) if (x := lexicon.weight(w)) > 0}
-    insults, second = own.keys() | set(INSULTS), set(SECOND_PERSON)
-    places = [i for i, w in enumerate(words) if w in insults] if not insults.isdisjoint(words) else []
-    hits = [own.get(words[i], 0.0) for i in places if words[i] in own]
-    addressed = [i for i, w in enumerate(words) if w in second]
+    different = set(words)
+    own = {w: x for w in different if (x := lexicon.weight(w)) > 0}
+    insults = own.keys() | (_INSULTS & different)
+    places = [i for i, w in enumerate(words) if w in insults] if insults else []
+    hits = [own[words[i]] for i in places if words[i] in own]
+    second = _SECOND & different
+    addressed = [i for i, w in enumerate(words) if w in second] if second else []
     near = 0
     if places and addressed:
         at = np.array(addressed)
@@ -64,7 +85,7 @@ def features(text: str | None, lexicon: Lexicon, reach: int = 4) -> list[float]:
     data = np.frombuffer(text.encode(), np.uint8)
     per_byte = np.bincount(data, minlength=256)
     size = max(1, len(data))
-    odd = _OBFUSCATED.findall(text)
+    odd = _OBFUSCATED.findall(text) if may_be_obfuscated(data) else []
     plain = [x.translate(_LOOKS_LIKE).lower() for x in odd]
     return [
         float(np.log1p(len(words))),
@@ -80,11 +101,11 @@ def features(text: str | None, lexicon: Lexicon, reach: int = 4) -> list[float]:
         float(per_byte[33]) / size,
         len(odd) / n,
         sum(w in _INSULTS or lexicon.weight(w) > 0 for w in plain) / n,
-        len(_STRETCHED.findall(text)) / n,
+        len(_STRETCHED.findall(text)) / n if may_be_stretched(data) else 0.0,
     ]
 
 
-_INSULTS = frozenset(INSULTS)
+_INSULTS, _SECOND = frozenset(INSULTS), frozenset(SECOND_PERSON)
 
 
 def measured(docs: DataFrame, lexicon: Lexicon, keep_text: bool = False) -> DataFrame:

@@ -286,6 +286,14 @@ def test_toxicity_learns_apart_from_its_calibration(spark, make_docs, random_wor
     assert "fitword" in model.lexicon.weights and "heldword" not in model.lexicon.weights and model.calibration is not None
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aabzéé漢漢😀😀 0@$!|*._AA", max_size=30))
+def test_texts_are_passed_over_only_without_a_match(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert toxicity.may_be_obfuscated(data) or not toxicity._OBFUSCATED.search(text)
+    assert toxicity.may_be_stretched(data) or not toxicity._STRETCHED.search(text)
+
+
 def pooled(rows):
     """Isotonic means of (margin, target, weight) by pooling neighbours that fall, a block at a time."""
     blocks = []
