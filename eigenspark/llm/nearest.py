@@ -35,8 +35,9 @@ def packed_rows(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [letter + data[a * size : b * size] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component as packed integers, dims, and the sum of their squares.
+def quantised(vectors: DataFrame, scale: int = 256, more: str = "") -> DataFrame:
+    """vec_id, v: floor(scale * x) of each component as packed integers, dims, and the sum of their squares; more: other
+    columns to keep, with their types.
 
     Vectors that are null or hold a null or non-finite component have no row; nor have null ids.  An empty vector is one
     of no components.  An error if a component leaves the 64-bit range.
@@ -55,9 +56,11 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
             ends = np.append(0, np.cumsum(size))
             sums = np.append(0.0, np.cumsum(v * v))
             squares = sums[ends[1:]] - sums[ends[:-1]] if not len(set(size.tolist())) == 1 or not size[0] else (v * v).reshape(len(size), -1).sum(1)
-            yield pa.record_batch([b.column(0).filter(pa.array(keep)), pa.array(packed_rows(v, ends), pa.binary()), pa.array(size.astype(np.int32)), pa.array(squares, pa.float64())], ["vec_id", "v", "dims", "square"])
+            yield pa.record_batch([b.column(0).filter(pa.array(keep)), pa.array(packed_rows(v, ends), pa.binary()), pa.array(size.astype(np.int32)), pa.array(squares, pa.float64()), *(c.filter(pa.array(keep)) for c in b.columns[2:])], ["vec_id", "v", "dims", "square", *b.schema.names[2:]])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, v binary, dims int, square double")
+    kept = [c.split()[0] for c in more.split(",") if c]
+    schema = "vec_id long, v binary, dims int, square double" + (f", {more}" if more else "")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *kept).mapInArrow(run, schema)
 
 
 def matrix(packed, dims: int, kind=np.float64) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, nearest, neardup, packing, substrings, toxicity
+from . import divergence, language, nearest, neardup, negatives, packing, substrings, toxicity, urls
 from .bpe import digests
 from .common import remainder, table
 from .licenses import scanned
@@ -57,7 +57,33 @@ def op10_quality_rules(spark, sf_dir):
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_license_scans, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_sharding, op8_minhash_near_dedup, op9_substring_dedup, op10_quality_rules)}
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", "embedding", noisy.alias("label")))
+
+
+#: (host, path, verdict)
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+#: Words of host names whose pages make up the list of blocked URLs.
+BAD_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "xxx")
+
+
+def blocked_urls(pages):
+    """The URLs of pages whose host has one of BAD_WORDS among its words."""
+    return pages.where(F.arrays_overlap(F.split(urls.host(urls.rest(F.col("url"))), "[.-]"), F.array(*[F.lit(w) for w in BAD_WORDS]))).select("url")
+
+
+def op12_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, blocked_urls(pages), URL_RULES)
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_license_scans, op4_best_fit_packing, op5_byte_bpe, op6_language_id, op7_sharding, op8_minhash_near_dedup, op9_substring_dedup, op10_quality_rules, op11_hard_negatives, op12_url_filters, op13_source_divergence)}
 ORACLE_SQL = {
     "op2_exact_topk": """
         WITH v AS (
@@ -84,4 +110,54 @@ ORACLE_SQL = {
         )
         SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+    "op12_url_filters": f"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*\\?([^#]*)', 1) AS asked FROM u),
+        c AS (
+            SELECT *, regexp_replace(regexp_replace(host, '^www\\.', ''), ':(?:80|443)?\\z', '') AS site, regexp_replace(path, '/+\\z', '') AS page,
+                list_sort(list_filter(string_split(asked, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_|gclid=|fbclid=|ref=)'))) AS params
+            FROM h
+        ), k AS (SELECT *, CASE WHEN site <> '' THEN site || page || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS url FROM c),
+        listed AS (SELECT DISTINCT url FROM k WHERE url IS NOT NULL AND list_has_any(regexp_split_to_array(host, '[.-]'), {list(BAD_WORDS)})),
+        rules AS (SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) AS t(h, p, v)),
+        m AS (SELECT page_id, h || p AS rule, v FROM k JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) = 1)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN listed.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM k LEFT JOIN m USING (page_id) LEFT JOIN listed ON k.url = listed.url
+    """,
+    "op13_source_divergence": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ),
+        t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        s AS (SELECT lang, source, sum(n) AS whole FROM x GROUP BY lang, source),
+        p AS (SELECT x.lang, x.source, x.term, x.n, 1 + (CAST(1000000000 AS HUGEINT) * (x.n + 2)) // (whole + 2 * v) AS p FROM x JOIN s USING (lang, source) JOIN v USING (lang)),
+        q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 2)) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * any_value(v)) AS q FROM c JOIN v USING (lang) GROUP BY lang, term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        o AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b USING (lang) LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source WHERE a.source <> b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ),
+        z AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+        SELECT * FROM z WHERE part = 'pair' OR rank <= 10
+    """,
 }
