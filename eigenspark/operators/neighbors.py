@@ -1,74 +1,329 @@
-"""Nearest neighbours of every query among all training rows.
+"""Exact nearest neighbours by metric cells.
 
-Training rows and queries are dealt out to cells of bounded size; a cell computes its distances as one matrix product and
-keeps the nearest of each query, and the nearest of all cells are ranked by a window.  Nothing is broadcast.
+A tree of balls is made from a bounded sample of the training rows; every training row goes to a leaf of it, and leaves get
+their true radii and counts.  A query first visits the smallest ball on its way down that holds enough rows; the k-th
+distance found there tells by the triangle inequality which other leaves can hold a nearer row, and only these are visited.
+Queries are sent to the leaves that they visit, and a leaf's rows are copied only where more than QUERY_CELL queries visit
+it.  Rows belong to groups, such as the folds of a cross-validation, by the bits of a mask: all groups are searched at
+once, and a distance is computed once for all of them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linalg import block
+from .tables import written
+
+#: Training rows and visits of a cell, at most; training rows of a leaf, about.
+TRAIN_CELL, QUERY_CELL, LEAF = 16_384, 2_048, 4_096
+#: Leaves, sampled rows, and bytes of either, at most.
+LEAVES, SAMPLE, TREE_BYTES = 4_096, 32_768, 32 << 20
+#: Groups of one search: bits of a long.
+GROUPS = 62
+#: Queries whose distances are computed together.
+STEP = 128
+
+
+@dataclass
+class Balls:
+    """A binary tree; node 0 is the root, leaves are numbered from left to right.
+
+    centres: of each node; left and right: child nodes, or -1; first and last: the leaves below a node.
+    """
+
+    centres: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    @property
+    def leaves(self) -> int:
+        return int(self.last[0]) + 1
+
+    def leaf_nodes(self) -> np.ndarray:
+        nodes = np.flatnonzero(self.left < 0)
+        return nodes[np.argsort(self.first[nodes])]
+
+    def down(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, distance to its centre) of each row: at every node on to the nearer child, the left one of equals."""
+        node = np.zeros(len(x), np.int64)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            if self.left[at] < 0 or not len(rows):
+                node[rows] = at
+                continue
+            a, b = self.left[at], self.right[at]
+            nearer = ((x[rows] - self.centres[a]) ** 2).sum(1) <= ((x[rows] - self.centres[b]) ** 2).sum(1)
+            todo += [(a, rows[nearer]), (b, rows[~nearer])]
+        return self.first[node], np.sqrt(((x - self.centres[node]) ** 2).sum(1))
+
+    def reached(self, x: np.ndarray, within: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of all leaves that can hold something no farther from a row than `within`; radii: of the nodes, -1 if empty."""
+        rows_of, leaf_of, todo = [], [], [(0, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            if radii[at] < 0:
+                continue
+            far = np.sqrt(((x[rows] - self.centres[at]) ** 2).sum(1))
+            rows = rows[far - radii[at] <= within[rows] + 1e-9 * (1 + far)]
+            if len(rows) and self.left[at] < 0:
+                rows_of.append(rows)
+                leaf_of.append(np.full(len(rows), self.first[at]))
+            elif len(rows):
+                todo += [(self.left[at], rows), (self.right[at], rows)]
+        return (np.concatenate(rows_of), np.concatenate(leaf_of)) if rows_of else (np.empty(0, np.int64), np.empty(0, np.int64))
+
 
-TRAIN_CELL, QUERY_CELL = 16_384, 2_048
+def grown(sample: np.ndarray, leaves: int) -> Balls:
+    """A tree of at most so many leaves: the node with most rows is split between two rows far from each other and their means."""
+    centres, left, right, members = [sample.mean(0)], [-1], [-1], [np.arange(len(sample))]
+    open_ = {0: len(sample)}
+    while open_ and len(open_) < leaves:
+        at = max(open_, key=lambda n: (open_[n], -n))
+        if open_[at] < 2:
+            break
+        own = sample[members[at]]
+        a = own[((own - centres[at]) ** 2).sum(1).argmax()]
+        b = own[((own - a) ** 2).sum(1).argmax()]
+        for _ in range(3):
+            nearer = ((own - a) ** 2).sum(1) <= ((own - b) ** 2).sum(1)
+            if nearer.all() or not nearer.any():
+                break
+            a, b = own[nearer].mean(0), own[~nearer].mean(0)
+        if nearer.all() or not nearer.any():
+            open_[at] = 0  # rows of one place
+            continue
+        for centre, part in ((a, members[at][nearer]), (b, members[at][~nearer])):
+            centres.append(centre)
+            left.append(-1)
+            right.append(-1)
+            members.append(part)
+            open_[len(centres) - 1] = len(part)
+        left[at], right[at] = len(centres) - 2, len(centres) - 1
+        del open_[at]
+    first, last, count = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64), 0
+    stack = [(0, False)]
+    while stack:
+        at, done = stack.pop()
+        if left[at] < 0:
+            first[at] = last[at] = count
+            count += 1
+        elif done:
+            first[at], last[at] = first[left[at]], last[right[at]]
+        else:
+            stack += [(at, True), (right[at], False), (left[at], False)]
+    return Balls(np.array(centres), np.array(left), np.array(right), first, last)
 
 
-def nearest_in_cell(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, id, squared distance) of the k nearest of each query; ties go to the smaller id."""
-    k = max(1, min(k, len(ids)))
-    rows, found, far = [], [], []
+def node_radii(tree: Balls, leaf_radii: np.ndarray) -> np.ndarray:
+    """Radii of balls around the nodes' centres that hold all below; -1 where there is nothing."""
+    nodes = tree.leaf_nodes()
+    out = np.full(len(tree.centres), -1.0)
+    for at in range(len(out)):
+        below = np.arange(tree.first[at], tree.last[at] + 1)
+        below = below[leaf_radii[below] >= 0]
+        if len(below):
+            out[at] = (np.sqrt(((tree.centres[nodes[below]] - tree.centres[at]) ** 2).sum(1)) + leaf_radii[below]).max()
+    return out
+
+
+def bits(mask: int) -> list[int]:
+    return [g for g in range(GROUPS) if mask >> g & 1]
+
+
+def best_in_cell(ids, labels, holds, x, far, q, asks, q_far, within, k):
+    """(row of the query, place of the neighbour, bits, squared distance) of the k nearest of each query in each of its groups,
+    and how many distances were computed.
+
+    Training rows come by rising distance to the centre (far); within: the largest distance (not squared) that still matters
+    to a query.
+    """
+    order = np.argsort(q_far, kind="stable")
+    rows, found, kept, distance, looked = [], [], [], [], 0
     square = (x**2).sum(1)
-    for a in range(0, len(q), step):
-        some = q[a : a + step]
-        rough = np.maximum((some**2).sum(1)[:, None] + square[None] - 2 * some @ x.T, 0.0)
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        for r, (d, edge) in enumerate(zip(rough, limit, strict=True)):
-            near = np.flatnonzero(d <= edge + 1e-9 * (1 + edge))  # all that rounding could bring among the k
-            exact = ((x[near] - some[r]) ** 2).sum(1)
-            order = np.lexsort((ids[near], exact))[:k]
-            rows.append(np.full(len(order), a + r))
-            found.append(ids[near][order])
-            far.append(exact[order])
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(far)
+    for a in range(0, len(order), STEP):
+        some = order[a : a + STEP]
+        room = within[some] + 1e-9 * (1 + q_far[some])
+        lo = int(np.searchsorted(far, (q_far[some] - room).min(), "left"))
+        hi = int(np.searchsorted(far, (q_far[some] + room).max(), "right"))
+        if lo >= hi:
+            continue
+        own, mask = x[lo:hi], holds[lo:hi]
+        rough = np.maximum((q[some] ** 2).sum(1)[:, None] + square[lo:hi][None] - 2 * q[some] @ own.T, 0.0)
+        looked += rough.size
+        for r, d in zip(some, rough, strict=True):
+            taken: dict[int, int] = {}
+            exact: dict[int, float] = {}
+            for g in bits(int(asks[r])):
+                near = np.flatnonzero(mask >> g & 1)
+                if not len(near):
+                    continue
+                if len(near) > k:
+                    edge = np.partition(d[near], k - 1)[k - 1]
+                    near = near[d[near] <= edge + 1e-9 * (1 + edge)]  # all that rounding could bring among the k
+                new = np.array([i for i in near.tolist() if i not in exact], np.int64)
+                exact.update(zip(new.tolist(), ((own[new] - q[r]) ** 2).sum(1).tolist(), strict=True))
+                for i in sorted(near.tolist(), key=lambda i: (exact[i], ids[lo + i]))[:k]:
+                    taken[i] = taken.get(i, 0) | 1 << g
+            rows += [r] * len(taken)
+            found += [lo + i for i in taken]
+            kept += taken.values()
+            distance += [exact[i] for i in taken]
+    return rows, found, kept, distance, looked
+
+
+def _searched(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """Of cells: query_id, neighbor_id, neighbor_label, bits, distance; and looked, on a row without bits for each cell.
+
+    queries: cell, h, query_id, q, asks, far and within; train: cell, h, neighbor_id, neighbor_label, holds, x and far.
+    """
+    columns = ["query_id", "neighbor_id", "neighbor_label", "bits", "distance", "looked"]
+
+    def run(key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(own):
+            return pd.DataFrame({c: [] for c in columns})
+        own = own.sort_values(["far", "neighbor_id"], kind="stable")
+        rows, found, kept, distance, looked = best_in_cell(own.neighbor_id.to_numpy(), own.neighbor_label.to_numpy(), own.holds.to_numpy(), block(own.x), own.far.to_numpy(), block(asked.q), asked.asks.to_numpy(), asked.far.to_numpy(), asked.within.to_numpy(), k)
+        out = {"query_id": asked.query_id.to_numpy()[rows], "neighbor_id": own.neighbor_id.to_numpy()[found], "neighbor_label": own.neighbor_label.to_numpy()[found], "bits": np.array(kept, np.int64), "distance": np.array(distance, float), "looked": np.zeros(len(rows), np.int64)}
+        return pd.DataFrame({c: np.append(v, looked if c == "looked" else v.dtype.type(0)) for c, v in out.items()})
+
+    schema = "query_id long, neighbor_id long, neighbor_label int, bits long, distance double, looked long"
+    return queries.groupBy("cell", "h").cogroup(train.groupBy("cell", "h")).applyInPandas(run, schema)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, g, neighbor_id, neighbor_label, distance and rank of the k nearest of each query and group."""
+    each = found.withColumn("g", F.explode(F.expr(f"filter(sequence(0, {GROUPS - 1}), g -> (shiftright(bits, g) & 1) = 1)")))
+    order = Window.partitionBy("g", "query_id").orderBy("distance", "neighbor_id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "g", "neighbor_id", "neighbor_label", "distance", "rank")
+
+
+class Search:
+    """One search: `found` holds the nearest of every cell, `looked` the distances computed."""
+
+    def __init__(self, queries: DataFrame, train: DataFrame, k: int, sizes: tuple[int, int] | None = None):
+        """queries: query_id, q and asks; train: neighbor_id, neighbor_label, x and holds."""
+        self.k = k
+        n_queries, n_train = sizes or (queries.count(), train.count())
+        p = max(1, len((train.select("x").first() or [[]])[0] or []))
+        leaves = min(LEAVES, max(1, TREE_BYTES // (16 * p)), -(-n_train // LEAF))
+        if leaves <= 1:
+            down, across = max(1, -(-n_queries // QUERY_CELL)), max(1, -(-n_train // TRAIN_CELL))
+            asked = queries.select("*", F.lit(0.0).alias("far"), F.lit(float("inf")).alias("within"), F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("cell"))
+            own = train.select("*", F.lit(0.0).alias("far"), F.pmod(F.xxhash64("neighbor_id"), F.lit(across)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("h"))
+            self.found = _searched(asked, own, k)
+            return
+        queries = written(queries)
+        rows = max(leaves, min(SAMPLE, TREE_BYTES // (8 * p)))
+        tree = grown(np.array([r.x for r in train.orderBy(F.xxhash64("neighbor_id"), "neighbor_id").limit(rows).select("x").collect()], float), leaves)  # a bounded sample
+
+        @F.pandas_udf("leaf int, far double")
+        def placed(x: pd.Series) -> pd.DataFrame:
+            leaf, far = tree.down(block(x))
+            return pd.DataFrame({"leaf": leaf.astype(np.int32), "far": far})
+
+        train = written(train.withColumn("at", placed("x")).select("neighbor_id", "neighbor_label", "x", "holds", "at.leaf", "at.far"))
+        held = [F.sum(F.expr(f"shiftright(holds, {g}) & 1")).alias(f"g{g}") for g in range(GROUPS)]
+        radii, counts, sizes_of = np.full(tree.leaves, -1.0), np.zeros((tree.leaves, GROUPS), np.int64), np.zeros(tree.leaves, np.int64)
+        for r in train.groupBy("leaf").agg(F.max("far").alias("far"), F.count("*").alias("n"), *held).collect():  # a row for each leaf
+            radii[r.leaf], sizes_of[r.leaf], counts[r.leaf] = r.far, r.n, r[3:]
+        self.tree, self.radii, self.parts = tree, node_radii(tree, radii), np.maximum(1, -(-sizes_of // TRAIN_CELL))
+        self.upto = np.vstack([np.zeros((1, GROUPS), np.int64), np.cumsum(counts, 0)])  # rows of each group in the leaves before
+        first = written(self.searched(queries.withColumn("within", F.lit(float("inf"))), train, False))
+        # the k-th distance in the group where it is largest; endless where a group has fewer so far
+        kth = _ranked(first, k).groupBy("query_id", "g").agg(F.count("*").alias("n"), F.max("distance").alias("d")).groupBy("query_id").agg(F.count("*").alias("groups"), F.min("n").alias("n"), F.sqrt(F.max("d")).alias("d"))
+        asked = queries.join(kth, "query_id", "left").withColumn("within", F.when((F.col("groups") == F.bit_count("asks")) & (F.col("n") == k), F.col("d")).otherwise(float("inf"))).drop("groups", "n", "d")
+        self.found = first.unionByName(self.searched(written(asked), train, True))
+
+    def visits(self, queries: DataFrame, later: bool) -> DataFrame:
+        """queries with leaf and far for each leaf that they visit: first those below the smallest ball on the way down that holds k rows
+        of every group asked for; later the others that can hold a row within reach."""
+        tree, radii, upto, k = self.tree, self.radii, self.upto, self.k
+        nodes = tree.leaf_nodes()
+        up = np.full(len(tree.centres), -1)
+        for at in np.flatnonzero(tree.left >= 0):
+            up[[tree.left[at], tree.right[at]]] = at
+
+        def run(batches):
+            for pdf in batches:
+                x = block(pdf.q)
+                home, _ = tree.down(x)
+                lo, hi = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
+                for i, (leaf, asks) in enumerate(zip(home, pdf.asks, strict=True)):
+                    at, want = nodes[leaf], bits(int(asks))
+                    while up[at] >= 0 and (upto[tree.last[at] + 1] - upto[tree.first[at]])[want].min(initial=k) < k:
+                        at = up[at]
+                    lo[i], hi[i] = tree.first[at], tree.last[at]
+                if later:
+                    rows, leaf = tree.reached(x, pdf.within.to_numpy(float), radii)
+                    new = (leaf < lo[rows]) | (leaf > hi[rows])
+                    rows, leaf = rows[new], leaf[new]
+                else:
+                    rows = np.repeat(np.arange(len(x)), hi - lo + 1)
+                    leaf = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)]) if len(x) else np.empty(0, np.int64)
+                far = np.sqrt(((x[rows] - tree.centres[nodes[leaf]]) ** 2).sum(1))
+                yield pdf.iloc[rows].assign(leaf=leaf.astype(np.int32), far=far)
+
+        return queries.mapInPandas(run, "query_id long, q array<double>, asks long, within double, leaf int, far double")
+
+    def searched(self, queries: DataFrame, train: DataFrame, later: bool) -> DataFrame:
+        spark, asked = queries.sparkSession, self.visits(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), "asks", "within"), later)
+        met = {r.leaf: r.n for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+        start = np.cumsum(self.parts) - self.parts
+        plan = [(int(g), int(start[g]), int(self.parts[g]), int(-(-n // QUERY_CELL))) for g, n in met.items()]
+        cells = F.broadcast(spark.createDataFrame(plan, "leaf int, start int, parts int, tall int"))
+        left = asked.join(cells, "leaf").withColumn("h", F.pmod(F.xxhash64("query_id"), F.col("tall")).cast("int")).withColumn("cell", F.explode(F.expr("sequence(start, start + parts - 1)")))
+        right = train.join(cells, "leaf").withColumn("cell", (F.col("start") + F.pmod(F.xxhash64("neighbor_id"), F.col("parts"))).cast("int")).withColumn("h", F.explode(F.expr("sequence(0, tall - 1)")))
+        return _searched(left.select("cell", "h", "query_id", "q", "asks", "far", "within"), right.select("cell", "h", "neighbor_id", "neighbor_label", "x", "holds", "far"), self.k)
+
+
+def _search(queries: DataFrame, train: DataFrame, k: int, row_id: str, label: str, features: str, sizes, asks: Column, holds: Column) -> Search:
+    left = queries.select(F.col(row_id).cast("long").alias("query_id"), F.col(features).alias("q"), asks.cast("long").alias("asks"))
+    right = train.select(F.col(row_id).cast("long").alias("neighbor_id"), F.col(label).cast("int").alias("neighbor_label"), F.col(features).alias("x"), holds.cast("long").alias("holds"))
+    return Search(left, right, max(1, k), sizes)
 
 
 def neighbors(queries: DataFrame, train: DataFrame, k: int, row_id: str = "row_id", label: str = "label", features: str = "features", sizes: tuple[int, int] | None = None, group: str | None = None) -> DataFrame:
     """query_id, neighbor_id, neighbor_label, distance (squared) and rank of the k nearest rows; k is held to [1, rows].
 
-    sizes: rows of queries and of train if they are known; else both are counted.  group: an int column of both; then
-    neighbours are looked for among the rows of the query's group, and the result has the column too.
+    Ties go to the smaller id.  sizes: rows of queries and of train if they are known; else both are counted.  group: an int
+    column of both, from 0; then neighbours are looked for among the rows of the query's group, and the result has the
+    column too.
     """
-    n_queries, n_train = sizes or (queries.count(), train.count())
     if group is None:
-        queries, train = queries.withColumn("_g", F.lit(0)), train.withColumn("_g", F.lit(0))
-        groups = 1
-    else:
-        queries, train = queries.withColumn("_g", F.col(group)), train.withColumn("_g", F.col(group))
-        groups = max(1, train.select("_g").distinct().count())
-    k = max(1, min(k, n_train))
-    down, across = max(1, -(-n_queries // (groups * QUERY_CELL))), max(1, -(-n_train // (groups * TRAIN_CELL)))
-    left = queries.select("_g", F.col(row_id).alias("query_id"), F.col(features).alias("q"), F.pmod(F.xxhash64(row_id), F.lit(down)).alias("d"))
-    left = left.select("_g", "query_id", "q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda g: g * down + F.col("d"))).alias("cell"))
-    right = train.select("_g", F.col(row_id).alias("neighbor_id"), F.col(label).cast("int").alias("neighbor_label"), F.col(features).alias("x"), F.pmod(F.xxhash64(row_id), F.lit(across)).alias("g"))
-    right = right.select("_g", "neighbor_id", "neighbor_label", "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda d: F.col("g") * down + d)).alias("cell"))
+        return _ranked(_search(queries, train, k, row_id, label, features, sizes, F.lit(1), F.lit(1)).found, k).drop("g")
+    most = train.agg(F.max(group)).first()[0] or 0
+    out = None
+    for wave in range(most // GROUPS + 1):
+        own = F.floor(F.col(group) / GROUPS) == wave
+        bit = F.expr(f"shiftleft(1L, cast(`{group}` % {GROUPS} as int))")
+        near = _ranked(_search(queries.where(own), train.where(own), k, row_id, label, features, None, bit, bit).found, k)
+        near = near.withColumn("g", F.col("g") + wave * GROUPS).withColumnRenamed("g", group)
+        out = near if out is None else out.unionByName(near)
+    return out
 
-    def run(key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(own):
-            return pd.DataFrame({"_g": [], "query_id": [], "neighbor_id": [], "neighbor_label": [], "distance": []})
-        place = np.arange(len(own))
-        order = np.argsort(own.neighbor_id.to_numpy(), kind="stable")
-        own = own.iloc[order]
-        rows, found, far = nearest_in_cell(place, block(own.x), block(asked.q), k)
-        return pd.DataFrame({"_g": key[0], "query_id": asked.query_id.to_numpy()[rows], "neighbor_id": own.neighbor_id.to_numpy()[found], "neighbor_label": own.neighbor_label.to_numpy()[found], "distance": far})
-
-    schema = "_g int, query_id long, neighbor_id long, neighbor_label int, distance double"
-    found = left.groupBy("_g", "cell").cogroup(right.groupBy("_g", "cell")).applyInPandas(run, schema)
-    order = Window.partitionBy("_g", "query_id").orderBy("distance", "neighbor_id")
-    out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.drop("_g") if group is None else out.withColumnRenamed("_g", group)
+
+def masked_neighbors(rows: DataFrame, k: int, asks: str, holds: str, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
+    """query_id, g, neighbor_id, neighbor_label, distance and rank of the k nearest rows in several groups at once.
+
+    asks and holds: long columns; a row is a query in the groups whose bits asks has, and a training row in those of holds
+    (at most GROUPS).  Each distance is computed once, whatever number of groups it counts in.
+    """
+    return _ranked(_search(rows.where(F.col(asks) != 0), rows.where(F.col(holds) != 0), k, row_id, label, features, None, F.col(asks), F.col(holds)).found, k)
+
+
+def measured(queries: DataFrame, train: DataFrame, k: int, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
+    """One row: distances that a search computes, and those of all pairs."""
+    search = _search(queries, train, k, row_id, label, features, None, F.lit(1), F.lit(1))
+    return search.found.agg(F.sum("looked").alias("computed")).withColumn("pairs", F.lit(queries.count() * train.count()))
 
 
 def vote_shares(near: DataFrame, k: int | None = None) -> DataFrame:

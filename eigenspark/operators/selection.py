@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, neighbors, sampling
@@ -143,14 +143,42 @@ def scored(df: DataFrame, models: dict[int, list[tuple[str, int, LinearModel]]],
     return parts.groupBy("g", "model", "place").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
 
 
-def neighbor_scores(validation: DataFrame, train: DataFrame, settings: list[dict], row_id: str = "row_id", label: str = "label", features: str = "features", group: str = "_g") -> DataFrame:
-    """g, model, place, n, right for each group and k, from one search with the largest k."""
+def group_mask(groups: Column, wave: int) -> Column:
+    """Bits of the numbers in an array of groups, of those of one search."""
+    own = F.filter(groups, lambda g: F.floor(g / neighbors.GROUPS) == wave)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda m, g: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (g % neighbors.GROUPS).cast("int"))))
+
+
+def neighbor_scores(rows: DataFrame, settings: list[dict], asks: str, trains: str, groups: int, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
+    """g, model, place, n, right for each group and k, from one search of all groups with the largest k.
+
+    asks and trains: array columns, the groups (from 0) in which a row is judged, and those in which it is a training row.
+    """
     ks = {s["k"]: i for i, s in enumerate(settings)}
-    near = neighbors.neighbors(validation, train, max(ks), row_id, label, features, group=group)
-    votes = neighbors.sweep(near, list(ks), group).join(validation.select(F.col(row_id).alias("query_id"), group, F.col(label).alias("truth")), ["query_id", group])
     place = F.create_map(*[F.lit(v) for k, i in ks.items() for v in (k, i)])
-    out = votes.groupBy(group, "k").agg(F.count("*").alias("n"), F.sum((F.col("predicted") == F.col("truth")).cast("long")).alias("right"))
-    return out.select(F.col(group).cast("int").alias("g"), F.lit("knn").alias("model"), place[F.col("k")].alias("place"), "n", "right")
+    truth = rows.select(F.col(row_id).alias("query_id"), F.col(label).alias("truth"))
+    out = None
+    for wave in range(-(-groups // neighbors.GROUPS)):
+        masked = rows.select(row_id, label, features, group_mask(F.col(asks), wave).alias("_asks"), group_mask(F.col(trains), wave).alias("_holds"))
+        near = neighbors.masked_neighbors(masked, max(ks), "_asks", "_holds", row_id, label, features)
+        votes = neighbors.sweep(near, list(ks), "g").join(truth, "query_id")
+        own = votes.groupBy("g", "k").agg(F.count("*").alias("n"), F.sum((F.col("predicted") == F.col("truth")).cast("long")).alias("right"))
+        own = own.select((F.col("g") + wave * neighbors.GROUPS).cast("int").alias("g"), F.lit("knn").alias("model"), place[F.col("k")].alias("place"), "n", "right")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def nested_roles(base: DataFrame, nested: DataFrame, outer: int, inner: int, row_id: str = "row_id") -> DataFrame:
+    """base (with _outer) once for each row, with the arrays _asks and _trains of the groups in which it is judged and trains.
+
+    Groups: outer_fold * inner + inner_fold for the inner folds, and outer * inner + outer_fold for the outer ones.
+    """
+    cells = outer * inner
+    folds = nested.groupBy(row_id).agg(F.collect_list(F.struct("outer_fold", "inner_fold")).alias("_f"))  # at most outer - 1 of each
+    others = F.flatten(F.transform("_f", lambda f: F.transform(F.filter(F.sequence(F.lit(0), F.lit(inner - 1)), lambda j: j != f.inner_fold), lambda j: f.outer_fold * inner + j)))
+    asks = F.concat(F.transform("_f", lambda f: f.outer_fold * inner + f.inner_fold), F.array(F.col("_outer") + cells))
+    trains = F.concat(others, F.transform("_f", lambda f: f.outer_fold + cells))
+    return base.join(folds, row_id).withColumn("_asks", asks.cast("array<int>")).withColumn("_trains", trains.cast("array<int>")).drop("_f")
 
 
 def svm_models(df: DataFrame, trains: str, sums: dict[int, Sums], settings: list[dict], classes: int, label: str = "label", features: str = "features") -> dict[int, list[tuple[str, int, LinearModel]]]:
@@ -182,8 +210,8 @@ def tuned_on_holdout(df: DataFrame, settings: dict[str, list[dict]], classes: in
             models += svm_models(trains, "_trains", {0: sums}, settings["svm"], classes, label, "_x")[0]
         counts = scored(rows, {0: models, 1: models}, "_g", "_x", label)
         if "knn" in settings:
-            train = rows.where("_g = 0").withColumn("_g", F.explode(F.array(F.lit(0), F.lit(1))))
-            counts = counts.unionByName(neighbor_scores(rows, train, settings["knn"], row_id, label, features))
+            roles = rows.withColumn("_asks", F.array("_g")).withColumn("_trains", F.when(F.col("_g") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>")))
+            counts = counts.unionByName(neighbor_scores(roles, settings["knn"], "_asks", "_trains", 2, row_id, label, features))
         by = counts.groupBy("model", "place").agg(*[F.max(F.when(F.col("g") == g, F.col("right") / F.col("n"))).alias(c) for g, c in enumerate(("train_accuracy", "validation_accuracy"))])
         got = [tuple(r) for r in by.join(grid_frame(spark, settings), ["model", "place"]).select("model", "place", "setting", "train_accuracy", "validation_accuracy").collect()]
     finally:
@@ -204,6 +232,7 @@ def nested_cv(df: DataFrame, settings: dict[str, list[dict]], classes: int, oute
     base = sampling.stratified_folds(flat, outer, label, row_id, seed).withColumnRenamed("fold", "_outer").persist()
     cell = F.col("outer_fold") * inner + F.col("inner_fold")
     nested = sampling.nested_folds(flat, outer, inner, label, row_id, seed).withColumn("_g", cell.cast("int")).persist()
+    roles = nested_roles(base, nested, outer, inner, row_id).persist()
     scores: dict[tuple[str, int], dict[int, list[float]]] = {}
     chosen: dict[tuple[str, int], tuple[int, float]] = {}
     out = []
@@ -214,34 +243,25 @@ def nested_cv(df: DataFrame, settings: dict[str, list[dict]], classes: int, oute
         least = min(s.n for s in train.values())
         settings = {m: restricted(s, min(least, len(parts[0].total))) if FAMILIES[m].on_components else s for m, s in settings.items()}
         models = {g: models_from_sums(s, settings) for g, s in train.items()}
-        others = F.filter(F.sequence(F.lit(0), F.lit(inner - 1)), lambda j: j != F.col("inner_fold"))
-        others = F.transform(others, lambda j: (F.col("outer_fold") * inner + j).cast("int"))
         if "svm" in settings:
-            trains = nested.withColumn("_trains", F.concat(others, F.array((F.col("outer_fold") + cells).cast("int"))))
-            for g, own in svm_models(trains, "_trains", train, settings["svm"], classes, label, "_x").items():
+            for g, own in svm_models(roles, "_trains", train, settings["svm"], classes, label, "_x").items():
                 models[g] += own
-        found = scored(nested, models, "_g", "_x", label)
-        if "knn" in settings:
-            near = nested.select(row_id, label, features, F.explode(others).alias("_g"))
-            found = found.unionByName(neighbor_scores(nested, near, settings["knn"], row_id, label, features))
-        for r in found.collect():
+        # neighbours of inner and outer folds come from one search
+        near = neighbor_scores(roles, settings["knn"], "_asks", "_trains", cells + outer, row_id, label, features).collect() if "knn" in settings else []
+        for r in scored(nested, models, "_g", "_x", label).collect() + [r for r in near if r.g < cells]:
             scores.setdefault((r.model, r.g // inner), {}).setdefault(r.place, []).append(r.right / r.n)
         for at, by_place in scores.items():
             means = {p: float(np.mean(v)) for p, v in by_place.items()}
             place = max(means, key=lambda p: (means[p], -p))
             chosen[at] = place, means[place]
         last = {o: [x for x in models[cells + o] if chosen[x[0], o][0] == x[1]] for o in range(outer)}
-        tests = scored(base, last, "_outer", "_x", label)
-        if "knn" in settings:
-            near = base.select(row_id, label, features, F.explode(F.filter(F.sequence(F.lit(0), F.lit(outer - 1)), lambda o: o != F.col("_outer"))).alias("_g"))
-            every = neighbor_scores(base.withColumn("_g", F.col("_outer")), near, settings["knn"], row_id, label, features)
-            tests = tests.unionByName(every)
-        for r in tests.collect():
-            place, score = chosen[r.model, r.g]
-            if r.place == place:
-                out.append((r.model, r.g, shown(settings[r.model][place]), score, r.right / r.n))
+        tests = [(r.model, r.g, r.place, r.right / r.n) for r in scored(base, last, "_outer", "_x", label).collect()]
+        for model, o, at, score in tests + [(r.model, r.g - cells, r.place, r.right / r.n) for r in near if r.g >= cells]:
+            place, inner_score = chosen[model, o]
+            if at == place:
+                out.append((model, o, shown(settings[model][place]), inner_score, score))
     finally:
-        for x in (base, nested, flat):
+        for x in (roles, base, nested, flat):
             x.unpersist()
     return spark.createDataFrame(sorted(out), "model string, outer_fold int, setting string, inner_score double, score double")
 

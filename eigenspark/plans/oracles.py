@@ -110,6 +110,19 @@ SQL = {
         WITH {_KNN}, v AS (SELECT k, query_id, truth, neighbor_label AS l, count(*) AS c FROM nn, (SELECT unnest([1, 3, 5, 7]) AS k) WHERE rank <= k GROUP BY ALL),
         p AS (SELECT k, query_id, truth, arg_min(l, -c * 1000 + l) AS predicted FROM v GROUP BY k, query_id, truth)
         SELECT CAST(k AS INTEGER) AS k, count(*) AS n, CAST(sum(CASE WHEN predicted = truth THEN 1 ELSE 0 END) AS BIGINT) AS correct, {_r('1 - sum(CASE WHEN predicted = truth THEN 1 ELSE 0 END) / count(*)')} AS error FROM p GROUP BY k""",
+    "nested_knn_scores": f"""
+        WITH {_FOLDS}, n AS (SELECT row_id, label, CAST(o AS INTEGER) AS o FROM f, (SELECT unnest(generate_series(0, 4)) AS o) WHERE o <> fold),
+        i AS (SELECT *, CAST(ntile(3) OVER (PARTITION BY o, label ORDER BY md5(CAST(row_id AS VARCHAR) || ':' || CAST(43 + o AS VARCHAR)), row_id) - 1 AS INTEGER) AS i FROM n),
+        x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        d AS (SELECT a.vec_id AS q, b.vec_id AS t, list_distance(a.x, b.x) AS d FROM x a, x b),
+        c AS (
+            SELECT a.o, a.i, a.row_id AS q, a.label AS truth, b.row_id AS t, b.label AS l FROM i a JOIN i b ON a.o = b.o AND a.i <> b.i
+            UNION ALL SELECT a.fold, -1, a.row_id, a.label, b.row_id, b.label FROM f a JOIN f b ON a.fold <> b.fold
+        ),
+        r AS (SELECT c.*, row_number() OVER (PARTITION BY o, i, q ORDER BY d, t) AS r FROM c JOIN d USING (q, t)),
+        v AS (SELECT k, o, i, q, truth, l, count(*) AS n FROM r, (SELECT unnest([1, 3, 5]) AS k) WHERE r <= k GROUP BY ALL),
+        p AS (SELECT k, o, i, q, truth, arg_min(l, -n * 1000 + l) AS said FROM v GROUP BY k, o, i, q, truth)
+        SELECT CAST(k AS INTEGER) AS k, o AS outer_fold, i AS inner_fold, count(*) AS n, CAST(sum(CASE WHEN said = truth THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM p GROUP BY k, o, i""",
     "hyperparam_grid": _GRID,
     "best_setting": f"WITH {_SCORES}, a AS (SELECT model, place, setting, avg(score) AS score FROM s GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, place) AS r FROM a) SELECT model, setting AS best_setting, {_r('score')} AS best_score FROM b WHERE r = 1",
     "fold_score_summary": f"WITH {_SCORES} SELECT model, count(*) AS n_folds, {_r('avg(score)')} AS mean_score, {_r('coalesce(stddev_samp(score), 0)')} AS std_score, {_r('avg(score / 2)')} AS mean_inner_score FROM s GROUP BY model",

@@ -62,7 +62,7 @@ def inner_means(rows: DataFrame, settings: dict, classes: int, folds: int, seed:
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
     try:
         if family == "knn":
-            found = selection.neighbor_scores(dealt, dealt.withColumn("_g", F.explode(others)), own)
+            found = selection.neighbor_scores(dealt.withColumn("_asks", F.array("fold")).withColumn("_trains", others), own, "_asks", "_trains", folds)
         else:
             cells = linalg.grouped_sums(dealt, folds, classes, "fold", "_x")
             whole = sum(cells[1:], cells[0])

@@ -231,6 +231,18 @@ def knn_k_sweep(spark, d):
     return out.select("k", "n", "correct", _r(1 - F.col("correct") / F.col("n")).alias("error"))
 
 
+def nested_knn_scores(spark, d):
+    """Rightly classified rows of every inner fold, and of every outer one (inner_fold -1), from one search of all folds."""
+    rows = vectors(spark, d)
+    base = sampling.stratified_folds(rows, OUTER, seed=SEED).withColumnRenamed("fold", "_outer")
+    roles = selection.nested_roles(base, sampling.nested_folds(rows, OUTER, INNER, seed=SEED), OUTER, INNER)
+    ks = selection.NEIGHBORS
+    found = selection.neighbor_scores(roles, [{"k": k} for k in ks], "_asks", "_trains", OUTER * INNER + OUTER)
+    inside = F.col("g") < OUTER * INNER
+    outer = F.when(inside, F.floor(F.col("g") / INNER)).otherwise(F.col("g") - OUTER * INNER)
+    return found.select(F.get(F.array(*[F.lit(k) for k in ks]), F.col("place")).alias("k"), outer.cast("int").alias("outer_fold"), F.when(inside, F.col("g") % INNER).otherwise(-1).alias("inner_fold"), "n", F.col("right").alias("correct"))
+
+
 def hyperparam_grid(spark, d):
     return selection.grid_frame(spark, selection.grid(None, 300))
 
@@ -376,7 +388,7 @@ QUERIES = {
         stratified_holdout, stratified_kfold, three_way_split, shuffle_split, event_holdout, complement_train, nested_fold_assignment, cv_feasibility,
         zscore_vector, minmax_vector, symmetric_scale, flat_resize, unflatten_rows, bar_crop, mean_vector, column_variance_total, sq_norms, global_mean_std, standardised_vector,
         gram_matrix, covariance_matrix, ls_cross_term, variance_curve, class_centroids, nearest_mean_predict, nearest_mean_confusion, nearest_mean_accuracy, match_report, label_agreement,
-        knn_neighbors, knn_predict, knn_vote_share, knn_k_sweep, hyperparam_grid, best_setting, fold_score_summary, best_family, kmeans_fixed_iters, cluster_purity,
+        knn_neighbors, knn_predict, knn_vote_share, knn_k_sweep, nested_knn_scores, hyperparam_grid, best_setting, fold_score_summary, best_family, kmeans_fixed_iters, cluster_purity,
         one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
     )
 }

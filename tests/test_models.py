@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eigenspark.operators import classifiers, clustering, linalg, metrics, neighbors, selection
+from eigenspark.operators import classifiers, clustering, linalg, metrics, neighbors, sampling, selection
 
 
 def frame(spark, x, y):
@@ -78,6 +78,86 @@ def test_neighbours_ties_and_cells(spark, blobs, monkeypatch):
         assert [got[i, k] for k in (1, 2, 3, 4)] == list(np.lexsort((np.arange(120), d[i]))[:4])
 
 
+def plain_neighbours(x, ids, allowed, i, k):
+    d = ((x - x[i]) ** 2).sum(1)
+    own = [j for j in np.lexsort((ids, d)) if allowed[j]]
+    return [int(ids[j]) for j in own[:k]]
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """3,000 rows around 40 places, some repeated, with ids that no double holds."""
+    rng = np.random.default_rng(21)
+    x = np.repeat(rng.normal(size=(40, 8)) * 9, 75, 0) + rng.normal(size=(3000, 8)) * 0.3
+    x[100:160] = x[100]
+    ids = rng.permutation(3000) + (1 << 60)
+    return x, ids, spark.createDataFrame([(int(i), v.tolist(), int(i) % 7) for i, v in zip(ids, x, strict=True)], "row_id long, features array<double>, label int").repartition(4).persist()
+
+
+@pytest.mark.parametrize("sizes", [{"LEAF": 100}, {"LEAF": 20, "TRAIN_CELL": 30, "QUERY_CELL": 16, "STEP": 5}, {"LEAF": 3, "LEAVES": 500, "SAMPLE": 300}])
+def test_metric_cells_are_exact(clustered, monkeypatch, sizes):
+    x, ids, df = clustered
+    for name, value in sizes.items():
+        monkeypatch.setattr(neighbors, name, value)
+    some = df.where("row_id % 9 = 0")
+    got = {}
+    for r in neighbors.neighbors(some, df, 6).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.neighbor_id)
+    assert got == {int(i): plain_neighbours(x, ids, np.ones(3000, bool), n, 6) for n, i in enumerate(ids) if i % 9 == 0}
+    found = neighbors.measured(some, df, 6).first()
+    assert found.pairs == some.count() * 3000 and found.computed < 0.2 * found.pairs
+
+
+def test_metric_cells_of_few_rows(clustered, spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF", 1)
+    df = clustered[2].limit(5)
+    assert neighbors.neighbors(df, df, 9).count() == 25 and neighbors.neighbors(df, df.limit(0), 3).count() == 0 and neighbors.neighbors(df.limit(0), df, 3).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(30)], "row_id long, features array<double>, label int")
+    assert {r.neighbor_id for r in neighbors.neighbors(same, same, 2).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("leaf", [50, 10_000])
+def test_masked_neighbours_are_those_of_each_group(clustered, monkeypatch, leaf):
+    """Groups from 3 rows to all, and rows that are asked for in several."""
+    monkeypatch.setattr(neighbors, "LEAF", leaf)
+    x, ids, df = clustered
+    holds = [((i % 3 != 0) << 0) | ((i % 1000 == 7) << 1) | (1 << 5) | ((i % 5 == 1) << 61) for i in ids.tolist()]
+    asks = [((i % 40 == 0) << 0) | ((i % 60 == 0) << 1) | ((i % 80 == 0) << 5) | ((i % 120 == 0) << 61) for i in ids.tolist()]
+    bit = lambda c, g: f"shiftleft(cast({c} as long), {g})"
+    expr = lambda parts: F.expr(" + ".join(bit(c, g) for c, g in parts))
+    rows = df.withColumn("holds", expr([("row_id % 3 <> 0", 0), ("row_id % 1000 = 7", 1), ("true", 5), ("row_id % 5 = 1", 61)]))
+    rows = rows.withColumn("asks", expr([("row_id % 40 = 0", 0), ("row_id % 60 = 0", 1), ("row_id % 80 = 0", 5), ("row_id % 120 = 0", 61)]))
+    got = {}
+    for r in neighbors.masked_neighbors(rows, 5, "asks", "holds").orderBy("rank").collect():
+        got.setdefault((r.g, r.query_id), []).append(r.neighbor_id)
+    want = {}
+    for g in (0, 1, 5, 61):
+        allowed = np.array([h >> g & 1 for h in holds], bool)
+        want |= {(g, int(i)): plain_neighbours(x, ids, allowed, n, 5) for n, i in enumerate(ids) if asks[n] >> g & 1}
+    assert got == want
+
+
+def test_one_search_serves_all_folds(blobs, monkeypatch):
+    """As many right answers in every inner and outer fold as from a search fold by fold; each distance is computed once."""
+    df = blobs[2]
+    base = sampling.stratified_folds(df, 3).withColumnRenamed("fold", "_outer")
+    nested = sampling.nested_folds(df, 3, 2)
+    roles = selection.nested_roles(base, nested, 3, 2).persist()
+    assert roles.count() == 120
+    for groups in (neighbors.GROUPS, 4):  # all groups at once, or in three searches
+        monkeypatch.setattr(neighbors, "GROUPS", groups)
+        got = {(r.g, r.place): (r.n, r.right) for r in selection.neighbor_scores(roles, [{"k": 1}, {"k": 4}], "_asks", "_trains", 9).collect()}
+        for g in range(9):
+            own, train = (nested.where(f"outer_fold = {g // 2} and inner_fold {op} {g % 2}") if g < 6 else base.where(f"_outer {op} {g - 6}") for op in ("=", "<>"))
+            for place, k in enumerate((1, 4)):
+                said = neighbors.vote(neighbors.neighbors(own, train, k)).join(own.select(F.col("row_id").alias("query_id"), "label"), "query_id")
+                assert got[g, place] == (own.count(), said.where("predicted = label").count())
+    monkeypatch.undo()
+    masked = roles.select("row_id", "features", "label", selection.group_mask(F.col("_asks"), 0).alias("a"), selection.group_mask(F.col("_trains"), 0).alias("t"))
+    search = neighbors._search(masked, masked, 3, "row_id", "label", "features", None, F.col("a"), F.col("t"))
+    assert search.found.agg(F.sum("looked")).first()[0] == 120 * 120
+
+
 def test_svm_and_kmeans_find_blobs(blobs):
     x, y, df = blobs
     assert metrics.accuracy(classifiers.fit_svm(df, 4, epochs=20).transform(df)).first().accuracy > 0.95
@@ -212,5 +292,7 @@ def test_grouped_neighbours(blobs):
     parts = df.withColumn("part", (F.col("row_id") % 3).cast("int"))
     near = neighbors.neighbors(parts, parts, 2, group="part").collect()
     d = ((x[:, None] - x[None]) ** 2).sum(2) + 1e9 * (np.arange(120)[:, None] % 3 != np.arange(120)[None] % 3)
+    far = neighbors.neighbors(parts.withColumn("part", F.col("part") * 50), parts.withColumn("part", F.col("part") * 50), 2, group="part")
+    assert sorted((r.query_id, r["rank"], r.part, r.neighbor_id) for r in far.collect()) == sorted((r.query_id, r["rank"], 50 * r.part, r.neighbor_id) for r in near)
     got = {(r.query_id, r["rank"]): (r.part, r.neighbor_id) for r in near}
     assert got == {(i, k + 1): (i % 3, int(np.lexsort((np.arange(120), d[i]))[k])) for i in range(120) for k in (0, 1)}
