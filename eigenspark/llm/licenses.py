@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -94,14 +95,15 @@ class Notices:
         return [(k, m.start(), m.end(), sum(m.fuzzy_counts)) for k, a, b in self.windows(text) for m in self.within(k, text, a, b)]
 
     def matches(self, text: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, first, last, errors, similarity) of each notice found; of overlapping ones only the closest stays."""
+        """(label, first, last, errors, similarity) of each notice found: the closest first, and then what overlaps none that is
+        taken; of equally close ones the longer, then the later label by name, then the earlier place."""
         out = [(self.notices[k][1], a, b, e, 1 - e / len(self.notices[k][0])) for k, a, b, e in self.verified(text)]
-        kept: list = []
-        for x in sorted(out, key=lambda x: (x[1], x[2], x[0])):
-            if kept and x[1] < kept[-1][2]:
-                kept[-1] = max(kept[-1], x, key=lambda y: (y[4], y[2] - y[1], y[0]))
-            else:
-                kept.append(x)
+        out.sort(key=lambda x: x[1])
+        kept: list = []  # by place
+        for x in sorted(out, key=lambda x: (x[4], x[2] - x[1], x[0]), reverse=True):
+            at = bisect_left(kept, x[1], key=lambda y: y[1])
+            if (at == len(kept) or x[2] <= kept[at][1]) and (at == 0 or kept[at - 1][2] <= x[1]):
+                kept.insert(at, x)
         return kept
 
 

@@ -119,22 +119,24 @@ def likeness(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> fl
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and its shingles: 32-bit hashes, then their counts unless all are 1."""
+    """doc_id, the hash of the words, and the shingles: 32-bit hashes, then their counts unless all are 1."""
 
     def run(batches):
         for b in batches:
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            out = []
+            out, names = [], []
             for first, last in slices(texts):
-                value, of, count, _ = shingles(texts[first:last])
+                value, of, count, whole = shingles(texts[first:last])
+                names.append(whole.view(np.int64))
                 cuts = np.searchsorted(of, np.arange(last - first + 1))
                 for x, y in zip(cuts, cuts[1:], strict=False):
                     v, k = np.unique((value[x:y] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
                     c = np.bincount(k, count[x:y]).astype(np.uint32)
                     out.append((len(v), v.tobytes() + (c.tobytes() if len(c) and c.max() > 1 else b"")))
-            yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "size", "data"])
+            names = np.concatenate(names) if names else np.empty((0, 2), np.int64)
+            yield pa.record_batch([b.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "h1", "h2", "size", "data"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, data binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, size int, data binary")
 
 
 def _unpacked(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -318,14 +320,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     sketch = stored(sketched(docs))
     ids = sketch.where(F.col("doc_id").isNotNull())
-    texts = stored(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
+    # texts have numbers of their own, as one id may have several texts; doc_id: their smallest
+    texts = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
+    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()))
     rows = texts.select("id", F.explode("bands").alias("bucket"))
     full = stored(rows.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     often = max(100, BANDS * texts.count() / (16 * partitions(docs)))  # fewer than 16 * partitions buckets hold more rows
     hot = local(full.where(F.col("n") > often).select("bucket"))
     members = stored(hot_join(rows, full, ["bucket"], hot))
-    wanted = members.select("id").distinct()
-    sets = stored(_packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.first("size").alias("size"), F.first("data").alias("data")))
+    wanted = stored(texts.select("id", "doc_id", "h1", "h2").join(members.select("id").distinct(), "id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = _packed(own).join(wanted, ["doc_id", "h1", "h2"]).groupBy("id").agg(F.first("size").alias("size"), F.first("data").alias("data"))  # rows of one text have one set
+    sets = stored(sets.withColumnRenamed("id", "doc_id"))
     pairs = stored(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(verified(pairs, sets, least))
     root = components(links)
@@ -347,7 +353,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         rooted, mixed = in_buckets(hot_join(members, large, ["bucket"], hot))
         more = stored(_compared_blocks(stored(_blocks(hot_join(rooted, mixed.select("bucket"), ["bucket"], hot))), sets, least))
         root = joined_components(root, more)
-    named = texts.select("h1", "h2", F.col("id")).join(root, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"))
+    named = stored(texts.select("h1", "h2", "doc_id", "id").join(root, "id", "left").select("h1", "h2", "doc_id", F.coalesce("root", "id").alias("root")))
+    least_of = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = hot_join(named.drop("doc_id"), least_of, ["root"], hot_keys(named, ["root"])).select("h1", "h2", "class_id")
     every = ids.select("doc_id", "h1", "h2")
     own = stored(hot_join(every, stored(named), ["h1", "h2"], hot_keys(every, ["h1", "h2"])).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))
     twice = hot_keys(every, ["doc_id"]) if own.count() < every.count() else None

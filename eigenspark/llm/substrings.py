@@ -162,8 +162,8 @@ def _packets(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list
             for ids, texts in _encoded(b):
                 sums = np.fromiter((zlib.crc32(t) for t in texts), np.uint32, len(texts))
                 for k, s in enumerate(_levels(texts, window, prefixes, long)):
-                    if k == len(prefixes):
-                        continue  # settled by a minimum
+                    if k == len(prefixes) or not len(s.prefix):
+                        continue  # settled by a minimum, or all lengthened
                     bucket = (mix(s.prefix) % np.uint64(buckets)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
                     first, last = (e[order] for e in s.edges(window))

@@ -163,6 +163,41 @@ def test_license_notices_match_edit_distances():
     assert seen > 150
 
 
+def test_closest_notices_first():
+    """Of three notices in a row, each overlapping the next, the outer ones stay where the middle one is no closer."""
+    own = licenses.Notices((("alpha beta gamma delta", "x"), ("gamma delta epsilon zeta eta theta", "y"), ("eta theta iota kappa lambda mu", "z")))
+    text = " alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu "
+    assert [x[0] for x in own.matches(text)] == ["y"]  # the longest of equally close ones overlaps both others
+    assert [x[0] for x in own.matches(text.replace("zeta", "zetta"))] == ["x", "z"]
+    mended = "licensed under the apache license version icensed under cc by nc 4 0reative commons attribution 4 0 international"
+    assert licenses.scan_text(mended)[5] == "apache-2,cc-by,cc-by-nc"  # the last by its base phrase
+
+
+def plain_matches(found, notices):
+    """The closest first, each against all that is taken."""
+    rows = sorted((-(1 - e / len(notices[k][0])), a - b, [-ord(c) for c in notices[k][1]] + [0], a, b, notices[k][1]) for k, a, b, e in found)
+    kept = []
+    for x in rows:
+        if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+            kept.append(x)
+    return sorted((x[3], x[4], x[5]) for x in kept)
+
+
+def test_overlapping_notices_match_brute_force():
+    rng, own = random.Random(21), licenses._notices()
+    chains = 0
+    for _ in range(400):
+        text = " "
+        for _ in range(3):
+            notice = garbled(rng, rng.choice(licenses.NOTICES)[0], rng.randrange(3))
+            text = text[: len(text) - rng.randrange(0, min(9, len(text)))] + notice + rng.choice(["", " ", " some words "])
+        found = own.verified(text)
+        kept = own.matches(text)
+        assert [(x[1], x[2], x[0]) for x in kept] == plain_matches(found, own.notices)
+        chains += len(found) > len(kept) > 1
+    assert chains > 10
+
+
 def test_license_score_and_repeated_rows(spark, make_docs):
     text = "x licensed under the apache licence version 2 0 y"
     rows = licenses.scanned(make_docs([(1, text, "en"), (1, text, "en"), (None, text, "en"), (2, text + " under the MIT license", "en"), (3, None, None)], clash=True)).collect()
