@@ -1,4 +1,4 @@
-"""Linear classifiers: nearest class mean, least squares, and one-versus-rest support vector machines.
+"""Linear classifiers: nearest class mean and least squares; and a perceptron.
 
 Fits read the rows once, as sums; models are small tables of numbers by class and component.
 """
@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linalg import Components, Sums, block, class_sums, grouped_sums, summed
+from .linalg import Components, Sums, block, class_sums, grouped_sums
 
 
 @dataclass(frozen=True)
@@ -75,85 +75,6 @@ def fit_least_squares(df: DataFrame, classes: int, features: str = "features", l
     return least_squares_of(grouped_sums(df, 1, classes, features=features, label=label)[0])
 
 
-#: Fixed values of the descent: rows of a step, momentum, and how the rate falls by epoch; usual settings.
-STEP_ROWS, MOMENTUM, DECAY = 256, 0.9, 0.1
-EPOCHS, REG, RATE = 12, 1e-3, 0.2
-#: Rows that a task of the descent has at least, where there are so many.
-TASK_ROWS = 4096
-
-
-def descend(w: np.ndarray, v: np.ndarray, z: np.ndarray, y: np.ndarray, reg: float, rate: float) -> None:
-    """Steps over the rows in turn, in place: hinge loss of every class against the rest, the bias (last) unpenalised."""
-    for a in range(0, len(z), STEP_ROWS):
-        x, sign = z[a : a + STEP_ROWS], np.where(y[a : a + STEP_ROWS, None] == np.arange(len(w)), 1.0, -1.0)
-        active = sign * (sign * (x @ w[:, :-1].T + w[:, -1]) < 1) / len(x)
-        g = -np.column_stack([active.T @ x, active.sum(0)])
-        g[:, :-1] += reg * w[:, :-1]
-        v *= MOMENTUM
-        v -= rate * g
-        w += v
-
-
-def fit_svms(df: DataFrame, settings: list[dict], classes: int, bases: dict[int, Components | None], trains: str, features: str = "features", label: str = "label", seed: int = 42) -> dict[tuple[int, int], LinearModel]:
-    """Support vector machines of several training sets and settings at once, by (training set, place of the setting).
-
-    trains: an array column, the training sets that a row belongs to; bases: the components of each.  Settings have
-    n_components (0: all), reg_strength, epochs and learning_rate.  Each epoch is one pass: every task goes down from the
-    weights so far over its own rows, and the weights of all tasks are averaged by their rows.  What goes out and comes
-    back is one matrix of classes by components for each training set and setting; those that differ in epochs share one.
-    """
-    descents: dict[tuple, int] = {}
-    for s in settings:
-        descents.setdefault((s.get("n_components", 0), s["reg_strength"], s["learning_rate"]), len(descents))
-    rows = df.select(features, label, trains).where(F.size(trains) > 0)
-    width = len((rows.select(features).first() or [[]])[0])
-    rows = rows.coalesce(max(1, rows.count() // TASK_ROWS)).persist()
-    kinds, most = list(descents), max(s["epochs"] for s in settings)
-    size = lambda g, c: min(c or width, len(bases[g].components) if bases[g] is not None else width)
-    state = {(g, d): np.zeros((2, classes, size(g, c) + 1)) for g in bases for d, (c, _, _) in enumerate(kinds)}
-    out: dict[tuple[int, int], LinearModel] = {}
-    try:
-        for epoch in range(most):
-            sent = df.sparkSession.sparkContext.broadcast((state, bases))
-
-            def run(batches):
-                start, basis_of = sent.value
-                own, seen = {k: m.copy() for k, m in start.items()}, dict.fromkeys(basis_of, 0)
-                rng = np.random.default_rng([seed, epoch])
-                for pdf in batches:
-                    x, y = block(pdf[features]), pdf[label].to_numpy(int)
-                    for g, basis in basis_of.items():
-                        pick = np.flatnonzero([g in t for t in pdf[trains]])
-                        pick = pick[rng.permutation(len(pick))]
-                        z = x[pick] if basis is None else basis.project(x[pick])
-                        seen[g] += len(pick)
-                        for d, (c, reg, rate) in enumerate(kinds):
-                            w = own[g, d]
-                            descend(w[0], w[1], z[:, : w.shape[2] - 1], y[pick], reg, rate / (1 + DECAY * epoch))
-                flat = {g * len(kinds) + d: np.append(seen[g] * m.ravel(), seen[g])[None] for (g, d), m in own.items() if seen[g]}
-                return flat
-
-            for key, m in summed(rows, run, [features, label, trains]).items():
-                g, d = divmod(key, len(kinds))
-                state[g, d] = (m[0, :-1] / m[0, -1]).reshape(state[g, d].shape)
-            sent.unpersist()
-            for i, s in enumerate(settings):
-                if s["epochs"] == epoch + 1:
-                    d = descents[s.get("n_components", 0), s["reg_strength"], s["learning_rate"]]
-                    for g in bases:
-                        w = state[g, d][0]
-                        out[g, i] = LinearModel(w[:, :-1].copy(), w[:, -1].copy(), bases[g], s)
-    finally:
-        rows.unpersist()
-    return out
-
-
-def fit_svm(df: DataFrame, classes: int, reg: float = REG, epochs: int = EPOCHS, rate: float = RATE, features: str = "features", label: str = "label", basis: Components | None = None) -> LinearModel:
-    """Hinge loss with half the squared norm times reg, the bias free, one class against the rest."""
-    rows = df.withColumn("_trains", F.array(F.lit(0)))
-    return fit_svms(rows, [{"reg_strength": reg, "epochs": epochs, "learning_rate": rate}], classes, {0: basis}, "_trains", features, label)[0, 0]
-
-
 @dataclass(frozen=True)
 class Perceptron:
     """A network of fully connected layers."""

@@ -141,10 +141,10 @@ def complement(df: DataFrame, part: DataFrame, row_id: str = "row_id") -> DataFr
 
 
 def encoded(df: DataFrame, raw: str, to: str = "label") -> DataFrame:
-    """Adds a dense label from 0 in the order of the raw value's type: numbers by size, text by code points."""
+    """Adds a dense label from 0 in the order of the raw value's type: numbers by size, text by code points, null last."""
     # only distinct values are ranked; up to SMALL of them are broadcast, so a value that most rows have is no single task
-    dim = df.select(raw).distinct().withColumn(to, (F.dense_rank().over(Window.orderBy(raw)) - 1).cast("int"))
-    return df.join(F.broadcast(dim) if dim.limit(SMALL + 1).count() <= SMALL else dim, raw)
+    dim = df.select(F.col(raw).alias("_raw")).distinct().withColumn(to, (F.dense_rank().over(Window.orderBy(F.col("_raw").asc_nulls_last())) - 1).cast("int"))
+    return df.join(F.broadcast(dim) if dim.limit(SMALL + 1).count() <= SMALL else dim, F.col(raw).eqNullSafe(F.col("_raw"))).drop("_raw")
 
 
 def decoded(df: DataFrame, names: DataFrame, label: str = "label") -> DataFrame:

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, neighbors, sampling
-from .classifiers import LinearModel, fit_svms, least_squares_of, nearest_mean_of
+from .classifiers import LinearModel, least_squares_of, nearest_mean_of
 from .linalg import Sums, block, components_of, grouped_sums, narrow_space, project, projected_sums
+from .svm import fit_svms
 
 #: Default grids.
 COMPONENTS = (50, 100, 200, 363)
@@ -181,10 +182,10 @@ def nested_roles(base: DataFrame, nested: DataFrame, outer: int, inner: int, row
     return base.join(folds, row_id).withColumn("_asks", asks.cast("array<int>")).withColumn("_trains", trains.cast("array<int>")).drop("_f")
 
 
-def svm_models(df: DataFrame, trains: str, sums: dict[int, Sums], settings: list[dict], classes: int, label: str = "label", features: str = "features") -> dict[int, list[tuple[str, int, LinearModel]]]:
+def svm_models(df: DataFrame, trains: str, sums: dict[int, Sums], settings: list[dict], classes: int, label: str = "label", features: str = "features", row_id: str = "row_id") -> dict[int, list[tuple[str, int, LinearModel]]]:
     """(family, place in the grid, model) of all support vector machines of each training set; sums: those of the sets."""
     bases = {g: components_of(s, max(x["n_components"] for x in settings)) for g, s in sums.items()}
-    found = fit_svms(df, settings, classes, bases, trains, features, label)
+    found = fit_svms(df, settings, classes, bases, trains, features, label, row_id=row_id)
     return {g: [("svm", i, found[g, i]) for i in range(len(settings))] for g in sums}
 
 
@@ -207,7 +208,7 @@ def tuned_on_holdout(df: DataFrame, settings: dict[str, list[dict]], classes: in
         models = models_from_sums(sums, settings)
         if "svm" in settings:
             trains = rows.withColumn("_trains", F.when(F.col("_g") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-            models += svm_models(trains, "_trains", {0: sums}, settings["svm"], classes, label, "_x")[0]
+            models += svm_models(trains, "_trains", {0: sums}, settings["svm"], classes, label, "_x", row_id)[0]
         counts = scored(rows, {0: models, 1: models}, "_g", "_x", label)
         if "knn" in settings:
             roles = rows.withColumn("_asks", F.array("_g")).withColumn("_trains", F.when(F.col("_g") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>")))
@@ -244,7 +245,7 @@ def nested_cv(df: DataFrame, settings: dict[str, list[dict]], classes: int, oute
         settings = {m: restricted(s, min(least, len(parts[0].total))) if FAMILIES[m].on_components else s for m, s in settings.items()}
         models = {g: models_from_sums(s, settings) for g, s in train.items()}
         if "svm" in settings:
-            for g, own in svm_models(roles, "_trains", train, settings["svm"], classes, label, "_x").items():
+            for g, own in svm_models(roles, "_trains", train, settings["svm"], classes, label, "_x", row_id).items():
                 models[g] += own
         # neighbours of inner and outer folds come from one search
         near = neighbor_scores(roles, settings["knn"], "_asks", "_trains", cells + outer, row_id, label, features).collect() if "knn" in settings else []

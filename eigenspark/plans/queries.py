@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import classifiers, clustering, linalg, metrics, neighbors, sampling, selection
+from ..operators import classifiers, clustering, linalg, metrics, neighbors, sampling, selection, svm
 from ..sources import sinks
 
 SEED, RATIO, OUTER, INNER = 42, 0.2, 5, 3
@@ -344,9 +344,28 @@ def pca_total_variance(spark, d):
     return spark.createDataFrame([(float(basis.explained_variance.sum()),)], "v double").select(_r("v").alias("total_variance"))
 
 
-def svm_predict(spark, d):
+def _svm(spark, d) -> tuple[svm.Certified, DataFrame, DataFrame]:
     train, test = _holdout(spark, d)
-    return classifiers.fit_svm(train, CLASSES).transform(test).select("row_id", "label", "predicted")
+    return svm.certified(train, CLASSES), train, test
+
+
+def svm_predict(spark, d):
+    found, _, test = _svm(spark, d)
+    return found.model.transform(test).select("row_id", "label", "predicted")
+
+
+def svm_optimality(spark, d):
+    """Of each class: training rows; whether no weights can be better by over 1e-4, the duality gap; and whether the weights'
+    objective, measured by row functions, is the one that the gap was computed with."""
+    found, train, _ = _svm(spark, d)
+    signs = A.one_versus_rest(F.col("label"), CLASSES)
+    loss = F.zip_with(signs, "scores", lambda t, s: F.greatest(F.lit(0.0), 1 - t.cast("double") * s))
+    rows = found.model.transform(train, keep_scores=True).select(F.posexplode(loss).alias("label", "loss"))
+    penalty = F.array(*[F.lit(float(v)) for v in svm.REG / 2 * (found.model.weights**2).sum(1)])
+    primal, dual = (F.array(*[F.lit(float(v)) for v in x]) for x in (found.primal, found.dual))
+    out = rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("loss").alias("loss"))
+    same = F.abs(F.col("loss") + F.get(penalty, F.col("label")) - F.get(primal, F.col("label"))) < 1e-9
+    return out.select("label", "n", (F.get(primal, F.col("label")) - F.get(dual, F.col("label"))).between(-1e-9, 1e-4).alias("certified"), same.alias("same"))
 
 
 def perceptron_predict(spark, d):
@@ -389,6 +408,6 @@ QUERIES = {
         zscore_vector, minmax_vector, symmetric_scale, flat_resize, unflatten_rows, bar_crop, mean_vector, column_variance_total, sq_norms, global_mean_std, standardised_vector,
         gram_matrix, covariance_matrix, ls_cross_term, variance_curve, class_centroids, nearest_mean_predict, nearest_mean_confusion, nearest_mean_accuracy, match_report, label_agreement,
         knn_neighbors, knn_predict, knn_vote_share, knn_k_sweep, nested_knn_scores, hyperparam_grid, best_setting, fold_score_summary, best_family, kmeans_fixed_iters, cluster_purity,
-        one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
+        one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, svm_optimality, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
     )
 }

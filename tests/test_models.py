@@ -1,8 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eigenspark.operators import classifiers, clustering, linalg, metrics, neighbors, sampling, selection
+from eigenspark.operators import classifiers, clustering, linalg, metrics, neighbors, sampling, selection, svm
 
 
 def frame(spark, x, y):
@@ -160,7 +162,7 @@ def test_one_search_serves_all_folds(blobs, monkeypatch):
 
 def test_svm_and_kmeans_find_blobs(blobs):
     x, y, df = blobs
-    assert metrics.accuracy(classifiers.fit_svm(df, 4, epochs=20).transform(df)).first().accuracy > 0.95
+    assert metrics.accuracy(svm.fit_svm(df, 4, epochs=20).transform(df)).first().accuracy > 0.95
     clusters = clustering.kmeans(df, 4, seed=1)
     assert 0.25 <= metrics.purity(clusters.transform(df)).first().purity <= 1
     with pytest.raises(ValueError):
@@ -186,23 +188,79 @@ def plain_svm(x, y, classes, reg, epochs, rate, order):
     return w
 
 
-def test_svm_is_the_plain_descent_in_one_task(spark, blobs):
+def keyed_order(ids, seed=42):
+    return sorted(range(len(ids)), key=lambda i: hashlib.md5(f"{ids[i]}:{seed}".encode()).hexdigest())
+
+
+def test_svm_is_the_plain_descent_in_one_part(spark, blobs):
     x, y, _ = blobs
     x, y = np.tile(x, (3, 1))[:300], np.tile(y, 3)[:300]
-    df = frame(spark, x, y).coalesce(1)
-    model = classifiers.fit_svm(df, 4, reg=1e-2, epochs=3, rate=0.1)
-    want = plain_svm(x, y, 4, 1e-2, 3, 0.1, lambda epoch: np.random.default_rng([42, epoch]).permutation(300))
+    model = svm.fit_svm(frame(spark, x, y).repartition(5), 4, reg=1e-2, epochs=3, rate=0.1)
+    own = keyed_order(range(300))
+    want = plain_svm(x[own], y[own], 4, 1e-2, 3, 0.1, lambda epoch: np.random.default_rng([42, epoch, 0]).permutation(300))
     assert np.allclose(np.column_stack([model.weights, model.bias]), want)
 
 
+@pytest.mark.parametrize("rows", [4096, 70])
+def test_svms_do_not_depend_on_order_or_partitions(spark, monkeypatch, rows):
+    """To the last bit, in one part and in several."""
+    monkeypatch.setattr(svm, "PART_ROWS", rows)
+    rng = np.random.default_rng(22)
+    x, y = rng.normal(size=(400, 5)), rng.integers(0, 3, 400)
+    df = frame(spark, x, y)
+    layouts = df.coalesce(1), df.orderBy(F.desc("row_id")).coalesce(1), df.repartition(8)
+    for fit in (lambda d: svm.fit_svm(d, 3, epochs=3), lambda d: svm.certified(d, 3, tolerance=1e-3).model):
+        one, *others = map(fit, layouts)
+        assert all((one.weights == o.weights).all() and (one.bias == o.bias).all() for o in others) and np.abs(one.weights).max() > 0
+
+
+def plain_objective(w, b, x, y, reg, classes):
+    sign = np.where(y == np.arange(classes)[:, None], 1.0, -1.0)
+    return np.maximum(0, 1 - sign * (w @ x.T + b[:, None])).mean(1) + reg / 2 * (w**2).sum(1)
+
+
+@pytest.mark.parametrize(("rows", "parts", "reg", "tolerance"), [(120, 1, 1e-1, 1e-4), (120, 1, 1e-3, 1e-3), (1200, 4, 1e-1, 3e-3)])
+def test_certified_svm(spark, monkeypatch, rows, parts, reg, tolerance):
+    """The gap is true: no other weights, found by a long plain descent, are better than the dual value."""
+    rng = np.random.default_rng(23)
+    y = rng.integers(0, 4, rows)
+    x = rng.normal(size=(rows, 6)) + 1.5 * np.eye(6)[y]  # overlapping
+    monkeypatch.setattr(svm, "PART_ROWS", -(-rows // parts))
+    found = svm.certified(frame(spark, x, y), 4, reg=reg, tolerance=tolerance)
+    assert found.converged and (found.gaps <= tolerance).all() and (found.gaps >= -1e-9).all()
+    assert np.allclose(plain_objective(found.model.weights, found.model.bias, x, y, reg, 4), found.primal)
+    w, b = found.model.weights.copy(), found.model.bias.copy()
+    for step in range(1, 4000):
+        sign = np.where(y == np.arange(4)[:, None], 1.0, -1.0)
+        active = sign * (sign * (w @ x.T + b[:, None]) < 1) / len(x)
+        w, b = w - 0.3 / step**0.7 * (reg * w - active @ x), b + 0.3 / step**0.7 * active.sum(1)
+        if step % 50 == 0:
+            assert (plain_objective(w, b, x, y, reg, 4) >= found.dual - 1e-9).all()
+
+
+def test_certified_svm_of_odd_classes(spark):
+    """An empty class has hardly any weights and a bias near -1; classes that lines tell apart are told apart."""
+    rng = np.random.default_rng(24)
+    y = rng.integers(0, 2, 90)
+    found = svm.certified(frame(spark, rng.normal(size=(90, 3)) * 0.1 + np.eye(3)[y], y), 3, reg=1e-3)
+    # within the distance that the gap allows
+    assert found.converged and (found.model.weights[2] ** 2).sum() <= 2 * found.gaps[2] / 1e-3 and found.model.bias[2] == pytest.approx(-1, abs=0.5)
+    df = frame(spark, rng.normal(size=(90, 3)) * 0.1 + np.eye(3)[y], y)
+    assert metrics.accuracy(found.model.transform(df)).first().accuracy == 1
+    with pytest.raises(ValueError):
+        svm.certified(df.limit(0), 3)
+    few = svm.certified(df, 3, reg=1e-5, tolerance=1e-12, rounds=2)
+    assert not few.converged and few.rounds == 2 and (few.gaps >= -1e-9).all()
+
+
 def test_svms_of_several_sets_and_settings(blobs):
     _, _, df = blobs
     rows = df.withColumn("_trains", F.when(F.col("row_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
     settings = [{"n_components": c, "reg_strength": 1e-3, "epochs": e, "learning_rate": 0.1} for c in (2, 6) for e in (2, 9)]
     bases = {g: linalg.fit_components(df, 6) for g in (0, 1)}
-    found = classifiers.fit_svms(rows, settings, 4, bases, "_trains")
+    found = svm.fit_svms(rows, settings, 4, bases, "_trains")
     assert set(found) == {(g, i) for g in (0, 1) for i in range(4)} and found[0, 2].weights.shape == (4, 6)
-    alone = classifiers.fit_svms(rows.where("row_id % 2 = 0"), settings[3:], 4, {0: bases[0]}, "_trains")
+    alone = svm.fit_svms(rows.where("row_id % 2 = 0"), settings[3:], 4, {0: bases[0]}, "_trains")
     assert metrics.accuracy(alone[0, 0].transform(df)).first().accuracy > 0.95 and metrics.accuracy(found[0, 3].transform(df)).first().accuracy > 0.95
 
 
