@@ -12,9 +12,11 @@ from ..sources.sinks import submission
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Part A: samples, classes, features, the range of class sizes, and the shape of the processed images."""
-    shape = rows.agg(F.max("height").alias("height"), F.max("width").alias("width"))
-    return metrics.dataset_summary(rows).withColumn("_k", F.lit(0)).join(shape.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    """Part A: samples, classes, features, the range of class sizes, and the shapes of the images as they were read and as they
+    are, as text (the largest of each side)."""
+    shape = lambda h, w: F.format_string("%d x %d", F.max(h), F.max(w))
+    shapes = rows.agg(shape("raw_height", "raw_width").alias("original_shape"), shape("height", "width").alias("processed_shape"))
+    return metrics.dataset_summary(rows).crossJoin(F.broadcast(shapes))  # one row each
 
 
 def comparison(rows: DataFrame, classes: int, models=None, ratio: float = 0.2, seed: int = 42, **grids) -> DataFrame:

@@ -10,12 +10,12 @@ def rows(spark):
     rng = np.random.default_rng(5)
     y = np.repeat(np.arange(3), 16)
     x = rng.normal(size=(48, 6)) * 0.3 + 3 * np.eye(6)[y]
-    data = [(i, f"p{c}_i{i}.pgm", f"person_{c}", int(c), 2, 3, v.tolist()) for i, (v, c) in enumerate(zip(x, y, strict=True))]
-    return spark.createDataFrame(data, "row_id long, path string, name string, label int, height int, width int, features array<double>").persist()
+    data = [(i, f"p{c}_i{i}.pgm", f"person_{c}", int(c), 2, 3, v.tolist(), 4, 3) for i, (v, c) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(data, "row_id long, path string, name string, label int, height int, width int, features array<double>, raw_height int, raw_width int").persist()
 
 
 def test_summary(rows):
-    assert parts.summary(rows).first().asDict() == {"n_samples": 48, "n_classes": 3, "n_features": 6, "min_class_count": 16, "max_class_count": 16, "height": 2, "width": 3}
+    assert parts.summary(rows).first().asDict() == {"n_samples": 48, "n_classes": 3, "n_features": 6, "min_class_count": 16, "max_class_count": 16, "original_shape": "4 x 3", "processed_shape": "2 x 3"}
 
 
 def test_comparison(rows):
