@@ -20,6 +20,9 @@ PART, PART_BYTES = 2048, 32 << 20
 #: Tasks that the pairs of one text are spread over, at most.
 SALTS = 4096
 
+#: Texts with a partner up to which their numbers and hashes are broadcast: 32 bytes each.
+SENT = 500_000
+
 _IN_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GOLD, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -329,8 +332,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     hot = local(full.where(F.col("n") > often).select("bucket"))
     members = stored(hot_join(rows, full, ["bucket"], hot))
     wanted = stored(texts.select("id", "doc_id", "h1", "h2").join(members.select("id").distinct(), "id"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = _packed(own).join(wanted, ["doc_id", "h1", "h2"]).groupBy("id").agg(F.first("size").alias("size"), F.first("data").alias("data"))  # rows of one text have one set
+    near = F.broadcast if wanted.count() <= SENT else lambda df: df  # else whole texts would be shuffled to find these
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = _packed(own).join(near(wanted), ["doc_id", "h1", "h2"]).groupBy("id").agg(F.first("size").alias("size"), F.first("data").alias("data"))  # rows of one text have one set
     sets = stored(sets.withColumnRenamed("id", "doc_id"))
     pairs = stored(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(verified(pairs, sets, least))
