@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .operators import selection
+from .operators import families, selection
 from .plans import parts
 from .sources import images
 
@@ -21,7 +21,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--max-images", type=int)
     p.add_argument("--max-images-per-person", type=int, default=0)
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--models", nargs="*", default=None, help=", ".join(selection.FAMILIES))
+    p.add_argument("--models", nargs="*", default=None, help=", ".join(families.FAMILIES))
     p.add_argument("--validation-ratio", type=float, default=0.2)
     p.add_argument("--outer-folds", type=int, default=5)
     p.add_argument("--inner-folds", type=int, default=3)
@@ -30,7 +30,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--svm-reg-grid", type=float, nargs="*", default=list(selection.SVM_REG))
     p.add_argument("--svm-epochs-grid", type=int, nargs="*", default=list(selection.SVM_EPOCHS))
     p.add_argument("--svm-learning-rate-grid", type=float, nargs="*", default=list(selection.SVM_RATES))
-    p.add_argument("--family", default="knn", help="model of submit: " + ", ".join(selection.FAMILIES))
+    p.add_argument("--family", default="knn", help="model of submit: " + ", ".join(families.FAMILIES))
     p.add_argument("--setting", nargs="*", default=["k=1"], metavar="NAME=VALUE", help="setting of the model of submit")
     p.add_argument("--cache", default="image_cache", help="folder of stored datasets")
     p.add_argument("--no-cache", action="store_true")
@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.part == "d":
         out = parts.nested_selection(rows, classes, a.models, a.outer_folds, a.inner_folds, a.seed, **grids).summary
     elif a.part == "submit":
-        out = parts.submitted(rows, classes, selection.family_names([a.family])[0], setting_of(a.setting))
+        out = parts.submitted(rows, classes, families.family_names([a.family])[0], setting_of(a.setting))
     else:
         out = parts.variance_report(rows)
     if a.output:

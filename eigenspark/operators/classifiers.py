@@ -26,6 +26,12 @@ class LinearModel:
     basis: Components | None = None
     setting: dict = field(default_factory=dict)
 
+    @property
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All that has to be stored."""
+        basis = {} if self.basis is None else {"mean": self.basis.mean, "components": self.basis.components, "explained_variance": self.basis.explained_variance}
+        return {"weights": self.weights, "bias": self.bias, **basis}
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = x if self.basis is None else self.basis.project(x)[:, : self.weights.shape[1]]
         return z @ self.weights.T + self.bias

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import ModelStore, content_digest
+
 
 def block(column: pd.Series) -> np.ndarray:
     """A column of arrays as the rows of a matrix of doubles."""
@@ -219,71 +221,180 @@ def projected_sums(sums: Sums, basis: Components) -> Sums:
     return Sums(sums.n, total, v @ centred @ v.T, (sums.per_class - sums.counts[:, None] * m) @ v.T, sums.counts)
 
 
-_fitted: list[tuple[DataFrame, int, str, Components]] = []
-
-
-def fit_components(df: DataFrame, k: int, features: str = "features", keep: bool = True) -> Components:
-    """Principal components of the rows of df: from the sums of one pass, or with over WIDE features from a narrower space.
+def fit_components(df: DataFrame, k: int, features: str = "features", store: ModelStore | None = None) -> Components:
+    """Principal components of the rows of df: from the sums of one pass, or with over WIDE features by `lanczos`.
 
-    keep: the last few results are kept in the session, and found again for a DataFrame of the same plan.
+    store: where components are kept by the contents of the rows, and found again; other rows have other ones.
     """
-    for old, size, column, basis in _fitted if keep else []:
-        if size == k and column == features and old.sparkSession is df.sparkSession and old.sameSemantics(df):
-            return basis
+    key = None
+    if store is not None:
+        key = f"{content_digest(df, [features])}-{k}"
+        if (kept := store.find("components", key)) is not None:
+            return Components(kept.arrays["mean"], kept.arrays["components"], kept.arrays["explained_variance"])
     one = df.select(features, F.lit(0).alias("_label"))
-    space = narrow_space(df, k, features)
-    if space is None:
+    if len((df.select(features).first() or [[]])[0]) <= WIDE:
         basis = components_of(grouped_sums(one, 1, 1, features=features, label="_label")[0], k)
     else:
-        inner = components_of(grouped_sums(project(one, space, features, features), 1, 1, features=features, label="_label")[0], k)
-        basis = Components(space.mean + inner.mean @ space.components, inner.components @ space.components, inner.explained_variance)
-    if keep:
-        _fitted.append((df, k, features, basis))
-        del _fitted[:-8]
+        basis = lanczos(df, k, features)[0]
+    if store is not None:
+        store.save("components", key, {"k": k}, {"mean": basis.mean, "components": basis.components, "explained_variance": basis.explained_variance})
     return basis
 
 
-#: Features up to which the products of all pairs are added up; beyond that rows are first projected to a narrower space.
+#: Features up to which the products of all pairs are added up; beyond that components come from `lanczos`.
 WIDE = 1024
-#: Directions of that space beyond twice the components wanted, and passes that sharpen it.
-MORE, PASSES = 10, 3
+#: Columns of a block, at most; bytes of the bases of the training sets that are worked on together; passes, at most.
+BLOCK, BASES_BYTES, PASSES = 128, 256 << 20, 200
 
 
-def narrow_space(df: DataFrame, k: int, features: str = "features", seed: int = 42) -> Components | None:
-    """An orthonormal basis of 2 * k + MORE directions that hold the leading components of the rows, by a randomised range
-    finder: each pass adds up features times directions numbers a task, never the products of all pairs of features.
+class Krylov:
+    """The block Lanczos process of a symmetric matrix that is known by its products with blocks of columns only.
+
+    Every new block is made orthogonal to all before it, twice, so that rounding costs no direction.
+    """
 
-    None where the features are at most WIDE, or no more than the directions.
+    def __init__(self, p: int, width: int, rng: np.random.Generator):
+        self.p, self.rng, self.size = p, rng, 0
+        self.blocks = [np.linalg.qr(rng.normal(size=(p, min(width, p))))[0]]
+        self.diagonal: list[np.ndarray] = []
+        self.below: list[np.ndarray] = []  # from each block to the next
+        self.fresh = self.probed = False  # whether the last block, and the one before, has directions at random
+
+    def last(self) -> np.ndarray:
+        return self.blocks[-1]
+
+    def take(self, product: np.ndarray) -> None:
+        """The product of the matrix with the last block."""
+        q = self.blocks[-1]
+        self.diagonal.append((q.T @ product + product.T @ q) / 2)
+        basis = np.column_stack(self.blocks)
+        self.size = basis.shape[1]
+        w = product
+        for _ in range(2):
+            w = w - basis @ (basis.T @ w)
+        u, s, _ = np.linalg.svd(w, full_matrices=False)
+        scale = max(np.abs(np.linalg.eigvalsh(d)).max() for d in self.diagonal)
+        room = min(q.shape[1], self.p - self.size)
+        new = u[:, s > 1e-11 * max(scale, 1e-300)][:, :room]  # what is smaller is rounding
+        self.fresh, self.probed = new.shape[1] < room, self.fresh
+        if self.fresh:  # nothing more is reached from here: other directions may hold equal values
+            new = np.column_stack([new, self.rng.normal(size=(self.p, room - new.shape[1]))])
+        for _ in range(2):
+            new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+        if room:
+            self.below.append(new.T @ w)
+            self.blocks.append(new)
+
+    def found(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k largest values, their vectors (columns), and how far the matrix takes each vector off its line."""
+        sizes = [d.shape[0] for d in self.diagonal]
+        ends = np.cumsum(sizes)
+        t = np.zeros((ends[-1], ends[-1]))
+        for j, d in enumerate(self.diagonal):
+            a = slice(ends[j] - sizes[j], ends[j])
+            t[a, a] = d
+            if j + 1 < len(sizes):
+                b = slice(ends[j], ends[j + 1])
+                t[b, a], t[a, b] = self.below[j], self.below[j].T
+        values, y = np.linalg.eigh(t)
+        top = np.argsort(-values, kind="stable")[:k]
+        off = np.zeros(len(top)) if len(self.blocks) == len(sizes) else np.sqrt(((self.below[-1] @ y[-sizes[-1] :, top]) ** 2).sum(0))
+        return values[top], np.column_stack(self.blocks[: len(sizes)]) @ y[:, top], off
+
+
+def lanczos(df: DataFrame, k: int, features: str = "features", trains: str | None = None, sets: list[int] | None = None, tolerance: float = 1e-9, passes: int = PASSES, seed: int = 42) -> dict[int, Components]:
+    """Principal components of each training set, with a known error: block Lanczos with one pass over the rows for a block.
+
+    trains: an array column, the sets that a row belongs to (all rows are set 0 by default).  A set is done when each of its
+    k components is taken off its line by no more than `tolerance` of the largest variance; no variance is then off by more
+    than that.  An error if that isn't reached within so many passes.  What is added up and goes out is a block of features
+    by up to BLOCK columns for each set; sets take turns where their bases would be over BASES_BYTES.
     """
-    p = len((df.select(features).first() or [[]])[0])
-    q = 2 * k + MORE
-    if p <= max(WIDE, q):
-        return None
+    rows = df.select(F.col(features).alias("_x"), (F.col(trains) if trains else F.array(F.lit(0))).alias("_sets"))
+    p = len((rows.select("_x").first() or [[]])[0])
+    sets = [0] if sets is None else list(sets)
+    out: dict[int, Components] = {}
+    together = max(1, BASES_BYTES // max(1, 8 * p * 4 * k))
+    for a in range(0, len(sets), together):
+        out |= _lanczos(rows, p, k, sets[a : a + together], tolerance, passes, seed)
+    return out
+
+
+def _lanczos(rows: DataFrame, p: int, k: int, sets: list[int], tolerance: float, passes: int, seed: int) -> dict[int, Components]:
+    def of_sets(pdf: pd.DataFrame, wanted):
+        x, member = block(pdf["_x"]).reshape(-1, p), [set(s) for s in pdf["_sets"]]
+        for g in wanted:
+            own = np.array([g in m for m in member], bool)
+            if own.any():
+                yield g, x[own]
 
     def totals(batches):
-        total = np.zeros((1, p + 1))
+        sums = {}
         for pdf in batches:
-            x = block(pdf[features])
-            total[0, :p] += x.reshape(-1, p).sum(0)
-            total[0, p] += len(x)
-        return {0: total}
-
-    whole = summed(df, totals, [features])[0][0]
-    n, mean = whole[p], whole[:p] / whole[p]
-    directions = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, min(q, int(n)))))[0]
-    for _ in range(PASSES):
-        sent = df.sparkSession.sparkContext.broadcast(directions)  # features * directions numbers
-
-        def turned(batches):
-            out = np.zeros(sent.value.shape)
+            for g, x in of_sets(pdf, sets):
+                sums[g] = sums.get(g, 0) + np.append(x.sum(0), len(x))[None]
+        return sums
+
+    whole = summed(rows, totals, ["_x", "_sets"])
+    if missing := [g for g in sets if g not in whole]:
+        raise ValueError(f"no training rows in group {missing[0]}")
+    n = {g: int(whole[g][0, p]) for g in sets}
+    mean = {g: whole[g][0, :p] / n[g] for g in sets}
+    want = {g: max(1, min(k, n[g], p)) for g in sets}
+    going = {g: Krylov(p, min(want[g], BLOCK), np.random.default_rng([seed, g])) for g in sets}
+    out: dict[int, Components] = {}
+    for _ in range(passes):
+        sent = rows.sparkSession.sparkContext.broadcast({g: (mean[g], s.last()) for g, s in going.items()})
+
+        def products(batches):
+            sums = {}
             for pdf in batches:
-                x = block(pdf[features]).reshape(-1, p) - mean
-                out += x.T @ (x @ sent.value)
-            return {0: out}
-
-        directions = np.linalg.qr(summed(df, turned, [features])[0])[0]
+                for g, x in of_sets(pdf, sent.value):
+                    m, q = sent.value[g]
+                    x = x - m
+                    sums[g] = sums.get(g, 0) + x.T @ (x @ q)
+            return sums
+
+        for g, w in summed(rows, products, ["_x", "_sets"]).items():
+            space = going[g]
+            space.take(w / max(n[g] - 1, 1))
+            values, vectors, off = space.found(want[g])
+            whole_space = space.size == p
+            if whole_space or (len(values) == want[g] and (space.probed or not space.fresh) and (off <= tolerance * max(values.max(), 0.0) + 1e-300).all()):
+                own = vectors.T
+                own = own * np.where(own[np.arange(len(own)), np.abs(own).argmax(1)] < 0, -1.0, 1.0)[:, None]
+                out[g] = Components(mean[g], own, np.maximum(values, 0.0))
+                del going[g]
         sent.unpersist()
-    return Components(mean, np.ascontiguousarray(directions.T), np.zeros(directions.shape[1]))
+        if not going:
+            return out
+    raise ArithmeticError(f"components of {len(going)} training sets didn't converge in {passes} passes")
+
+
+def basis_sums(df: DataFrame, bases: dict[int, Components], classes: int, features: str = "features", label: str = "label", trains: str | None = None) -> dict[int, Sums]:
+    """Sums over the projected rows of each training set, in one pass; sets as in `lanczos`."""
+    rows = df.select(F.col(features).alias("_x"), F.col(label).cast("int").alias("_y"), (F.col(trains) if trains else F.array(F.lit(0))).alias("_sets"))
+    sent = df.sparkSession.sparkContext.broadcast(bases)
+
+    def run(batches):
+        own: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            x, y, member = block(pdf["_x"]), pdf["_y"].to_numpy(int), [set(s) for s in pdf["_sets"]]
+            for g, basis in sent.value.items():
+                rows_of = np.flatnonzero([g in m for m in member])
+                z, hot = basis.project(x[rows_of]), np.zeros((classes, len(rows_of)))
+                hot[y[rows_of], np.arange(len(rows_of))] = 1
+                q = z.shape[1]
+                new = np.zeros((q + classes, q + 1))
+                new[:q, :q], new[q:, :q], new[q:, q] = z.T @ z, hot @ z, hot.sum(1)
+                own[g] = new if g not in own else own[g] + new
+        return own
+
+    out = {}
+    for g, m in summed(rows, run, ["_x", "_y", "_sets"]).items():
+        q = m.shape[1] - 1
+        out[g] = Sums(int(m[q:, q].sum()), m[q:, :q].sum(0), m[:q, :q], m[q:, :q], m[q:, q].astype(np.int64))
+    return out
 
 
 def project(df: DataFrame, basis: Components, features: str = "features", to: str = "projected") -> DataFrame:

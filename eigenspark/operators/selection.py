@@ -1,85 +1,31 @@
-"""Model families, grids of settings, and their choice by a holdout or by nested folds.
+"""Grids of settings, and their choice by a holdout or by nested folds.
 
-One pass adds up sums of every pair of an outer and an inner fold.  Training sums of any fold are differences of these,
-and components, least squares and class means of every setting follow from them on the driver; a second pass scores all
-settings of all folds at once.  Neighbours are found once for the largest k.
+All folds are judged together (`families.judged`): one pass adds up sums of every fold, from which the components and models
+of all folds follow, a second one scores all settings of all folds, and neighbours of all folds come from one search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, neighbors, sampling
-from .classifiers import LinearModel, least_squares_of, nearest_mean_of
-from .linalg import Sums, block, components_of, grouped_sums, narrow_space, project, projected_sums
-from .svm import fit_svms
+from . import metrics, sampling
+from .families import COMPONENTS, FAMILIES, NEIGHBORS, SVM_EPOCHS, SVM_RATES, SVM_REG, Folds, family_names, holdout_sums, judged, kfold_sums
+from .linalg import Sums
 
-#: Default grids.
-COMPONENTS = (50, 100, 200, 363)
-SVM_REG, SVM_EPOCHS, SVM_RATES = (1e-4, 1e-3, 1e-2), (20, 50), (0.1, 0.2)
-NEIGHBORS = (1, 3, 5)
 #: Grids of the curves of bias and variance.
 CURVE_COMPONENTS, CURVE_NEIGHBORS = (2, 5, 10, 20, 50, 100, 200), (1, 3, 5, 10, 20, 50)
 
 
-@dataclass(frozen=True)
-class Family:
-    """A kind of model: whether it works on components, and how to make one from sums; None for others."""
-
-    name: str
-    title: str
-    on_components: bool
-    from_sums: object = None
-
-
-FAMILIES = {
-    f.name: f
-    for f in (
-        Family("linear_least_squares", "Linear least squares", True, least_squares_of),
-        Family("nearest_class_mean", "Nearest class mean", True, nearest_mean_of),
-        Family("svm", "Support vector machine", True),
-        Family("knn", "k nearest neighbours", False),
-    )
-}
-
-
-def register(family: Family) -> None:
-    """Adds a family of models that are made from sums; it takes part in grids and folds by its name."""
-    FAMILIES[family.name] = family
-
-
-def family_names(wanted: Iterable[str] | None = None) -> list[str]:
-    """The families asked for, each once, in the order asked for; all if none or 'all' is asked for."""
-    names = [w.strip() for w in wanted or []]
-    if not names or "all" in names:
-        return list(FAMILIES)
-    if unknown := sorted(set(names) - set(FAMILIES)):
-        raise ValueError("unknown models: " + ", ".join(unknown))
-    return list(dict.fromkeys(names))
-
-
 def grid(names: Iterable[str] | None, most_components: int, components=COMPONENTS, ks=NEIGHBORS, regs=SVM_REG, epochs=SVM_EPOCHS, rates=SVM_RATES) -> dict[str, list[dict]]:
     """Settings of each family: feasible numbers of components by rising order, else the largest feasible one.
 
     Neighbours work on the features themselves, so their settings have k only.
     """
     sizes = sorted({int(c) for c in components if 1 <= int(c) <= most_components}) or [max(1, int(most_components))]
-    out: dict[str, list[dict]] = {}
-    for name in family_names(names):
-        if name == "knn":
-            out[name] = [{"k": k} for k in sorted({max(1, int(k)) for k in ks})]
-        elif name == "svm":
-            out[name] = [{"n_components": c, "reg_strength": r, "epochs": e, "learning_rate": a} for c in sizes for r in regs for e in epochs for a in rates]
-        else:
-            out[name] = [{"n_components": c} for c in sizes]
-    return out
+    return {name: FAMILIES[name].settings(sizes, ks=ks, regs=regs, epochs=epochs, rates=rates) for name in family_names(names)}
 
 
 def restricted(settings: list[dict], most_components: int) -> list[dict]:
@@ -88,6 +34,10 @@ def restricted(settings: list[dict], most_components: int) -> list[dict]:
     return [s for s in settings if s.get("n_components", 1) <= most] or [dict(t) for t in {tuple(sorted({**s, "n_components": most}.items())): None for s in settings}]
 
 
+def feasible(settings: dict[str, list[dict]], most: int) -> dict[str, list[dict]]:
+    return {m: restricted(s, most) if FAMILIES[m].on_components else s for m, s in settings.items()}
+
+
 def shown(setting: dict) -> str:
     """A setting as text, by name."""
     return ", ".join(f"{k}={v}" for k, v in sorted(setting.items()))
@@ -99,76 +49,6 @@ def grid_frame(spark, settings: dict[str, list[dict]]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, place int, setting string")
 
 
-def models_from_sums(train: Sums, settings: dict[str, list[dict]]) -> list[tuple[str, int, LinearModel]]:
-    """(family, place in the grid, model) of all settings of families made from sums; components are found once."""
-    wanted = [(m, i, s) for m, own in settings.items() if FAMILIES[m].from_sums for i, s in enumerate(own)]
-    if not wanted:
-        return []
-    basis = components_of(train, max(s["n_components"] for _, _, s in wanted))
-    z = projected_sums(train, basis)
-    out = []
-    for m, i, s in wanted:
-        c = min(s["n_components"], len(basis.components))
-        part = Sums(z.n, z.total[:c], z.products[:c, :c], z.per_class[:, :c], z.counts)
-        out.append((m, i, FAMILIES[m].from_sums(part, basis, **s)))
-    return out
-
-
-def scored(df: DataFrame, models: dict[int, list[tuple[str, int, LinearModel]]], group: str, features: str = "features", label: str = "label") -> DataFrame:
-    """group, model, place, n, right: how many rows of each group its models classify rightly, in one pass.
-
-    Rows are projected once for all models of a group that share a basis.
-    """
-
-    def run(batches):
-        sums: dict[tuple, list[int]] = {}
-        for pdf in batches:
-            x, y, which = block(pdf[features]), pdf[label].to_numpy(int), pdf[group].to_numpy(int)
-            for g in np.unique(which):
-                own, truth = x[which == g], y[which == g]
-                projected: dict[int, np.ndarray] = {}
-                for name, place, model in models.get(int(g), []):
-                    if model.basis is None:
-                        s = model.scores(own)
-                    else:
-                        z = projected.setdefault(id(model.basis), None) if id(model.basis) in projected else None
-                        if z is None:
-                            z = projected[id(model.basis)] = model.basis.project(own)
-                        s = z[:, : model.weights.shape[1]] @ model.weights.T + model.bias
-                    old = sums.setdefault((int(g), name, place), [0, 0])
-                    old[0] += len(truth)
-                    old[1] += int((s.argmax(1) == truth).sum())
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["g", "model", "place", "n", "right"])
-
-    parts = df.select(features, label, group).mapInPandas(run, "g int, model string, place int, n long, right long")
-    return parts.groupBy("g", "model", "place").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
-
-
-def group_mask(groups: Column, wave: int) -> Column:
-    """Bits of the numbers in an array of groups, of those of one search."""
-    own = F.filter(groups, lambda g: F.floor(g / neighbors.GROUPS) == wave)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda m, g: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (g % neighbors.GROUPS).cast("int"))))
-
-
-def neighbor_scores(rows: DataFrame, settings: list[dict], asks: str, trains: str, groups: int, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
-    """g, model, place, n, right for each group and k, from one search of all groups with the largest k.
-
-    asks and trains: array columns, the groups (from 0) in which a row is judged, and those in which it is a training row.
-    """
-    ks = {s["k"]: i for i, s in enumerate(settings)}
-    place = F.create_map(*[F.lit(v) for k, i in ks.items() for v in (k, i)])
-    truth = rows.select(F.col(row_id).alias("query_id"), F.col(label).alias("truth"))
-    out = None
-    for wave in range(-(-groups // neighbors.GROUPS)):
-        masked = rows.select(row_id, label, features, group_mask(F.col(asks), wave).alias("_asks"), group_mask(F.col(trains), wave).alias("_holds"))
-        near = neighbors.masked_neighbors(masked, max(ks), "_asks", "_holds", row_id, label, features)
-        votes = neighbors.sweep(near, list(ks), "g").join(truth, "query_id")
-        own = votes.groupBy("g", "k").agg(F.count("*").alias("n"), F.sum((F.col("predicted") == F.col("truth")).cast("long")).alias("right"))
-        own = own.select((F.col("g") + wave * neighbors.GROUPS).cast("int").alias("g"), F.lit("knn").alias("model"), place[F.col("k")].alias("place"), "n", "right")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 def nested_roles(base: DataFrame, nested: DataFrame, outer: int, inner: int, row_id: str = "row_id") -> DataFrame:
     """base (with _outer) once for each row, with the arrays _asks and _trains of the groups in which it is judged and trains.
 
@@ -182,89 +62,82 @@ def nested_roles(base: DataFrame, nested: DataFrame, outer: int, inner: int, row
     return base.join(folds, row_id).withColumn("_asks", asks.cast("array<int>")).withColumn("_trains", trains.cast("array<int>")).drop("_f")
 
 
-def svm_models(df: DataFrame, trains: str, sums: dict[int, Sums], settings: list[dict], classes: int, label: str = "label", features: str = "features", row_id: str = "row_id") -> dict[int, list[tuple[str, int, LinearModel]]]:
-    """(family, place in the grid, model) of all support vector machines of each training set; sums: those of the sets."""
-    bases = {g: components_of(s, max(x["n_components"] for x in settings)) for g, s in sums.items()}
-    found = fit_svms(df, settings, classes, bases, trains, features, label, row_id=row_id)
-    return {g: [("svm", i, found[g, i]) for i in range(len(settings))] for g in sums}
+def nested_sums(outer: int, inner: int):
+    """The training sums of the groups of `nested_roles`: an outer fold is trained by all others, an inner one by the others inside."""
 
+    def run(judged_: dict[int, Sums]) -> dict[int, Sums]:
+        cells = outer * inner
+        around = kfold_sums({o: judged_[cells + o] for o in range(outer)})
+        return {c: around[c // inner] - judged_[c] for c in range(cells)} | {cells + o: s for o, s in around.items()}
 
-def narrowed(df: DataFrame, settings: dict[str, list[dict]], features: str) -> DataFrame:
-    """df with the column _x: the features, or with very many of them their places in a space of the leading directions of
-    all rows, which the families on components then work in."""
-    most = max((s["n_components"] for own in settings.values() for s in own if "n_components" in s), default=0)
-    space = narrow_space(df, most, features) if most else None
-    return df.withColumn("_x", F.col(features)) if space is None else project(df, space, features, "_x")
+    return run
 
 
 def tuned_on_holdout(df: DataFrame, settings: dict[str, list[dict]], classes: int, ratio: float = 0.2, seed: int = 42, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
     """model, setting, place, train_accuracy and validation_accuracy of every setting on one stratified holdout."""
     spark = df.sparkSession
-    dealt = sampling.stratified_holdout(df, ratio, label, row_id, seed).withColumn("_g", F.col("is_holdout").cast("int"))
-    rows = narrowed(dealt, settings, features).persist()
+    group = F.col("is_holdout").cast("int")
+    trains = F.when(group == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>"))
+    rows = sampling.stratified_holdout(df, ratio, label, row_id, seed).withColumn("_asks", F.array(group)).withColumn("_trains", trains).persist()
     try:
-        sums = grouped_sums(rows, 2, classes, "_g", "_x", label)[0]
-        settings = {m: restricted(s, min(sums.n, len(sums.total))) if FAMILIES[m].on_components else s for m, s in settings.items()}
-        models = models_from_sums(sums, settings)
-        if "svm" in settings:
-            trains = rows.withColumn("_trains", F.when(F.col("_g") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-            models += svm_models(trains, "_trains", {0: sums}, settings["svm"], classes, label, "_x", row_id)[0]
-        counts = scored(rows, {0: models, 1: models}, "_g", "_x", label)
-        if "knn" in settings:
-            roles = rows.withColumn("_asks", F.array("_g")).withColumn("_trains", F.when(F.col("_g") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>")))
-            counts = counts.unionByName(neighbor_scores(roles, settings["knn"], "_asks", "_trains", 2, row_id, label, features))
-        by = counts.groupBy("model", "place").agg(*[F.max(F.when(F.col("g") == g, F.col("right") / F.col("n"))).alias(c) for g, c in enumerate(("train_accuracy", "validation_accuracy"))])
-        got = [tuple(r) for r in by.join(grid_frame(spark, settings), ["model", "place"]).select("model", "place", "setting", "train_accuracy", "validation_accuracy").collect()]
+        n, p = rows.where("not is_holdout").agg(F.count("*"), F.max(F.size(features))).first()
+        settings = feasible(settings, min(n, p or 1))
+        found = judged(Folds(rows, 2, classes, row_id=row_id, label=label, features=features, train_sums=holdout_sums), settings)
     finally:
         rows.unpersist()
+    part = {(m, i, g): right / n for g, m, i, n, right in found}
+    got = [(m, i, shown(s), part.get((m, i, 0)), part.get((m, i, 1))) for m, own in settings.items() for i, s in enumerate(own)]
     return spark.createDataFrame(got, "model string, place int, setting string, train_accuracy double, validation_accuracy double")
 
 
-def nested_cv(df: DataFrame, settings: dict[str, list[dict]], classes: int, outer: int = 5, inner: int = 3, seed: int = 42, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
-    """model, outer_fold, setting, inner_score and score: the setting chosen by inner folds, and how it does outside.
+def nested_scores(df: DataFrame, settings: dict[str, list[dict]], classes: int, outer: int = 5, inner: int = 3, seed: int = 42, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
+    """model, place, setting, outer_fold, inner_fold, n and correct of every setting in every inner fold, and in every outer one
+    (inner_fold -1).
 
-    Ties go to the first setting of the grid.  All folds are fitted and scored together: a group for each outer and inner
-    fold, and one for each outer fold.  What comes to the driver: sums of outer * inner folds, weights of the support
-    vector machines, and a score of each setting and fold.
+    All folds are fitted and judged together: a group for each outer and inner fold, and one for each outer fold.  What
+    comes to the driver: sums of the folds, weights of the support vector machines, and a score of each setting and fold.
     """
     sampling.check_nested(df, outer, inner, label)
     spark, cells = df.sparkSession, outer * inner
-    flat = narrowed(df, settings, features).persist()
-    base = sampling.stratified_folds(flat, outer, label, row_id, seed).withColumnRenamed("fold", "_outer").persist()
-    cell = F.col("outer_fold") * inner + F.col("inner_fold")
-    nested = sampling.nested_folds(flat, outer, inner, label, row_id, seed).withColumn("_g", cell.cast("int")).persist()
+    base = sampling.stratified_folds(df, outer, label, row_id, seed).withColumnRenamed("fold", "_outer").persist()
+    nested = sampling.nested_folds(df.select(row_id, label), outer, inner, label, row_id, seed)
     roles = nested_roles(base, nested, outer, inner, row_id).persist()
-    scores: dict[tuple[str, int], dict[int, list[float]]] = {}
-    chosen: dict[tuple[str, int], tuple[int, float]] = {}
-    out = []
     try:
-        parts = grouped_sums(nested, cells, classes, "_g", "_x", label)
-        whole = [reduce(lambda a, b: a + b, parts[o * inner : (o + 1) * inner]) for o in range(outer)]
-        train = {c: whole[c // inner] - parts[c] for c in range(cells)} | {cells + o: w for o, w in enumerate(whole)}
-        least = min(s.n for s in train.values())
-        settings = {m: restricted(s, min(least, len(parts[0].total))) if FAMILIES[m].on_components else s for m, s in settings.items()}
-        models = {g: models_from_sums(s, settings) for g, s in train.items()}
-        if "svm" in settings:
-            for g, own in svm_models(roles, "_trains", train, settings["svm"], classes, label, "_x", row_id).items():
-                models[g] += own
-        # neighbours of inner and outer folds come from one search
-        near = neighbor_scores(roles, settings["knn"], "_asks", "_trains", cells + outer, row_id, label, features).collect() if "knn" in settings else []
-        for r in scored(nested, models, "_g", "_x", label).collect() + [r for r in near if r.g < cells]:
-            scores.setdefault((r.model, r.g // inner), {}).setdefault(r.place, []).append(r.right / r.n)
-        for at, by_place in scores.items():
-            means = {p: float(np.mean(v)) for p, v in by_place.items()}
-            place = max(means, key=lambda p: (means[p], -p))
-            chosen[at] = place, means[place]
-        last = {o: [x for x in models[cells + o] if chosen[x[0], o][0] == x[1]] for o in range(outer)}
-        tests = [(r.model, r.g, r.place, r.right / r.n) for r in scored(base, last, "_outer", "_x", label).collect()]
-        for model, o, at, score in tests + [(r.model, r.g - cells, r.place, r.right / r.n) for r in near if r.g >= cells]:
-            place, inner_score = chosen[model, o]
-            if at == place:
-                out.append((model, o, shown(settings[model][place]), inner_score, score))
+        counts = {r.g: r.n for r in roles.select(F.explode("_trains").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
+        p = len((df.select(features).first() or [[]])[0])
+        settings = feasible(settings, min(min(counts.values()), p))
+        found = judged(Folds(roles, cells + outer, classes, row_id=row_id, label=label, features=features, train_sums=nested_sums(outer, inner)), settings)
     finally:
-        for x in (roles, base, nested, flat):
-            x.unpersist()
-    return spark.createDataFrame(sorted(out), "model string, outer_fold int, setting string, inner_score double, score double")
+        roles.unpersist()
+        base.unpersist()
+    rows = [(m, i, shown(settings[m][i]), g // inner if g < cells else g - cells, g % inner if g < cells else -1, n, right) for g, m, i, n, right in found]
+    return spark.createDataFrame(sorted(rows), "model string, place int, setting string, outer_fold int, inner_fold int, n long, correct long")
+
+
+def chosen_by_inner(scores: DataFrame) -> DataFrame:
+    """model, outer_fold, setting, inner_score and score from `nested_scores`: the setting with the best mean over the inner folds, the
+    first of equals, and how it does outside."""
+    inside = scores.where("inner_fold >= 0").groupBy("model", "outer_fold", "place", "setting").agg(F.avg(F.col("correct") / F.col("n")).alias("inner_score"))
+    best = inside.groupBy("model", "outer_fold").agg(F.max_by(F.struct("place", "setting", "inner_score"), F.struct(F.round("inner_score", 12), -F.col("place"))).alias("b")).select("model", "outer_fold", "b.*")
+    outside = scores.where("inner_fold = -1").select("model", "outer_fold", "place", (F.col("correct") / F.col("n")).alias("score"))
+    return best.join(outside, ["model", "outer_fold", "place"]).select("model", "outer_fold", "setting", "inner_score", "score")
+
+
+def nested_cv(df: DataFrame, settings: dict[str, list[dict]], classes: int, outer: int = 5, inner: int = 3, seed: int = 42, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
+    """model, outer_fold, setting, inner_score and score: the setting chosen by inner folds, and how it does outside."""
+    return chosen_by_inner(nested_scores(df, settings, classes, outer, inner, seed, row_id, label, features))
+
+
+def kfold_scores(df: DataFrame, settings: dict[str, list[dict]], classes: int, folds: int, seed: int = 42, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:
+    """model, place, setting, fold and score of every setting on stratified folds."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
+    rows = sampling.stratified_folds(df, folds, label, row_id, seed).withColumn("_asks", F.array("fold")).withColumn("_trains", others).persist()
+    try:
+        found = judged(Folds(rows, folds, classes, row_id=row_id, label=label, features=features, train_sums=kfold_sums), settings)
+    finally:
+        rows.unpersist()
+    got = sorted((m, i, shown(settings[m][i]), g, right / n) for g, m, i, n, right in found)
+    return df.sparkSession.createDataFrame(got, "model string, place int, setting string, fold int, score double")
 
 
 def nested_summary(results: DataFrame) -> DataFrame:

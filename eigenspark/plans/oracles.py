@@ -16,12 +16,22 @@ _NEAREST = f"""{_K}, {_H}, {_M},
 _KNN = f"""{_K}, {_H},
     d AS (SELECT q.row_id AS query_id, q.label AS truth, t.row_id AS neighbor_id, t.label AS neighbor_label, pow(list_distance(q.x, t.x), 2) AS distance FROM h q, h t WHERE q.held AND NOT t.held),
     nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)"""
-_SCORES = f"""{_FOLDS}, s0 AS (SELECT f.*, CAST(p AS INTEGER) AS place FROM f, (SELECT unnest(generate_series(0, 3)) AS p)),
+_SCORES = f"""{_FOLDS}, x AS (SELECT row_id, f.label, fold, CAST(embedding AS DOUBLE[]) AS x FROM f JOIN embeddings ON row_id = vec_id),
+    d AS (SELECT a.row_id AS q, a.fold, a.label AS truth, b.row_id AS t, b.label AS l, list_distance(a.x, b.x) AS d FROM x a JOIN x b ON a.fold <> b.fold),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS r FROM d),
+    v AS (SELECT k, q, fold, truth, l, count(*) AS n FROM r, (SELECT unnest([1, 3, 5]) AS k) WHERE r <= k GROUP BY ALL),
+    p AS (SELECT k, q, fold, truth, arg_min(l, -n * 1000 + l) AS said FROM v GROUP BY k, q, fold, truth),
+    m0 AS (SELECT g, label AS c, generate_subscripts(x, 1) AS pos, unnest(x) AS v FROM x, (SELECT unnest(generate_series(0, 4)) AS g) WHERE fold <> g),
+    m1 AS (SELECT g, c, pos, avg(v) AS v FROM m0 GROUP BY g, c, pos), m AS (SELECT g, c, list(v ORDER BY pos) AS mean FROM m1 GROUP BY g, c),
+    n AS (SELECT row_id, fold, label AS truth, arg_min(c, list_distance(x, mean)) AS said FROM x JOIN m ON fold = g GROUP BY row_id, fold, label),
     s AS (
-        SELECT CASE WHEN place < 2 THEN 'a' ELSE 'b' END AS model, place, 'n=' || place AS setting, fold,
-            avg(CASE WHEN (label * 7 + fold * 3 + place * 5 + row_id) % 11 < 5 THEN 1.0 ELSE 0.0 END) AS score
-        FROM s0 GROUP BY place, fold
+        SELECT 'knn' AS model, CAST((k - 1) / 2 AS INTEGER) AS place, 'k=' || k AS setting, fold, avg(CASE WHEN said = truth THEN 1.0 ELSE 0.0 END) AS score FROM p GROUP BY k, fold
+        UNION ALL SELECT 'nearest_class_mean', 0, 'n_components=64', fold, avg(CASE WHEN said = truth THEN 1.0 ELSE 0.0 END) FROM n GROUP BY fold
     )"""
+_BEST = f"""{_SCORES}, a AS (SELECT model, place, setting, avg(score) AS score FROM s GROUP BY ALL),
+    b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(score, 12) DESC, place) = 1),
+    i AS (SELECT model, fold, avg(score) AS inner_score FROM s GROUP BY model, fold),
+    z AS (SELECT s.model, s.score, inner_score FROM s JOIN b USING (model, setting) JOIN i ON i.model = s.model AND i.fold = s.fold)"""
 
 
 def _r(x: str) -> str:
@@ -122,17 +132,18 @@ SQL = {
         r AS (SELECT c.*, row_number() OVER (PARTITION BY o, i, q ORDER BY d, t) AS r FROM c JOIN d USING (q, t)),
         v AS (SELECT k, o, i, q, truth, l, count(*) AS n FROM r, (SELECT unnest([1, 3, 5]) AS k) WHERE r <= k GROUP BY ALL),
         p AS (SELECT k, o, i, q, truth, arg_min(l, -n * 1000 + l) AS said FROM v GROUP BY k, o, i, q, truth)
-        SELECT CAST(k AS INTEGER) AS k, o AS outer_fold, i AS inner_fold, count(*) AS n, CAST(sum(CASE WHEN said = truth THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM p GROUP BY k, o, i""",
+        SELECT 'k=' || k AS setting, o AS outer_fold, i AS inner_fold, count(*) AS n, CAST(sum(CASE WHEN said = truth THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM p GROUP BY k, o, i""",
     "hyperparam_grid": _GRID,
-    "best_setting": f"WITH {_SCORES}, a AS (SELECT model, place, setting, avg(score) AS score FROM s GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, place) AS r FROM a) SELECT model, setting AS best_setting, {_r('score')} AS best_score FROM b WHERE r = 1",
-    "fold_score_summary": f"WITH {_SCORES} SELECT model, count(*) AS n_folds, {_r('avg(score)')} AS mean_score, {_r('coalesce(stddev_samp(score), 0)')} AS std_score, {_r('avg(score / 2)')} AS mean_inner_score FROM s GROUP BY model",
-    "best_family": f"WITH {_SCORES}, a AS (SELECT model, avg(score) AS m, coalesce(stddev_samp(score), 0) AS d FROM s GROUP BY model) SELECT model, {_r('m')} AS mean_score FROM a ORDER BY m DESC, d, model LIMIT 1",
+    "best_setting": f"WITH {_BEST} SELECT model, setting AS best_setting, {_r('score')} AS best_score FROM b",
+    "fold_score_summary": f"WITH {_BEST} SELECT model, count(*) AS n_folds, {_r('avg(score)')} AS mean_score, {_r('coalesce(stddev_samp(score), 0)')} AS std_score, {_r('avg(inner_score)')} AS mean_inner_score FROM z GROUP BY model",
+    "best_family": f"WITH {_BEST}, y AS (SELECT model, avg(score) AS m, coalesce(stddev_samp(score), 0) AS d FROM z GROUP BY model) SELECT model, {_r('m')} AS mean_score FROM y ORDER BY m DESC, d, model LIMIT 1",
     "kmeans_fixed_iters": f"WITH {_CLUSTERS} SELECT row_id, cluster FROM a2",
     "cluster_purity": f"WITH {_CLUSTERS}, n AS (SELECT cluster, label, count(*) AS n FROM a2 GROUP BY ALL), b AS (SELECT cluster, max(n) AS most, sum(n) AS n FROM n GROUP BY cluster) SELECT count(*) AS n_clusters, {_r('sum(most) / sum(n)')} AS purity FROM b",
     "one_hot": "SELECT vec_id AS row_id, CAST(c AS INTEGER) AS pos, CASE WHEN c = label THEN CAST(1 AS DOUBLE) ELSE 0 END AS value FROM embeddings, (SELECT unnest(generate_series(0, 9)) AS c)",
     "ovr_targets": "SELECT vec_id AS row_id, CAST(c AS INTEGER) AS pos, CASE WHEN c = label THEN CAST(1 AS DOUBLE) ELSE -1 END AS value FROM embeddings, (SELECT unnest(generate_series(0, 9)) AS c)",
     "bias_append": f"WITH {_E} SELECT row_id, CAST(count(*) + 1 AS INTEGER) AS size, CAST(1 AS DOUBLE) AS last, {_r('sum(v) + 1')} AS total FROM e GROUP BY row_id",
-    "softmax_scores": f"WITH {_E}, p AS (SELECT * FROM e WHERE pos < 10), m AS (SELECT row_id, max(v) AS m, arg_min(pos, -v) AS predicted FROM p GROUP BY row_id) SELECT row_id, predicted, {_r('1 / sum(exp(v - m))')} AS confidence FROM p JOIN m USING (row_id) GROUP BY row_id, predicted",
+    "component_prefix": f"WITH {_E} SELECT row_id, pos, {_r('v')} AS value FROM e WHERE pos < 16",
+    "softmax_scores": f"WITH {_NEAREST}, s AS (SELECT row_id, c, -d * d AS s FROM d), z AS (SELECT row_id, max(s) AS top, arg_min(c, -s) AS predicted FROM s GROUP BY row_id) SELECT row_id, CAST(predicted AS INTEGER) AS predicted, {_r('1 / sum(exp(s - top))')} AS confidence FROM s JOIN z USING (row_id) GROUP BY row_id, predicted",
     "ls_normal_equations": "SELECT CAST(label AS INTEGER) AS label, CAST(pos AS INTEGER) AS pos, CAST(0 AS DOUBLE) AS residual FROM (SELECT unnest(generate_series(0, 9)) AS label), (SELECT unnest(generate_series(-1, 63)) AS pos)",
     "pca_decorrelated": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT unnest(generate_series(0, 7)) AS i), (SELECT unnest(generate_series(0, 7)) AS j)",
     "pca_total_variance": f"WITH {_E}, s AS (SELECT pos, var_samp(v) AS v FROM e GROUP BY pos) SELECT {_r('sum(v)')} AS total_variance FROM s",

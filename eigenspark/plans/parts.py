@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classifiers, linalg, metrics, neighbors, sampling, selection
+from ..operators import families, linalg, metrics, sampling, selection
 from ..sources.sinks import submission
 
 
@@ -42,77 +42,34 @@ class Chosen:
 
 
 def nested_selection(rows: DataFrame, classes: int, models=None, outer: int = 5, inner: int = 3, seed: int = 42, **grids) -> Chosen:
-    """Part D: nested folds choose a family; its setting is chosen anew by inner folds on all rows (seed + 1000), and it is fitted on all rows.
-
-    Neighbours have no fitted model: model is None, and `predict` searches the rows.
-    """
+    """Part D: nested folds choose a family; its setting is chosen anew by inner folds on all rows (seed + 1000), and it is fitted on all rows."""
     size = len(rows.select("features").first()[0])
     settings = selection.grid(models, size, **grids)
     folds = selection.nested_cv(rows, settings, classes, outer, inner, seed)
     place = F.create_map(*[F.lit(v) for i, m in enumerate(settings) for v in (m, i)])
     ranked = selection.nested_summary(folds)
     family = metrics.best_model(ranked.withColumn("place", place[F.col("model")])).first().model
-    means = inner_means(rows, {family: settings[family]}, classes, inner, seed + 1000)
-    setting = settings[family][max(means, key=lambda p: (means[p], -p))]
+    best = metrics.best_settings(selection.kfold_scores(rows, {family: settings[family]}, classes, inner, seed + 1000)).first()
+    setting = next(s for s in settings[family] if selection.shown(s) == best.best_setting)
     return Chosen(folds, ranked, family, setting, fitted(rows, family, setting, classes))
 
 
-def inner_means(rows: DataFrame, settings: dict, classes: int, folds: int, seed: int) -> dict[int, float]:
-    """Mean accuracy over stratified folds of each setting, by its place, of the one family in settings."""
-    ((family, own),) = settings.items()
-    dealt = selection.narrowed(sampling.stratified_folds(rows, folds, seed=seed), settings, "features").withColumn("_g", F.col("fold")).persist()
-    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
-    try:
-        if family == "knn":
-            found = selection.neighbor_scores(dealt.withColumn("_asks", F.array("fold")).withColumn("_trains", others), own, "_asks", "_trains", folds)
-        else:
-            cells = linalg.grouped_sums(dealt, folds, classes, "fold", "_x")
-            whole = sum(cells[1:], cells[0])
-            train = {f: whole - cells[f] for f in range(folds)}
-            if family == "svm":
-                models = selection.svm_models(dealt.withColumn("_trains", others), "_trains", train, own, classes, features="_x")
-            else:
-                models = {f: selection.models_from_sums(s, settings) for f, s in train.items()}
-            found = selection.scored(dealt, models, "_g", "_x")
-        scores: dict[int, list[float]] = {}
-        for r in found.collect():
-            scores.setdefault(r.place, []).append(r.right / r.n)
-    finally:
-        dealt.unpersist()
-    return {p: sum(v) / len(v) for p, v in scores.items()}
-
-
 def fitted(rows: DataFrame, family: str, setting: dict, classes: int):
-    """A model of a family on all rows; None for neighbours."""
-    if family == "knn":
-        return None
-    space = linalg.narrow_space(rows, setting["n_components"])
-    rows = rows.withColumn("_x", F.col("features")) if space is None else linalg.project(rows, space, "features", "_x")
-    sums = linalg.grouped_sums(rows, 1, classes, features="_x")[0]
-    if family == "svm":
-        model = selection.svm_models(rows.withColumn("_trains", F.array(F.lit(0))), "_trains", {0: sums}, [setting], classes, features="_x")[0][0][2]
-    else:
-        model = selection.models_from_sums(sums, {family: [setting]})[0][2]
-    return model if space is None else replace(model, basis=within(space, model.basis))
-
-
-def within(space: linalg.Components, inner: linalg.Components) -> linalg.Components:
-    """Components that were found in a narrower space, in the space of the features."""
-    return linalg.Components(space.mean + inner.mean @ space.components, inner.components @ space.components, inner.explained_variance)
+    """A family's model on all rows."""
+    return families.FAMILIES[family].fit(rows, setting, classes)
 
 
-def predict(rows: DataFrame, train: DataFrame, family: str, setting: dict, model) -> DataFrame:
-    """rows with predicted."""
-    if family != "knn":
-        return model.transform(rows)
-    found = neighbors.vote(neighbors.neighbors(rows, train, setting["k"]))
-    return rows.join(found.withColumnRenamed("query_id", "row_id"), "row_id")
+def displayed(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """path, name and lines (rows of pixels) of n images to show: the first by path, or seeded-random ones."""
+    some = rows.orderBy("path").limit(n) if seed is None else sampling.global_cap(rows, n, seed=seed)
+    line = lambda i: F.slice("features", i * F.col("width") + 1, F.col("width"))
+    return some.select("path", "name", F.transform(F.sequence(F.lit(0), F.col("height") - 1), line).alias("lines"))
 
 
 def submitted(rows: DataFrame, classes: int, family: str = "knn", setting: dict | None = None) -> DataFrame:
     """Predictions for the rows that the model was fitted on, with names: with one neighbour each row finds itself."""
     setting = setting or {"k": 1}
-    out = predict(rows, rows, family, setting, fitted(rows, family, setting, classes))
+    out = fitted(rows, family, setting, classes).transform(rows)
     return submission(out, rows.select("label", "name").distinct())
 
 

@@ -233,14 +233,8 @@ def knn_k_sweep(spark, d):
 
 def nested_knn_scores(spark, d):
     """Rightly classified rows of every inner fold, and of every outer one (inner_fold -1), from one search of all folds."""
-    rows = vectors(spark, d)
-    base = sampling.stratified_folds(rows, OUTER, seed=SEED).withColumnRenamed("fold", "_outer")
-    roles = selection.nested_roles(base, sampling.nested_folds(rows, OUTER, INNER, seed=SEED), OUTER, INNER)
-    ks = selection.NEIGHBORS
-    found = selection.neighbor_scores(roles, [{"k": k} for k in ks], "_asks", "_trains", OUTER * INNER + OUTER)
-    inside = F.col("g") < OUTER * INNER
-    outer = F.when(inside, F.floor(F.col("g") / INNER)).otherwise(F.col("g") - OUTER * INNER)
-    return found.select(F.get(F.array(*[F.lit(k) for k in ks]), F.col("place")).alias("k"), outer.cast("int").alias("outer_fold"), F.when(inside, F.col("g") % INNER).otherwise(-1).alias("inner_fold"), "n", F.col("right").alias("correct"))
+    found = selection.nested_scores(vectors(spark, d), selection.grid(["knn"], DIMS), CLASSES, OUTER, INNER, SEED)
+    return found.select("setting", "outer_fold", "inner_fold", "n", "correct")
 
 
 def hyperparam_grid(spark, d):
@@ -248,24 +242,28 @@ def hyperparam_grid(spark, d):
 
 
 def _fold_scores(spark, d) -> DataFrame:
-    """Scores of made-up settings on folds: the part of a fold's rows whose label is under a setting's number."""
-    rows = sampling.stratified_folds(vectors(spark, d), OUTER, seed=SEED)
-    each = rows.withColumn("place", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    right = ((F.col("label") * 7 + F.col("fold") * 3 + F.col("place") * 5 + F.col("row_id")) % 11 < 5).cast("double")
-    return each.groupBy("place", "fold").agg(F.avg(right).alias("score")).withColumn("model", F.when(F.col("place") < 2, "a").otherwise("b")).withColumn("setting", F.concat(F.lit("n="), F.col("place")))
+    """Scores of neighbours and of the nearest class mean in all directions, on five folds."""
+    return selection.kfold_scores(vectors(spark, d), selection.grid(["knn", "nearest_class_mean"], DIMS, components=(DIMS,)), CLASSES, OUTER, SEED)
 
 
 def best_setting(spark, d):
     return metrics.best_settings(_fold_scores(spark, d)).select("model", "best_setting", _r("best_score").alias("best_score"))
 
 
+def _best_folds(spark, d) -> DataFrame:
+    """The fold scores of each family's best setting; inner_score is the mean over its settings."""
+    rows = _fold_scores(spark, d)
+    best = metrics.best_settings(rows).select("model", F.col("best_setting").alias("setting"))
+    inner = rows.groupBy("model", "fold").agg(F.avg("score").alias("inner_score"))
+    return rows.join(F.broadcast(best), ["model", "setting"]).join(inner, ["model", "fold"])
+
+
 def fold_score_summary(spark, d):
-    rows = _fold_scores(spark, d).withColumn("inner_score", F.col("score") / 2)
-    return metrics.fold_summary(rows).select("model", "n_folds", *[_r(c).alias(c) for c in ("mean_score", "std_score", "mean_inner_score")])
+    return metrics.fold_summary(_best_folds(spark, d)).select("model", "n_folds", *[_r(c).alias(c) for c in ("mean_score", "std_score", "mean_inner_score")])
 
 
 def best_family(spark, d):
-    rows = metrics.fold_summary(_fold_scores(spark, d).withColumn("inner_score", F.col("score"))).withColumn("place", F.ascii("model"))
+    rows = metrics.fold_summary(_best_folds(spark, d)).withColumn("place", F.ascii("model"))
     return metrics.best_model(rows).select("model", _r("mean_score").alias("mean_score"))
 
 
@@ -295,9 +293,16 @@ def bias_append(spark, d):
     return vectors(spark, d).select("row_id", F.size(x).alias("size"), _r(F.element_at(x, -1)).alias("last"), _r(A.total(x)).alias("total"))
 
 
+def component_prefix(spark, d):
+    return _long(vectors(spark, d), A.prefix(F.col("features"), 16), "row_id")
+
+
 def softmax_scores(spark, d):
-    s = A.softmax(A.prefix(F.col("features"), CLASSES))
-    return vectors(spark, d).select("row_id", A.argmax(s).alias("predicted"), _r(F.array_max(s)).alias("confidence"))
+    """The classes' shares by the scores of the nearest-mean model."""
+    train, test = _holdout(spark, d)
+    s = A.softmax(F.col("scores"))
+    out = classifiers.fit_nearest_mean(train, CLASSES).transform(test, keep_scores=True)
+    return out.select("row_id", A.argmax(s).alias("predicted"), _r(F.array_max(s)).alias("confidence"))
 
 
 def pca_project(spark, d):
@@ -375,8 +380,8 @@ def perceptron_predict(spark, d):
 
 
 def _settings() -> dict:
-    """All four families; of the default grids, one number of epochs and one rate of the support vector machines."""
-    return selection.grid(None, DIMS, components=(8, 16, 32), ks=(1, 3, 5), regs=selection.SVM_REG[1:], epochs=selection.SVM_EPOCHS[:1], rates=selection.SVM_RATES[:1])
+    """The whole grids of all four families; of the default numbers of components those that the vectors have."""
+    return selection.grid(["linear_least_squares", "nearest_class_mean", "svm", "knn"], DIMS)
 
 
 def holdout_tuning(spark, d):
@@ -408,6 +413,6 @@ QUERIES = {
         zscore_vector, minmax_vector, symmetric_scale, flat_resize, unflatten_rows, bar_crop, mean_vector, column_variance_total, sq_norms, global_mean_std, standardised_vector,
         gram_matrix, covariance_matrix, ls_cross_term, variance_curve, class_centroids, nearest_mean_predict, nearest_mean_confusion, nearest_mean_accuracy, match_report, label_agreement,
         knn_neighbors, knn_predict, knn_vote_share, knn_k_sweep, nested_knn_scores, hyperparam_grid, best_setting, fold_score_summary, best_family, kmeans_fixed_iters, cluster_purity,
-        one_hot, ovr_targets, bias_append, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, svm_optimality, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
+        one_hot, ovr_targets, bias_append, component_prefix, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, svm_optimality, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
     )
 }

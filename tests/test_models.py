@@ -2,9 +2,12 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from eigenspark.operators import classifiers, clustering, linalg, metrics, neighbors, sampling, selection, svm
+from eigenspark.operators import classifiers, clustering, families, linalg, metrics, models, neighbors, sampling, selection, svm
+from eigenspark.plans import parts
 
 
 def frame(spark, x, y):
@@ -146,20 +149,89 @@ def test_one_search_serves_all_folds(blobs, monkeypatch):
     nested = sampling.nested_folds(df, 3, 2)
     roles = selection.nested_roles(base, nested, 3, 2).persist()
     assert roles.count() == 120
+    want = {}
+    for g in range(9):
+        own, train = (nested.where(f"outer_fold = {g // 2} and inner_fold {op} {g % 2}") if g < 6 else base.where(f"_outer {op} {g - 6}") for op in ("=", "<>"))
+        for place, k in enumerate((1, 4)):
+            said = neighbors.vote(neighbors.neighbors(own, train, k)).join(own.select(F.col("row_id").alias("query_id"), "label"), "query_id")
+            want[g, place] = (own.count(), said.where("predicted = label").count())
     for groups in (neighbors.GROUPS, 4):  # all groups at once, or in three searches
         monkeypatch.setattr(neighbors, "GROUPS", groups)
-        got = {(r.g, r.place): (r.n, r.right) for r in selection.neighbor_scores(roles, [{"k": 1}, {"k": 4}], "_asks", "_trains", 9).collect()}
-        for g in range(9):
-            own, train = (nested.where(f"outer_fold = {g // 2} and inner_fold {op} {g % 2}") if g < 6 else base.where(f"_outer {op} {g - 6}") for op in ("=", "<>"))
-            for place, k in enumerate((1, 4)):
-                said = neighbors.vote(neighbors.neighbors(own, train, k)).join(own.select(F.col("row_id").alias("query_id"), "label"), "query_id")
-                assert got[g, place] == (own.count(), said.where("predicted = label").count())
+        found = families.FAMILIES["knn"].judge(families.Folds(roles, 9, 4), [{"k": 1}, {"k": 4}])
+        assert {(r.g, r.place): (r.n, r.right) for r in found.collect()} == want
     monkeypatch.undo()
-    masked = roles.select("row_id", "features", "label", selection.group_mask(F.col("_asks"), 0).alias("a"), selection.group_mask(F.col("_trains"), 0).alias("t"))
+    masked = roles.select("row_id", "features", "label", families.group_mask(F.col("_asks"), 0).alias("a"), families.group_mask(F.col("_trains"), 0).alias("t"))
     search = neighbors._search(masked, masked, 3, "row_id", "label", "features", None, F.col("a"), F.col("t"))
     assert search.found.agg(F.sum("looked")).first()[0] == 120 * 120
 
 
+def test_sums_of_folds(blobs):
+    """The training sums of nested folds, made from those over judged rows, are those over the training rows."""
+    df = blobs[2]
+    base = sampling.stratified_folds(df, 3).withColumnRenamed("fold", "_outer")
+    roles = selection.nested_roles(base, sampling.nested_folds(df, 3, 2), 3, 2).persist()
+    one, two = (families.Folds(roles, 9, 4, train_sums=s).spaces(3) for s in (selection.nested_sums(3, 2), None))
+    for g in range(9):
+        (a, z), (b, y) = one[g], two[g]
+        assert np.allclose(a.components, b.components, atol=1e-7) and np.allclose(z.products, y.products, atol=1e-6) and z.counts.tolist() == y.counts.tolist() and z.n == y.n
+
+
+class Majority(families.Family):
+    """The commonest label of a bin of the first component, counted by Spark: no sums of vectors."""
+
+    name, title = "bins", "Bins of the first feature"
+
+    def settings(self, sizes, **grids):
+        return [{"width": w} for w in (0.5, 4.0)]
+
+    def fit(self, rows, setting, classes, row_id="row_id", label="label", features="features"):
+        return BinModel(rows.groupBy(F.floor(F.col(features)[0] / setting["width"]).alias("_bin")).agg(F.mode(label, True).alias("predicted")), setting["width"])
+
+    def judge(self, folds, settings):
+        out = None
+        for g in range(folds.groups):
+            for i, s in enumerate(settings):
+                said = self.fit(folds.rows.where(F.array_contains(folds.trains, g)), s, folds.classes).transform(folds.rows.where(F.array_contains(folds.asks, g)))
+                own = said.agg(F.count("*").alias("n"), F.sum((F.coalesce("predicted", F.lit(-1)) == F.col("label")).cast("long")).alias("right")).select(F.lit(g).alias("g"), F.lit(i).alias("place"), "n", "right")
+                out = own if out is None else out.unionByName(own)
+        return out
+
+
+class BinModel:
+    def __init__(self, table, width):
+        self.table, self.width = table, width
+
+    def transform(self, df, features="features"):
+        return df.withColumn("_bin", F.floor(F.col(features)[0] / self.width)).join(self.table, "_bin", "left").drop("_bin")
+
+
+def test_families_of_other_kinds(blobs):
+    """A fifth and a sixth family, neither made from sums: one of its own, and one of Spark's estimators."""
+    df = blobs[2]
+    families.register(Majority())
+    families.register(families.Estimated("forest", "Random forest", lambda trees: RandomForestClassifier(numTrees=trees, seed=1), [{"trees": 3}]))
+    try:
+        settings = selection.grid(["bins", "forest", "nearest_class_mean"], 8, components=(4,))
+        out = selection.nested_cv(df, settings, 4, outer=2, inner=2).collect()
+        assert {r.model for r in out} == set(settings) and len(out) == 6 and all(r.score > 0.9 for r in out if r.model != "bins")
+        assert all(r.setting == "width=0.5" or r.setting == "width=4.0" for r in out if r.model == "bins")
+        chosen = parts.nested_selection(df, 4, ["forest", "bins"], 2, 2)
+        assert chosen.family == "forest" and metrics.accuracy(chosen.model.transform(df)).first().accuracy > 0.9
+        assert selection.tuned_on_holdout(df, settings, 4).count() == 4
+    finally:
+        del families.FAMILIES["bins"], families.FAMILIES["forest"]
+
+
+def test_families_as_estimators(blobs):
+    df = blobs[2]
+    for name, setting in (("linear_least_squares", {"n_components": 5}), ("svm", {"n_components": 5, "reg_strength": 1e-3, "epochs": 9, "learning_rate": 0.1}), ("knn", {"k": 3})):
+        estimator = families.FamilyEstimator(family=name, setting=setting, classes=4, predictionCol="said")
+        model = Pipeline(stages=[estimator]).fit(df)
+        out = model.transform(df)
+        assert out.where("said = label").count() > 110 and set(out.columns) == {*df.columns, "said"}
+        assert estimator.copy({estimator.family: "nearest_class_mean"}).getOrDefault("family") == "nearest_class_mean"
+
+
 def test_svm_and_kmeans_find_blobs(blobs):
     x, y, df = blobs
     assert metrics.accuracy(svm.fit_svm(df, 4, epochs=20).transform(df)).first().accuracy > 0.95
@@ -264,16 +336,66 @@ def test_svms_of_several_sets_and_settings(blobs):
     assert metrics.accuracy(alone[0, 0].transform(df)).first().accuracy > 0.95 and metrics.accuracy(found[0, 3].transform(df)).first().accuracy > 0.95
 
 
-def test_wide_features_go_through_a_narrower_space(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    y = np.repeat(np.arange(3), 20)
-    x = rng.normal(size=(60, 30)) @ rng.normal(size=(30, 300)) * 0.1 + 3 * np.eye(300)[y * 50]
-    df = frame(spark, x, y).repartition(3).persist()
-    exact = linalg.fit_components(df, 6, keep=False)
-    monkeypatch.setattr(linalg, "WIDE", 100)
-    near = linalg.fit_components(df, 6, keep=False)
-    assert np.allclose(near.explained_variance, exact.explained_variance, rtol=1e-3)
-    assert np.allclose(np.abs((near.components * exact.components).sum(1)), 1, atol=1e-2) and np.allclose(near.mean, exact.mean)
+def same_as_svd(basis, x, k, accuracy=1e-8):
+    s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)[1:]
+    want = (s**2 / (len(x) - 1))[:k]
+    assert np.allclose(basis.mean, x.mean(0)) and np.allclose(basis.explained_variance, want, rtol=0, atol=accuracy * want[0])
+    told = want > 1e-6 * want[0]
+    assert np.allclose(np.abs((basis.components * v[:k])[told].sum(1)), 1, atol=1e-7)
+    assert np.allclose(basis.components @ basis.components.T, np.eye(k), atol=1e-10)
+
+
+@pytest.mark.parametrize(("n", "p", "k"), [(60, 300, 6), (40, 50, 40), (30, 20, 20), (5, 40, 5)])
+def test_lanczos_like_svd(spark, monkeypatch, n, p, k):
+    x = np.random.default_rng(8).normal(size=(n, p)) @ np.diag(np.linspace(3, 0.1, p))
+    df = frame(spark, x, np.zeros(n)).repartition(3)
+    for block in (128, 3):
+        monkeypatch.setattr(linalg, "BLOCK", block)
+        same_as_svd(linalg.lanczos(df, k)[0], x, k)
+
+
+def test_lanczos_at_image_size(spark):
+    """4,096 features, to 1e-8 of the decomposition of all rows; through fit_components."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(150, 30)) @ rng.normal(size=(30, 4096)) + rng.normal(size=(150, 4096)) * 0.3
+    df = frame(spark, x, np.zeros(150)).repartition(3)
+    same_as_svd(linalg.fit_components(df, 12), x, 12)
+
+
+def test_lanczos_finds_equal_values_and_empty_space(spark, monkeypatch):
+    """More equal variances than a block is wide, and more components than rows span."""
+    monkeypatch.setattr(linalg, "BLOCK", 2)
+    x = np.vstack([np.eye(7, 12) * 3, -np.eye(7, 12) * 3])
+    basis = linalg.lanczos(frame(spark, x, np.zeros(14)), 9)[0]
+    assert np.allclose(basis.explained_variance, [18 / 13] * 7 + [0] * 2) and np.allclose(basis.components @ basis.components.T, np.eye(9))
+    flat = linalg.lanczos(frame(spark, np.ones((4, 6)), np.zeros(4)), 3)[0]
+    assert np.allclose(flat.explained_variance, 0) and flat.components.shape == (3, 6)
+
+
+def test_lanczos_of_sets_and_its_error(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "BASES_BYTES", 1)
+    x = np.random.default_rng(11).normal(size=(90, 40))
+    df = frame(spark, x, np.arange(90) % 3).withColumn("sets", F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda g: g != F.col("label")))
+    found = linalg.lanczos(df, 4, trains="sets", sets=[0, 1, 2])
+    for g in range(3):
+        same_as_svd(found[g], x[np.arange(90) % 3 != g], 4)
+    z = linalg.basis_sums(df, found, 3, trains="sets")
+    own = x[np.arange(90) % 3 != 1]
+    assert np.allclose(z[1].products, found[1].project(own).T @ found[1].project(own)) and z[1].counts.tolist() == [30, 0, 30]
+    monkeypatch.setattr(linalg, "BLOCK", 4)
+    with pytest.raises(ArithmeticError):
+        linalg.lanczos(df, 4, passes=1)
+    with pytest.raises(ValueError):
+        linalg.lanczos(df, 4, trains="sets", sets=[7])
+
+
+def test_wide_folds_are_exact(spark, blobs, monkeypatch):
+    """Each fold's own components, above and below the number of features from which they are found otherwise."""
+    _, _, df = blobs
+    settings = selection.grid(None, 8, components=(2, 5), ks=(1,), regs=(1e-3,), epochs=(3,), rates=(0.1,))
+    narrow = [sorted(map(tuple, f(df, settings, 4).collect())) for f in (selection.tuned_on_holdout, lambda *a: selection.nested_cv(*a, outer=2, inner=2))]
+    monkeypatch.setattr(linalg, "WIDE", 5)
+    assert narrow == [sorted(map(tuple, f(df, settings, 4).collect())) for f in (selection.tuned_on_holdout, lambda *a: selection.nested_cv(*a, outer=2, inner=2))]
 
 
 def test_all_families_at_image_size(spark):
@@ -284,13 +406,23 @@ def test_all_families_at_image_size(spark):
     df = frame(spark, x, y).repartition(3).persist()
     settings = selection.grid(None, 48, components=(2, 8), ks=(1, 3), regs=(1e-3,), epochs=(3,), rates=(0.1,))
     out = selection.nested_cv(df, settings, 3, outer=2, inner=2).collect()
-    assert {r.model for r in out} == set(selection.FAMILIES) and len(out) == 8 and all(r.score > 0.6 for r in out)
-    assert linalg.narrow_space(df, 8).components.shape == (26, 4096)
+    assert {r.model for r in out} == set(families.FAMILIES) and len(out) == 8 and all(r.score > 0.6 for r in out)
 
 
-def test_components_are_kept(blobs):
-    df = blobs[2]
-    assert linalg.fit_components(df, 3) is linalg.fit_components(df, 3) and linalg.fit_components(df, 3, keep=False) is not linalg.fit_components(df, 3)
+def test_components_are_kept_by_contents(spark, tmp_path):
+    """A rewritten table has other components; the same rows in another layout have the same."""
+    store, rng = models.ModelStore(spark, str(tmp_path / "models")), np.random.default_rng(12)
+    path = str(tmp_path / "rows")
+    for scale in (1, 5):
+        x = rng.normal(size=(50, 6)) * scale
+        frame(spark, x, np.zeros(50)).write.mode("overwrite").parquet(path)
+        same_as_svd(linalg.fit_components(spark.read.parquet(path), 3, store=store), x, 3)
+        again = linalg.fit_components(spark.read.parquet(path).repartition(7).orderBy("row_id"), 3, store=store)
+        same_as_svd(again, x, 3)
+    assert sorted(store.versions("components")) == [1, 2] and store.load("components", 9) is None and store.load("nothing") is None
+    kept = models.ModelStore(spark, str(tmp_path / "models")).load("components")
+    assert kept.version == 2 and (kept.arrays["components"] == again.components).all() and kept.info == {"k": 3}
+    assert models.content_digest(spark.read.parquet(path), ["features"]) != models.content_digest(spark.read.parquet(path).limit(49), ["features"])
 
 
 def test_perceptron_finds_blobs(blobs):
@@ -323,10 +455,10 @@ def test_metrics(spark):
 
 
 def test_grids():
-    assert selection.family_names(None) == list(selection.FAMILIES) == selection.family_names(["svm", "all"])
-    assert selection.family_names([" knn", "svm", "knn"]) == ["knn", "svm"]
+    assert families.family_names(None) == list(families.FAMILIES) == families.family_names(["svm", "all"])
+    assert families.family_names([" knn", "svm", "knn"]) == ["knn", "svm"]
     with pytest.raises(ValueError):
-        selection.family_names(["tree"])
+        families.family_names(["tree"])
     g = selection.grid(None, 363)
     assert len(g["svm"]) == 48 and g["knn"] == [{"k": 1}, {"k": 3}, {"k": 5}] and len(g["linear_least_squares"]) == 4
     assert selection.grid(["svm"], 7)["svm"][0]["n_components"] == 7

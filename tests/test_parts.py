@@ -28,8 +28,18 @@ def test_comparison(rows):
 def test_nested_selection(rows):
     got = parts.nested_selection(rows, 3, ["linear_least_squares", "nearest_class_mean"], 2, 2, components=(2, 4))
     assert got.folds.count() == 4 and got.family in ("linear_least_squares", "nearest_class_mean") and got.model is not None
-    right = parts.predict(rows, rows, got.family, got.setting, got.model).where("label = predicted").count()
-    assert right > 45
+    assert got.model.transform(rows).where("label = predicted").count() > 45
+    knn = parts.nested_selection(rows, 3, ["knn"], 2, 2)
+    assert knn.model.transform(rows).where("label = predicted").count() > 45 and knn.setting in ({"k": 1}, {"k": 3}, {"k": 5})
+
+
+def test_displayed(rows):
+    first = parts.displayed(rows, 3).collect()
+    assert [r.path for r in first] == sorted(r.path for r in rows.collect())[:3]
+    row = rows.where(f"path = '{first[0].path}'").first()
+    assert first[0].lines == [list(row.features[:3]), list(row.features[3:])]
+    some = [{r.path for r in parts.displayed(rows, 5, seed).collect()} for seed in (1, 1, 2)]
+    assert len(some[0]) == 5 and some[0] == some[1] != some[2]
 
 
 def test_submission_finds_itself(rows):
