@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import families, selection
-from .plans import parts
+from .plans import parts, pipelines
 from .sources import images
 
 
 #: Names of options are fixed values.
 def options() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="eigenspark")
-    p.add_argument("part", choices=("a", "b", "d", "submit", "variance"))
+    p.add_argument("part", choices=("a", "b", "d", "submit", "variance", "fit", "predict"))
     p.add_argument("dataset")
     p.add_argument("--image-height", type=int)
     p.add_argument("--image-width", type=int)
@@ -30,9 +30,11 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--svm-reg-grid", type=float, nargs="*", default=list(selection.SVM_REG))
     p.add_argument("--svm-epochs-grid", type=int, nargs="*", default=list(selection.SVM_EPOCHS))
     p.add_argument("--svm-learning-rate-grid", type=float, nargs="*", default=list(selection.SVM_RATES))
-    p.add_argument("--family", default="knn", help="model of submit: " + ", ".join(families.FAMILIES))
-    p.add_argument("--setting", nargs="*", default=["k=1"], metavar="NAME=VALUE", help="setting of the model of submit")
+    p.add_argument("--family", default="knn", help="model of submit and fit: " + ", ".join(families.FAMILIES))
+    p.add_argument("--setting", nargs="*", default=["k=1"], metavar="NAME=VALUE", help="its setting")
     p.add_argument("--cache", default="image_cache", help="folder of stored datasets")
+    p.add_argument("--store", default="model_store", help="folder of stored pipelines")
+    p.add_argument("--name", default="pipeline", help="name of the pipeline that fit stores and predict uses")
     p.add_argument("--no-cache", action="store_true")
     p.add_argument("--quiet", action="store_true", help="print nothing but the result")
     p.add_argument("--rows", type=int, default=100, help="rows of the result that are shown")
@@ -51,7 +53,12 @@ def main(argv: list[str] | None = None) -> None:
     if a.quiet:
         spark.sparkContext.setLogLevel("ERROR")
     cache = None if a.no_cache else a.cache
-    rows = images.read_images(spark, a.dataset, images.image_size(a.image_height, a.image_width), a.max_images, a.max_images_per_person, a.seed, cache=cache).persist()
+    size = images.image_size(a.image_height, a.image_width)
+    if a.part == "predict":
+        found = pipelines.loaded_pipeline(spark, a.store, a.name)
+        out = found.images(spark, a.dataset, max_images=a.max_images, max_per_class=a.max_images_per_person, seed=a.seed, cache=cache).select("path", "name", "predicted_name")
+        return shown(out, a)
+    rows = images.read_images(spark, a.dataset, size, a.max_images, a.max_images_per_person, a.seed, cache=cache).persist()
     if not a.quiet:
         print(f"{rows.count()} images")
     classes = rows.select("label").distinct().count() if a.part == "a" else int(rows.selectExpr("max(label)").first()[0]) + 1
@@ -64,8 +71,15 @@ def main(argv: list[str] | None = None) -> None:
         out = parts.nested_selection(rows, classes, a.models, a.outer_folds, a.inner_folds, a.seed, **grids).summary
     elif a.part == "submit":
         out = parts.submitted(rows, classes, families.family_names([a.family])[0], setting_of(a.setting))
+    elif a.part == "fit":
+        found = pipelines.stored_pipeline(rows, classes, families.family_names([a.family])[0], setting_of(a.setting), a.store, a.name, size)
+        out = spark.createDataFrame([(a.name, found.version, found.fresh)], "name string, version int, fitted boolean")
     else:
         out = parts.variance_report(rows)
+    shown(out, a)
+
+
+def shown(out: DataFrame, a: argparse.Namespace) -> None:
     if a.output:
         out.write.mode("overwrite").option("header", True).csv(a.output)
     else:

@@ -1,7 +1,9 @@
 """Seeded order, caps, holdouts and folds, per class.
 
 The order is the md5 of the row's id and the seed, so it is the same at every partitioning.  Ranks in a class are counted
-in buckets of the key's first digits, so that a class with most of the rows is no single task.
+in buckets of the key's first digits, as many as keep a bucket within BUDGET rows, so that no class is a single task.
+Where only the first so many of a class are wanted, a histogram of the buckets tells the one in which the last of them
+lies: rows before and after it are settled by their key alone, and only that bucket is sorted.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import split_counts
+from .tables import written
 
 #: Distinct values that are broadcast, at most.
 SMALL = 100_000
@@ -20,23 +23,50 @@ def key(row_id: str, seed: int | Column) -> Column:
     return F.md5(F.concat(F.col(row_id).cast("string"), F.lit(":"), seed))
 
 
-def ranked(df: DataFrame, by: list[str], order: Column, row_id: str, digits: int = 2) -> DataFrame:
-    """Adds n_class and class_rank (from 1) within the columns `by`, in the order of a hexadecimal key and then row_id.
+#: Rows of a bucket, at most (on average over seeds half of it).
+BUDGET = 1_000_000
+
+
+def digits_for(rows: int) -> int:
+    """Hexadecimal digits of a key that split so many rows into buckets of half the budget or less."""
+    digits = 0
+    while rows > BUDGET // 2 * 16**digits and digits < 32:
+        digits += 1
+    return digits
 
-    Rows with a null among `by` are a class of their own.
 
-    digits: first digits of the key that name a bucket; a bucket holds one part in 16 ** digits of a class.
+def _bucketed(df: DataFrame, by: list[str], order: Column, rows: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows with _key, _bucket and _class; _class, _bucket, _before, _in_bucket and n_class of every bucket; its columns."""
+    digits = digits_for(df.count() if rows is None else rows)
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))  # equal structs have equal nulls
+    keyed = df.withColumn("_key", order).withColumn("_bucket", F.substring("_key", 1, digits) if digits else F.lit("")).withColumn("_class", group)
+    counts = keyed.groupBy("_class", "_bucket").agg(F.count("*").alias("_in_bucket"))
+    upto = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.select("_class", "_bucket", "_in_bucket", (F.sum("_in_bucket").over(upto) - F.col("_in_bucket")).alias("_before"), F.sum("_in_bucket").over(Window.partitionBy("_class")).alias("n_class"))
+    return keyed, sums, df.columns
+
+
+def ranked(df: DataFrame, by: list[str], order: Column, row_id: str, rows: int | None = None) -> DataFrame:
+    """Adds n_class and class_rank (from 1) within the columns `by`, in the order of a hexadecimal key and then row_id.
+
+    Rows with a null among `by` are a class of their own.  rows: their number if it is known; else they are counted.
     """
-    keyed = df.withColumn("_key", order).withColumn("_bucket", F.substring("_key", 1, digits))
-    by = by or ["_all"]
-    keyed = keyed.withColumn("_all", F.lit(0)) if by == ["_all"] else keyed
-    counts = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_in_bucket"))
-    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = counts.select(*by, "_bucket", (F.sum("_in_bucket").over(upto) - F.col("_in_bucket")).alias("_before"), F.sum("_in_bucket").over(Window.partitionBy(*by)).alias("n_class"))
-    within = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", row_id))
-    sums = sums.select(F.struct(*by, "_bucket").alias("_cell"), "_before", "n_class")  # equal structs have equal nulls
-    ranks = keyed.withColumn("_within", within).withColumn("_cell", F.struct(*by, "_bucket"))
-    return ranks.join(sums, "_cell").withColumn("class_rank", F.col("_before") + F.col("_within")).drop("_key", "_bucket", "_before", "_all", "_within", "_cell")
+    keyed, sums, names = _bucketed(df, by, order, rows)
+    within = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("_key", row_id))
+    out = keyed.withColumn("_within", within).join(sums, ["_class", "_bucket"])
+    return out.select(*names, "n_class", (F.col("_before") + F.col("_within")).alias("class_rank"))
+
+
+def selected(df: DataFrame, by: list[str], quota, order: Column, row_id: str, to: str = "_chosen", rows: int | None = None) -> DataFrame:
+    """Adds whether a row is among the first quota(n_class) of its class, by radix selection."""
+    keyed, sums, names = _bucketed(df, by, order, rows)
+    last = sums.withColumn("_left", quota(F.col("n_class")) - F.col("_before")).where((F.col("_left") > 0) & (F.col("_left") <= F.col("_in_bucket")))
+    last = written(last.select("_class", F.col("_bucket").alias("_edge"), "_left"))  # at most one bucket of each class
+    met = keyed.join(F.broadcast(last) if last.count() <= SMALL else last, "_class", "left")
+    sure = met.where("_edge is null or _bucket <> _edge").withColumn(to, F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))
+    within = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("_key", row_id))
+    close = met.where("_bucket = _edge").withColumn(to, within <= F.col("_left"))
+    return sure.unionByName(close).select(*names, to)
 
 
 def by_class(df: DataFrame, label: str, row_id: str, seed: int) -> DataFrame:
@@ -47,7 +77,7 @@ def per_class_cap(df: DataFrame, cap: int | None, label: str = "label", row_id:
     """At most so many seeded-random rows of each class; None or a cap below 1 keeps all."""
     if cap is None or cap <= 0:
         return df
-    return by_class(df, label, row_id, seed).where(F.col("class_rank") <= cap).drop("class_rank", "n_class")
+    return selected(df, [label], lambda n: F.least(n, F.lit(cap)), key(row_id, seed), row_id).where("_chosen").drop("_chosen")
 
 
 def first_per_class(df: DataFrame, cap: int, order: str, label: str = "label") -> DataFrame:
@@ -58,7 +88,9 @@ def first_per_class(df: DataFrame, cap: int, order: str, label: str = "label") -
 
 def global_cap(df: DataFrame, cap: int | None, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """At most so many seeded-random rows."""
-    return df if cap is None else df.orderBy(key(row_id, seed), row_id).limit(cap)
+    if cap is None:
+        return df
+    return selected(df, [], lambda n: F.least(n, F.lit(cap)), key(row_id, seed), row_id).where("_chosen").drop("_chosen")
 
 
 def holdout_count(n: Column, ratio: float) -> Column:
@@ -70,8 +102,7 @@ def stratified_holdout(df: DataFrame, ratio: float = 0.2, label: str = "label",
     """Adds is_holdout."""
     if not 0 < ratio < 1:
         raise ValueError("the holdout ratio must lie between 0 and 1")
-    rows = by_class(df, label, row_id, seed)
-    return rows.withColumn("is_holdout", F.col("class_rank") <= holdout_count(F.col("n_class"), ratio)).drop("class_rank", "n_class")
+    return selected(df, [label], lambda n: holdout_count(n, ratio), key(row_id, seed), row_id, "is_holdout")
 
 
 def chunk(rank: Column, n: Column, parts: int) -> Column:
@@ -131,8 +162,7 @@ def three_way_split(df: DataFrame, validation: float, test: float, label: str =
 
 def shuffle_split(df: DataFrame, test: float, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """Adds is_train: the first int(n * (1 - test)) rows in seeded order, whatever their class."""
-    rows = ranked(df, [], key(row_id, seed), row_id)
-    return rows.withColumn("is_train", F.col("class_rank") <= F.floor(F.col("n_class") * (1 - test))).drop("class_rank", "n_class")
+    return selected(df, [], lambda n: F.floor(n * (1 - test)), key(row_id, seed), row_id, "is_train")
 
 
 def complement(df: DataFrame, part: DataFrame, row_id: str = "row_id") -> DataFrame:

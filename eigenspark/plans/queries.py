@@ -294,7 +294,7 @@ def bias_append(spark, d):
 
 
 def component_prefix(spark, d):
-    return _long(vectors(spark, d), A.prefix(F.col("features"), 16), "row_id")
+    return _long(vectors(spark, d), A.prefix(A.doubles(F.col("features")), 16), "row_id")
 
 
 def softmax_scores(spark, d):

@@ -8,8 +8,8 @@ from ..operators.classifiers import LinearModel
 from ..sources.images import decoded
 
 
-def predicted_stream(spark: SparkSession, path: str, model: LinearModel, size: tuple[int, int] | None = None) -> DataFrame:
+def predicted_stream(spark: SparkSession, path: str, model: LinearModel, size: tuple[int, int] | None = None, how: str = "zscore") -> DataFrame:
     """path and predicted of each new PGM file under a directory, as a streaming DataFrame; files that fail are skipped."""
     spark.conf.set("spark.sql.streaming.schemaInference", "true")
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pgm").load(path).select("path", "content")
-    return model.transform(decoded(files, size, permissive=True)).select("path", "predicted")
+    return model.transform(decoded(files, size, how, permissive=True)).select("path", "predicted")

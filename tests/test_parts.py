@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from eigenspark import cli
-from eigenspark.plans import parts
+from eigenspark.plans import parts, pipelines
+from eigenspark.sources import images
 
 
 @pytest.fixture(scope="module")
@@ -76,5 +77,54 @@ def test_command_line(spark, tmp_path, capsys):
     assert "n_samples" in capsys.readouterr().out and len(list((tmp_path / "cache").iterdir())) == 1
     cli.main(["submit", *common, "--no-cache", "--family", "nearest_class_mean", "--setting", "n_components=1", "--output", str(tmp_path / "out")])
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["Image_Path", "True_Label", "Predicted_Label"]
+    kept = ["--store", str(tmp_path / "models"), "--family", "nearest_class_mean", "--setting", "n_components=1"]
+    cli.main(["fit", *common, *kept])
+    cli.main(["predict", *common, *kept])
+    assert "predicted_name" in capsys.readouterr().out
     cli.main(["b", *common, "--models", "nearest_class_mean", "knn", "--component-grid", "1", "--validation-ratio", "0.4"])
     assert "validation_accuracy" in capsys.readouterr().out
+
+
+def folder_of_images(top, seed, shift=0):
+    rng = np.random.default_rng(seed)
+    for c in range(3):
+        (top / f"c{c}").mkdir(parents=True, exist_ok=True)
+        for i in range(8):
+            image = rng.integers(0, 60, (5, 4))
+            image[c + shift] += 150
+            (top / f"c{c}" / f"i{i}.pgm").write_bytes(b"P5\n4 5\n255\n" + image.astype(np.uint8).tobytes())
+    return str(top)
+
+
+@pytest.mark.parametrize(("family", "setting"), [("nearest_class_mean", {"n_components": 3}), ("svm", {"n_components": 4, "reg_strength": 1e-3, "epochs": 20, "learning_rate": 0.1}), ("knn", {"k": 3})])
+def test_pipelines_are_stored(spark, tmp_path, family, setting):
+    """Another session and a stream score alike; the same rows find the pipeline, other rows make a new version."""
+    train, test = folder_of_images(tmp_path / "train", 1), folder_of_images(tmp_path / "test", 2)
+    store = str(tmp_path / "store")
+    rows = images.read_images(spark, train, (5, 4))
+    one = pipelines.stored_pipeline(rows, 3, family, setting, store, "p", (5, 4))
+    assert one.fresh and one.version == 1
+    again = pipelines.stored_pipeline(images.read_images(spark, train, (5, 4)).repartition(5), 3, family, setting, store, "p", (5, 4))
+    assert not again.fresh and again.version == 1
+    other = pipelines.loaded_pipeline(spark.newSession(), store, "p")
+    said = {r.path: r.predicted_name for r in one.images(spark, test).collect()}
+    assert {r.path: r.predicted_name for r in other.images(spark.newSession(), test).collect()} == said
+    assert sum(path.split("/")[-2] == name for path, name in said.items()) > 20
+    path = next(iter(said))
+    assert other.image(spark, path).first().predicted_name == said[path]
+    if family == "knn":
+        with pytest.raises(ValueError):
+            other.stream(spark, test + "/c0")
+    else:
+        query = other.stream(spark, test + "/c0").writeStream.format("memory").queryName(f"named_{family}").start()
+        query.processAllAvailable()
+        query.stop()
+        assert {r.path.replace("file:", ""): r.predicted_name for r in spark.table(f"named_{family}").collect()} == {p: n for p, n in said.items() if "/c0/" in p}
+    assert one.submission(rows).where("True_Label = Predicted_Label").count() > 20
+    folder_of_images(tmp_path / "train", 3, 1)  # the images are rewritten under the same names
+    new = pipelines.stored_pipeline(images.read_images(spark, train, (5, 4)), 3, family, setting, store, "p", (5, 4))
+    assert new.fresh and new.version == 2 and pipelines.loaded_pipeline(spark, store, "p", 1).version == 1
+    changed = pipelines.stored_pipeline(images.read_images(spark, train, (5, 4)), 3, "linear_least_squares", {"n_components": 2}, store, "p", (5, 4))
+    assert changed.fresh and changed.version == 3 and pipelines.loaded_pipeline(spark, store, "p").family == "linear_least_squares"
+    with pytest.raises(FileNotFoundError):
+        pipelines.loaded_pipeline(spark, store, "p", 9)

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given
@@ -70,7 +72,7 @@ def test_folds_partition_rows_evenly(spark):
 def test_ranks_do_not_depend_on_partitioning(spark):
     df = frame(spark, [300, 20])
     a = sampling.by_class(df.repartition(7), "label", "row_id", 1).select("row_id", "class_rank").collect()
-    b = sampling.ranked(df.coalesce(1), ["label"], sampling.key("row_id", 1), "row_id", digits=1).select("row_id", "class_rank").collect()
+    b = sampling.ranked(df.coalesce(1), ["label"], sampling.key("row_id", 1), "row_id", rows=10**9).select("row_id", "class_rank").collect()
     assert sorted(a) == sorted(b)
     assert sorted(r.class_rank for r in a)[-1] == 300
 
@@ -103,3 +105,50 @@ def test_null_labels_are_a_class(spark):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "row_id long, label string")
     assert sampling.stratified_holdout(rows, 0.2).where("label is null").groupBy("is_holdout").count().orderBy("count").collect()[0]["count"] == 2
     assert sampling.stratified_folds(rows, 5).count() == 30 and sampling.nested_folds(rows, 2, 2).count() == 30
+
+
+def plain_ranks(rows, by, seed):
+    """row_id to (class size, rank), from (row_id, label) rows."""
+    out, classes = {}, {}
+    for i, c in rows:
+        classes.setdefault(c if by else 0, []).append(i)
+    for own in classes.values():
+        for r, i in enumerate(sorted(own, key=lambda i: (hashlib.md5(f"{i}:{seed}".encode()).hexdigest(), i))):
+            out[i] = len(own), r + 1
+    return out
+
+
+@pytest.mark.parametrize("budget", [64, 1_000_000])
+def test_ranks_at_any_class_size(spark, monkeypatch, budget):
+    """With a small budget no bucket, so no window partition, is over it, and ranks and choices are those of a plain sort."""
+    monkeypatch.setattr(sampling, "BUDGET", budget)
+    rows = [(i, 0) for i in range(3000)] + [(3000 + i, 1) for i in range(40)] + [(4000, 2)] + [(5000 + i, None) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, label int").repartition(4)
+    for by in ([], ["label"]):
+        want = plain_ranks(rows, by, 7)
+        key = sampling.key("row_id", 7)
+        got = {r.row_id: (r.n_class, r.class_rank) for r in sampling.ranked(df, by, key, "row_id").collect()}
+        assert got == want
+        sizes = sampling._bucketed(df, by, key, None)[1].agg(F.max("_in_bucket"), F.count("*")).first()
+        assert sizes[0] <= budget and (sizes[1] > 60) == (budget == 64)
+        for quota in (0, 1, 39, 41, 700, 99_999):
+            chosen = sampling.selected(df, by, lambda n, quota=quota: F.least(n, F.lit(quota)), key, "row_id")
+            assert {r.row_id: r["_chosen"] for r in chosen.collect()} == {i: rank <= quota for i, (_, rank) in want.items()}
+    held = {r.row_id for r in sampling.stratified_holdout(df, 0.3, seed=7).where("is_holdout").collect()}
+    want = plain_ranks(rows, ["label"], 7)
+    assert held == {i for i, (n, r) in want.items() if n > 1 and r <= max(1, min(round(n * 0.3), n - 1))}
+
+
+def test_only_the_edge_is_sorted(spark, monkeypatch):
+    """Rows that the histogram settles don't reach a window."""
+    monkeypatch.setattr(sampling, "BUDGET", 64)
+    df = spark.range(5000).withColumnRenamed("id", "row_id")
+    keyed, sums, _ = sampling._bucketed(df, [], sampling.key("row_id", 1), None)
+    edge = sums.where("_before < 1234 and _before + _in_bucket >= 1234").first()
+    assert keyed.where(F.col("_bucket") == edge["_bucket"]).count() <= 64 and sampling.global_cap(df, 1234, seed=1).count() == 1234
+
+
+def test_null_raw_values_have_a_label(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, None)], "row_id long, raw string")
+    assert {r.row_id: (r.raw, r.label) for r in sampling.encoded(df, "raw").collect()} == {1: ("b", 1), 2: (None, 2), 3: ("a", 0), 4: (None, 2)}
+    assert sampling.encoded(df.limit(0), "raw").count() == 0 and sampling.encoded(df, "raw").columns == ["row_id", "raw", "label"]
