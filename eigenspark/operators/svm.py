@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .classifiers import LinearModel
 from .linalg import Components, block
 from .sampling import key
+from .tables import checkpointed
 
 #: Fixed values of the descent: rows of a step, momentum, and how the rate falls by epoch; usual settings.
 STEP_ROWS, MOMENTUM, DECAY = 256, 0.9, 0.1
@@ -232,7 +233,7 @@ def certified(df: DataFrame, classes: int, reg: float = REG, tolerance: float =
             def run(batches):
                 w, b = sent.value
                 for pdf in batches:
-                    out, kept = [], []
+                    out, moved = [], []
                     for part, n, x, y, a in zip(pdf.part, pdf.n, pdf.x, pdf.y, pdf.a, strict=True):
                         x, y = np.frombuffer(x).reshape(n, -1), np.frombuffer(y, np.int32)
                         a = np.frombuffer(a).reshape(classes, n).copy() if a is not None else np.zeros((classes, n))
@@ -241,20 +242,21 @@ def certified(df: DataFrame, classes: int, reg: float = REG, tolerance: float =
                         ascend(x, y, a, w, b, scale, bias_scale, float(parts), np.random.default_rng([seed, done, part]), max(PASSES, STEPS // n))
                         up, down = a * (sign > 0), a * (sign < 0)
                         out.append([dict(zip(("k", "at", "width", "part", "data"), r, strict=True)) for r in pieces_of(part, {0: np.vstack([np.column_stack([up @ x, up.sum(1)]), np.column_stack([down @ x, down.sum(1)])]), 1: loss[None]})])
-                        kept.append(a.tobytes())
-                    yield pdf.assign(a=kept, out=out)
+                        moved.append(a.tobytes())
+                    yield pdf.assign(a=moved, out=out)
 
             older, state = state, state.mapInPandas(run, state.schema).persist()
             if done % KEEP == 0:
-                state = _cut(state)
+                kept, state = state, checkpointed(state)
+                kept.unpersist()
             got = added_in_order(state.select(F.explode("out").alias("o")).select("o.*"))
             older.unpersist()
             sent.unpersist()
             primal = got[1][0] / n + reg / 2 * (w**2).sum(1)
             if (primal - dual <= tolerance).all():
                 return Certified(LinearModel(w, b, None, {"reg_strength": reg}), primal, dual, done, True)
-            last, moved = (w, b, primal, dual), pull / 2 * (b - middle) ** 2
-            close = primal + moved - held <= np.maximum(tolerance / 4, moved / 2)  # the held problem is solved well enough
+            last, pulled = (w, b, primal, dual), pull / 2 * (b - middle) ** 2
+            close = primal + pulled - held <= np.maximum(tolerance / 4, pulled / 2)  # the held problem is solved well enough
             up, down = got[0][:classes], got[0][classes:]
             lean = up[:, p] - down[:, p]
             w = (up[:, :p] - down[:, :p]) * scale
@@ -281,15 +283,3 @@ def _sizes(state: DataFrame) -> tuple[int, int, int, float]:
     rows = state.select("part", "n", (F.length("x") / 8 / F.col("n")).cast("int").alias("p"), square("x").alias("s")).groupBy("part").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.max("s").alias("s"))
     each = sorted(rows.collect())  # a row of four numbers for each part
     return sum(r.n for r in each), len(each), max((r.p for r in each), default=0), float(sum(r.s for r in each))
-
-
-def _cut(state: DataFrame) -> DataFrame:
-    """The state without its lineage."""
-    from .tables import shared_folder
-
-    context = state.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(state.sparkSession))
-    out = state.checkpoint()
-    state.unpersist()
-    return out

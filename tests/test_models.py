@@ -431,6 +431,48 @@ def test_perceptron_finds_blobs(blobs):
     assert out.columns == ["row_id", "features", "label", "predicted", "confidence"]
 
 
+def plain_lloyd(x, ids, k, steps, tolerance, seed=42):
+    """Clusters by distances of all rows to all centres in each step, and the steps taken."""
+    own = keyed_order(ids, seed)
+    centres, spare = x[own[:k]], list(x[own[k : 2 * k]])
+    for step in range(1, steps + 1):
+        said = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([x[said == c].mean(0) if (said == c).any() else (spare.pop(0) if spare else centres[c]) for c in range(k)])
+        moved, centres = np.sqrt(((new - centres) ** 2).sum()), new
+        if moved < tolerance:
+            break
+    return said, step
+
+
+@pytest.mark.parametrize(("k", "rows"), [(5, 4096), (12, 200), (1, 4096)])
+def test_kmeans_with_bounds_is_lloyd(clustered, monkeypatch, k, rows):
+    """The same clusters as by measuring everything, with fewer distances, past a checkpoint."""
+    monkeypatch.setattr(svm, "PART_ROWS", rows)
+    monkeypatch.setattr(clustering, "KEEP", 3)
+    x, ids, df = clustered
+    want, steps = plain_lloyd(x, ids, k, 30, 1e-4)
+    found = clustering.kmeans(df, k)
+    assert found.steps == steps
+    said = {r.row_id: r.cluster for r in found.transform(df).collect()}
+    assert [said[int(i)] for i in ids] == want.tolist()
+    assert found.computed <= len(x) * k * steps and (steps < 4 or k < 5 or found.computed < 0.85 * len(x) * k * steps)
+    again = clustering.kmeans(df.orderBy(F.desc("row_id")).coalesce(1), k)
+    assert (again.centres == found.centres).all()
+
+
+def test_kmeans_reads_its_source_twice(spark, clustered):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = clustered[2]
+    clustering.kmeans(df.mapInPandas(run, df.schema), 4, steps=6, tolerance=0.0)
+    assert seen.value <= 5 * 3000  # the first centres (a count, a histogram, a choice), the size of parts, the parts
+
+
 def test_kmeans_refills_an_empty_cluster(spark):
     df = frame(spark, [[0, 0]] * 5 + [[9, 9]], [0] * 6)
     found = clustering.kmeans(df, 2, steps=5)
