@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import families, selection
+from .operators import convolution, families, sampling, selection
 from .plans import parts, pipelines
 from .sources import images
 
@@ -14,7 +14,7 @@ from .sources import images
 #: Names of options are fixed values.
 def options() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="eigenspark")
-    p.add_argument("part", choices=("a", "b", "d", "submit", "variance", "fit", "predict"))
+    p.add_argument("part", choices=("a", "b", "d", "submit", "variance", "fit", "predict", "network"))
     p.add_argument("dataset")
     p.add_argument("--image-height", type=int)
     p.add_argument("--image-width", type=int)
@@ -36,6 +36,17 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--store", default="model_store", help="folder of stored pipelines")
     p.add_argument("--name", default="pipeline", help="name of the pipeline that fit stores and predict uses")
     p.add_argument("--no-cache", action="store_true")
+    network = p.add_argument_group("network")
+    network.add_argument("--image-size", type=int, nargs=2, metavar=("HEIGHT", "WIDTH"))
+    network.add_argument("--val-ratio", type=float, default=parts.VALIDATION)
+    network.add_argument("--test-ratio", type=float, default=parts.TEST)
+    network.add_argument("--batch-size", type=int, default=convolution.BATCH)
+    network.add_argument("--epochs", type=int, default=convolution.EPOCHS)
+    network.add_argument("--learning-rate", type=float, default=convolution.RATE)
+    network.add_argument("--weight-decay", type=float, default=convolution.DECAY)
+    network.add_argument("--patience", type=int, default=convolution.PATIENCE)
+    network.add_argument("--disable-augmentation", action="store_true")
+    network.add_argument("--dry-run", action="store_true", help="read and split the images only")
     p.add_argument("--quiet", action="store_true", help="print nothing but the result")
     p.add_argument("--rows", type=int, default=100, help="rows of the result that are shown")
     p.add_argument("--output", help="folder for a CSV result")
@@ -53,12 +64,12 @@ def main(argv: list[str] | None = None) -> None:
     if a.quiet:
         spark.sparkContext.setLogLevel("ERROR")
     cache = None if a.no_cache else a.cache
-    size = images.image_size(a.image_height, a.image_width)
+    size = tuple(a.image_size) if a.image_size else images.image_size(a.image_height, a.image_width)
     if a.part == "predict":
         found = pipelines.loaded_pipeline(spark, a.store, a.name)
         out = found.images(spark, a.dataset, max_images=a.max_images, max_per_class=a.max_images_per_person, seed=a.seed, cache=cache).select("path", "name", "predicted_name")
         return shown(out, a)
-    rows = images.read_images(spark, a.dataset, size, a.max_images, a.max_images_per_person, a.seed, cache=cache).persist()
+    rows = images.read_images(spark, a.dataset, size, a.max_images, a.max_images_per_person, a.seed, how="minmax" if a.part == "network" else "zscore", cache=cache).persist()
     if not a.quiet:
         print(f"{rows.count()} images")
     classes = rows.select("label").distinct().count() if a.part == "a" else int(rows.selectExpr("max(label)").first()[0]) + 1
@@ -71,6 +82,10 @@ def main(argv: list[str] | None = None) -> None:
         out = parts.nested_selection(rows, classes, a.models, a.outer_folds, a.inner_folds, a.seed, **grids).summary
     elif a.part == "submit":
         out = parts.submitted(rows, classes, families.family_names([a.family])[0], setting_of(a.setting))
+    elif a.part == "network" and a.dry_run:
+        out = parts.split_report(sampling.three_way_split(rows, a.val_ratio, a.test_ratio, seed=a.seed))
+    elif a.part == "network":
+        out = parts.network(rows, classes, a.val_ratio, a.test_ratio, not a.disable_augmentation, a.seed, epochs=a.epochs, batch=a.batch_size, rate=a.learning_rate, decay=a.weight_decay, patience=a.patience).report()
     elif a.part == "fit":
         found = pipelines.stored_pipeline(rows, classes, families.family_names([a.family])[0], setting_of(a.setting), a.store, a.name, size)
         out = spark.createDataFrame([(a.name, found.version, found.fresh)], "name string, version int, fitted boolean")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import families, linalg, metrics, sampling, selection
+from ..operators import convolution, families, linalg, metrics, sampling, selection
+from ..sources.images import varied
 from ..sources.sinks import submission
 
 
@@ -86,3 +87,38 @@ def variance_report(rows: DataFrame, components: int = 400, target: float = 0.95
         reached = i + 1 if reached is None and run >= target else reached
         out.append((i + 1, v, v / total, run))
     return rows.sparkSession.createDataFrame(out, "component int, explained_variance double, ratio double, cumulative double").withColumn("n_target", F.lit(reached or 1))
+
+
+#: Parts of validation and test rows of the network's split.
+VALIDATION, TEST = 0.1, 0.2
+
+
+def split_report(split: DataFrame) -> DataFrame:
+    """Images and classes of each part of a split."""
+    return split.groupBy("split").agg(F.count("*").alias("images"), F.count_distinct("label").alias("classes"))
+
+
+@dataclass(frozen=True)
+class Trained:
+    """A network, its split, and its loss and accuracy on the test rows."""
+
+    network: convolution.ConvNet
+    split: DataFrame
+    test_loss: float
+    test_accuracy: float
+
+    def report(self) -> DataFrame:
+        """The history of training, with the epoch that was chosen and what it does on the test rows."""
+        return self.network.history.withColumns({"chosen": F.col("epoch") == self.network.epoch, "test_loss": F.lit(self.test_loss), "test_accuracy": F.lit(self.test_accuracy)})
+
+
+def network(rows: DataFrame, classes: int, validation: float = VALIDATION, test: float = TEST, augment: bool = True, seed: int = 42, **how) -> Trained:
+    """A convolutional network on a stratified three-way split of images of one shape in [0, 1]; augment: varied copies in training."""
+    split = sampling.three_way_split(rows, validation, test, seed=seed).persist()
+    shapes = rows.select("height", "width").distinct().limit(2).collect()
+    if len(shapes) != 1:
+        raise ValueError("the images of a network have one shape; give a size")
+    own = {name: split.where(F.col("split") == name) for name in ("train", "val", "test")}
+    net = convolution.fit_convnet(own["train"], own["val"], classes, tuple(shapes[0]), vary=varied if augment else None, seed=seed, **how)
+    loss, accuracy = convolution.evaluated(own["test"], replace(net, history=None), "features", "label")
+    return Trained(net, split, loss, accuracy)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import classifiers, clustering, linalg, metrics, neighbors, sampling, selection, svm
+from ..operators import classifiers, clustering, convolution, linalg, metrics, neighbors, sampling, selection, svm
 from ..sources import sinks
 
 SEED, RATIO, OUTER, INNER = 42, 0.2, 5, 3
@@ -379,6 +379,14 @@ def perceptron_predict(spark, d):
     return out.select("row_id", "label", "predicted", "confidence", F.when(F.col("label") == F.col("predicted"), "OK").otherwise("MISS").alias("match"))
 
 
+def convnet_predict(spark, d):
+    """The vectors as images of 8 x 8; the epoch is chosen by a part of the training rows."""
+    train, test = _holdout(spark, d)
+    split = sampling.stratified_holdout(train, RATIO, seed=SEED + 1)
+    net = convolution.fit_convnet(split.where("not is_holdout"), split.where("is_holdout"), CLASSES, (8, 8), widths=(8,), epochs=3, batch=256)
+    return net.transform(test).select("row_id", "label", "predicted", "confidence")
+
+
 def _settings() -> dict:
     """The whole grids of all four families; of the default numbers of components those that the vectors have."""
     return selection.grid(["linear_least_squares", "nearest_class_mean", "svm", "knn"], DIMS)
@@ -413,6 +421,6 @@ QUERIES = {
         zscore_vector, minmax_vector, symmetric_scale, flat_resize, unflatten_rows, bar_crop, mean_vector, column_variance_total, sq_norms, global_mean_std, standardised_vector,
         gram_matrix, covariance_matrix, ls_cross_term, variance_curve, class_centroids, nearest_mean_predict, nearest_mean_confusion, nearest_mean_accuracy, match_report, label_agreement,
         knn_neighbors, knn_predict, knn_vote_share, knn_k_sweep, nested_knn_scores, hyperparam_grid, best_setting, fold_score_summary, best_family, kmeans_fixed_iters, cluster_purity,
-        one_hot, ovr_targets, bias_append, component_prefix, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, svm_optimality, perceptron_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
+        one_hot, ovr_targets, bias_append, component_prefix, softmax_scores, pca_project, pca_explained_variance, ls_predict, ls_normal_equations, pca_decorrelated, pca_total_variance, svm_predict, svm_optimality, perceptron_predict, convnet_predict, holdout_tuning, bias_variance_curve, nested_cv_report, submission,
     )
 }

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from eigenspark.operators import classifiers, clustering, families, linalg, metrics, models, neighbors, sampling, selection, svm
+from eigenspark.operators import classifiers, clustering, convolution, families, linalg, metrics, models, neighbors, sampling, selection, svm
 from eigenspark.plans import parts
 
 
@@ -528,3 +528,91 @@ def test_grouped_neighbours(blobs):
     assert sorted((r.query_id, r["rank"], r.part, r.neighbor_id) for r in far.collect()) == sorted((r.query_id, r["rank"], 50 * r.part, r.neighbor_id) for r in near)
     got = {(r.query_id, r["rank"]): (r.part, r.neighbor_id) for r in near}
     assert got == {(i, k + 1): (i % 3, int(np.lexsort((np.arange(120), d[i]))[k])) for i in range(120) for k in (0, 1)}
+
+
+def test_gradients_of_the_network():
+    """Against differences, with odd sizes and equal pixels left out by chance."""
+    rng = np.random.default_rng(40)
+    params = convolution.initial(11, 9, 3, (3, 4), 2, 1)
+    params = [p + rng.normal(size=p.shape) * 0.05 for p in params]
+    x, y = rng.normal(size=(5, 1, 11, 9)), rng.integers(0, 3, 5)
+
+    def loss():
+        return convolution.losses(convolution.forward(params, x, 2)[0], y)[0].sum()
+
+    scores, kept = convolution.forward(params, x, 2)
+    found = convolution.backward(params, kept, convolution.losses(scores, y)[1])
+    for p, g in zip(params, found, strict=True):
+        assert p.shape == g.shape
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            down = loss()
+            p[at] = old
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def plain_adamw(p, gradients, rate, decay, clip):
+    m = v = np.zeros_like(p)
+    for t, g in enumerate(gradients, 1):
+        g = g * min(1, clip / (np.sqrt((g**2).sum()) + 1e-6))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        p = p - rate * decay * p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return p
+
+
+def test_steps_of_the_optimiser():
+    rng = np.random.default_rng(41)
+    p, gradients = rng.normal(size=7), [rng.normal(size=7) * s for s in (0.1, 5, 1)]
+    steps = convolution.Steps([p.copy()], [np.zeros(7)], [np.zeros(7)])
+    for g in gradients:
+        steps.take([g], 0.01, 0.1, 2.0)
+    assert np.allclose(steps.params[0], plain_adamw(p, gradients, 0.01, 0.1, 2.0))
+
+
+@pytest.fixture(scope="module")
+def patterns(spark):
+    """Images with a bright bar, square or corner at a random place: what a linear model of pixels can't tell well."""
+    rng = np.random.default_rng(42)
+    x, y = rng.normal(size=(420, 12, 12)) * 0.3, rng.integers(0, 3, 420)
+    for i, c in enumerate(y):
+        a, b = rng.integers(1, 8, 2)
+        place = {0: np.s_[a : a + 4, b], 1: np.s_[a, b : b + 4], 2: np.s_[a : a + 2, b : b + 2]}[c]
+        x[i][place] += 2
+    df = frame(spark, x.reshape(420, -1), y)
+    return df.where("row_id < 300").persist(), df.where("row_id >= 300").persist()
+
+
+def test_network_learns_shapes(patterns):
+    train, test = patterns
+    net = convolution.fit_convnet(train, test, 3, (12, 12), widths=(8, 16), epochs=15, batch=32, rate=5e-3)
+    found = metrics.accuracy(net.transform(test)).first().accuracy
+    history = net.history.collect()
+    line = metrics.accuracy(classifiers.fit_least_squares(train, 3).transform(test)).first().accuracy
+    assert found > 0.85 > line and found == pytest.approx(max(h.accuracy for h in history)) and history[0].loss > min(h.loss for h in history)
+    assert metrics.best_epoch(net.history, convolution.PATIENCE).first().epoch == net.epoch
+    assert net.transform(test).where("confidence < 0.33 or confidence > 1").count() == 0
+
+
+def test_network_training_does_not_depend_on_the_layout(patterns, monkeypatch):
+    """Barrier tasks, one task, and other orders and partitions give the same weights."""
+    monkeypatch.setattr(svm, "PART_ROWS", 80)
+    train, test = patterns
+    how = {"widths": (4,), "epochs": 2, "batch": 50, "rate": 1e-2, "vary": lambda x, rng: x + rng.normal(size=x.shape) * 0.01}
+    one = convolution.fit_convnet(train.coalesce(1), test, 3, (12, 12), tasks=1, **how)
+    for df, tasks in ((train.orderBy(F.desc("row_id")).repartition(7), 3), (train, None)):
+        other = convolution.fit_convnet(df, test, 3, (12, 12), tasks=tasks, **how)
+        assert all((a == b).all() for a, b in zip(one.params, other.params, strict=True))
+    with pytest.raises(ValueError):
+        convolution.fit_convnet(train.limit(0), test, 3, (12, 12))
+
+
+def test_rate_falls_and_training_stops(patterns):
+    """With a rate that leads nowhere, the rate falls on a plateau and training ends early."""
+    train, test = patterns
+    net = convolution.fit_convnet(train, test.where("row_id < 330"), 3, (12, 12), widths=(2,), epochs=12, batch=300, rate=1e-30, patience=5)
+    history = net.history.orderBy("epoch").collect()
+    assert len(history) < 12 and history[-1].rate < history[0].rate and net.epoch <= len(history) - 5

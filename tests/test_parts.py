@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eigenspark import cli
 from eigenspark.plans import parts, pipelines
@@ -128,3 +129,18 @@ def test_pipelines_are_stored(spark, tmp_path, family, setting):
     assert changed.fresh and changed.version == 3 and pipelines.loaded_pipeline(spark, store, "p").family == "linear_least_squares"
     with pytest.raises(FileNotFoundError):
         pipelines.loaded_pipeline(spark, store, "p", 9)
+
+
+def test_network_of_images(spark, tmp_path, capsys):
+    path = folder_of_images(tmp_path / "faces", 6)
+    rows = images.read_images(spark, path, how="minmax").persist()
+    got = parts.network(rows, 3, 0.2, 0.2, epochs=2, batch=8, rate=1e-2, widths=(4,), grid=2)
+    report = got.report().collect()
+    assert len(report) == 2 and sum(r.chosen for r in report) == 1 and 0 <= got.test_accuracy <= 1
+    assert {r.split: (r.images, r.classes) for r in parts.split_report(got.split).collect()} == {"train": (12, 3), "val": (6, 3), "test": (6, 3)}
+    cli.main(["network", path, "--no-cache", "--quiet", "--dry-run", "--val-ratio", "0.2"])
+    assert "images" in capsys.readouterr().out
+    cli.main(["network", path, "--no-cache", "--quiet", "--epochs", "1", "--batch-size", "8", "--image-size", "6", "6", "--disable-augmentation"])
+    assert "test_accuracy" in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        parts.network(rows.withColumn("height", F.col("row_id") % 2), 3)
