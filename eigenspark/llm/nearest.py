@@ -166,6 +166,16 @@ def search(query: np.ndarray, own: int, q_far: np.ndarray, both: float, ids: np.
     return best_ids, best, looked
 
 
+#: Pairs of a cell and a block of queries up to which they are broadcast.
+SENT = 1_000_000
+
+
+def wanted_only(candidates: DataFrame, visits: DataFrame, most: int) -> DataFrame:
+    """candidates (with their cell c) once for each block of queries that visits it; there are at most `most` such pairs."""
+    wanted = visits.distinct()
+    return candidates.join(F.broadcast(wanted) if most <= SENT else wanted, "c")
+
+
 def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell: int, queries: int) -> DataFrame | None:
     """query_id, q (the query's vector), vec_id, score and looked: the best of each visited cell; looked is the number of
     candidates evaluated there, on one row of each query and cell.  None without queries."""
@@ -203,8 +213,8 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell
     down = max(1, -(-n_queries // queries))
     cells = F.create_map(*[F.lit(int(v)) for h in np.flatnonzero(parts) for v in (h, base[h])])
     sizes = F.create_map(*[F.lit(int(v)) for h in np.flatnonzero(parts) for v in (h, parts[h])])
-    own = (cells[F.col("home")] + F.pmod(F.xxhash64(F.monotonically_increasing_id()), sizes[F.col("home")])) * down
-    candidates = table.select("vec_id", "v", "far", own.alias("g")).select("vec_id", "v", "far", F.explode(F.sequence("g", F.col("g") + down - 1)).alias("cell"))
+    own = cells[F.col("home")] + F.pmod(F.xxhash64(F.monotonically_increasing_id()), sizes[F.col("home")])
+    candidates = table.select("vec_id", "v", "far", own.cast("long").alias("c"))
 
     def visits(later: bool):
         """Cells that a query has to visit: first those of the pivots with the best bounds that hold over k candidates together,
@@ -250,8 +260,9 @@ def _found(vectors: DataFrame, every: int, k: int, scale: int, pivots: int, cell
         return pd.DataFrame({n: pd.array(list(c), t) if t == "Int64" else pd.Series(c, dtype=t) for n, c, t in zip(("query_id", "q", "vec_id", "score", "looked"), columns, kinds, strict=True)})
 
     def searched(asked: DataFrame, later: bool) -> DataFrame:
-        sent = asked.mapInArrow(visits(later), "vec_id long, v binary, square double, floor double, h long, q_far binary, c long").withColumn("cell", F.col("c") * down + F.col("h"))
-        return candidates.groupBy("cell").cogroup(sent.groupBy("cell")).applyInPandas(within, "query_id long, q binary, vec_id long, score long, looked long")
+        sent = asked.mapInArrow(visits(later), "vec_id long, v binary, square double, floor double, h long, q_far binary, c long")
+        there = wanted_only(candidates, sent.select("c", F.col("h").alias("block")), int(parts.sum()) * down)
+        return there.groupBy("c", "block").cogroup(sent.groupBy("c", "h")).applyInPandas(within, "query_id long, q binary, vec_id long, score long, looked long")
 
     asked = table.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "square", F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(down)).alias("h"))
     first = stored(searched(asked.withColumn("floor", F.lit(None).cast("double")), False))

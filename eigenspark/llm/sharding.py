@@ -94,6 +94,18 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Equal rows that are numbered by one task at a time.
+COPIES = 10_000
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with a number that tells equal ones apart, whatever the layout of files."""
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
+    some = same.withColumn("_from", F.explode(F.expr(f"sequence(0L, times - 1, {COPIES}L)")))
+    some = some.repartition("doc_id", "text_hash", "_from")  # many copies are written by many tasks
+    return some.withColumn("copy", F.explode(F.expr(f"sequence(_from, least(_from + {COPIES}, times) - 1)"))).drop("times", "_from")
+
+
 def shard_rows(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str | None = None) -> tuple[DataFrame, SlotMap, list[int]]:
     """Rows with their shard and place in it, the map, and the bytes of each virtual slot.
 
@@ -102,7 +114,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str
     than shards.  The map deals out slots by their bytes, so sizes of shards are near equal (law `bytes`).  It is
     stored under `store` (a new folder in the shared checkpoint folder unless given) and read from there; where versions
     are stored already, the last one is edited for the bytes at hand and stored as the next.  slot is the place in the shard,
-    from 0, by virtual slot and doc_id; slots of many rows are numbered in parts, dealt by id.  Null and
+    from 0, by virtual slot and doc_id; slots of many rows are numbered in parts, dealt by id, text
+    and a number for repeated rows, so that no place depends on the layout of files.  Null and
     empty texts count 1 byte, texts of any length their UTF-8 bytes; null ids and repeated rows are rows like others; an
     empty table gives an empty result; other columns don't matter.
     """
@@ -125,12 +138,13 @@ def shard_rows(docs: DataFrame, shards: int = 16, slots: int = SLOTS, store: str
     chosen = SlotMap.load(spark, store)
     most = max(ROWS, sum(counts) // (16 * partitions(docs)))
     split = {v: -(-n // most) for v, n in enumerate(counts) if n > most}  # parts of slots with many rows
-    part = F.lit(0)
+    placed = rows.withColumn("part", F.lit(0))
     if split:
-        parts = F.coalesce(F.create_map(*[F.lit(x) for v, n in split.items() for x in (v, n)])[F.col("vslot")], F.lit(1))
-        part = F.pmod(F.xxhash64("doc_id", F.pmod(F.monotonically_increasing_id(), F.lit(1024))), parts).cast("int")
-    rows = rows.withColumn("part", part)
-    rows = checkpointed(rows) if split else rows
+        parts = F.create_map(*[F.lit(x) for v, n in split.items() for x in (v, n)])[F.col("vslot")]
+        many = numbered(rows.where(F.col("vslot").isin(list(split))))
+        many = many.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "copy"), parts).cast("int")).drop("copy")
+        placed = checkpointed(placed.where(~F.col("vslot").isin(list(split))).unionByName(many))
+    rows = placed
     pieces = {(v, 0): n for v, n in enumerate(counts) if v not in split}
     if split:
         pieces |= {(r.vslot, r.part): r.n for r in rows.where(F.col("vslot").isin(list(split))).groupBy("vslot", "part").agg(F.count("*").alias("n")).collect()}  # at most 17 * partitions more than slots

@@ -351,6 +351,16 @@ def test_sharding(spark, make_docs, random_words, monkeypatch, rows):
     assert sharding.shard_rows(make_docs([]))[0].count() == 0
 
 
+def test_places_do_not_depend_on_the_layout(spark, make_docs, random_words, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS", 40)
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rng = np.random.default_rng(28)
+    rows = [(i, random_words(rng, int(n)), "en") for i, n in enumerate(rng.integers(1, 30, 800))] + [(5, "hot", "en")] * 300 + [(None, "hot", "en")] * 60 + [(i, "hot", "en") for i in range(200)]
+    docs = make_docs(rows)
+    one, two = (sorted(map(str, sharding.shard_rows(df, slots=64)[0].collect())) for df in (docs.repartition(6), docs.orderBy(F.desc("doc_id")).coalesce(1)))
+    assert one == two and len(one) == len(rows)
+
+
 def test_shard_maps_are_stored_by_version(spark, make_docs, random_words, tmp_path):
     one = sharding.even_map([5, 1, 1, 3], 2)
     two = sharding.rebalanced(one, [5, 1, 1, 30])
@@ -535,6 +545,24 @@ def test_search_leaves_cells_out(spark):
     assert looked.queries == 60 and looked.evaluated < 0.1 * 60 * 3000
 
 
+def test_search_sends_candidates_where_they_are_wanted(spark, monkeypatch):
+    """The rows that travel follow the visits: a cell that no query visits isn't sent, and others only to the blocks of their queries."""
+    rng = np.random.default_rng(29)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) / 50).tolist()) for i in range(4000)]
+    df, travelled, whole = vector_table(spark, rows), [], nearest.wanted_only
+
+    def counted(candidates, *how):
+        out = whole(candidates, *how)
+        travelled.append((out.count(), candidates.count()))
+        return out
+
+    monkeypatch.setattr(nearest, "wanted_only", counted)
+    assert sorted(map(tuple, nearest.largest_products(df, cell=100, queries=20).collect())) == plain_search(rows)
+    down = 4000 // 50 // 20
+    assert len(travelled) == 2 and all(sent < 0.6 * down * own for sent, own in travelled)
+
+
 def test_search_stops_early():
     rng = np.random.default_rng(13)
     centres = rng.normal(size=(20, 16)) * 300
