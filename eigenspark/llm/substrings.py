@@ -3,9 +3,10 @@
 Suffixes are sampled by content: a window of 13 words belongs to the run of words in it with the lowest hash (its prefix),
 which equal windows share; windows in a row with the same prefix travel together as one stretch of words.  Prefixes split
 the stretches into groups of a bounded size.  A census of all texts finds the prefixes with more bytes than a group may
-have; these are lengthened, and counted again, up to the whole window.  In a group, prefix doubling over its words gives
-the order of all suffixes by their first 13 words: suffixes of one rank lie under one internal node of a depth of 13 words
-or more.  The smallest document of a node keeps the words, and windows that follow each other join to maximal repeats.
+have; these are lengthened, and counted again, up to the whole window.  In a group, prefix doubling gives the suffix array of
+its stretches with common prefixes, which is the suffix tree: intervals whose suffixes share 13 words or more are its deep
+internal nodes.  The smallest document below such a node keeps the words, and windows that follow each other join to
+maximal repeats (`maximal_repeats`).
 Where even one window has more bytes than a group, its node is settled by a minimum alone.
 """
 
@@ -18,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_BLANK, Words, mix, partitions, run_hashes, slices, widened
@@ -208,14 +209,48 @@ def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.n
     return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start, end, strict=True)], np.int64)
 
 
-def suffix_ranks(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes of a sequence by their first `depth` elements, by prefix doubling; equal ranks: equal starts."""
-    rank, have = np.unique(ids, return_inverse=True)[1], 1
-    while have < depth:
-        more = min(have, depth - have)
-        pair = (rank[: len(rank) - more].astype(np.uint64) << np.uint64(32)) | rank[more:].astype(np.uint64)
-        rank, have = np.unique(pair, return_inverse=True)[1], have + more
-    return rank
+def suffix_array(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a sequence in order, and the common prefix of each with the one before it (0 for the first).
+
+    Suffixes are told apart by up to `length` elements at least, by prefix doubling; the ranks of every doubling then give the
+    common prefixes from the longest to the shortest jump.
+    """
+    levels, have = [np.unique(ids, return_inverse=True)[1]], 1
+    while have < length:
+        rank = levels[-1]
+        after = np.zeros(len(rank), np.int64)
+        after[: max(0, len(rank) - have)] = rank[have:] + 1
+        levels.append(np.unique((rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64), return_inverse=True)[1])
+        have *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(len(order), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        one, two = order[1:] + common[1:], order[:-1] + common[1:]
+        inside = np.flatnonzero(np.maximum(one, two) < len(ids))
+        same = inside[levels[k][one[inside]] == levels[k][two[inside]]]
+        common[1:][same] += 1 << k
+    return order, common
+
+
+def internal_nodes(common: np.ndarray, depth: int) -> list[tuple[int, int, int]]:
+    """(depth, first, last) of the internal nodes of at least so many elements: intervals of the suffix array whose suffixes share
+    exactly that many, by a stack over the common prefixes."""
+    out, open_ = [], []  # of (depth, first)
+    for at, c in enumerate([*common.tolist(), 0]):
+        first = at - 1
+        while open_ and open_[-1][0] > c:
+            d, first = open_.pop()
+            if d >= depth:
+                out.append((d, first, at - 1))
+        if c and (not open_ or open_[-1][0] < c):
+            open_.append((c, first))
+    return out
+
+
+def _ended(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """ids with an element of its own after each stretch, so that no suffix is alike beyond its stretch."""
+    ends = np.cumsum(words)
+    return np.insert(ids, ends, ids.max(initial=0) + 1 + np.arange(len(words)))
 
 
 def _tree(packets: list[tuple[int, bytes]], window: int):
@@ -267,12 +302,14 @@ def _tree(packets: list[tuple[int, bytes]], window: int):
     if not keep.any():
         return None
     own = np.flatnonzero(np.repeat(keep, words))
-    rank = suffix_ranks(exact_ids(data, start[own], end[own], word[own]), window)
     ids, sums, place, count, words = (x[keep] for x in (ids, sums, place, count, words))
+    order, common = suffix_array(_ended(exact_ids(data, start[own], end[own], word[own]), words), window)
+    node = np.empty(len(order), np.int64)  # of each suffix: the highest internal node of at least a window's words above it
+    node[order] = np.cumsum(common < window)
     row = np.repeat(np.arange(len(count)), count)
     within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    node, doc = rank[np.repeat(np.cumsum(words) - words, count) + within], ids[row]
-    least = np.full(len(rank), np.iinfo(np.int64).max)
+    node, doc = node[np.repeat(np.cumsum(words + 1) - words - 1, count) + within], ids[row]
+    least = np.full(node.max(initial=0) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, node, doc)
     return _runs(doc, (sums * _PLACE + place)[row] + within, row, doc > least[node])
 
@@ -339,6 +376,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] | N
     return found.unionByName(_widest(docs, window, prefixes, long)) if len(long) == len(prefixes) else found
 
 
+def maximal_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, first_word and n_words of the longest stretches of words of each document all of whose windows a document with a
+    smaller id holds too; of rows with one id each counts by itself."""
+    found = repeats(docs, window).select("doc_id", F.expr(f"place div {_PLACE}").alias("_sum"), F.expr(f"place % {_PLACE}").alias("a"), (F.expr(f"place % {_PLACE}") + F.col("n")).alias("b"))
+    order = Window.partitionBy("doc_id", "_sum").orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))  # runs that touch are one stretch of windows
+    joined = found.withColumn("_g", F.sum(F.when(F.coalesce(F.col("a") > reach, F.lit(True)), 1).otherwise(0)).over(order))
+    out = joined.groupBy("doc_id", "_sum", "_g").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return out.select("doc_id", F.col("a").cast("long").alias("first_word"), (F.col("b") - F.col("a") + window - 1).cast("long").alias("n_words"))
+
+
 def squeezed(docs: DataFrame) -> DataFrame:
     """docs with `packed`, the compressed UTF-8 text, in place of text, and its crc32: texts travel compressed to the join."""
     names = [c for c in docs.columns if c != "text"]

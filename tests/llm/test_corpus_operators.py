@@ -200,6 +200,54 @@ def test_substrings_match_brute_force(spark, make_docs, random_words, monkeypatc
     assert sorted((r.doc_id, len((r.text or "").split())) for r in cut.collect() if r.doc_id != 3) == sorted((i, n - g) for i, n, g, _ in want if i != 3)
 
 
+def plain_nodes(ids, depth):
+    """Depth and places of every maximal set of two or more suffixes that share at least `depth` elements, from all pairs."""
+    def common(i, j):
+        n = 0
+        while max(i, j) + n < len(ids) and ids[i + n] == ids[j + n]:
+            n += 1
+        return n
+
+    out = set()
+    for i in range(len(ids)):
+        for j in range(i):
+            d = common(i, j)
+            if d >= depth:
+                out.add((d, tuple(k for k in range(len(ids)) if common(i, k) >= d)))
+    return out
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=30), st.integers(1, 4))
+def test_suffix_array_and_its_nodes(ids, depth):
+    order, common = substrings.suffix_array(np.array(ids), 40)
+    assert [ids[i:] for i in order] == sorted(ids[i:] for i in range(len(ids)))
+    found = {(d, tuple(sorted(order[a : b + 1].tolist()))) for d, a, b in substrings.internal_nodes(common, depth)}
+    assert found == plain_nodes(ids, depth)
+    # told apart by a few elements only, common prefixes up to that are exact
+    few, short = substrings.suffix_array(np.array(ids), depth)
+    cut = [next((n for n in range(depth) if max(i, j) + n >= len(ids) or ids[i + n] != ids[j + n]), depth) for i, j in zip(few[1:], few, strict=False)]
+    assert [min(c, depth) for c in short[1:].tolist()] == cut
+
+
+def test_maximal_repeats_match_brute_force(spark, make_docs, random_words, monkeypatch):
+    rng = np.random.default_rng(30)
+    shared = [random_words(rng, int(n)) for n in (12, 13, 20, 60)]
+    rows = [(i, " ".join([random_words(rng, int(rng.integers(0, 20))), str(rng.choice(shared)), random_words(rng, 3), str(rng.choice(shared))]), "en") for i in range(60)] + [(60, "a b " * 60, "en"), (61, "a b " * 40, "en")]
+    first, want = {}, []
+    for i, t, _ in rows:
+        w = t.split()
+        again = [first.setdefault(tuple(w[k : k + 13]), i) < i for k in range(len(w) - 12)]
+        k = 0
+        while k < len(again):
+            n = next((j for j in range(k, len(again)) if not again[j]), len(again)) - k
+            want += [(i, k, n + 12)] if n else []
+            k += n + 1
+    for limit in (substrings.GROUP_BYTES, 300):
+        monkeypatch.setattr(substrings, "GROUP_BYTES", limit)
+        assert sorted(map(tuple, substrings.maximal_repeats(make_docs(rows)).collect())) == sorted(want) and max(n for _, _, n in want) >= 60
+
+
 def test_substring_sift_across_batches(make_docs, monkeypatch, spark):
     docs = make_docs(["p " + " ".join(f"k{j}" for j in range(30))] * 40)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
