@@ -152,13 +152,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Powers that a worker keeps for the next call, at most: 32 MB for each base.
+_KEPT_POWERS = 1 << 22
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    if n > 1:
-        out[1:] = base & 0xFFFFFFFFFFFFFFFF
+    """base to the power of 0 to n - 1, modulo 2**64."""
+    base &= 0xFFFFFFFFFFFFFFFF
+    out = _kept.get(base)
+    if out is None or len(out) < n:
+        size = n if n > _KEPT_POWERS else min(_KEPT_POWERS, 1 << max(12, (n - 1).bit_length()))
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
         np.multiply.accumulate(out, out=out)
-    return out
+        if size <= _KEPT_POWERS:
+            _kept[base] = out
+    return out[:n]
 
 
 def _byte_values(seed: int) -> np.ndarray:

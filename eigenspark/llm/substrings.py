@@ -194,9 +194,20 @@ def _runs(doc: np.ndarray, place: np.ndarray, row: np.ndarray, flag: np.ndarray)
     return pa.record_batch([pa.array(doc[at[first]]), pa.array(place[at[first]]), pa.array(n, pa.int32())], ["doc_id", "place", "n"])
 
 
+def dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks from 0 of equal keys, an order of the keys, and a place of each rank."""
+    order = np.argsort(key)
+    rising = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = rising[1:] != rising[:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order, order[new]
+
+
 def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """A number for each word, equal for equal words only: words of one hash are compared byte by byte."""
-    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    ids, _, first = dense(hashes)
     size, model = end - start, first[ids]
     same = np.array_equal(size, size[model])
     for a in range(0, len(start) if same else 0, 100_000):
@@ -209,26 +220,35 @@ def exact_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.n
     return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(start, end, strict=True)], np.int64)
 
 
-def suffix_array(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(ids: np.ndarray, length: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of a sequence in order, and the common prefix of each with the one before it (0 for the first).
 
-    Suffixes are told apart by up to `length` elements at least, by prefix doubling; the ranks of every doubling then give the
-    common prefixes from the longest to the shortest jump.
+    ids: numbers from 0.  Suffixes are told apart by up to `length` elements at least, by joining the ranks of two or three
+    stretches in a row to those of longer ones; the ranks of every length then give the common prefixes, the longest first.
+    Common prefixes below `least` needn't be exact.
     """
-    levels, have = [np.unique(ids, return_inverse=True)[1]], 1
-    while have < length:
-        rank = levels[-1]
-        after = np.zeros(len(rank), np.int64)
-        after[: max(0, len(rank) - have)] = rank[have:] + 1
-        levels.append(np.unique((rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64), return_inverse=True)[1])
-        have *= 2
-    order = np.argsort(levels[-1], kind="stable")
+    levels, have, order = [ids.astype(np.int64)], [1], np.argsort(ids) if length <= 1 else None
+    while have[-1] < length:
+        rank = levels[-1] + 1
+        bits = max(1, int(rank.max(initial=0)).bit_length())
+        times = 3 if 3 * bits <= 64 else 2
+        key = rank.astype(np.uint64)
+        for k in range(1, times):
+            key <<= np.uint64(bits)
+            after = rank[k * have[-1] :]  # 0 past the end
+            key[: len(after)] |= after.astype(np.uint64)
+        rank, order, _ = dense(key)
+        levels.append(rank)
+        have.append(times * have[-1])
     common = np.zeros(len(order), np.int64)
+    k = max((k for k, h in enumerate(have) if h <= least), default=0)
+    near = 1 + np.flatnonzero(levels[k][order[1:]] == levels[k][order[:-1]]) if least else np.arange(1, len(order))
+    one, two, shared = order[near], order[near - 1], np.zeros(len(near), np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        one, two = order[1:] + common[1:], order[:-1] + common[1:]
-        inside = np.flatnonzero(np.maximum(one, two) < len(ids))
-        same = inside[levels[k][one[inside]] == levels[k][two[inside]]]
-        common[1:][same] += 1 << k
+        for _ in range(1 if k == len(levels) - 1 else have[k + 1] // have[k] - 1):
+            inside = np.flatnonzero(np.maximum(one, two) + shared < len(ids))
+            shared[inside[levels[k][one[inside] + shared[inside]] == levels[k][two[inside] + shared[inside]]]] += have[k]
+    common[near] = shared
     return order, common
 
 
@@ -293,7 +313,7 @@ def _tree(packets: list[tuple[int, bytes]], window: int):
     words = count + window - 1
     at = np.repeat(np.cumsum(words) - words, count) + within
     win = run_hashes(word, window)[at]
-    order = np.argsort(win, kind="stable")
+    order = np.argsort(win)
     same = win[order[1:]] == win[order[:-1]]
     twice = np.zeros(len(win), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
@@ -303,7 +323,7 @@ def _tree(packets: list[tuple[int, bytes]], window: int):
         return None
     own = np.flatnonzero(np.repeat(keep, words))
     ids, sums, place, count, words = (x[keep] for x in (ids, sums, place, count, words))
-    order, common = suffix_array(_ended(exact_ids(data, start[own], end[own], word[own]), words), window)
+    order, common = suffix_array(_ended(exact_ids(data, start[own], end[own], word[own]), words), window, window)
     node = np.empty(len(order), np.int64)  # of each suffix: the highest internal node of at least a window's words above it
     node[order] = np.cumsum(common < window)
     row = np.repeat(np.arange(len(count)), count)
