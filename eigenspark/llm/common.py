@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -152,21 +153,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Powers that a worker keeps for the next call, at most: 32 MB for each base.
-_KEPT_POWERS = 1 << 22
-_kept: dict[int, np.ndarray] = {}
+#: Powers that a task keeps from slice to slice inside `kept_powers`, at most: 16 MB for each base.
+_KEPT_POWERS = 1 << 21
+_kept: dict[int, np.ndarray] | None = None
+
+
+@contextmanager
+def kept_powers():
+    """Inside, powers are computed once for all slices of a task; afterwards an idle worker holds none of them."""
+    global _kept
+    _kept = {}
+    try:
+        yield
+    finally:
+        _kept = None
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     """base to the power of 0 to n - 1, modulo 2**64."""
     base &= 0xFFFFFFFFFFFFFFFF
-    out = _kept.get(base)
+    out = None if _kept is None else _kept.get(base)
     if out is None or len(out) < n:
-        size = n if n > _KEPT_POWERS else min(_KEPT_POWERS, 1 << max(12, (n - 1).bit_length()))
+        size = n if _kept is None or n > _KEPT_POWERS else 1 << max(12, (n - 1).bit_length())
         out = np.full(size, base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-        if size <= _KEPT_POWERS:
+        if _kept is not None and size <= _KEPT_POWERS:
             _kept[base] = out
     return out[:n]
 

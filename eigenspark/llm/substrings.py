@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_BLANK, Words, mix, partitions, run_hashes, slices, widened
+from .common import NOT_BLANK, Words, kept_powers, mix, partitions, run_hashes, slices, widened
 
 WINDOW = 13
 #: Words of a prefix; the next length where the group of a prefix would be too large.
@@ -98,6 +98,16 @@ def _levels(texts: list[bytes], window: int, prefixes: tuple[int, ...], long: li
         yield Stretches(w, run_hashes(h, window)[start], doc[start], start, np.ones(len(start), np.int64))
 
 
+def _keeping(run):
+    """run with the powers of the word hash kept from slice to slice."""
+
+    def kept(batches):
+        with kept_powers():
+            yield from run(batches)
+
+    return kept
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
 
@@ -136,7 +146,7 @@ def _census(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list[
             have = np.flatnonzero(total)
             yield pa.record_batch([pa.array(have), pa.array(total[have])], ["prefix", "bytes"])
 
-    return _rows(docs).mapInArrow(run, "prefix long, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes"))
+    return _rows(docs).mapInArrow(_keeping(run), "prefix long, bytes long").groupBy("prefix").agg(F.sum("bytes").alias("bytes"))
 
 
 def long_prefixes(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] = PREFIXES) -> list[np.ndarray]:
@@ -181,7 +191,7 @@ def _packets(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list
                         out.append(squeeze(b"".join(v.tobytes() for v in head)))
                     yield pa.record_batch([pa.array(have), pa.array(np.diff(np.append(cut, len(order))).astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "n", "data"])
 
-    return _rows(docs).mapInArrow(run, _PACKETS)
+    return _rows(docs).mapInArrow(_keeping(run), _PACKETS)
 
 
 def _runs(doc: np.ndarray, place: np.ndarray, row: np.ndarray, flag: np.ndarray):
@@ -392,7 +402,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...] | N
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs), -(-4 * size // GROUP_BYTES))  # stretches have 3 to 4 times the bytes of the texts
     packets = _packets(docs, window, prefixes, long, buckets)
-    found = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_grouped(window), _RUNS)
+    found = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_keeping(_grouped(window)), _RUNS)
     return found.unionByName(_widest(docs, window, prefixes, long)) if len(long) == len(prefixes) else found
 
 
