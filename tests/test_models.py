@@ -281,7 +281,7 @@ def test_svms_do_not_depend_on_order_or_partitions(spark, monkeypatch, rows):
     x, y = rng.normal(size=(400, 5)), rng.integers(0, 3, 400)
     df = frame(spark, x, y)
     layouts = df.coalesce(1), df.orderBy(F.desc("row_id")).coalesce(1), df.repartition(8)
-    for fit in (lambda d: svm.fit_svm(d, 3, epochs=3), lambda d: svm.certified(d, 3, tolerance=1e-3).model):
+    for fit in (lambda d: svm.fit_svm(d, 3, epochs=3), lambda d: svm.certified(d, 3, rounds=3).model):
         one, *others = map(fit, layouts)
         assert all((one.weights == o.weights).all() and (one.bias == o.bias).all() for o in others) and np.abs(one.weights).max() > 0
 
