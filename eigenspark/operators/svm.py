@@ -113,13 +113,16 @@ def fit_svms(df: DataFrame, settings: list[dict], classes: int, bases: dict[int,
     for s in settings:
         descents.setdefault((s.get("n_components", 0), s["reg_strength"], s["learning_rate"]), len(descents))
     parts = packed_parts(df, features, label, row_id, seed, trains).persist()
-    width = (parts.select((F.length("x") / 8 / F.col("n")).cast("int")).first() or [0])[0]
+    shapes = parts.select("part", (F.length("x") / 8 / F.col("n")).cast("int").alias("width")).collect()  # two numbers for each part
+    width = max((r.width for r in shapes), default=0)
     kinds, most = list(descents), max(s["epochs"] for s in settings)
     size = lambda g, c: min(c or width, len(bases[g].components) if bases[g] is not None else width)
     state = {(g, d): np.zeros((2, classes, size(g, c) + 1)) for g in bases for d, (c, _, _) in enumerate(kinds)}
     out: dict[tuple[int, int], LinearModel] = {}
     try:
-        for epoch in range(most):
+        # one part has nothing to average with, so it goes on by itself up to the next number of epochs that a setting wants
+        stops = sorted({s["epochs"] for s in settings}) if len(shapes) <= 1 else range(1, most + 1)
+        for began, epoch in zip([0, *stops], stops, strict=False):
             sent = df.sparkSession.sparkContext.broadcast((state, bases))
 
             def run(batches):
@@ -128,19 +131,24 @@ def fit_svms(df: DataFrame, settings: list[dict], classes: int, bases: dict[int,
                     rows = []
                     for part, n, x, y, sets in zip(pdf.part, pdf.n, pdf.x, pdf.y, pdf.sets, strict=True):
                         x, y, places = _unpacked(n, x, y, sets)
-                        order = np.random.default_rng([seed, epoch, part]).permutation(n)
-                        turn = np.empty(n, np.int64)
-                        turn[order] = np.arange(n)
+                        turns = []
+                        for e in range(began, epoch):
+                            turn = np.empty(n, np.int64)
+                            turn[np.random.default_rng([seed, e, part]).permutation(n)] = np.arange(n)
+                            turns.append(turn)
                         flat = {}
                         for g, basis in basis_of.items():
                             if g not in places:
                                 continue
-                            pick = places[g][np.argsort(turn[places[g]])]
-                            z = x[pick] if basis is None else basis.project(x[pick])
-                            for d, (c, reg, rate) in enumerate(kinds):
-                                m = start[g, d].copy()
-                                descend(m[0], m[1], z[:, : m.shape[2] - 1], y[pick], reg, rate / (1 + DECAY * epoch))
-                                flat[g * len(kinds) + d] = np.append(len(pick) * m.ravel(), len(pick))[None]
+                            own = x[places[g]] if basis is None else basis.project(x[places[g]])
+                            weights = [start[g, d].copy() for d in range(len(kinds))]
+                            for e, turn in enumerate(turns, began):
+                                order = np.argsort(turn[places[g]])
+                                z, labels = own[order], y[places[g]][order]
+                                for m, (_, reg, rate) in zip(weights, kinds, strict=True):
+                                    descend(m[0], m[1], z[:, : m.shape[2] - 1], labels, reg, rate / (1 + DECAY * e))
+                            for d, m in enumerate(weights):
+                                flat[g * len(kinds) + d] = np.append(len(own) * m.ravel(), len(own))[None]
                         rows += pieces_of(part, flat)
                     yield pd.DataFrame(rows, columns=["k", "at", "width", "part", "data"])
 
@@ -149,7 +157,7 @@ def fit_svms(df: DataFrame, settings: list[dict], classes: int, bases: dict[int,
                 state[g, d] = (m[0, :-1] / m[0, -1]).reshape(state[g, d].shape)
             sent.unpersist()
             for i, s in enumerate(settings):
-                if s["epochs"] == epoch + 1:
+                if s["epochs"] == epoch:
                     d = descents[s.get("n_components", 0), s["reg_strength"], s["learning_rate"]]
                     for g in bases:
                         w = state[g, d][0]
