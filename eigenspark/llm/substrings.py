@@ -34,7 +34,7 @@ MOST = 100_000
 #: The first census counts bytes in so many slots; only slots over GROUP_BYTES are counted by prefix.
 SLOTS = 1 << 16
 #: Characters whose words are cut out at once.
-SLICE = 1_500_000
+SLICE = 1_000_000
 
 _PLACE = 1 << 31  # a place is crc32 of the text * 2**31 + the window's first word
 _PACKETS = "bucket int, n int, data binary"
@@ -312,7 +312,7 @@ def _tree(packets: list[tuple[int, bytes]], window: int):
             fields[k].append(parts[k].astype(np.int64))
         texts.append(raw[cuts[-1] :])
         held += len(texts[-1])
-        if held >= 1 << 20:
+        if held >= 900_000:
             n_bytes, held = tokenised(), 0
     if texts:
         n_bytes = tokenised()
