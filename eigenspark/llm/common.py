@@ -213,7 +213,10 @@ class Words:
         n = len(self.data)
         base = _SEEDS[which][1]
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[which][self.data] * _powers(base, max(n, 1))[:n], out=sums[1:])
+        value = _VALUES[which][self.data]
+        value *= _powers(base, max(n, 1))[:n]
+        np.cumsum(value, out=sums[1:])
+        del value
         back = _powers(pow(base, -1, 2**64), max(n, 1))
         length = (self.end - self.start).astype(np.uint64)
         return mix((sums[self.end] - sums[self.start]) * back[self.start] + length * np.uint64(0x632BE59BD9B4E019))

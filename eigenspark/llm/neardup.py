@@ -17,6 +17,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Texts and bytes of shingles of a bucket that one task compares; of larger buckets it compares two blocks of half as much.
 PART, PART_BYTES = 2048, 32 << 20
+#: Rows whose overlaps with all texts of a task are held at once; a multiple of 128.
+OVERLAPS = 512
 #: Tasks that the pairs of one text are spread over, at most.
 SALTS = 4096
 
@@ -230,17 +232,22 @@ def missing_links(ids: np.ndarray, roots: np.ndarray, sets: list, least: float =
     _, column = np.unique(column, return_inverse=True)
     width = int(column.max(initial=-1)) + 1
     rows, first = split or n, split  # rows x columns from first on are compared
-    both, part = np.zeros((rows, n - first), np.float32), None if plain.all() else np.zeros((2, rows, n - first), np.float32)
-    for a in range(0, width, step := max(1, 2_000_000 // n)):
-        own = (column >= a) & (column < a + step)
-        have = np.zeros((n, min(step, width - a)), np.float32)
-        have[row[own], column[own] - a] = 1
-        both += have[:rows] @ have[first:].T
-        if part is not None:
-            weight = np.zeros_like(have)
-            weight[row[own], column[own] - a] = share[own]
-            part[0] += weight[:rows] @ have[first:].T
-            part[1] += have[:rows] @ weight[first:].T
+
+    def overlaps(a: int, b: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Shared shingles of the rows from a to b with all columns, and either text's weight of these where weights differ."""
+        both, part = np.zeros((b - a, n - first), np.float32), None if plain.all() else np.zeros((2, b - a, n - first), np.float32)
+        for c in range(0, width, step := max(1, 2_000_000 // n)):
+            own = (column >= c) & (column < c + step)
+            have = np.zeros((n, min(step, width - c)), np.float32)
+            have[row[own], column[own] - c] = 1
+            both += have[a:b] @ have[first:].T
+            if part is not None:
+                weight = np.zeros_like(have)
+                weight[row[own], column[own] - c] = share[own]
+                part[0] += weight[a:b] @ have[first:].T
+                part[1] += have[a:b] @ weight[first:].T
+        return both, part
+
     up = list(range(comp.max() + 1))
 
     def top(c: int) -> int:
@@ -251,10 +258,14 @@ def missing_links(ids: np.ndarray, roots: np.ndarray, sets: list, least: float =
 
     out = []
     for a in range(0, rows, 128):  # some rows at a time, to keep little besides the overlaps
-        own, overlap = slice(a, min(rows, a + 128)), both[a : a + 128]
+        if a % OVERLAPS == 0:
+            both = part = None  # not held beside the next ones
+            both, part = overlaps(a, min(rows, a + OVERLAPS))
+        own, at = slice(a, min(rows, a + 128)), slice(a % OVERLAPS, a % OVERLAPS + 128)
+        overlap = both[at]
         alike = overlap >= (least - 1e-6) * np.maximum(1, size[own, None] + size[None, first:] - overlap)
         if part is not None:
-            alike = np.where(plain[own, None] & plain[None, first:], alike, part[:, own].min(0) >= least - 1e-4)
+            alike = np.where(plain[own, None] & plain[None, first:], alike, part[:, at].min(0) >= least - 1e-4)
         alike &= (comp[own, None] != comp[None, first:]) & (np.arange(first, n)[None] > np.arange(n)[own, None])
         for i, j in zip(*np.nonzero(alike), strict=True):
             i, j = i + a, j + first

@@ -35,6 +35,8 @@ MOST = 100_000
 SLOTS = 1 << 16
 #: Characters whose words are cut out at once.
 SLICE = 1_000_000
+#: Bytes of stretches that are copied at once; a task has 24 bytes of places for each of them.
+COPIED = 1 << 18
 
 _PLACE = 1 << 31  # a place is crc32 of the text * 2**31 + the window's first word
 _PACKETS = "bucket int, n int, data binary"
@@ -164,6 +166,19 @@ def long_prefixes(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ..
     return long
 
 
+def _copied(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches one after the other, the last byte of each a line feed; COPIED bytes and one stretch at a time at most."""
+    ends = np.append(0, np.cumsum(size))
+    out = np.empty(ends[-1], np.uint8)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + COPIED, "right")) - 1)
+        out[ends[a] : ends[b]] = data[np.arange(ends[a], ends[b]) + np.repeat(first[a:b] - ends[a:b], size[a:b])]
+        a = b
+    out[ends[1:] - 1] = 10
+    return out
+
+
 def _packets(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list[np.ndarray], buckets: int) -> DataFrame:
     """Stretches by bucket of their prefixes: n of them in data, zstandard over ids, places, windows and the words."""
 
@@ -180,9 +195,7 @@ def _packets(docs: DataFrame, window: int, prefixes: tuple[int, ...], long: list
                     first, last = (e[order] for e in s.edges(window))
                     size = last - first + 1
                     ends = np.append(0, np.cumsum(size))
-                    at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)
-                    data = s.words.data[at]
-                    data[ends[1:] - 1] = 10
+                    data = _copied(s.words.data, first, size)
                     text, place, count = s.text[order], s.places()[order].astype(np.int32), s.count[order].astype(np.uint8)
                     have, cut = np.unique(bucket[order], return_index=True)
                     out = []
@@ -204,14 +217,20 @@ def _runs(doc: np.ndarray, place: np.ndarray, row: np.ndarray, flag: np.ndarray)
     return pa.record_batch([pa.array(doc[at[first]]), pa.array(place[at[first]]), pa.array(n, pa.int32())], ["doc_id", "place", "n"])
 
 
+def _index(most: int) -> type:
+    """Numbers up to most, and one more, in as few bytes as they need."""
+    return np.int32 if most < 2**31 - 1 else np.int64
+
+
 def dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranks from 0 of equal keys, an order of the keys, and a place of each rank."""
     order = np.argsort(key)
     rising = key[order]
     new = np.ones(len(key), bool)
     new[1:] = rising[1:] != rising[:-1]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new) - 1
+    del rising
+    rank = np.empty(len(key), _index(len(key)))
+    rank[order] = np.cumsum(new, dtype=rank.dtype) - 1
     return rank, order, order[new]
 
 
@@ -237,7 +256,7 @@ def suffix_array(ids: np.ndarray, length: int, least: int = 0) -> tuple[np.ndarr
     stretches in a row to those of longer ones; the ranks of every length then give the common prefixes, the longest first.
     Common prefixes below `least` needn't be exact.
     """
-    levels, have, order = [ids.astype(np.int64)], [1], np.argsort(ids) if length <= 1 else None
+    levels, have, order = [ids.astype(_index(int(ids.max(initial=0))))], [1], np.argsort(ids) if length <= 1 else None
     while have[-1] < length:
         rank = levels[-1] + 1
         bits = max(1, int(rank.max(initial=0)).bit_length())
@@ -250,10 +269,12 @@ def suffix_array(ids: np.ndarray, length: int, least: int = 0) -> tuple[np.ndarr
         rank, order, _ = dense(key)
         levels.append(rank)
         have.append(times * have[-1])
-    common = np.zeros(len(order), np.int64)
+        del key, after
+    order = order.astype(_index(len(order)))
+    common = np.zeros(len(order), order.dtype)
     k = max((k for k, h in enumerate(have) if h <= least), default=0)
     near = 1 + np.flatnonzero(levels[k][order[1:]] == levels[k][order[:-1]]) if least else np.arange(1, len(order))
-    one, two, shared = order[near], order[near - 1], np.zeros(len(near), np.int64)
+    one, two, shared = order[near], order[near - 1], np.zeros(len(near), order.dtype)
     for k in range(len(levels) - 1, -1, -1):
         for _ in range(1 if k == len(levels) - 1 else have[k + 1] // have[k] - 1):
             inside = np.flatnonzero(np.maximum(one, two) + shared < len(ids))
@@ -287,6 +308,7 @@ def _tree(packets: list[tuple[int, bytes]], window: int):
     """Runs of windows of a group that lie under a node with a smaller document.
 
     Windows whose hash is alone in the group have no node; suffixes are ranked for the stretches of the others only.
+    What a step no longer needs is dropped before the next, as a group's words take many times their bytes.
     """
     out = zstandard.ZstdDecompressor().decompress
     fields: list[list[np.ndarray]] = [[] for _ in range(4)]
@@ -295,50 +317,69 @@ def _tree(packets: list[tuple[int, bytes]], window: int):
 
     def tokenised():
         w = Words([b"".join(texts)], NOT_BLANK)
+        place = _index(n_bytes + len(w.data))
         data.append(w.data)
-        starts.append(w.start + n_bytes)
-        ends.append(w.end + n_bytes)
+        starts.append((w.start + n_bytes).astype(place))
+        ends.append((w.end + n_bytes).astype(place))
         hashes.append(w.hashes())
         texts.clear()
         return n_bytes + len(w.data)
 
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        whole = np.concatenate(parts)
+        parts.clear()
+        return whole
+
     held = 0
     for n, packed in packets:
         raw = out(packed)
         cuts = np.cumsum([0, 8 * n, 4 * n, 4 * n, n])
-        parts = [np.frombuffer(raw, t, n, a) for t, a in zip((np.int64, np.uint32, np.int32, np.uint8), cuts, strict=False)]
+        parts = [np.frombuffer(raw, t, n, a).copy() for t, a in zip((np.int64, np.uint32, np.int32, np.uint8), cuts, strict=False)]
         fields[0].append(np.cumsum(parts[0]))
         for k in (1, 2, 3):
-            fields[k].append(parts[k].astype(np.int64))
+            fields[k].append(parts[k])
         texts.append(raw[cuts[-1] :])
         held += len(texts[-1])
         if held >= 900_000:
             n_bytes, held = tokenised(), 0
     if texts:
         n_bytes = tokenised()
-    data, start, end, word = (np.concatenate(x) for x in (data, starts, ends, hashes))
-    ids, sums, place, count = (np.concatenate(x) for x in fields)
-    row = np.repeat(np.arange(len(count)), count)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    word = joined(hashes)
+    ids, sums, place, count = (joined(x) for x in fields)
+    sums, place, count = (x.astype(np.int64) for x in (sums, place, count))
     words = count + window - 1
-    at = np.repeat(np.cumsum(words) - words, count) + within
+
+    def windows(gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """The stretch of each window, and its first word where so many more elements follow each stretch."""
+        row = np.repeat(np.arange(len(count), dtype=_index(len(count))), count)
+        first = np.cumsum(words + gap) - words - gap - np.cumsum(count) + count
+        return row, np.arange(len(row)) + np.repeat(first, count)
+
+    row, at = windows(0)
     win = run_hashes(word, window)[at]
+    del at
     order = np.argsort(win)
-    same = win[order[1:]] == win[order[:-1]]
-    twice = np.zeros(len(win), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    win = win[order]
+    same = np.append(False, win[1:] == win[:-1])
+    same[:-1] |= same[1:]
     keep = np.zeros(len(count), bool)
-    keep[row[twice]] = True
+    keep[row[order[same]]] = True
+    del row, win, order, same
     if not keep.any():
         return None
-    own = np.flatnonzero(np.repeat(keep, words))
+    own = np.repeat(keep, words)
     ids, sums, place, count, words = (x[keep] for x in (ids, sums, place, count, words))
-    order, common = suffix_array(_ended(exact_ids(data, start[own], end[own], word[own]), words), window, window)
-    node = np.empty(len(order), np.int64)  # of each suffix: the highest internal node of at least a window's words above it
-    node[order] = np.cumsum(common < window)
-    row = np.repeat(np.arange(len(count)), count)
+    word, start, end = word[own], joined(starts)[own], joined(ends)[own]
+    names = _ended(exact_ids(joined(data), start, end, word), words)
+    del own, word, start, end
+    order, common = suffix_array(names, window, window)
+    node = np.empty(len(order), order.dtype)  # of each suffix: the highest internal node of at least a window's words above it
+    node[order] = np.cumsum(common < window, dtype=node.dtype)
+    del names, order, common
+    row, at = windows(1)
+    node, doc = node[at], ids[row]
     within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    node, doc = node[np.repeat(np.cumsum(words + 1) - words - 1, count) + within], ids[row]
+    del at
     least = np.full(node.max(initial=0) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, node, doc)
     return _runs(doc, (sums * _PLACE + place)[row] + within, row, doc > least[node])

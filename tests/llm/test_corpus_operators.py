@@ -682,3 +682,34 @@ def test_pipeline(spark, make_docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, "/root/testdata/sf0.001").count() > 0, name
         assert stage(spark, odd.limit(0), "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_suffix_groups_and_overlaps_take_few_bytes_of_memory():
+    import tracemalloc
+
+    import zstandard
+
+    from eigenspark.llm import neardup, substrings
+
+    rng = np.random.default_rng(3)
+    names = np.array([b"w%d" % i for i in range(5_000)])
+    texts = [b" ".join(names[rng.integers(0, len(names), 2_000)]) for _ in range(50)] * 2
+    head = (np.diff(np.arange(100, dtype=np.int64), prepend=0), np.arange(100, dtype=np.uint32), np.zeros(100, np.int32), np.full(100, 200, np.uint8))
+    body = b"".join(b" ".join(t.split()[:212]) + b"\n" for t in texts)
+    packet = (100, zstandard.ZstdCompressor().compress(b"".join(v.tobytes() for v in head) + body))
+    # group of many such packets: the second half of the stretches repeats the first
+    tracemalloc.start()
+    found = substrings._tree([packet] * 20, 13)
+    tree = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(set(found.column("doc_id").to_pylist())) == list(range(50, 100))
+    assert tree < 20 * 20 * len(body)
+
+    sets = [(np.unique(rng.integers(0, 2**32, 20).astype(np.uint32)), np.full(20, 2, np.uint32)) for _ in range(1_500)]
+    sets = [(v, w[: len(v)]) for v, w in sets] + [(v, w[: len(v)]) for v, w in sets[:2]]
+    tracemalloc.start()
+    links = neardup.missing_links(np.arange(len(sets)), np.arange(len(sets)), sets)
+    overlaps = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == [(0, 1500), (1, 1501)]
+    assert overlaps < 2.5 * 4 * len(sets) ** 2
