@@ -123,6 +123,22 @@ class Pieces(dict):
         return ids
 
 
+class Tokens(dict):
+    """Bytes of decimal ids joined by commas, as pieces have them; at most so many are remembered."""
+
+    def __init__(self, bytes_of: dict[str, bytes], most: int = 400_000):
+        super().__init__()
+        self.bytes_of, self.most = bytes_of, most
+
+    def __missing__(self, ids: str) -> bytes:
+        data = b"".join(map(self.bytes_of.__getitem__, ids.split(",")))
+        if len(self) >= self.most:
+            self.clear()
+        if len(data) <= 64:
+            self[ids] = data
+        return data
+
+
 class Coder:
     """Encodes and decodes texts by ranks; each match of the pattern is encoded by itself."""
 
@@ -130,10 +146,15 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.pieces = Pieces(ranks)
         self.bytes_of = {str(i): token for token, i in ranks.items()}
+        self.tokens = Tokens(self.bytes_of)
+
+    def encode_pieces(self, text: str | None) -> list[str]:
+        """Decimal ids of each piece, joined by commas."""
+        return list(map(self.pieces.__getitem__, self.split(text or "")))
 
     def encode_text(self, text: str | None) -> str:
         """Decimal ids, joined by commas."""
-        return ",".join(map(self.pieces.__getitem__, self.split(text or "")))
+        return ",".join(self.encode_pieces(text))
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.encode_text(text)
@@ -143,6 +164,10 @@ class Coder:
         """Bytes of ids given as numbers or as decimal text."""
         return b"".join(map(self.bytes_of.__getitem__, map(str, ids)))
 
+    def decode_pieces(self, pieces: list[str]) -> bytes:
+        """Bytes of the ids of pieces, as `encode_pieces` gives them."""
+        return b"".join(map(self.tokens.__getitem__, pieces))
+
     def decode_text(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
@@ -208,10 +233,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             counts, ids_sha, data_sha = [], [], []
             for text in b.column(1).to_pylist():
-                ids = c.encode_text(text)
+                pieces = c.encode_pieces(text)
+                ids = ",".join(pieces)
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                data_sha.append(hashlib.sha256(c.decode_text(ids)).hexdigest())
+                data_sha.append(hashlib.sha256(c.decode_pieces(pieces)).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -369,3 +369,16 @@ def test_queries_run_on_small_tables(spark):
     for name in ("op3_license_scans", "op5_byte_bpe", "op6_language_id"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
     assert F.lit(1) is not None
+
+
+def test_pieces_decode_as_whole_texts_do_and_are_remembered_within_bounds():
+    from eigenspark.llm import bpe
+
+    ranks = {bytes([k]): k for k in range(256)} | {b"ab": 256, b" ab": 257}
+    c = bpe.Coder(ranks, r" ?\p{L}+|\s+|[^\s\p{L}]+")
+    c.tokens.most = 2
+    for text in ["", None, "ab ab  ć", "\U0001f600 ab12", "x" * 100, "日本 ab"] * 2:
+        pieces = c.encode_pieces(text)
+        assert ",".join(pieces) == c.encode_text(text)
+        assert c.decode_pieces(pieces) == c.decode_text(c.encode_text(text)) == (text or "").encode()
+        assert len(c.tokens) <= 2
