@@ -5,13 +5,21 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from itertools import batched, chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Leaves of the bitmap have so many bits; the root has a bit for each leaf.
 LEAF = 256
+#: Pieces merged together have queues with a bucket for so many neighbouring ranks.
+BAND = 256
+#: So many new pieces, of so many characters at most, are worth merging together, and so many bytes of them at a time.
+FEW, SHORT, TOGETHER = 1_000, 64, 1 << 21
+#: New pieces are merged together of texts of so many characters, and of so many pieces at most.
+STRETCH, MANY = 1 << 22, 1 << 20
 
 
 def ranks_of(lines) -> dict[bytes, int]:
@@ -102,12 +110,135 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class BandQueue(RankQueue):
+    """The same for arrays: a bucket holds arrays of places of `BAND` neighbouring ranks, and leaves the queue as a whole."""
+
+    __slots__ = ()
+
+    def push_all(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        bands = ranks // BAND
+        order = bands.argsort(kind="stable")
+        bands, places = bands[order], places[order]
+        starts = [0, *(np.flatnonzero(bands[1:] != bands[:-1]) + 1).tolist()]
+        for band, a, b in zip(bands[starts].tolist(), starts, [*starts[1:], len(bands)], strict=True):
+            if bucket := self.buckets.get(band):
+                bucket.append(places[a:b])
+            else:
+                self.push(band, places[a:b])
+
+    def pop_all(self) -> tuple[int, np.ndarray]:
+        """The lowest band that has places, and these."""
+        leaf = (self.root & -self.root).bit_length() - 1
+        bits = self.leaves[leaf]
+        band = leaf * LEAF + (bits & -bits).bit_length() - 1
+        bucket = self.buckets.pop(band)
+        self.leaves[leaf] = bits & bits - 1
+        if not self.leaves[leaf]:
+            self.root &= self.root - 1
+        return band, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+
+class Pairs:
+    """Ranks of two neighbouring tokens, given as arrays of ids; -1 if they make no token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.top = max(ranks.values(), default=-1)
+        ids = {bytes([k]): self.top + 1 + k for k in range(256)} | ranks  # a byte that is no token may be part of one
+        self.bytes = np.array([ids[bytes([k])] for k in range(256)])
+        self.end = self.top + 257  # pairs with nothing
+        self.size = self.end + 1
+        keys, made = [self.size**2], [-1]  # the largest is the key of no pair
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ids.get(token[:k]), ids.get(token[k:])
+                if left is not None and right is not None:
+                    keys.append(left * self.size + right)
+                    made.append(rank)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.array(keys)[order], np.array(made)[order]
+
+    def __call__(self, left, right) -> np.ndarray:
+        key = left * self.size + right
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+
+def merged_together(pieces: list[bytes], pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many pieces, none of them empty, one after the other, and the number of ids of each, as `merged` has them.
+
+    One linked list and one queue hold all pieces, each with a place behind it that pairs with nothing.  The lowest band
+    of ranks in the queue has the lowest rank of each piece with a place there; the leftmost such place of each piece is
+    merged, all pieces at once.  Other places go back, as the merge may have changed them or made a lower rank.
+    """
+    lengths = np.array([len(p) for p in pieces])
+    n = int(lengths.sum()) + len(pieces)
+    own = np.repeat(np.arange(len(pieces)), lengths + 1)
+    token = pairs.bytes[np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)]
+    token[np.cumsum(lengths + 1) - 1] = pairs.end
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    at = np.append(pairs(token[:-1], token[1:]), -1)
+    queue, places, bits = BandQueue(), np.flatnonzero(at >= 0), n.bit_length()
+    if len(places):
+        queue.push_all(at[places], places)
+    while queue:
+        band, places = queue.pop_all()
+        ranks = at[places] - band * BAND
+        order = ((own[places] * BAND + ranks) << bits | places)[(ranks >= 0) & (ranks < BAND)]
+        if not len(order):
+            continue
+        order.sort()
+        places, piece = order & (1 << bits) - 1, (order >> bits) // BAND
+        same = piece[1:] == piece[:-1]
+        if same.any():
+            queue.push(band, places[1:][same & (places[1:] != places[:-1])])
+            places = np.concatenate([places[:1], places[1:][~same]])
+        gone, left = after[places], before[places]
+        end = after[gone]
+        after[places], before[end], at[gone] = end, places, -1
+        token[places], token[gone] = at[places], -1
+        new = np.concatenate([places, left])
+        ranks = pairs(token[new], token[np.concatenate([end, places])])
+        at[new] = ranks
+        found = ranks >= 0
+        if found.any():
+            queue.push_all(ranks[found], new[found])
+    kept = (token >= 0) & (token != pairs.end)
+    ids = token[kept]
+    if len(ids) and ids.max() > pairs.top:
+        raise KeyError("a byte is no token")
+    return ids, np.bincount(own[kept], minlength=len(pieces))
+
+
 class Pieces(dict):
-    """Decimal ids, joined by commas, of pieces met lately; at most two generations of so many pieces are remembered."""
+    """Decimal ids, joined by commas, of pieces met lately; at most two generations of so many pieces, or of `MANY`, are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
         super().__init__()
-        self.ranks, self.most, self.old = ranks, most, {}
+        self.ranks, self.most, self.old, self.pairs = ranks, most, {}, None
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remembers pieces of texts that come next; the new ones are merged together, if they are many."""
+        unmet = [p for p in pieces if p not in self and 0 < len(p) <= SHORT]
+        known = {p: self.old[p] for p in unmet if p in self.old}
+        data = {p: d for p in unmet if p not in known and (d := p.encode()) not in self.ranks}
+        if len(data) < FEW:
+            return
+        if len(self) + len(known) + len(data) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(known)
+        self.pairs = self.pairs or Pairs(self.ranks)
+        part, size = {}, 0
+        for k, (p, d) in enumerate(data.items(), 1):
+            part[p] = d
+            size += len(d)
+            if size >= TOGETHER or k == len(data):
+                ids, counts = merged_together(list(part.values()), self.pairs)
+                ids, b = list(map(str, ids.tolist())), 0
+                for q, count in zip(part, counts.tolist(), strict=True):
+                    a, b = b, b + count
+                    self[q] = ",".join(ids[a:b])
+                part, size = {}, 0
 
     def __missing__(self, piece: str) -> str:
         ids = self.old.get(piece)
@@ -118,7 +249,7 @@ class Pieces(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        if len(piece) <= 64:
+        if len(piece) <= SHORT:
             self[piece] = ids
         return ids
 
@@ -152,6 +283,23 @@ class Coder:
         """Decimal ids of each piece, joined by commas."""
         return list(map(self.pieces.__getitem__, self.split(text or "")))
 
+    def encode_many(self, pieces):
+        """Decimal ids of pieces; new ones are merged together."""
+        self.pieces.learn(set(pieces))
+        return map(self.pieces.__getitem__, pieces)
+
+    def encode_all(self, texts: list[str | None]):
+        """`encode_pieces` of each text, many pieces at a time."""
+        stretch, size = [], 0
+        for k, text in enumerate(texts):
+            stretch.append(self.split(text or ""))
+            size += len(text or "")
+            if size >= STRETCH or k == len(texts) - 1:
+                ids = chain.from_iterable(map(self.encode_many, batched(chain.from_iterable(stretch), MANY)))
+                for own in stretch:
+                    yield list(islice(ids, len(own)))
+                stretch, size = [], 0
+
     def encode_text(self, text: str | None) -> str:
         """Decimal ids, joined by commas."""
         return ",".join(self.encode_pieces(text))
@@ -222,9 +370,9 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Number of ids, and sha256 of the ids and of the bytes decoded from them, without sending the ids anywhere.
 
-    Null and empty texts have no ids, and the digests of nothing.  Each row is coded by itself, so repeated rows and ids
-    and other columns don't matter.  Memory: one batch and the remembered pieces; pieces over 64 characters aren't
-    remembered.  Ties of rank go to the leftmost pair.  An empty table gives no rows.
+    Null and empty texts have no ids, and the digests of nothing.  Each piece is coded by itself, so repeated rows and ids
+    and other columns don't matter.  Memory: one batch, its pieces and the remembered ones; pieces over 64 characters
+    aren't remembered.  Ties of rank go to the leftmost pair.  An empty table gives no rows.
     """
     own = sent(docs.sparkSession, path, pattern)
 
@@ -232,8 +380,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = own()
         for b in batches:
             counts, ids_sha, data_sha = [], [], []
-            for text in b.column(1).to_pylist():
-                pieces = c.encode_pieces(text)
+            for pieces in c.encode_all(b.column(1).to_pylist()):
                 ids = ",".join(pieces)
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())

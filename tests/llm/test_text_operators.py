@@ -382,3 +382,53 @@ def test_pieces_decode_as_whole_texts_do_and_are_remembered_within_bounds():
         assert ",".join(pieces) == c.encode_text(text)
         assert c.decode_pieces(pieces) == c.decode_text(c.encode_text(text)) == (text or "").encode()
         assert len(c.tokens) <= 2
+
+
+def split_ids(ids, counts):
+    cuts = np.cumsum(counts)[:-1]
+    return [x.tolist() for x in np.split(ids, cuts)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sets(st.text("abé", min_size=1, max_size=5), max_size=60), st.integers(0, 9), st.lists(st.text("abé", min_size=1, max_size=30), min_size=1, max_size=40))
+def test_pieces_merged_together_are_as_merged_alone(tokens, seed, texts):
+    tokens = sorted({bytes([k]) for k in range(256)} | {t.encode() for t in tokens})
+    numbers = random.Random(seed).sample(range(5_000), len(tokens))  # merges may make ranks below their own
+    ranks = dict(zip(tokens, numbers, strict=True))
+    pieces = [t.encode() for t in texts]
+    assert split_ids(*bpe.merged_together(pieces, bpe.Pairs(ranks))) == [bpe.merged(p, ranks) for p in pieces]
+
+
+def test_bytes_that_are_no_tokens_are_merged_or_refused_in_both_ways():
+    ranks = {b"ab": 0, b"c": 1, b"abc": 2}
+    pairs = bpe.Pairs(ranks)
+    assert split_ids(*bpe.merged_together([b"ab", b"abc", b"cc", b"cab"], pairs)) == [bpe.merged(p, ranks) for p in (b"ab", b"abc", b"cc", b"cab")] == [[0], [2], [1, 1], [1, 0]]
+    for call in (lambda: bpe.merged(b"cb", ranks), lambda: bpe.merged_together([b"cb"], pairs)):
+        with pytest.raises(KeyError):
+            call()
+
+
+def test_new_pieces_of_a_batch_are_merged_together(spark, make_docs, theirs, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeéñ漢", k=rng.randint(3, 14))) for _ in range(9_000)]
+    texts = [*(" ".join(words[k : k + 100]) for k in range(0, 9_000, 100)), None, "", "\x00 " + "y" * 500, words[0]]
+    alone = []
+    monkeypatch.setattr(bpe, "merged", lambda piece, ranks, f=bpe.merged: alone.append(piece) or f(piece, ranks))
+    for most in (400_000, 5_000):
+        c = bpe.Coder(bpe.read_ranks(PATH), tokenizers.PATTERN)
+        c.pieces.most = most
+        if most == 5_000:
+            for name, value in {"TOGETHER": 5_000, "STRETCH": 40_000, "MANY": 3_000, "FEW": 10}.items():
+                monkeypatch.setattr(bpe, name, value)
+        for _ in range(2):
+            got = list(c.encode_all(texts))
+            assert [",".join(x) for x in got] == [",".join(map(str, theirs.encode_ordinary(t or ""))) for t in texts]
+            assert [c.decode_pieces(x) for x in got] == [(t or "").encode() for t in texts]
+        assert len(c.pieces) <= most and len(c.pieces.old) <= most
+        if most == 400_000:  # before, each of some 9,000 new words
+            assert {len(p) for p in alone} <= {501} and alone
+    assert list(c.encode_all([])) == []
+    got = {r.doc_id: r for r in bpe.digests(make_docs(texts), PATH, tokenizers.PATTERN).collect()}
+    for i, text in enumerate(texts):
+        want = theirs.encode_ordinary(text or "")
+        assert got[i].n_tokens == len(want) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
