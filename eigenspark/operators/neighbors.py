@@ -1,10 +1,11 @@
 """Exact nearest neighbours by metric cells.
 
 A tree of balls is made from a bounded sample of the training rows; every training row goes to a leaf of it, and leaves get
-their true radii and counts.  A query first visits the smallest ball on its way down that holds enough rows; the k-th
-distance found there tells by the triangle inequality which other leaves can hold a nearer row, and only these are visited.
-Queries are sent to the leaves that they visit, and a leaf's rows are copied only where more than QUERY_CELL queries visit
-it.  Rows belong to groups, such as the folds of a cross-validation, by the bits of a mask: all groups are searched at
+their true radii and counts.  Leaves that are next to each other share a cell, a large leaf has several.  A query first visits
+the cells of the smallest ball on its way down that holds enough rows; the k-th distance found there tells by the triangle
+inequality which other leaves can hold a nearer row, and only their cells are visited.  A query is sent once to each cell
+that it visits, a cell's rows are copied once for every QUERY_CELL visits, and what a task holds is bounded in rows and
+bytes.  Rows belong to groups, such as the folds of a cross-validation, by the bits of a mask: all groups are searched at
 once, and a distance is computed once for all of them.
 """
 
@@ -20,14 +21,18 @@ from pyspark.sql import functions as F
 from .linalg import block
 from .tables import written
 
-#: Training rows and visits of a cell, at most; training rows of a leaf, about.
-TRAIN_CELL, QUERY_CELL, LEAF = 16_384, 2_048, 4_096
+#: Training rows and visits of a cell, at most; training rows of a leaf, about; visits for which a cell isn't copied for more tasks.
+TRAIN_CELL, QUERY_CELL, LEAF, FEW_VISITS = 32_768, 32_768, 4_096, 2_048
+#: Bytes of the features of either side of a cell (as doubles), at most; of the rows that a task reads, about.
+CELL_BYTES, TASK_BYTES = 16 << 20, 32 << 20
 #: Leaves, sampled rows, and bytes of either, at most.
 LEAVES, SAMPLE, TREE_BYTES = 4_096, 32_768, 32 << 20
 #: Groups of one search: bits of a long.
 GROUPS = 62
-#: Queries whose distances are computed together.
-STEP = 128
+#: Queries, and training rows, whose distances are computed together; queries whose visits are found together.
+STEP, RUN, SOME = 128, 8_192, 512
+#: Rows near a query that are kept without a look at their order.
+LOOSE = 64
 
 
 @dataclass
@@ -139,89 +144,174 @@ def bits(mask: int) -> list[int]:
     return [g for g in range(GROUPS) if mask >> g & 1]
 
 
-def best_in_cell(ids, labels, holds, x, far, q, asks, q_far, within, k):
+def rows_of(p: int, most: int) -> int:
+    """Rows of so many features that a side of a cell may hold."""
+    return max(1, min(most, CELL_BYTES // (8 * p)))
+
+
+def dealt(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each leaf its first cell and the number of its cells: leaves in a row share one of at most so many rows, a larger leaf has some of its own."""
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
+    cell, held = -1, most + 1
+    for i, n in enumerate(sizes.tolist()):
+        if held + n > most:
+            cell, held = cell + 1, 0
+        first[i] = cell
+        cell, held = cell + int(parts[i]) - 1, held + n
+    return first, parts
+
+
+def foremost(rows: np.ndarray, ids: np.ndarray, distance: np.ndarray, bits_of: np.ndarray, asks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, their bits, limits): those of the k nearest of each row and group, and the largest k-th distance of each row's groups.
+
+    rows: the query (an index into asks) of each place; ties go to the smaller id; a row with a group of fewer has no limit.
+    """
+    order = np.lexsort((ids, distance, rows))
+    rows, distance, bits_of = rows[order], distance[order], bits_of[order]
+    kept, limits = np.zeros(len(order), np.int64), np.zeros(len(asks))
+    for g in bits(int(np.bitwise_or.reduce(asks, initial=0))):
+        near = np.flatnonzero(bits_of >> g & 1)
+        own = rows[near]
+        rank = np.arange(len(near)) - np.searchsorted(own, own)
+        kept[near[rank < k]] |= 1 << g
+        last = np.full(len(asks), np.inf)
+        last[own[rank == k - 1]] = distance[near[rank == k - 1]]
+        limits = np.where(asks >> g & 1, np.maximum(limits, last), limits)
+    found = np.flatnonzero(kept)
+    return order[found], kept[found], limits
+
+
+def nearby(d: np.ndarray, holds: np.ndarray, asks: int, k: int, slack: float) -> np.ndarray:
+    """Places of all that rounding could bring among the k nearest of a group that is asked for."""
+    out = np.zeros(len(d), bool)
+    for g in bits(asks):
+        near = np.flatnonzero(holds >> g & 1)
+        if len(near) > k:
+            edge = np.partition(d[near], k - 1)[k - 1]
+            near = near[d[near] <= edge + 1e-9 * (1 + abs(edge)) + slack]
+        out[near] = True
+    return np.flatnonzero(out)
+
+
+def best_in_cell(ids, holds, x, leaf, far, q, asks, within, lo, hi, gaps, k):
     """(row of the query, place of the neighbour, bits, squared distance) of the k nearest of each query in each of its groups,
     and how many distances were computed.
 
-    Training rows come by rising distance to the centre (far); within: the largest distance (not squared) that still matters
-    to a query.
+    Training rows come by leaf and by rising distance to its centre (far).  within: the largest distance (not squared) that
+    still matters to a query; lo and hi: leaves that it visits whatever their distance, before the others; gaps: distances
+    to the centre of each leaf that the cell has.  What is found in a leaf narrows the search in the next ones.
     """
-    order = np.argsort(q_far, kind="stable")
-    rows, found, kept, distance, looked = [], [], [], [], 0
+    edges = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
     square = (x**2).sum(1)
+    with_square = np.column_stack([x, square])
+    top, looked, out = float(square.max(initial=0.0)), 0, []
+    closest = gaps.argmin(1)
+    order = np.lexsort((gaps[np.arange(len(q)), closest], closest))
     for a in range(0, len(order), STEP):
         some = order[a : a + STEP]
-        room = within[some] + 1e-9 * (1 + q_far[some])
-        lo = int(np.searchsorted(far, (q_far[some] - room).min(), "left"))
-        hi = int(np.searchsorted(far, (q_far[some] + room).max(), "right"))
-        if lo >= hi:
-            continue
-        own, mask = x[lo:hi], holds[lo:hi]
-        rough = np.maximum((q[some] ** 2).sum(1)[:, None] + square[lo:hi][None] - 2 * q[some] @ own.T, 0.0)
-        looked += rough.size
-        for r, d in zip(some, rough, strict=True):
-            taken: dict[int, int] = {}
-            exact: dict[int, float] = {}
-            for g in bits(int(asks[r])):
-                near = np.flatnonzero(mask >> g & 1)
-                if not len(near):
-                    continue
-                if len(near) > k:
-                    edge = np.partition(d[near], k - 1)[k - 1]
-                    near = near[d[near] <= edge + 1e-9 * (1 + edge)]  # all that rounding could bring among the k
-                new = np.array([i for i in near.tolist() if i not in exact], np.int64)
-                exact.update(zip(new.tolist(), ((own[new] - q[r]) ** 2).sum(1).tolist(), strict=True))
-                for i in sorted(near.tolist(), key=lambda i: (exact[i], ids[lo + i]))[:k]:
-                    taken[i] = taken.get(i, 0) | 1 << g
-            rows += [r] * len(taken)
-            found += [lo + i for i in taken]
-            kept += taken.values()
-            distance += [exact[i] for i in taken]
-    return rows, found, kept, distance, looked
-
-
-def _searched(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+        own_q, own_asks, gap = q[some], asks[some], gaps[some]
+        lifted, own_square = np.column_stack([-2 * own_q, np.ones(len(some))]), (own_q**2).sum(1)
+        limit, slack = within[some].copy(), 4e-16 * (x.shape[1] + 16) * (own_square + top)  # the last: rounding of products
+        rows, places, distance, kept, last = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), 0
+        home = (lo[some, None] <= leaf[edges[:-1]]) & (leaf[edges[:-1]] <= hi[some, None])
+        turns = [(j, True) for j in np.flatnonzero(home.any(0))] + [(j, False) for j in gap.mean(0).argsort(kind="stable") if not home[:, j].all()]
+        for j, first in turns:
+            if len(rows) > last + LOOSE // 4 * len(some) or (last == 0 and len(rows)):  # enough is new for closer limits
+                best, kept, limits = foremost(rows, ids[places], distance, kept, own_asks, k)
+                rows, places, distance, last = rows[best], places[best], distance[best], len(best)
+                limit = np.minimum(limit, np.sqrt(limits))
+            room, radius = limit + 1e-9 * (1 + gap[:, j]), far[edges[j + 1] - 1]
+            which = np.flatnonzero(home[:, j] if first else ~home[:, j] & (gap[:, j] - radius <= room))
+            if not len(which):
+                continue
+            begin = edges[j] + np.searchsorted(far[edges[j] : edges[j + 1]], (gap[which, j] - room[which]).min(), "left")
+            end = edges[j] + np.searchsorted(far[edges[j] : edges[j + 1]], (gap[which, j] + room[which]).max(), "right")
+            for at in range(begin, end, RUN):
+                held, stop = holds[at : min(end, at + RUN)], min(end, at + RUN)
+                rough = lifted[which] @ with_square[at:stop].T  # squared distances but for the query's square
+                looked += rough.size
+                bound = limit[which] ** 2
+                hit = rough <= (bound * (1 + 1e-9) + 1e-9 + slack[which] - own_square[which])[:, None]
+                many = np.count_nonzero(hit, 1) > LOOSE
+                r, c = np.nonzero(hit & ~many[:, None])
+                pairs = [(which[r], at + c)]
+                for i in np.flatnonzero(many):
+                    near = nearby(rough[i] + own_square[which[i]], held, int(own_asks[which[i]]), k, float(slack[which[i]]))
+                    near = near[hit[i, near]]
+                    if len(near) > 4 * LOOSE:  # equal ones, mostly
+                        exact = ((x[at + near] - own_q[which[i]]) ** 2).sum(1)
+                        near = near[foremost(np.zeros(len(near), np.int64), ids[at + near], exact, held[near] & own_asks[which[i]], own_asks[which[i : i + 1]], k)[0]]
+                    pairs.append((np.full(len(near), which[i]), at + near))
+                new_rows, new = (np.concatenate(v) for v in zip(*pairs, strict=True))
+                mask = holds[new] & own_asks[new_rows]
+                new_rows, new, mask = new_rows[mask != 0], new[mask != 0], mask[mask != 0]
+                rows, places, kept = np.append(rows, new_rows), np.append(places, new), np.append(kept, mask)
+                distance = np.append(distance, ((x[new] - own_q[new_rows]) ** 2).sum(1))
+        best, kept, _ = foremost(rows, ids[places], distance, kept, own_asks, k)
+        out.append((some[rows[best]], places[best], kept, distance[best]))
+    if not out:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0), 0)
+    return (*(np.concatenate(v) for v in zip(*out, strict=True)), looked)
+
+
+def _searched(queries: DataFrame, train: DataFrame, k: int, centres: np.ndarray, tasks: int) -> DataFrame:
     """Of cells: query_id, neighbor_id, neighbor_label, bits, distance; and looked, on a row without bits for each cell.
 
-    queries: cell, h, query_id, q, asks, far and within; train: cell, h, neighbor_id, neighbor_label, holds, x and far.
+    queries: cell, h, query_id, q, asks, within, lo and hi; train: cell, h, neighbor_id, neighbor_label, holds, x and leaf;
+    centres: of the leaves.
     """
     columns = ["query_id", "neighbor_id", "neighbor_label", "bits", "distance", "looked"]
 
     def run(key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(own):
             return pd.DataFrame({c: [] for c in columns})
-        own = own.sort_values(["far", "neighbor_id"], kind="stable")
-        rows, found, kept, distance, looked = best_in_cell(own.neighbor_id.to_numpy(), own.neighbor_label.to_numpy(), own.holds.to_numpy(), block(own.x), own.far.to_numpy(), block(asked.q), asked.asks.to_numpy(), asked.far.to_numpy(), asked.within.to_numpy(), k)
-        out = {"query_id": asked.query_id.to_numpy()[rows], "neighbor_id": own.neighbor_id.to_numpy()[found], "neighbor_label": own.neighbor_label.to_numpy()[found], "bits": np.array(kept, np.int64), "distance": np.array(distance, float), "looked": np.zeros(len(rows), np.int64)}
+        q, x, leaf, ids = block(asked.pop("q")), block(own.pop("x")), own.leaf.to_numpy(), own.neighbor_id.to_numpy()
+        far, gaps = np.empty(len(x)), []
+        for at in np.unique(leaf):
+            rows = leaf == at
+            far[rows] = np.sqrt(((x[rows] - centres[at]) ** 2).sum(1))
+            gaps.append(np.concatenate([np.sqrt(((q[a : a + RUN] - centres[at]) ** 2).sum(1)) for a in range(0, len(q), RUN)]))
+        order = np.lexsort((ids, far, leaf))
+        ids, x = ids[order], x[order]
+        rows, found, kept, distance, looked = best_in_cell(ids, own.holds.to_numpy()[order], x, leaf[order], far[order], q, *(asked[c].to_numpy() for c in ("asks", "within", "lo", "hi")), np.column_stack(gaps), k)
+        out = {"query_id": asked.query_id.to_numpy()[rows], "neighbor_id": ids[found], "neighbor_label": own.neighbor_label.to_numpy()[order[found]], "bits": kept, "distance": distance, "looked": np.zeros(len(rows), np.int64)}
         return pd.DataFrame({c: np.append(v, looked if c == "looked" else v.dtype.type(0)) for c, v in out.items()})
 
     schema = "query_id long, neighbor_id long, neighbor_label int, bits long, distance double, looked long"
-    return queries.groupBy("cell", "h").cogroup(train.groupBy("cell", "h")).applyInPandas(run, schema)
+    left, right = (df.repartition(tasks, "cell", "h").groupBy("cell", "h") for df in (queries, train))
+    return left.cogroup(right).applyInPandas(run, schema)
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def _ranked(found: DataFrame, k: int, groups: list[int]) -> DataFrame:
     """query_id, g, neighbor_id, neighbor_label, distance and rank of the k nearest of each query and group."""
-    each = found.withColumn("g", F.explode(F.expr(f"filter(sequence(0, {GROUPS - 1}), g -> (shiftright(bits, g) & 1) = 1)")))
+    each = found.withColumn("g", F.explode(F.expr(f"filter(array({', '.join(map(str, groups))}), g -> (shiftright(bits, g) & 1) = 1)")))
     order = Window.partitionBy("g", "query_id").orderBy("distance", "neighbor_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "g", "neighbor_id", "neighbor_label", "distance", "rank")
 
 
 class Search:
-    """One search: `found` holds the nearest of every cell, `looked` the distances computed."""
+    """One search: `found` holds the nearest of every cell, `looked` the distances computed; `groups`: those that are asked for."""
 
     def __init__(self, queries: DataFrame, train: DataFrame, k: int, sizes: tuple[int, int] | None = None):
         """queries: query_id, q and asks; train: neighbor_id, neighbor_label, x and holds."""
         self.k = k
-        n_queries, n_train = sizes or (queries.count(), train.count())
+        queries, train = written(queries), written(train)
+        n_queries, asks = queries.agg(F.count("*"), F.bit_or("asks")).first()
+        n_train = sizes[1] if sizes else train.count()
+        self.groups = bits(asks or 0) or [0]
         p = max(1, len((train.select("x").first() or [[]])[0] or []))
+        self.most = rows_of(p, QUERY_CELL)
+        self.row_bytes = 64 + p * (4 if "float" in train.schema["x"].dataType.simpleString() else 8)
+        self.slots = queries.sparkSession.sparkContext.defaultParallelism
+        cell_rows = rows_of(p, TRAIN_CELL)
         leaves = min(LEAVES, max(1, TREE_BYTES // (16 * p)), -(-n_train // LEAF))
         if leaves <= 1:
-            down, across = max(1, -(-n_queries // QUERY_CELL)), max(1, -(-n_train // TRAIN_CELL))
-            asked = queries.select("*", F.lit(0.0).alias("far"), F.lit(float("inf")).alias("within"), F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("cell"))
-            own = train.select("*", F.lit(0.0).alias("far"), F.pmod(F.xxhash64("neighbor_id"), F.lit(across)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("h"))
-            self.found = _searched(asked, own, k)
+            across = max(1, -(-n_train // cell_rows))
+            down = self.tall(n_queries, across)
+            asked = queries.select("*", F.lit(float("inf")).alias("within"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("cell"))
+            own = train.select("*", F.lit(0).alias("leaf"), F.pmod(F.xxhash64("neighbor_id"), F.lit(across)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("h"))
+            self.found = _searched(asked, own, k, np.zeros((1, p)), self.tasks(across * down, n_queries * across + n_train * down))
             return
-        queries = written(queries)
         rows = max(leaves, min(SAMPLE, TREE_BYTES // (8 * p)))
         tree = grown(np.array([r.x for r in train.orderBy(F.xxhash64("neighbor_id"), "neighbor_id").limit(rows).select("x").collect()], float), leaves)  # a bounded sample
 
@@ -231,58 +321,81 @@ class Search:
             return pd.DataFrame({"leaf": leaf.astype(np.int32), "far": far})
 
         train = written(train.withColumn("at", placed("x")).select("neighbor_id", "neighbor_label", "x", "holds", "at.leaf", "at.far"))
-        held = [F.sum(F.expr(f"shiftright(holds, {g}) & 1")).alias(f"g{g}") for g in range(GROUPS)]
+        held = [F.sum(F.expr(f"shiftright(holds, {g}) & 1")).alias(f"g{g}") for g in self.groups]
         radii, counts, sizes_of = np.full(tree.leaves, -1.0), np.zeros((tree.leaves, GROUPS), np.int64), np.zeros(tree.leaves, np.int64)
         for r in train.groupBy("leaf").agg(F.max("far").alias("far"), F.count("*").alias("n"), *held).collect():  # a row for each leaf
-            radii[r.leaf], sizes_of[r.leaf], counts[r.leaf] = r.far, r.n, r[3:]
-        self.tree, self.radii, self.parts = tree, node_radii(tree, radii), np.maximum(1, -(-sizes_of // TRAIN_CELL))
+            radii[r.leaf], sizes_of[r.leaf], counts[r.leaf, self.groups] = r.far, r.n, r[3:]
+        self.tree, self.radii = tree, node_radii(tree, radii)
+        self.start, self.parts = dealt(sizes_of, cell_rows)
+        self.cell_sizes = np.bincount(np.repeat(self.start, self.parts) + np.concatenate([np.arange(n) for n in self.parts]), np.repeat(sizes_of / self.parts, self.parts))
         self.upto = np.vstack([np.zeros((1, GROUPS), np.int64), np.cumsum(counts, 0)])  # rows of each group in the leaves before
+        leaf_cells = F.broadcast(queries.sparkSession.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(self.start, self.parts, strict=True))], "leaf int, start int, parts int"))
+        train = train.join(leaf_cells, "leaf").select("neighbor_id", "neighbor_label", "x", "holds", "leaf", (F.col("start") + F.pmod(F.xxhash64("neighbor_id"), F.col("parts"))).cast("int").alias("cell"))
         first = written(self.searched(queries.withColumn("within", F.lit(float("inf"))), train, False))
         # the k-th distance in the group where it is largest; endless where a group has fewer so far
-        kth = _ranked(first, k).groupBy("query_id", "g").agg(F.count("*").alias("n"), F.max("distance").alias("d")).groupBy("query_id").agg(F.count("*").alias("groups"), F.min("n").alias("n"), F.sqrt(F.max("d")).alias("d"))
+        kth = _ranked(first, k, self.groups).groupBy("query_id", "g").agg(F.count("*").alias("n"), F.max("distance").alias("d")).groupBy("query_id").agg(F.count("*").alias("groups"), F.min("n").alias("n"), F.sqrt(F.max("d")).alias("d"))
         asked = queries.join(kth, "query_id", "left").withColumn("within", F.when((F.col("groups") == F.bit_count("asks")) & (F.col("n") == k), F.col("d")).otherwise(float("inf"))).drop("groups", "n", "d")
-        self.found = first.unionByName(self.searched(written(asked), train, True))
+        self.found = first.unionByName(self.searched(asked, train, True))
+
+    def tall(self, visits: int, cells: int) -> int:
+        """Tasks that share the visits of a cell, so that none has too many of them, and all slots have work if there are visits enough."""
+        return max(1, -(-visits // self.most), min(-(-visits // FEW_VISITS), 2 * self.slots // max(1, cells)))
+
+    def tasks(self, pairs: int, rows: int) -> int:
+        """Tasks for so many pairs of a cell and a share of its visits, which read so many rows."""
+        return max(1, min(pairs, max(2 * self.slots, -(-rows * self.row_bytes // TASK_BYTES))))
 
     def visits(self, queries: DataFrame, later: bool) -> DataFrame:
-        """queries with leaf and far for each leaf that they visit: first those below the smallest ball on the way down that holds k rows
-        of every group asked for; later the others that can hold a row within reach."""
-        tree, radii, upto, k = self.tree, self.radii, self.upto, self.k
-        nodes = tree.leaf_nodes()
+        """queries with the cells that they visit.  First those of the smallest ball on the way down that holds k rows of every group
+        asked for, whose leaves are from lo to hi; later the others with a leaf that can hold a row within reach."""
+        tree, radii, upto, start, parts, k = self.tree, self.radii, self.upto, self.start, self.parts, self.k
+        nodes, cells = tree.leaf_nodes(), int(start[-1] + parts[-1])
         up = np.full(len(tree.centres), -1)
         for at in np.flatnonzero(tree.left >= 0):
             up[[tree.left[at], tree.right[at]]] = at
 
         def run(batches):
-            for pdf in batches:
-                x = block(pdf.q)
-                home, _ = tree.down(x)
-                lo, hi = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
-                for i, (leaf, asks) in enumerate(zip(home, pdf.asks, strict=True)):
-                    at, want = nodes[leaf], bits(int(asks))
+            balls: dict[tuple[int, int], int] = {}
+
+            def ball(leaf: int, asks: int) -> int:
+                if (leaf, asks) not in balls:
+                    at, want = nodes[leaf], bits(asks)
                     while up[at] >= 0 and (upto[tree.last[at] + 1] - upto[tree.first[at]])[want].min(initial=k) < k:
                         at = up[at]
-                    lo[i], hi[i] = tree.first[at], tree.last[at]
-                if later:
-                    rows, leaf = tree.reached(x, pdf.within.to_numpy(float), radii)
-                    new = (leaf < lo[rows]) | (leaf > hi[rows])
-                    rows, leaf = rows[new], leaf[new]
-                else:
-                    rows = np.repeat(np.arange(len(x)), hi - lo + 1)
-                    leaf = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)]) if len(x) else np.empty(0, np.int64)
-                far = np.sqrt(((x[rows] - tree.centres[nodes[leaf]]) ** 2).sum(1))
-                yield pdf.iloc[rows].assign(leaf=leaf.astype(np.int32), far=far)
-
-        return queries.mapInPandas(run, "query_id long, q array<double>, asks long, within double, leaf int, far double")
+                    balls[leaf, asks] = at
+                return balls[leaf, asks]
+
+            for whole in batches:
+                for a in range(0, len(whole), SOME):
+                    pdf = whole.iloc[a : a + SOME]
+                    x = block(pdf.q)
+                    at = np.array([ball(int(leaf), int(asks)) for leaf, asks in zip(tree.down(x)[0], pdf.asks, strict=True)], np.int64)
+                    lo, hi = tree.first[at], tree.last[at]
+                    begin, end = start[lo], start[hi] + parts[hi]
+                    if later:
+                        rows, leaf = tree.reached(x, pdf.within.to_numpy(float), radii)
+                        n = parts[leaf]
+                        cell = np.repeat(start[leaf] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        rows, cell = np.divmod(np.unique(np.repeat(rows, n) * cells + cell), cells)
+                        new = (cell < begin[rows]) | (cell >= end[rows])
+                        rows, cell = rows[new], cell[new].astype(np.int32)
+                        own = np.split(cell, np.searchsorted(rows, np.arange(1, len(x))))
+                        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), -1)
+                    else:
+                        own = [np.arange(b, e, dtype=np.int32) for b, e in zip(begin, end, strict=True)]
+                    yield pdf.assign(lo=lo.astype(np.int32), hi=hi.astype(np.int32), cells=own)
+
+        return queries.mapInPandas(run, f"query_id long, q {queries.schema['q'].dataType.simpleString()}, asks long, within double, lo int, hi int, cells array<int>")
 
     def searched(self, queries: DataFrame, train: DataFrame, later: bool) -> DataFrame:
-        spark, asked = queries.sparkSession, self.visits(queries.select("query_id", F.col("q").cast("array<double>").alias("q"), "asks", "within"), later)
-        met = {r.leaf: r.n for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-        start = np.cumsum(self.parts) - self.parts
-        plan = [(int(g), int(start[g]), int(self.parts[g]), int(-(-n // QUERY_CELL))) for g, n in met.items()]
-        cells = F.broadcast(spark.createDataFrame(plan, "leaf int, start int, parts int, tall int"))
-        left = asked.join(cells, "leaf").withColumn("h", F.pmod(F.xxhash64("query_id"), F.col("tall")).cast("int")).withColumn("cell", F.explode(F.expr("sequence(start, start + parts - 1)")))
-        right = train.join(cells, "leaf").withColumn("cell", (F.col("start") + F.pmod(F.xxhash64("neighbor_id"), F.col("parts"))).cast("int")).withColumn("h", F.explode(F.expr("sequence(0, tall - 1)")))
-        return _searched(left.select("cell", "h", "query_id", "q", "asks", "far", "within"), right.select("cell", "h", "neighbor_id", "neighbor_label", "x", "holds", "far"), self.k)
+        spark, asked = queries.sparkSession, written(self.visits(queries.select("query_id", "q", "asks", "within"), later))
+        met = {r.cell: r.n for r in asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each cell
+        plan = [(int(c), self.tall(n, len(met))) for c, n in met.items()]
+        cells = F.broadcast(spark.createDataFrame(plan, "cell int, tall int"))
+        left = asked.withColumn("cell", F.explode("cells")).drop("cells").join(cells, "cell").withColumn("h", F.pmod(F.xxhash64("query_id"), F.col("tall")).cast("int")).drop("tall")
+        right = train.join(cells, "cell").withColumn("h", F.explode(F.expr("sequence(0, tall - 1)"))).drop("tall")
+        tasks = self.tasks(sum(t for _, t in plan), sum(met.values()) + int(sum(self.cell_sizes[c] * t for c, t in plan)))
+        return _searched(left, right, self.k, self.tree.centres[self.tree.leaf_nodes()], tasks)
 
 
 def _search(queries: DataFrame, train: DataFrame, k: int, row_id: str, label: str, features: str, sizes, asks: Column, holds: Column) -> Search:
@@ -299,13 +412,15 @@ def neighbors(queries: DataFrame, train: DataFrame, k: int, row_id: str = "row_i
     column too.
     """
     if group is None:
-        return _ranked(_search(queries, train, k, row_id, label, features, sizes, F.lit(1), F.lit(1)).found, k).drop("g")
+        search = _search(queries, train, k, row_id, label, features, sizes, F.lit(1), F.lit(1))
+        return _ranked(search.found, search.k, search.groups).drop("g")
     most = train.agg(F.max(group)).first()[0] or 0
     out = None
     for wave in range(most // GROUPS + 1):
         own = F.floor(F.col(group) / GROUPS) == wave
         bit = F.expr(f"shiftleft(1L, cast(`{group}` % {GROUPS} as int))")
-        near = _ranked(_search(queries.where(own), train.where(own), k, row_id, label, features, None, bit, bit).found, k)
+        search = _search(queries.where(own), train.where(own), k, row_id, label, features, None, bit, bit)
+        near = _ranked(search.found, search.k, search.groups)
         near = near.withColumn("g", F.col("g") + wave * GROUPS).withColumnRenamed("g", group)
         out = near if out is None else out.unionByName(near)
     return out
@@ -317,7 +432,8 @@ def masked_neighbors(rows: DataFrame, k: int, asks: str, holds: str, row_id: str
     asks and holds: long columns; a row is a query in the groups whose bits asks has, and a training row in those of holds
     (at most GROUPS).  Each distance is computed once, whatever number of groups it counts in.
     """
-    return _ranked(_search(rows.where(F.col(asks) != 0), rows.where(F.col(holds) != 0), k, row_id, label, features, None, F.col(asks), F.col(holds)).found, k)
+    search = _search(rows.where(F.col(asks) != 0), rows.where(F.col(holds) != 0), k, row_id, label, features, None, F.col(asks), F.col(holds))
+    return _ranked(search.found, search.k, search.groups)
 
 
 def measured(queries: DataFrame, train: DataFrame, k: int, row_id: str = "row_id", label: str = "label", features: str = "features") -> DataFrame:

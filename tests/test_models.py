@@ -113,6 +113,34 @@ def test_metric_cells_are_exact(clustered, monkeypatch, sizes):
     assert found.pairs == some.count() * 3000 and found.computed < 0.2 * found.pairs
 
 
+def test_a_query_is_sent_once_to_a_cell(spark, monkeypatch):
+    """Where bounds save nothing, leaves share cells, and neither side is copied for each of them; 400 equal rows are told apart by id."""
+    rng = np.random.default_rng(27)
+    x, ids = rng.normal(size=(1500, 12)), rng.permutation(1500)
+    x[:400] = x[0]
+    df = spark.createDataFrame([(int(i), v.tolist(), int(i) % 3) for i, v in zip(ids, x, strict=True)], "row_id long, features array<double>, label int").repartition(4).persist()
+    monkeypatch.setattr(neighbors, "LEAF", 30)
+    sent, search = [], neighbors._searched
+
+    def counted(queries, train, *rest):
+        sent.append(queries.count() + train.count())
+        return search(queries, train, *rest)
+
+    monkeypatch.setattr(neighbors, "_searched", counted)
+    some = df.where("row_id % 2 = 0")
+    got = {}
+    for r in neighbors.neighbors(some, df, 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.neighbor_id)
+    assert got == {int(i): plain_neighbours(x, ids, np.ones(1500, bool), n, 5) for n, i in enumerate(ids) if i % 2 == 0}
+    assert sum(sent) <= 2 * (1500 + 750)
+
+
+def test_cells_hold_few_rows_and_bytes():
+    first, parts = neighbors.dealt(np.array([3, 4, 20, 1, 0, 9, 2]), 8)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5, 7] and parts.tolist() == [1, 1, 3, 1, 1, 2, 1]
+    assert neighbors.rows_of(64, 10**6) * 64 * 8 <= neighbors.CELL_BYTES and neighbors.rows_of(10**9, 5) == 1
+
+
 def test_metric_cells_of_few_rows(clustered, spark, monkeypatch):
     monkeypatch.setattr(neighbors, "LEAF", 1)
     df = clustered[2].limit(5)
