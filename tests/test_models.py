@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -638,6 +639,20 @@ def test_network_training_does_not_depend_on_the_layout(patterns, monkeypatch):
         convolution.fit_convnet(train.limit(0), test, 3, (12, 12))
 
 
+def test_many_steps_of_several_tasks_take_little_time(patterns, monkeypatch):
+    """60 steps, of several lanes and tasks, don't wait a second each, and give the weights of one task."""
+    monkeypatch.setattr(svm, "PART_ROWS", 80)
+    monkeypatch.setattr(convolution, "LANE_PIXELS", 150, raising=False)
+    monkeypatch.setattr(convolution, "CHUNK", 7, raising=False)
+    train, test = patterns
+    how = {"widths": (4,), "epochs": 1, "batch": 5, "rate": 1e-2}
+    one = convolution.fit_convnet(train, test, 3, (12, 12), tasks=1, **how)
+    began = time.monotonic()
+    several = convolution.fit_convnet(train, test, 3, (12, 12), tasks=3, **how)
+    assert time.monotonic() - began < 45
+    assert all((a == b).all() for a, b in zip(one.params, several.params, strict=True))
+
+
 def test_rate_falls_and_training_stops(patterns):
     """With a rate that leads nowhere, the rate falls on a plateau and training ends early."""
     train, test = patterns
